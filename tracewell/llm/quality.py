@@ -27,7 +27,7 @@ POLICIES = {
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 MAX_WORDS = 10_000_000
 #: Bounds as whole per cents or whole characters, so that every engine compares integers.
-SYMBOL_PERCENT, LINE_PERCENT, SHORTEST_MEAN, LONGEST_MEAN = 60, 60, 2, 25
+SYMBOL_PERCENT, LINE_PERCENT, SHORTEST_MEAN, LONGEST_MEAN = 30, 60, 2, 25
 
 
 def mask_of(policy: str) -> int:
