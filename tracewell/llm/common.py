@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -36,26 +39,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_map(df: DataFrame, keys: list[str], text: str, extra: str, fn: Callable[[], Callable[[list], list[tuple]]]) -> DataFrame:
-    """Applies a function to lists of texts in every partition: fn() makes it once per task, it returns one tuple of the
-    extra columns (a DDL string) per text. keys are carried. Null texts arrive as None."""
-    from pyspark.sql.types import StructType
-
+def text_map(df: DataFrame, keys: list[str], text: str, extra: str, fn: Callable[[], Callable[[list], Iterable[tuple]]], rows: int = SLICE) -> DataFrame:
+    """Applies a function to lists of at most so many texts in every partition: fn() makes it once per task, it returns
+    or yields one tuple of the extra columns (a DDL string) per text. keys are carried. Null texts arrive as None."""
     added = StructType.fromDDL(extra)
     schema = StructType([df.schema[k] for k in keys] + added.fields)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = fn()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                rows = apply(part.column(len(keys)).to_pylist())
-                cols = list(zip(*rows, strict=True)) or [()] * len(arrow)
-                made = [pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *made], names=[*keys, *arrow.names])
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = iter(apply(part.column(len(keys)).to_pylist()))
+                for k in range(0, part.num_rows, SLICE):
+                    some = part.slice(k, SLICE)
+                    cols = zip(*itertools.islice(made, some.num_rows), strict=True)
+                    filled = [pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*some.columns[: len(keys)], *filled], names=[*keys, *arrow.names])
 
     return df.select(*[df[k] for k in keys], df[text].cast("string")).mapInArrow(run, schema)
 

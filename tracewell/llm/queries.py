@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import media, quality
+from . import bpe, media, quality, token_files
 
 QUERIES = {
+    "op1_bpe": bpe.query,
+    "op6_token_files": token_files.query,
     "op9_quality_rules": quality.query,
     "op10_media_columns": media.query,
 }
