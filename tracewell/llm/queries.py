@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, media, quality, token_files
+from . import bpe, media, mixing, quality, token_files
 
 QUERIES = {
+    "op8_mixing": mixing.query,
     "op1_bpe": bpe.query,
     "op6_token_files": token_files.query,
     "op9_quality_rules": quality.query,
     "op10_media_columns": media.query,
 }
 ORACLES = {
+    "op8_mixing": mixing.SQL,
     "op9_quality_rules": quality.SQL,
 }
