@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, quality, token_files, toxicity, urls
+from . import bpe, media, minhash, mixing, quality, token_files, toxicity, urls
 
 QUERIES = {
     "op3_toxicity": toxicity.query,
     "op5_url_filters": urls.query,
+    "op7_minhash": minhash.query,
     "op8_mixing": mixing.query,
     "op1_bpe": bpe.query,
     "op6_token_files": token_files.query,
