@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -17,6 +18,8 @@ from pyspark.sql.types import StructType
 SEPARATORS = " \t\n\x0b\x0c\r"
 #: A word, as a regular expression that Java, RE2 and Python read alike.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a few numbers that may be broadcast; beyond, the join is shuffled.
+BROADCAST_ROWS = 2_000_000
 #: Documents that a Python function holds as objects at once.
 SLICE = 512
 
@@ -39,6 +42,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows (of a few numbers each); else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_map(df: DataFrame, keys: list[str], text: str, extra: str, fn: Callable[[], Callable[[list], Iterable[tuple]]], rows: int = SLICE) -> DataFrame:
     """Applies a function to lists of at most so many texts in every partition: fn() makes it once per task, it returns
     or yields one tuple of the extra columns (a DDL string) per text. keys are carried. Null texts arrive as None."""

@@ -26,9 +26,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import saved, text_map
+from .common import saved, small_side, text_map
 
 CHUNKS, CHUNK, ERRORS = 9, 5, 1
 K = CHUNKS * CHUNK
@@ -40,8 +39,6 @@ FEW = 200
 #: Documents of a block of a cluster whose sets are compared at once with those of another block.
 BLOCK = 512
 REMEMBERED = 400_000
-#: Ids that may be broadcast as a filter; beyond, the join is shuffled.
-BROADCAST_IDS = 2_000_000
 _R = np.random.default_rng(20)
 _A = _R.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _R.integers(0, 2**63, K, dtype=np.uint64)
@@ -273,11 +270,6 @@ def sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return text_map(docs, [key], text, "shingles binary", make)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows (of a few numbers each); else as it is, to be shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def confirmed(docs: DataFrame, clusters: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """Links (a, b) between documents of a cluster (id, label) whose full sets are at least PERCENT alike."""
     sized = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("docs"))

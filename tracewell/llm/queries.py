@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, media, minhash, mixing, quality, token_files, toxicity, urls
+from . import bpe, media, minhash, mixing, quality, substrings, token_files, toxicity, urls
 
 QUERIES = {
+    "op2_substring_dedup": substrings.query,
     "op3_toxicity": toxicity.query,
     "op5_url_filters": urls.query,
     "op7_minhash": minhash.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_media_columns": media.query,
 }
 ORACLES = {
+    "op2_substring_dedup": substrings.SQL,
     "op8_mixing": mixing.SQL,
     "op9_quality_rules": quality.SQL,
 }
