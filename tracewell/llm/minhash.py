@@ -299,5 +299,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
+    """docs with one row of each component: its least id. Rows with a null id stay."""
+    gone = near_duplicates(docs, key, text, size).where("NOT kept").select(F.col(key).alias("_gone")).distinct()
+    return docs.join(small_side(saved(gone, "near-gone")), docs[key].cast("long") == F.col("_gone"), "left_anti")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, saved, small_side
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -109,6 +109,26 @@ def mix(docs: DataFrame) -> DataFrame:
     return takes(measure(docs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mixed(docs: DataFrame, length: str = "n_chars") -> DataFrame:
+    """docs as the mix takes them, with the columns of docs: a row's text is its whole text once per lap, then the words of
+    its cut stretches; length, where it is a column, counts anew. Rows of which nothing is taken go. Rows that share id,
+    source and size are taken alike."""
+    t = takes(measure(docs)).where("taken > 0").dropDuplicates(["doc_id", "source", "size"])
+    t = saved(t.select(*[F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "source", "size", "laps", "cut_from", "cut_to", "wrap_to")]), "mix-takes")
+    same = docs["doc_id"].eqNullSafe(F.col("_mix_doc_id")) & docs["source"].cast("string").eqNullSafe(F.col("_mix_source")) & (words(docs["text"]) == F.col("_mix_size"))
+    joined = docs.join(small_side(t), same)
+    w = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+
+    def stretch(start: Column, stop: Column) -> Column:
+        part = F.concat_ws(" ", F.slice(w, (start + 1).cast("int"), (stop - start).cast("int")))
+        return F.when((start == 0) & (stop == F.col("_mix_size")), F.col("text")).when(stop > start, part)
+
+    laps = F.array_repeat(F.col("text"), F.col("_mix_laps").cast("int"))
+    text = F.concat_ws("\n", laps, stretch(F.col("_mix_cut_from"), F.col("_mix_cut_to")), stretch(F.lit(0), F.col("_mix_wrap_to")))
+    out = joined.withColumn("text", text).select(*docs.columns)
+    return out.withColumn(length, F.length("text").cast(docs.schema[length].dataType)) if length in docs.columns else out
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -11,10 +11,11 @@ each row is judged alone. An empty table gives an empty ledger.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, text_map
+from .common import SEPARATORS, SLICE, text_map
 
 SYMBOLS = "#*$%&|<>"
 #: Rule names; the place in the list is the bit.
@@ -118,22 +119,16 @@ def ablations(led: DataFrame, policy: str = "v1") -> DataFrame:
     )
 
 
-def keep(docs: DataFrame, policy: str = "v1", key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
     """The rows of docs that the policy accepts, with the columns of docs."""
-    from pyspark.sql.types import StructField, StructType
-    import pyarrow as pa
-
     full = mask_of(policy) | mask_of("base")
-    names = docs.columns
-    at = names.index(text)
-    del StructField, StructType
+    at = docs.columns.index(text)
 
     def run(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                keep_it = [not (failed_bits(measure(t)) & full) for t in part.column(at).to_pylist()]
-                yield part.filter(pa.array(keep_it, pa.bool_()))
+            for k in range(0, b.num_rows, SLICE):
+                part = b.slice(k, SLICE)
+                yield part.filter(pa.array([not failed_bits(measure(t)) & full for t in part.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
