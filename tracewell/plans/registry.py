@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import columns as fx
 from tracewell.operators import checks, lineage
+from tracewell.plans.shapes import SECRET_SHAPES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,10 +198,6 @@ def secret_key_scan(spark, d):
     return keys.where(fx.is_secret_key(F.col("key")))
 
 
-#: Fixed value: the shapes of tokens that must not be published.
-SECRET_SHAPES = r"\bAKIA[A-Z0-9]{16}\b|\bAIza[A-Za-z0-9_-]{20,}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bsk-[A-Za-z0-9_-]{16,}\b|\bsk_(?:live|test)_[A-Za-z0-9]{10,}\b|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b"
-
-
 @query(f"SELECT count(*) AS texts, count(*) FILTER (regexp_matches(text, '{SECRET_SHAPES}')) AS with_secrets FROM documents")
 def secret_value_scan(spark, d):
     hit = F.when(F.col("text").rlike(SECRET_SHAPES), 1)
