@@ -13,7 +13,8 @@ it; so of a set of copies the earliest stays. Only lines of at least NEAR_WORDS
 4. The edit distance of each offer is verified on the words; the earliest that holds is the reason to drop the line.
 
 Defined results: lines without a word stay and are compared with nothing; null or empty texts have no lines. Rows with a
-null id are not compared. Rows that repeat an id rank as one text each. An empty table gives no rows.
+null id are not compared. Rows that repeat an id and a text count once each; ids that name different texts are not told
+apart by rank, so that near lines of theirs may stay. An empty table gives no rows.
 """
 
 from __future__ import annotations

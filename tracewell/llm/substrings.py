@@ -90,14 +90,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """docs with the runs removed from its texts; all rows and columns stay."""
     spans = runs(docs, key, text).groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
     joined = docs.join(small_side(saved(spans, "unit-spans"), 200_000), docs[key] == F.col("_key"), "left").drop("_key")
+    names, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
         for b in batches:
             texts, cuts = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
             new = [t if t is None or not c else removed(t, [(x["start"], x["stop"]) for x in c]) for t, c in zip(texts, cuts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(new, pa.string()), *b.columns[at + 1 : -1]], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(new, pa.string()), *b.columns[at + 1 : -1]], names=names)
 
-    at = docs.columns.index(text)
     return joined.mapInArrow(run, docs.schema)
 
 
