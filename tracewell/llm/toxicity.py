@@ -26,10 +26,10 @@ from .common import text_map
 
 #: Labelled rows of each class that training reads at most.
 SAMPLE = 3000
-BUCKETS, DIMENSIONS = 1 << 16, 8
+BUCKETS, DIMENSIONS = 1 << 16, 4
 SHORTEST, LONGEST = 3, 5
-EPOCHS, BATCH, RATE = 4, 64, 0.02
-WINDOW, WINDOW_EPOCHS, ROUNDS = 32, 10, 2
+EPOCHS, BATCH, RATE = 3, 64, 0.03
+WINDOW, WINDOW_EPOCHS, ROUNDS = 32, 6, 2
 #: A text's mean is small beside its rare words; the factor lets small vectors move it.
 SCALE = 20.0
 #: Keeps Adam from moving n-grams of few texts as far as those of many.
