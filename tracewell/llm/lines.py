@@ -237,3 +237,21 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str
 
 def query(spark, sf_dir: str) -> DataFrame:
     return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Variants are joined as texts here, all of them, not by hash.
+SQL = rf"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+a AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM t),
+b AS (SELECT doc_id, line_no, line, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) - 1)::INT AS start,
+             regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS ws FROM a),
+c AS (SELECT doc_id, line_no::INT AS line_no, start, (start + length(line))::INT AS stop, ws, array_to_string(ws, ' ') AS t FROM b WHERE len(ws) > 0),
+d AS (SELECT t, any_value(ws) AS ws, min((doc_id, line_no)) AS f FROM c GROUP BY 1),
+v AS (SELECT t, f, len(ws) AS n, i - 1 AS place, CASE i WHEN 0 THEN t ELSE array_to_string(ws[1:i - 1] || ws[i + 1:], ' ') END AS cut
+      FROM (SELECT *, unnest(range(0, len(ws) + 1)) AS i FROM d WHERE len(ws) >= {NEAR_WORDS})),
+p AS (SELECT y.t, x.f FROM v x JOIN v y ON x.cut = y.cut AND x.place = y.place AND x.place >= 0 AND x.f < y.f
+      UNION ALL SELECT y.t, x.f FROM v x JOIN v y ON x.cut = y.cut AND (x.place < 0) <> (y.place < 0) AND x.f < y.f),
+m AS (SELECT t, min(f) AS near FROM p GROUP BY 1)
+SELECT doc_id, line_no, start, stop, coalesce(near, f)[1] AS kept_id, coalesce(near, f)[2] AS kept_line, (near IS NOT NULL)::INT AS edits
+FROM c JOIN d USING (t) LEFT JOIN m USING (t) WHERE near IS NOT NULL OR (doc_id, line_no) <> f
+"""

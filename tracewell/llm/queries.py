@@ -17,6 +17,8 @@ QUERIES = {
     "op10_media_columns": media.query,
 }
 ORACLES = {
+    "op4_line_dedup": lines.SQL,
+    "op7_minhash": minhash.SQL,
     "op2_substring_dedup": substrings.SQL,
     "op8_mixing": mixing.SQL,
     "op9_quality_rules": quality.SQL,
