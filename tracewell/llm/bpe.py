@@ -188,7 +188,7 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return self.chunks.encode(texts)
+        return list(self.chunks.encode(texts))
 
     def decode(self, ids: bytes) -> str:
         table, n = self.bytes_of, self.size

@@ -7,62 +7,66 @@ joined. Texts with any other space (two in a row, a space before a line feed) ta
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 #: Chunks that are remembered between groups of texts.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: Characters of text whose new chunks are encoded together.
-GROUP_CHARS = 24_000_000
+GROUP_CHARS = 16_000_000
+
+
+class Places(dict):
+    """Chunk -> place; a chunk that is asked for the first time gets the next place and is noted as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.new.append(chunk)
+        return n
 
 
 class Chunks:
     """encode_new: distinct chunks -> their ids as bytes, in order; encode_whole: one text -> its ids as bytes."""
 
-    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], encode_whole: Callable[[str], bytes]):
-        self.encode_new, self.encode_whole = encode_new, encode_whole
-        self.rest: dict[str, bytes | None] = {}  # what follows a space -> ids with that space; None: no cut here
-        self.first: dict[str, bytes] = {"": b""}
+    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], encode_whole: Callable[[str], bytes], group_chars: int = GROUP_CHARS):
+        self.encode_new, self.encode_whole, self.group_chars = encode_new, encode_whole, group_chars
+        self.forget()
+
+    def forget(self) -> None:
+        self.rest, self.first = Places(), Places()
+        self.ids: list[bytes | None] = []  # by place in rest: ids of the chunk after a space; None: no cut before it
+        self.heads: list[bytes] = []  # by place in first: ids of a text's first chunk
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP_CHARS):
+            while end < len(texts) and (end == at or size + len(texts[end]) <= self.group_chars):
                 size += len(texts[end])
                 end += 1
-            out += self._group(texts[at:end])
+            yield from self._group(texts[at:end])
             at = end
-        return out
 
-    def _group(self, texts: list[str]) -> list[bytes]:
-        if len(self.rest) > REMEMBERED:
-            self.rest.clear()
-        if len(self.first) > REMEMBERED:
-            self.first = {"": b""}
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        if len(self.rest) + len(self.first) > REMEMBERED:
+            self.forget()
         rest, first = self.rest, self.first
-        seen: set[str] = set()
-        heads: set[str] = set()
-        for t in texts:
-            parts = t.split(" ")
-            heads.add(parts[0])
-            parts[0] = parts[-1]
-            seen.update(parts)
-        new = [x for x in seen if x not in rest]
-        del seen
-        rest.update((x, None) for x in new if not x or x[0].isspace())
-        new = [x for x in new if x not in rest]
-        heads_new = [x for x in heads if x not in first]
-        ids = self.encode_new([" " + x for x in new] + heads_new)
-        rest.update(zip(new, ids, strict=False))
-        first.update(zip(heads_new, ids[len(new) :], strict=True))
-        out = []
+        placed = []
         for t in texts:
-            parts = t.split(" ")
-            head = first[parts[0]]
-            del parts[0]
+            head, *parts = t.split(" ")
+            placed.append((first[head], list(map(rest.__getitem__, parts))))
+        new, heads = rest.new, first.new
+        cuts = [bool(x) and not x[0].isspace() for x in new]
+        made = iter(self.encode_new([" " + x for x, ok in zip(new, cuts, strict=True) if ok] + heads))
+        self.ids += [next(made) if ok else None for ok in cuts]
+        self.heads += made
+        rest.new, first.new = [], []
+        ids = self.ids
+        for t, (head, places) in zip(texts, placed, strict=True):
             try:
-                out.append(head + b"".join(map(rest.__getitem__, parts)))
+                yield self.heads[head] + b"".join(map(ids.__getitem__, places))
             except TypeError:  # a None: the text cannot be cut there
-                out.append(self.encode_whole(t))
-        return out
+                yield self.encode_whole(t)

@@ -16,7 +16,9 @@ their ids in order. An empty table gives no segment.
 from __future__ import annotations
 
 import functools
+import json
 import os
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .bpe import default_vocabulary
+from .bpe import NEWER, UNITS, byte_alphabet, default_vocabulary
 from .chunks import Chunks
 from .common import saved, text_map
 
@@ -34,6 +36,8 @@ END_ID = 2
 SEGMENT_TOKENS = 1_000_000
 #: Key ranges per task.
 RANGES = 4
+#: Characters of text whose new chunks are encoded together.
+GROUP_CHARS = 4_000_000
 _MASK = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 #: Control byte -> bytes of its four tokens.
 _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
@@ -68,21 +72,47 @@ def unpack(n: int, book: bytes, control: bytes, data: bytes) -> np.ndarray:
 
 @functools.cache
 def library_encoder(path: str) -> Chunks:
-    """Encoding by the tokenizers library, each distinct chunk once; ids as little-endian unsigned 32-bit integers."""
+    """Encoding by the tokenizers library, each distinct chunk once; ids as little-endian unsigned 32-bit integers. Chunks
+    whose units Python's pattern surely finds go to the library's model unit by unit; all others through its whole path."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_padding()
     t.no_truncation()
+    shown = {chr(b): c for b, c in byte_alphabet().items()}
+    table, tokenize, find = str.maketrans(shown), t.model.tokenize, UNITS.findall
+    with open(path, encoding="utf-8") as f:
+        marks = [x["content"] for x in json.load(f)["added_tokens"]]
+
+    def whole(text: str) -> bytes:
+        return array("I", t.encode(text, add_special_tokens=False).ids).tobytes()
+
+    plain = not any(m.strip().isalpha() for m in marks)  # letters alone are then no special token
 
     def new(chunks: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(chunks), 20_000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(chunks[k : k + 20_000], add_special_tokens=False)]
+        units: dict[str, bytes] = {}
+
+        def unit(u: str) -> bytes:
+            ids = units.get(u)
+            if ids is None:
+                ids = units[u] = array("I", [x.id for x in tokenize(u.encode().decode("latin-1").translate(table))]).tobytes()
+            return ids
+
+        out = []
+        for c in chunks:
+            old = c.isascii() or not c or max(c) < NEWER
+            if plain and old and c[1:].isalpha() and c[0] == " ":  # a space and letters are one unit
+                out.append(unit(c))
+            elif plain and old and c[-1:] in ".," and c[1:-1].isalpha() and c[0] == " ":
+                out.append(unit(c[:-1]) + unit(c[-1]))
+            elif not old or any(m in c for m in marks):
+                out.append(whole(c))
+            else:
+                out.append(b"".join([unit(u) for u in find(c)]))
         return out
 
-    return Chunks(new, lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+    return Chunks(new, whole, GROUP_CHARS)
 
 
 def _segments(key: str):
@@ -137,7 +167,7 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         return apply
 
     keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    coded = text_map(keyed, ["key"], "text", "width int, ids binary", make, rows=10_000)
+    coded = text_map(keyed, ["key"], "text", "width int, ids binary", make, rows=2048)
 
     @F.pandas_udf("int")
     def range_of(keys: pd.Series) -> pd.Series:
