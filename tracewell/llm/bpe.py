@@ -209,7 +209,12 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 
     def make():
         v = vocabulary(path)
-        return lambda texts: [(len(i) // 4, i) for i in v.encode([t or "" for t in texts])]
+
+        def apply(texts):
+            return ((len(i) // 4, i) for i in v.chunks.encode([t or "" for t in texts]))
+
+        apply.close = v.chunks.forget
+        return apply
 
     return text_map(docs, [key, *(carry or [])], text, "n_tokens long, ids binary", make, rows=ROWS)
 
@@ -220,13 +225,18 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path
 
     def make():
         v = vocabulary(path)
-        return lambda texts: [(len(i) // 4, i, v.decode(i)) for i in v.encode([t or "" for t in texts])]
+
+        def apply(texts):
+            return ((len(i) // 4, i, v.decode(i)) for i in v.chunks.encode([t or "" for t in texts]))
+
+        apply.close = v.chunks.forget
+        return apply
 
     return text_map(docs, [key], text, "n_tokens long, ids binary, decoded string", make, rows=ROWS)
 
 
-#: Rows whose texts are encoded together at most: a whole Arrow batch, so that the index covers much of a partition.
-ROWS = 10_000
+#: Rows whose texts are encoded together at most.
+ROWS = 2048
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 #: Chunks that are remembered between groups of texts.
-REMEMBERED = 500_000
+REMEMBERED = 120_000
 #: Characters of text whose new chunks are encoded together.
-GROUP_CHARS = 16_000_000
+GROUP_CHARS = 4_000_000
 
 
 class Places(dict):
@@ -31,8 +31,8 @@ class Places(dict):
 class Chunks:
     """encode_new: distinct chunks -> their ids as bytes, in order; encode_whole: one text -> its ids as bytes."""
 
-    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], encode_whole: Callable[[str], bytes], group_chars: int = GROUP_CHARS):
-        self.encode_new, self.encode_whole, self.group_chars = encode_new, encode_whole, group_chars
+    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], encode_whole: Callable[[str], bytes], group_chars: int = GROUP_CHARS, remembered: int = REMEMBERED):
+        self.encode_new, self.encode_whole, self.group_chars, self.remembered = encode_new, encode_whole, group_chars, remembered
         self.forget()
 
     def forget(self) -> None:
@@ -51,7 +51,7 @@ class Chunks:
             at = end
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.rest) + len(self.first) > REMEMBERED:
+        if len(self.rest) + len(self.first) > self.remembered:
             self.forget()
         rest, first = self.rest, self.first
         placed = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import itertools
 import os
 import tempfile
@@ -49,26 +51,41 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def text_map(df: DataFrame, keys: list[str], text: str, extra: str, fn: Callable[[], Callable[[list], Iterable[tuple]]], rows: int = SLICE) -> DataFrame:
     """Applies a function to lists of at most so many texts in every partition: fn() makes it once per task, it returns
-    or yields one tuple of the extra columns (a DDL string) per text. keys are carried. Null texts arrive as None."""
+    or yields one tuple of the extra columns (a DDL string) per text. keys are carried. Null texts arrive as None. What it
+    remembers goes with the task: a function with the attribute close has it called, since Python workers are reused."""
     added = StructType.fromDDL(extra)
     schema = StructType([df.schema[k] for k in keys] + added.fields)
     arrow = to_arrow_schema(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = fn()
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                made = iter(apply(part.column(len(keys)).to_pylist()))
-                for k in range(0, part.num_rows, SLICE):
-                    some = part.slice(k, SLICE)
-                    cols = zip(*itertools.islice(made, some.num_rows), strict=True)
-                    filled = [pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*some.columns[: len(keys)], *filled], names=[*keys, *arrow.names])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
+                    made = iter(apply(part.column(len(keys)).to_pylist()))
+                    for k in range(0, part.num_rows, SLICE):
+                        some = part.slice(k, SLICE)
+                        cols = zip(*itertools.islice(made, some.num_rows), strict=True)
+                        filled = [pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)]
+                        yield pa.RecordBatch.from_arrays([*some.columns[: len(keys)], *filled], names=[*keys, *arrow.names])
+        finally:
+            getattr(apply, "close", lambda: None)()
+            del apply
+            give_back()
 
     return df.select(*[df[k] for k in keys], df[text].cast("string")).mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns memory that a finished task no longer uses to the system: Python workers outlive their tasks, and what
+    their allocators keep would count against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def column_name(df: DataFrame, wanted: str) -> str:
     """wanted, with underscores until it clashes with no column of df (names compare without case)."""
     taken = {c.lower() for c in df.columns}

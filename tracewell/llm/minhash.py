@@ -38,7 +38,7 @@ EQUAL = 24
 FEW = 200
 #: Documents of a block of a cluster whose sets are compared at once with those of another block.
 BLOCK = 512
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _R = np.random.default_rng(20)
 _A = _R.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _R.integers(0, 2**63, K, dtype=np.uint64)
