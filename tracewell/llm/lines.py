@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import SEPARATORS, SLICE, saved, small_side
+from .common import SEPARATORS, SLICE, give_back, saved, small_side
 
 NEAR_WORDS = 8
 LINES = "line_no int, start int, stop int, n int, d1 long, d2 long, first boolean, keys array<long>"
@@ -216,21 +216,24 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str
     size = names.index(length) if length in names else None
 
     def run(batches):
-        for b in batches:
-            texts, drops = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-            keep, sizes = [], (b.column(size).to_pylist() if size is not None else None)
-            for k, (t, d) in enumerate(zip(texts, drops, strict=True)):
-                if d and t is not None:
-                    d = set(d)
-                    texts[k] = "\n".join(x for n, (_, _, x) in enumerate(split_lines(t)) if n not in d)
-                    if sizes is not None:
-                        sizes[k] = len(texts[k])
-                keep.append(not d or bool(texts[k].strip(SEPARATORS)))
-            cols = list(b.columns[:-1])
-            cols[at] = pa.array(texts, pa.string())
-            if sizes is not None:
-                cols[size] = pa.array(sizes, b.column(size).type)
-            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE):
+                b = whole.slice(first, SLICE)
+                texts, drops = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+                keep, sizes = [], (b.column(size).to_pylist() if size is not None else None)
+                for k, (t, d) in enumerate(zip(texts, drops, strict=True)):
+                    if d and t is not None:
+                        d = set(d)
+                        texts[k] = "\n".join(x for n, (_, _, x) in enumerate(split_lines(t)) if n not in d)
+                        if sizes is not None:
+                            sizes[k] = len(texts[k])
+                    keep.append(not d or bool(texts[k].strip(SEPARATORS)))
+                cols = list(b.columns[:-1])
+                cols[at] = pa.array(texts, pa.string())
+                if sizes is not None:
+                    cols[size] = pa.array(sizes, b.column(size).type)
+                yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return joined.mapInArrow(run, docs.schema)
 

@@ -93,10 +93,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
-            texts, cuts = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-            new = [t if t is None or not c else removed(t, [(x["start"], x["stop"]) for x in c]) for t, c in zip(texts, cuts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(new, pa.string()), *b.columns[at + 1 : -1]], names=names)
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE):
+                b = whole.slice(first, SLICE)
+                texts, cuts = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+                new = [t if t is None or not c else removed(t, [(x["start"], x["stop"]) for x in c]) for t, c in zip(texts, cuts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(new, pa.string()), *b.columns[at + 1 : -1]], names=names)
 
     return joined.mapInArrow(run, docs.schema)
 
