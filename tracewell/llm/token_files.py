@@ -34,10 +34,14 @@ from .common import saved, text_map
 END_ID = 2
 #: Tokens of a segment; one longer document is a segment of its own.
 SEGMENT_TOKENS = 1_000_000
+#: Ids below this are counted in a table.
+TABLE = 1 << 22
 #: Key ranges per task.
 RANGES = 4
 #: Characters of text whose new chunks are encoded together.
 GROUP_CHARS = 4_000_000
+#: Chunks that a Python worker remembers between groups, and between tasks.
+REMEMBERED = 1_000_000
 _MASK = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 #: Control byte -> bytes of its four tokens.
 _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
@@ -45,11 +49,19 @@ _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astyp
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Code book, control bytes and data bytes of some ids."""
-    used, place, count = np.unique(ids, return_inverse=True, return_counts=True)
-    by_rank = np.lexsort((used, -count))
-    rank_of = np.empty(len(used), np.uint32)
-    rank_of[by_rank] = np.arange(len(used), dtype=np.uint32)
-    ranks = rank_of[place]
+    if len(ids) and ids.max() < TABLE:  # a table by id spares the sort
+        every = np.bincount(ids)
+        used = np.flatnonzero(every)
+        by_rank = np.lexsort((used, -every[used]))
+        rank_of = np.empty(len(every), np.uint32)
+        rank_of[used[by_rank]] = np.arange(len(used), dtype=np.uint32)
+        ranks = rank_of[ids]
+    else:
+        used, place, count = np.unique(ids, return_inverse=True, return_counts=True)
+        by_rank = np.lexsort((used, -count))
+        rank_of = np.empty(len(used), np.uint32)
+        rank_of[by_rank] = np.arange(len(used), dtype=np.uint32)
+        ranks = rank_of[place]
     size = ((ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
     padded = np.zeros(-(-len(size) // 4) * 4, np.uint8)
     padded[: len(size)] = size
@@ -112,7 +124,7 @@ def library_encoder(path: str) -> Chunks:
                 out.append(b"".join([unit(u) for u in find(c)]))
         return out
 
-    return Chunks(new, whole, GROUP_CHARS)
+    return Chunks(new, whole, GROUP_CHARS, REMEMBERED)
 
 
 def _segments(key: str):
