@@ -1,0 +1,70 @@
+"""Repeated passages against brute force over every window."""
+
+import random
+
+from tracewell.llm import passages, substrings
+
+SCHEMA = "doc_id long, text string"
+
+
+def gone(text, spans):
+    """Numbers of the words of text that lie in the spans."""
+    return {n for n, m in enumerate(passages._WORD.finditer(text)) if any(a <= m.start() and m.end() <= b for a, b in spans)}
+
+
+def slow(rows, size=passages.WINDOW):
+    """Words that go by windows alone, and whether all their windows were met before."""
+    seen, out = set(), {}
+    for k, t in sorted(rows):
+        words, out[k] = t.lower().split(), set()
+        for i in range(len(words) - size + 1):
+            w = tuple(words[i : i + size])
+            if w in seen:
+                out[k] |= set(range(i, i + size))
+            seen.add(w)
+    return out
+
+
+def found(spark, rows):
+    d = spark.createDataFrame(rows, SCHEMA)
+    by = {k: [] for k, _ in rows}
+    for r in passages.spans(d).collect():
+        by[r.doc_id].append((r.start, r.stop))
+    units = {k: [] for k in by}
+    for r in substrings.runs(d).collect():
+        units[r.doc_id].append((r.start, r.stop))
+    return by, units
+
+
+def test_spans_equal_brute_force(spark):
+    r = random.Random(3)
+    text = lambda n: [f"w{r.randrange(3000)}" + r.choice(["", "", "", ".", "!\n"]) for _ in range(n)]
+    base = [text(r.randrange(40, 120)) for _ in range(8)]
+    rows = []
+    for k in range(60):
+        b = r.choice(base)
+        i = r.randrange(len(b) // 2)
+        rows.append((k, " ".join(text(r.randrange(60)) + b[i : i + r.randrange(30, 120)] + text(r.randrange(60)))))
+    rows += [(100, "a b " * 80), (101, "B a " * 80), (102, ""), (103, " \n")]
+    by, units = found(spark, rows)
+    want = slow(rows)
+    assert {k: gone(t, by[k]) for k, t in rows} == {k: want[k] | gone(t, units[k]) for k, t in rows}
+    assert any(want[k] - gone(t, units[k]) for k, t in rows)
+
+
+def test_passage_cut_in_mid_sentence_and_short_sentences(spark):
+    """A passage of 55 words in three sentences, both end ones cut, and one of sentences below the units' bound."""
+    words = [f"p{n}" for n in range(55)]
+    words[19] += "."
+    words[34] += "."
+    shout = [f"Word{n}!!" for n in range(60)]
+    rows = [(1, "one start " + " ".join(words) + " one end."), (2, "Another beginning " + " ".join(words) + " other end."), (3, " ".join(shout)), (4, "so " + " ".join(shout))]
+    by, units = found(spark, rows)
+    assert not any(units.values())
+    assert gone(rows[1][1], by[2]) == set(range(2, 57)) and gone(rows[3][1], by[4]) == set(range(1, 61))
+    assert not by[1] and not by[3]
+
+
+def test_nothing(spark):
+    assert passages.spans(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert passages.spans(spark.createDataFrame([(None, "x " * 60), (1, None)], SCHEMA)).count() == 0

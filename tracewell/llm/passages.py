@@ -1,0 +1,148 @@
+"""Repeated passages, wherever they start or end: the whole of what unit hashing looks for.
+
+Words are runs of characters between white space, in lower case. Every window of WINDOW words is compared with every other,
+across and inside texts: the one in the least id, first in its text, is kept, and every other is a repeat. The
+words of all repeats go, and so do the runs of substrings.runs; what touches is one span. So every passage of WINDOW words or
+more goes where it recurs, be its sentences short or cut at its ends. A word that goes has an equal
+word before it, in an equal window, that stays or has one in turn.
+
+Not every window is sent. By winnowing each window names its least GRAM-gram as its anchor; equal windows name equal
+anchors. Anchors are grouped first (one where the least gram changes, not one a word), and only windows with an anchor met in
+two places are hashed, to 128 bits, and grouped. That is a lossless filter.
+
+Defined results: those of substrings, but that a repeated id must repeat its text. Offsets are characters of the original text.
+"""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from . import substrings
+from .common import SLICE, give_back, saved, small_side
+
+WINDOW, GRAM = 51, 25
+KNOWN_WORDS = 100_000
+_WORD = re.compile(r"\S+")
+_FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+class Words:
+    """Places and digests of the words of a text; it remembers the digests of some."""
+
+    def __init__(self):
+        self.known: dict[str, bytes] = {}
+
+    def of(self, text: str) -> tuple[np.ndarray, bytes]:
+        """(start, stop) of each word, and 16 bytes for each."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        known, digests, places = self.known, [], []
+        for m in _WORD.finditer(text):
+            w = m[0]
+            d = known.get(w)
+            if d is None:
+                d = known[w] = xxhash.xxh3_128_digest(w.lower().encode("utf-8", "surrogatepass"))
+            digests.append(d)
+            places.append(m.span())
+        return np.array(places, np.int32).reshape(-1, 2), b"".join(digests)
+
+
+def anchors(digests: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """For each window, the number of the word where its least gram starts; and the hash of each gram."""
+    h = np.frombuffer(digests, np.uint64)[::2]
+    n = len(h) - GRAM + 1
+    g = np.zeros(n, np.uint64)
+    for j in range(GRAM):
+        g = g * _FACTOR + h[j : j + n]
+    g ^= g >> np.uint64(32)
+    g *= _MIX
+    g ^= g >> np.uint64(32)
+    wide = WINDOW - GRAM + 1
+    least = np.lib.stride_tricks.sliding_window_view(g, wide).argmin(axis=1)
+    return least + np.arange(len(least)), g.view(np.int64)
+
+
+def _anchors(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, at, anchor) of each anchor that some window names."""
+    schema = StructType([docs.schema[key], *StructType.fromDDL("at int, anchor long").fields])
+
+    def run(batches):
+        words = Words()
+        for b in batches:
+            for first in range(0, b.num_rows, SLICE):
+                part = b.slice(first, SLICE)
+                owner, at, anchor = [], [], []
+                for k, t in enumerate(part.column(1).to_pylist()):
+                    places, digests = words.of(t or "")
+                    if len(places) < WINDOW:
+                        continue
+                    named, grams = anchors(digests)
+                    named = np.unique(named)
+                    owner.append(np.full(len(named), k, np.int32))
+                    at.append(named.astype(np.int32))
+                    anchor.append(grams[named])
+                if owner:
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(at)), pa.array(np.concatenate(anchor))], names=schema.names)
+        give_back()
+
+    return docs.where(F.col(key).isNotNull()).select(key, F.col(text).cast("string")).mapInArrow(run, schema)
+
+
+def _windows(docs: DataFrame, key: str, text: str, met: DataFrame) -> DataFrame:
+    """(key, at, start, stop, d1, d2) of each window that names an anchor of met (key, ats)."""
+    schema = StructType([docs.schema[key], *StructType.fromDDL("at int, start int, stop int, d1 long, d2 long").fields])
+    few = 32
+
+    def run(batches):
+        words = Words()
+        for b in batches:
+            for first in range(0, b.num_rows, few):
+                part = b.slice(first, few)
+                for k, (t, ats) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    places, digests = words.of(t or "")
+                    if len(places) < WINDOW:
+                        continue
+                    at = np.flatnonzero(np.isin(anchors(digests)[0], np.array(ats, np.int64)))
+                    view = memoryview(digests)
+                    for low in range(0, len(at), 20_000):
+                        some = at[low : low + 20_000]
+                        d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[16 * i : 16 * (i + WINDOW)]) for i in some.tolist()]), np.int64).reshape(-1, 2)
+                        owner = part.column(0).take(pa.array(np.full(len(some), k, np.int32)))
+                        yield pa.RecordBatch.from_arrays([owner, pa.array(some.astype(np.int32)), pa.array(places[some, 0]), pa.array(places[some + WINDOW - 1, 1]), pa.array(d[:, 0]), pa.array(d[:, 1])], names=schema.names)
+        give_back()
+
+    ids = met.withColumnRenamed(key, "_key")
+    return docs.join(ids, docs[key] == F.col("_key")).select(docs[key], docs[text].cast("string"), "ats").mapInArrow(run, schema)
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, start, stop, kept_in) of every window that is not the first of its kind."""
+    a = saved(_anchors(docs, key, text), "anchors")
+    twice = small_side(saved(a.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "anchor-repeats"))
+    met = saved(a.join(twice, "anchor").groupBy(key).agg(F.collect_set("at").alias("ats")), "anchors-met")
+    w = saved(_windows(docs, key, text, met), "windows")
+    first = w.groupBy("d1", "d2").agg(F.min(F.struct(F.col(key).alias("kept_in"), F.col("at").alias("kept_at"))).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2", "f.*")
+    first = small_side(saved(first, "window-repeats"))
+    later = (F.col(key) > F.col("kept_in")) | ((F.col(key) == F.col("kept_in")) & (F.col("at") > F.col("kept_at")))
+    return w.join(first, ["d1", "d2"]).where(later).select(key, "start", "stop", "kept_in")
+
+
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The spans to remove: key, start, stop, and kept_in, the least id that keeps some of it. They do not touch."""
+    found = repeats(docs, key, text).unionByName(substrings.runs(docs, key, text).select(key, "start", "stop", "kept_in"))
+    in_order = Window.partitionBy(key).orderBy("start", "stop")
+    before = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(before >= F.col("start"), 0).otherwise(1)
+    grouped = found.withColumn("_new", new).withColumn("_span", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "_span")
+    return grouped.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_in").alias("kept_in")).drop("_span")
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    return spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, media, minhash, mixing, quality, substrings, token_files, toxicity, urls
+from . import bpe, lines, media, minhash, mixing, passages, quality, substrings, token_files, toxicity, urls
 
 QUERIES = {
     "op4_line_dedup": lines.query,
     "op2_substring_dedup": substrings.query,
+    "op2_passages": passages.query,
     "op3_toxicity": toxicity.query,
     "op5_url_filters": urls.query,
     "op7_minhash": minhash.query,
