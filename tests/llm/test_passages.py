@@ -17,10 +17,10 @@ def slow(rows, size=passages.WINDOW):
     seen, out = set(), {}
     for k, t in sorted(rows):
         words, out[k] = t.lower().split(), set()
-        for i in range(len(words) - size + 1):
+        for i in range(max(len(words) - size + 1, min(len(words), 1))):
             w = tuple(words[i : i + size])
             if w in seen:
-                out[k] |= set(range(i, i + size))
+                out[k] |= set(range(i, i + len(w)))
             seen.add(w)
     return out
 
@@ -65,6 +65,14 @@ def test_passage_cut_in_mid_sentence_and_short_sentences(spark):
     assert not by[1] and not by[3]
 
 
+def test_copies_of_short_texts(spark):
+    """Exact copies go whole, though no sentence has the words to be hashed; a short text inside a longer one stays."""
+    rows = [(1, "Of of. Of of."), (2, "Word!! word!! WORD!!"), (3, "Of  of.\nof of."), (4, "word!! Word!! word!!"), (5, "One."), (6, "One."), (7, "One. Two.")]
+    by, _ = found(spark, rows)
+    assert {k for k, s in by.items() if s} == {3, 4, 6}
+    assert all(len(gone(t, by[k])) == len(t.split()) for k, t in rows if by[k])
+
+
 def test_nothing(spark):
     assert passages.spans(spark.createDataFrame([], SCHEMA)).count() == 0
     assert passages.spans(spark.createDataFrame([(None, "x " * 60), (1, None)], SCHEMA)).count() == 0

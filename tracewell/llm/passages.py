@@ -2,13 +2,15 @@
 
 Words are runs of characters between white space, in lower case. Every window of WINDOW words is compared with every other,
 across and inside texts: the one in the least id, first in its text, is kept, and every other is a repeat. The
-words of all repeats go, and so do the runs of substrings.runs; what touches is one span. So every passage of WINDOW words or
-more goes where it recurs, be its sentences short or cut at its ends. A word that goes has an equal
-word before it, in an equal window, that stays or has one in turn.
+words of all repeats go, and so do the runs of substrings.runs; what touches is one span. A text of fewer than WINDOW words
+is one window. So every passage of WINDOW words or more goes where it recurs, be its sentences short or cut at its ends, and
+so does every exact copy of a text, of any length: no text goes unhashed. A word that goes has an equal word before
+it, in an equal window, that stays or has one in turn.
 
 Not every window is sent. By winnowing each window names its least GRAM-gram as its anchor; equal windows name equal
-anchors. Anchors are grouped first (one where the least gram changes, not one a word), and only windows with an anchor met in
-two places are hashed, to 128 bits, and grouped. That is a lossless filter.
+anchors. The windows that name one anchor follow one another; together they are its context. Anchors met once are left. Of
+equal contexts all but the first go, as each of their windows is in the first. Windows are hashed, to 128 bits, only in the
+first of each context, and only where an anchor has several contexts. These are lossless filters.
 
 Defined results: those of substrings, but that a repeated id must repeat its text. Offsets are characters of the original text.
 """
@@ -25,43 +27,53 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import substrings
-from .common import SLICE, give_back, saved, small_side
+from .common import BROADCAST_ROWS, SLICE, give_back, saved, small_side
 
 WINDOW, GRAM = 51, 25
 KNOWN_WORDS = 100_000
 _WORD = re.compile(r"\S+")
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class Words:
-    """Places and digests of the words of a text; it remembers the digests of some."""
+class Words(dict):
+    """Digests of words, remembered."""
 
-    def __init__(self):
-        self.known: dict[str, bytes] = {}
+    def __missing__(self, w: str) -> bytes:
+        d = self[w] = xxhash.xxh3_128_digest(w.lower().encode("utf-8", "surrogatepass"))
+        return d
 
-    def of(self, text: str) -> tuple[np.ndarray, bytes]:
-        """(start, stop) of each word, and 16 bytes for each."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        known, digests, places = self.known, [], []
-        for m in _WORD.finditer(text):
-            w = m[0]
-            d = known.get(w)
-            if d is None:
-                d = known[w] = xxhash.xxh3_128_digest(w.lower().encode("utf-8", "surrogatepass"))
-            digests.append(d)
-            places.append(m.span())
-        return np.array(places, np.int32).reshape(-1, 2), b"".join(digests)
+    def of(self, text: str | None) -> bytes:
+        """16 bytes for each word of a text."""
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        return b"".join([self[w] for w in (text or "").split()])
+
+
+def places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stop of each word."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[np.minimum(codes, 0x3001)]
+    edge = np.diff(inside)
+    return np.flatnonzero(edge == 1).astype(np.int32), np.flatnonzero(edge == -1).astype(np.int32)
 
 
 def anchors(digests: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each window, the number of the word where its least gram starts; and the hash of each gram."""
-    h = np.frombuffer(digests, np.uint64)[::2]
-    n = len(h) - GRAM + 1
-    g = np.zeros(n, np.uint64)
-    for j in range(GRAM):
-        g = g * _FACTOR + h[j : j + n]
-    g ^= g >> np.uint64(32)
+    """For each window, the number of the word where its least gram starts; and the hash of each gram. The only window of a
+    short text names the text itself."""
+    if len(digests) < 16 * WINDOW:
+        return np.zeros(1, np.int64), np.frombuffer(xxhash.xxh3_64_digest(digests), np.int64)
+    part, f, size = np.frombuffer(digests, np.uint64)[::2], _FACTOR, 1
+    g, done = None, 0
+    n = len(part) - GRAM + 1
+    while size <= GRAM:
+        if GRAM & size:
+            g = part[:n] if g is None else g * f + part[done : done + n]
+            done += size
+        part = part[: len(part) - size] * f + part[size:]
+        f, size = f * f, 2 * size
+    g = g ^ (g >> np.uint64(32))
     g *= _MIX
     g ^= g >> np.uint64(32)
     wide = WINDOW - GRAM + 1
@@ -70,68 +82,90 @@ def anchors(digests: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, at, anchor) of each anchor that some window names."""
-    schema = StructType([docs.schema[key], *StructType.fromDDL("at int, anchor long").fields])
+    """(key, at, anchor, context, start, stop) of each anchor: its place in words, its hash, that of its context, and the
+    context's place in characters."""
+    schema = StructType([docs.schema[key], *StructType.fromDDL("at int, anchor long, context long, start int, stop int").fields])
 
     def run(batches):
         words = Words()
-        for b in batches:
-            for first in range(0, b.num_rows, SLICE):
-                part = b.slice(first, SLICE)
-                owner, at, anchor = [], [], []
-                for k, t in enumerate(part.column(1).to_pylist()):
-                    places, digests = words.of(t or "")
-                    if len(places) < WINDOW:
-                        continue
-                    named, grams = anchors(digests)
-                    named = np.unique(named)
-                    owner.append(np.full(len(named), k, np.int32))
-                    at.append(named.astype(np.int32))
-                    anchor.append(grams[named])
-                if owner:
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(at)), pa.array(np.concatenate(anchor))], names=schema.names)
+        with np.errstate(over="ignore"):
+            for b in batches:
+                for first in range(0, b.num_rows, SLICE):
+                    part = b.slice(first, SLICE)
+                    owner, cols = [], []
+                    for k, t in enumerate(part.column(1).to_pylist()):
+                        digests = words.of(t)
+                        if not digests:
+                            continue
+                        named, grams = anchors(digests)
+                        low = np.flatnonzero(np.diff(named, prepend=-1))
+                        high = np.append(low[1:], len(named)) - 1 + min(WINDOW, len(digests) // 16)
+                        view = memoryview(digests)
+                        context = np.frombuffer(b"".join([xxhash.xxh3_64_digest(view[16 * i : 16 * j]) for i, j in zip(low.tolist(), high.tolist(), strict=True)]), np.int64)
+                        start, stop = places(t)
+                        at = named[low]
+                        owner.append(np.full(len(at), k, np.int32))
+                        cols.append((at.astype(np.int32), grams[at], context, start[low], stop[high - 1]))
+                    if owner:
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(owner))), *[pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)]], names=schema.names)
         give_back()
 
     return docs.where(F.col(key).isNotNull()).select(key, F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def _windows(docs: DataFrame, key: str, text: str, met: DataFrame) -> DataFrame:
-    """(key, at, start, stop, d1, d2) of each window that names an anchor of met (key, ats)."""
+def _windows(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(key, at, start, stop, d1, d2) of each window that names an anchor of wanted (_key, ats)."""
     schema = StructType([docs.schema[key], *StructType.fromDDL("at int, start int, stop int, d1 long, d2 long").fields])
     few = 32
 
     def run(batches):
         words = Words()
-        for b in batches:
-            for first in range(0, b.num_rows, few):
-                part = b.slice(first, few)
-                for k, (t, ats) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    places, digests = words.of(t or "")
-                    if len(places) < WINDOW:
-                        continue
-                    at = np.flatnonzero(np.isin(anchors(digests)[0], np.array(ats, np.int64)))
-                    view = memoryview(digests)
-                    for low in range(0, len(at), 20_000):
-                        some = at[low : low + 20_000]
-                        d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[16 * i : 16 * (i + WINDOW)]) for i in some.tolist()]), np.int64).reshape(-1, 2)
-                        owner = part.column(0).take(pa.array(np.full(len(some), k, np.int32)))
-                        yield pa.RecordBatch.from_arrays([owner, pa.array(some.astype(np.int32)), pa.array(places[some, 0]), pa.array(places[some + WINDOW - 1, 1]), pa.array(d[:, 0]), pa.array(d[:, 1])], names=schema.names)
+        with np.errstate(over="ignore"):
+            for b in batches:
+                for first in range(0, b.num_rows, few):
+                    part = b.slice(first, few)
+                    for k, (t, ats) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                        digests = words.of(t)
+                        if not digests:
+                            continue
+                        at = np.flatnonzero(np.isin(anchors(digests)[0], np.array(ats, np.int64)))
+                        view, size = memoryview(digests), min(WINDOW, len(digests) // 16)
+                        start, stop = places(t)
+                        for low in range(0, len(at), 20_000):
+                            some = at[low : low + 20_000]
+                            d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[16 * i : 16 * (i + size)]) for i in some.tolist()]), np.int64).reshape(-1, 2)
+                            owner = part.column(0).take(pa.array(np.full(len(some), k, np.int32)))
+                            yield pa.RecordBatch.from_arrays([owner, pa.array(some.astype(np.int32)), pa.array(start[some]), pa.array(stop[some + size - 1]), pa.array(d[:, 0]), pa.array(d[:, 1])], names=schema.names)
         give_back()
 
-    ids = met.withColumnRenamed(key, "_key")
-    return docs.join(ids, docs[key] == F.col("_key")).select(docs[key], docs[text].cast("string"), "ats").mapInArrow(run, schema)
+    return docs.join(wanted, docs[key] == F.col("_key")).select(docs[key], docs[text].cast("string"), "ats").mapInArrow(run, schema)
+
+
+def _later(rows: DataFrame, kinds: DataFrame, key: str, on: list[str]) -> DataFrame:
+    """(key, start, stop, kept_in) of the rows that are not the first of their kind."""
+    first = small_side(kinds.where("n > 1").select(*on, "kept_in", "kept_at"))
+    after = (F.col(key) > F.col("kept_in")) | ((F.col(key) == F.col("kept_in")) & (F.col("at") > F.col("kept_at")))
+    return rows.join(first, on).where(after).select(key, "start", "stop", "kept_in")
+
+
+def _kinds(rows: DataFrame, key: str, on: list[str]) -> DataFrame:
+    """Per kind of row its first place and how many it has."""
+    first = F.min(F.struct(F.col(key).alias("kept_in"), F.col("at").alias("kept_at"))).alias("f")
+    return rows.groupBy(*on).agg(first, F.count(F.lit(1)).alias("n")).select(*on, "f.*", "n")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, stop, kept_in) of every window that is not the first of its kind."""
+    """(key, start, stop, kept_in) of what is made of windows that are not the first of their kind."""
     a = saved(_anchors(docs, key, text), "anchors")
-    twice = small_side(saved(a.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "anchor-repeats"))
-    met = saved(a.join(twice, "anchor").groupBy(key).agg(F.collect_set("at").alias("ats")), "anchors-met")
-    w = saved(_windows(docs, key, text, met), "windows")
-    first = w.groupBy("d1", "d2").agg(F.min(F.struct(F.col(key).alias("kept_in"), F.col("at").alias("kept_at"))).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2", "f.*")
-    first = small_side(saved(first, "window-repeats"))
-    later = (F.col(key) > F.col("kept_in")) | ((F.col(key) == F.col("kept_in")) & (F.col("at") > F.col("kept_at")))
-    return w.join(first, ["d1", "d2"]).where(later).select(key, "start", "stop", "kept_in")
+    twice = saved(a.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "anchor-repeats")
+    met = saved(a.join(small_side(twice), "anchor"), "anchors-met")
+    contexts = saved(_kinds(met, key, ["anchor", "context"]), "contexts")
+    several = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    spots = saved(contexts.join(several, "anchor").select(F.col("kept_in").alias("_key"), F.col("kept_at").alias("at")), "context-places")
+    wanted = spots.groupBy("_key").agg(F.collect_set("at").alias("ats"))
+    w = saved(_windows(docs, key, text, F.broadcast(wanted) if spots.count() <= BROADCAST_ROWS else wanted), "windows")
+    kinds = saved(_kinds(w, key, ["d1", "d2"]).where("n > 1"), "window-repeats")
+    return _later(met, contexts, key, ["anchor", "context"]).unionByName(_later(w, kinds, key, ["d1", "d2"]))
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
