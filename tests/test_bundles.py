@@ -85,3 +85,59 @@ def test_stream_finds_what_the_batch_finds(spark, tmp_path):
     q = receipts.findings(stream).writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.line, r.code) for r in spark.table("found").collect()) == [(2, "BUNDLE_EVENT_SEQUENCE"), (3, "BUNDLE_EVENT_DUPLICATE_ID")]
+
+
+def entry(path, role, **more):
+    return {"path": path, "role": role, "mediaType": "a/b", "byteLength": 1, "sha256": "0" * 64, "disclosure": "private"} | more
+
+
+def manifest(records, files):
+    head = {"manifestType": "masa-bundle", "manifestVersion": "0.2.0", "masaVersion": "0.2.0", "id": "urn:m", "createdAt": "2026-01-01T00:00:00Z", "createdBy": "urn:a", "disclosure": "private", "profiles": ["core"]}
+    return head | {"records": [{"id": i, "path": p} for i, p in records], "files": files, "externalReferences": [], "omissions": [], "extensions": {}}
+
+
+SOUND = manifest([("urn:1", "r/1.json")], [entry("events.ndjson", "event-log"), entry("r/1.json", "record", recordRef="urn:1")])
+FAULTY = manifest(
+    [("urn:1", "r/1.json"), ("urn:1", "r/2.json"), ("urn:3", "r/3.json"), ("urn:4", "gone.json")],
+    [entry("r/1.json", "record"), entry("r/2.json", "other"), entry("r/3.json", "record", recordRef="urn:9"), entry("r/5.json", "record"), entry("events.ndjson", "event-log"), entry("more.ndjson", "event-log")],
+)
+FAULTS = {
+    ("DUPLICATE_ID", "r/2.json"), ("BUNDLE_RECORD_REFERENCE_DUPLICATE", "r/2.json"), ("BUNDLE_RECORD_REFERENCE_INVALID", "r/2.json"), ("BUNDLE_RECORD_REFERENCE_INVALID", "gone.json"),
+    ("BUNDLE_RECORD_REFERENCE_MISMATCH", "r/3.json"), ("UNRESOLVED_REF", "r/3.json"), ("BUNDLE_RECORD_UNREFERENCED", "r/5.json"), ("BUNDLE_EVENT_PATH_INVALID", "more.ndjson"), ("BUNDLE_EVENT_LOG_DUPLICATE", "more.ndjson"),
+    ("BUNDLE_RECORD_ID_MISMATCH", "r/1.json"), ("BUNDLE_UNMANIFESTED_ENTRY", "empty"),
+}
+
+
+def test_manifests_are_read_and_their_references_checked(spark, tmp_path):
+    for name, m in (("sound", SOUND), ("faulty", FAULTY)):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("manifest.json", json.dumps(m))
+            z.mkdir("r")
+            if name == "faulty":
+                z.mkdir("empty")
+    with zipfile.ZipFile(tmp_path / "broken.zip", "w") as z:
+        z.writestr("manifest.json", '{"id": 1, "id": 2}')
+    (tmp_path / "none.zip").write_bytes(b"no zip")
+    m = bundles.zip_manifests(spark, str(tmp_path)).cache()
+    by = {os.path.basename(r.bundle): r.bundle for r in m.collect()}
+    documents = spark.createDataFrame([(by["faulty.zip"], "r/1.json", "urn:8"), (by["sound.zip"], "r/1.json", "urn:1")], "bundle string, path string, id string")
+    got = {(os.path.basename(r.bundle), r.code, r.path) for r in bundles.reference_findings(m, documents).collect()}
+    assert got == {("faulty.zip", *x) for x in FAULTS} | {("broken.zip", "BUNDLE_MANIFEST_INVALID_JSON", "manifest.json")}
+    assert {(r.path, r.byte_length) for r in bundles.declared_files(m).where(f"bundle = '{by['sound.zip']}'").collect()} == {("events.ndjson", 1), ("r/1.json", 1)}
+
+
+def test_manifest_forms():
+    code = lambda m, **k: bundles.read_manifest("b", m if isinstance(m, bytes) else json.dumps(m).encode(), **k)[0][-1]
+    assert code(SOUND) is None and code(b"\xff") == "BUNDLE_MANIFEST_INVALID_JSON" and code(SOUND, limits=bundles.Limits(manifest=10)) == "BUNDLE_MANIFEST_LIMIT"
+    for bad in ([], {}, SOUND | {"records": []}, SOUND | {"extra": 1}, SOUND | {"files": [entry("a", "none")]}, SOUND | {"files": [entry("a", "other", sha256="0")]}, SOUND | {"files": [entry("a", "other", byteLength=-1)]}):
+        assert code(bad) == "SCHEMA_INVALID"
+
+
+def test_folder_limits_and_manifest(spark, tmp_path):
+    folder(tmp_path / "b", {"manifest.json": json.dumps(SOUND), "r/1.json": "12345", "s/manifest.json": "{"})
+    at = str(tmp_path / "b")
+    codes = lambda **k: {(r.path, r.code) for r in bundles.folder_entries(spark, at, "b", bundles.Limits(**k)).collect() if r.code}
+    assert codes() == set() and codes(entries=4) == {("", "BUNDLE_ENTRY_COUNT_LIMIT")} and codes(entries=5) == set() and codes(total=9) == {("", "BUNDLE_TOTAL_LIMIT")}
+    assert codes(entry=4) == {("r/1.json", "BUNDLE_ENTRY_LIMIT"), ("manifest.json", "BUNDLE_ENTRY_LIMIT")}
+    assert {r.path for r in bundles.folder_manifest(spark, at, "b").where("kind = 'file'").collect()} == {"events.ndjson", "r/1.json"}
+    assert bundles.folder_manifest(spark, at, "b", bundles.Limits(manifest=9)).first().code == "BUNDLE_MANIFEST_LIMIT"

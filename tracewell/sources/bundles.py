@@ -8,8 +8,10 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import re
 import tempfile
 import zipfile
+import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -104,12 +106,144 @@ def list_zip(bundle: str, content: bytes, limits: Limits = Limits()):
         yield bundle, i.filename, i.file_size, None if code else digest.hexdigest(), code
 
 
-def folder_entries(spark: SparkSession, path: str, bundle: str) -> DataFrame:
-    """The same for one folder; hashing stays in the JVM."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def _inner(path: str):
     inner = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
     base = "/" + path.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
-    return files.select(F.lit(bundle).alias("bundle"), F.substring(inner, len(base) + 1, 1 << 20).alias("path"), "length", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("code"))
+    return F.substring(inner, len(base) + 1, 1 << 20)
+
+
+def folder_entries(spark: SparkSession, path: str, bundle: str, limits: Limits = Limits()) -> DataFrame:
+    """The same for one folder; hashing stays in the JVM. Sizes are checked before any content is read: too large a file
+    has a code and is not read, and a folder over the count or total has only a row that says so. Folders count
+    as entries where files lie in them. Spark's reader shows neither empty folders nor links, which it may follow."""
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    sizes = source.load(path).select(_inner(path).alias("path"), "length")
+    above = sizes.select(F.explode(checks.path_prefixes(F.col("path"))).alias("path")).distinct().count()
+    n, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    over = "BUNDLE_ENTRY_COUNT_LIMIT" if n + above > limits.entries else "BUNDLE_TOTAL_LIMIT" if total > limits.total else None
+    if over:
+        return spark.createDataFrame([(bundle, "", None, None, over)], ENTRIES)
+    problem = F.udf(path_problem, "string")
+    large = sizes.where(F.col("length") > limits.entry).select(F.lit(bundle).alias("bundle"), "path", "length", F.lit(None).cast("string").alias("sha256"), F.lit("BUNDLE_ENTRY_LIMIT").alias("code"))
+    read = source.load(path).where(F.col("length") <= limits.entry).select(F.lit(bundle).alias("bundle"), _inner(path).alias("path"), "length", F.sha2("content", 256).alias("sha256"))
+    read = read.withColumn("code", problem("path")).withColumn("sha256", F.when(F.col("code").isNull(), F.col("sha256")))
+    return read.unionByName(large)
+
+
+MANIFEST = "bundle string, kind string, n int, id string, path string, role string, byte_length long, sha256 string, code string"
+_ROLES = {"record", "event-log", "policy", "original", "derivative", "preview", "report", "other"}
+_REQUIRED = ("manifestType", "manifestVersion", "masaVersion", "id", "createdAt", "createdBy", "disclosure", "profiles", "records", "files", "externalReferences", "omissions", "extensions")
+
+
+def _whole(v) -> bool:
+    return isinstance(v, int | float) and not isinstance(v, bool) and v >= 0 and v == int(v)
+
+
+def _file_fits(f) -> bool:
+    return (
+        isinstance(f, dict) and {"path", "role", "mediaType", "byteLength", "sha256", "disclosure"} <= f.keys() <= {"path", "role", "mediaType", "byteLength", "sha256", "disclosure", "recordRef"}
+        and all(isinstance(f[k], str) for k in f.keys() - {"byteLength"}) and f["path"] != "" and f["role"] in _ROLES and _whole(f["byteLength"]) and f["byteLength"] < 2**63
+        and re.fullmatch("[A-Fa-f0-9]{64}", f["sha256"]) is not None and re.fullmatch("[A-Za-z0-9!#$&^_.+-]+/[A-Za-z0-9!#$&^_.+-]+", f["mediaType"]) is not None
+    )
+
+
+def read_manifest(bundle: str, content: bytes | None, limits: Limits = Limits()) -> list[tuple]:
+    """Rows (bundle, kind, n, id, path, role, byte_length, sha256, code) of a manifest: its records and its files in order;
+    a file's id is its recordRef. A manifest that does not read has one row of kind manifest, with a code. Of the manifest's
+    form its members, its records and its files are checked; the rest is for operators.schema, with the schema given."""
+    bad = lambda code: [(bundle, "manifest", 0, None, "manifest.json", None, None, None, code)]
+    if content is None or len(content) > limits.manifest:
+        return bad("BUNDLE_MANIFEST_LIMIT")
+    try:
+        m = parse(content.decode("utf-8"))
+    except (UnicodeDecodeError, JsonError):
+        return bad("BUNDLE_MANIFEST_INVALID_JSON")
+    if not isinstance(m, dict) or m.keys() != set(_REQUIRED) or m["manifestType"] != "masa-bundle" or not all(isinstance(m[k], list) for k in ("profiles", "records", "files", "externalReferences", "omissions")) or "core" not in m["profiles"]:
+        return bad("SCHEMA_INVALID")
+    if not m["records"] or not all(isinstance(r, dict) and r.keys() == {"id", "path"} and all(isinstance(v, str) and v for v in r.values()) for r in m["records"]) or not all(map(_file_fits, m["files"])):
+        return bad("SCHEMA_INVALID")
+    records = [(bundle, "record", n, r["id"], r["path"], None, None, None, None) for n, r in enumerate(m["records"])]
+    return records + [(bundle, "file", n, f.get("recordRef"), f["path"], f["role"], int(f["byteLength"]), f["sha256"], None) for n, f in enumerate(m["files"])]
+
+
+def _manifest_in_zip(content: bytes, limits: Limits) -> bytes | None:
+    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open("manifest.json") as f:
+        return f.read(limits.manifest + 1)
+
+
+def zip_manifests(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
+    """The rows of the manifests (see read_manifest) in the ZIP files below a folder, and one of kind folder for each directory
+    entry. A ZIP whose list or manifest entry is unsound has no rows: zip_entries says why."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for bundle, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    infos = zipfile.ZipFile(io.BytesIO(content)).infolist()
+                    if len(infos) > limits.entries:
+                        continue
+                    out += [(bundle, "folder", n, None, i.filename.rstrip("/"), None, None, None, None) for n, i in enumerate(infos) if i.is_dir()]
+                    if any(i.filename == "manifest.json" and not entry_problem(i, limits) for i in infos):
+                        out += read_manifest(bundle, _manifest_in_zip(content, limits), limits)
+                except (zipfile.BadZipFile, OSError, EOFError, zlib.error, NotImplementedError):
+                    continue
+            cols = list(zip(*out, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=names)
+
+    names = [x.split()[0] for x in MANIFEST.split(", ")]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path)
+    return files.select("path", "content").mapInArrow(run, MANIFEST)
+
+
+def folder_manifest(spark: SparkSession, path: str, bundle: str, limits: Limits = Limits()) -> DataFrame:
+    """The rows of the manifest of one folder; none if it has no manifest."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "manifest.json").load(path).where(_inner(path) == "manifest.json")
+    size = files.select("length").first()
+    if size is None:
+        return spark.createDataFrame([], MANIFEST)
+    content = files.select("content").first()[0] if size[0] <= limits.manifest else None
+    return spark.createDataFrame(read_manifest(bundle, None if content is None else bytes(content), limits), MANIFEST)
+
+
+def declared_files(manifest: DataFrame) -> DataFrame:
+    """The files of manifests, as manifest_findings takes them."""
+    return manifest.where("kind = 'file'").select("bundle", "path", "byte_length", "sha256")
+
+
+def reference_findings(manifest: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(bundle, code, path): the records of manifests against their files, and, with documents (bundle, path, id), against the
+    ids that the record files hold; their event logs; and directory entries that no file lies in."""
+    bad = manifest.where("code IS NOT NULL").select("bundle", "code", "path")
+    records, files = manifest.where("kind = 'record'"), manifest.where("kind = 'file'")
+    out = [bad]
+
+    def add(rows: DataFrame, code: str) -> None:
+        out.append(rows.select("bundle", F.lit(code).alias("code"), "path"))
+
+    for column, code in (("id", "DUPLICATE_ID"), ("path", "BUNDLE_DUPLICATE_PATH")):
+        twice = checks.repeated(records, ["bundle", column], [F.col("n")])
+        add(twice, code)
+        add(twice, "BUNDLE_RECORD_REFERENCE_DUPLICATE")
+    last = files.groupBy("bundle", "path").agg(F.max_by("role", "n").alias("file_role"), F.max_by("id", "n").alias("ref"))
+    met = records.join(last, ["bundle", "path"], "left")
+    add(met.where(~F.col("file_role").eqNullSafe("record")), "BUNDLE_RECORD_REFERENCE_INVALID")
+    add(met.where("ref <> id"), "BUNDLE_RECORD_REFERENCE_MISMATCH")
+    add(files.where("role = 'record'").join(records.select("bundle", "path"), ["bundle", "path"], "left_anti"), "BUNDLE_RECORD_UNREFERENCED")
+    add(checks.unresolved(files, records, ["bundle", "id"]), "UNRESOLVED_REF")
+    logs = files.where("role = 'event-log'")
+    add(logs.where("path <> 'events.ndjson'"), "BUNDLE_EVENT_PATH_INVALID")
+    add(checks.repeated(logs, ["bundle"], [F.col("n")]), "BUNDLE_EVENT_LOG_DUPLICATE")
+    if documents is not None:
+        held = documents.select("bundle", "path", F.col("id").alias("held"))
+        add(records.join(held, ["bundle", "path"]).where(~F.col("held").eqNullSafe(F.col("id"))), "BUNDLE_RECORD_ID_MISMATCH")
+    above = files.select("bundle", F.explode(checks.path_prefixes(F.col("path"))).alias("path")).distinct()
+    read = files.select("bundle").unionByName(records.select("bundle")).distinct()
+    add(manifest.where("kind = 'folder'").join(read, "bundle", "left_semi").join(above, ["bundle", "path"], "left_anti"), "BUNDLE_UNMANIFESTED_ENTRY")
+    found = out[0]
+    for part in out[1:]:
+        found = found.unionByName(part)
+    return found.distinct()
 
 
 def manifest_findings(declared: DataFrame, entries: DataFrame) -> DataFrame:
