@@ -1,11 +1,13 @@
 import json
 import os
+import zipfile
 
 import pytest
 
 from tracewell import cli
 from tracewell.sources.roots import PathEscape, confined
 
+from .test_bundles import FAULTY
 from .test_records import BASE
 
 
@@ -33,3 +35,37 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main(["nothing"]) == 2
     assert cli.main(["lineage", str(tmp_path), "urn:p", *words, "--depth", "65"]) == 3
     assert json.loads(capsys.readouterr().err.splitlines()[-1]) == {"code": "LINEAGE_LIMIT_INVALID"}
+
+
+def test_lineage_goes_both_ways_by_default(spark, tmp_path, capsys):
+    words = ["--relations", "ns", "--operations", "op"]
+    (tmp_path / "r.json").write_text(json.dumps(BASE))
+    assert cli.main(["lineage", str(tmp_path), "urn:q", *words]) == 0
+    assert '"id":"urn:p","depth":1,"direction":"ancestors"' in capsys.readouterr().out
+
+
+def test_inspect_checks_manifests(spark, tmp_path, capsys):
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("manifest.json", json.dumps(FAULTY))
+    assert cli.main(["inspect", str(tmp_path)]) == 1
+    out = capsys.readouterr().out
+    assert '"code":"BUNDLE_EVENT_LOG_DUPLICATE"' in out and '"code":"BUNDLE_COVERAGE_MISMATCH"' in out
+
+
+def test_schemas_audits_and_requests(spark, tmp_path, capsys):
+    words = ["--relations", "ns", "--operations", "op"]
+    for name, text in (("r/r.json", BASE), ("s/s.json", {"$id": "urn:s", "type": "object", "required": ["operationType"]})):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text(json.dumps(text))
+    records, schemas = str(tmp_path / "r"), ["--schemas", str(tmp_path / "s"), "--schema-id", "urn:s"]
+    assert cli.main(["validate", records, *words, *schemas]) == 1 and '"code":"SCHEMA_INVALID"' in capsys.readouterr().out
+    assert cli.main(["validate", records, *words, *schemas[:2]]) == 2
+    assert cli.main(["audit-public", records, *words]) == 1 and '"code":"PUBLIC_DISCLOSURE"' in capsys.readouterr().out
+    assert cli.main(["conformance", "reader", records, *words]) == 0 and '"status":"partial"' in capsys.readouterr().out
+    assert cli.main(["conformance", "publisher", records, *words]) == 1
+    assert cli.main(["schema-list", schemas[1]]) == 0 and cli.main(["schema-show", schemas[1], "urn:none"]) == 2
+    capsys.readouterr()
+    assert cli.main(["process-template", "granulate", "--operations", "op", "--inputs", "urn:p"]) == 0
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q/q.json").write_text(capsys.readouterr().out)
+    assert cli.main(["process-check", str(tmp_path / "q"), *schemas]) == 0

@@ -4,32 +4,54 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
+PROCESSES = ("granulate", "extract", "reduce", "fragment", "timestretch", "pitchshift")
+CLASSES = ("reader", "writer", "transformer", "agent-host", "publisher")
+
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tracewell")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("validate", "summary", "project"):
+    for name in ("validate", "summary", "project", "audit-public", "conformance"):
         s = sub.add_parser(name)
+        if name == "conformance":
+            s.add_argument("kind", choices=CLASSES)
         s.add_argument("path")
         s.add_argument("--relations", required=True, help="namespace of the registered relations")
         s.add_argument("--operations", required=True, help="namespace of the operation types")
         s.add_argument("--include", nargs="*", default=[], help="ids of entities that were reviewed for publication")
+        s.add_argument("--schemas", help="folder of JSON Schema documents, for validate and conformance")
+        s.add_argument("--schema-id", help="$id of the schema of records")
     s = sub.add_parser("lineage")
     s.add_argument("path")
     s.add_argument("root")
     s.add_argument("--relations", required=True)
     s.add_argument("--operations", required=True)
-    s.add_argument("--direction", choices=["ancestors", "descendants"], default="descendants")
+    s.add_argument("--direction", choices=["ancestors", "descendants", "both"], default="both")
     s.add_argument("--depth", type=int, default=16)
     sub.add_parser("inspect").add_argument("path")
     for name in ("pack", "unpack"):
         s = sub.add_parser(name)
         s.add_argument("source")
         s.add_argument("target")
+    s = sub.add_parser("process-template")
+    s.add_argument("operation", choices=PROCESSES)
+    s.add_argument("--operations", required=True)
+    s.add_argument("--inputs", nargs="+", required=True)
+    s = sub.add_parser("process-check")
+    s.add_argument("path")
+    s.add_argument("--schemas", required=True)
+    s.add_argument("--schema-id", required=True, help="$id of the schema of requests")
+    sub.add_parser("schema-list").add_argument("schemas")
+    s = sub.add_parser("schema-show")
+    s.add_argument("schemas")
+    s.add_argument("id")
     try:
         a = p.parse_args(argv)
+        if getattr(a, "schemas", None) and "schema_id" in a and not a.schema_id:
+            p.error("--schemas needs --schema-id")
     except SystemExit as e:
         return 2 if e.code else 0
     try:
@@ -39,9 +61,34 @@ def main(argv: list[str] | None = None) -> int:
         return 3
 
 
+def schemas_of(folder: str) -> dict[str, dict]:
+    """The schema documents below a folder, by $id."""
+    from tracewell.sources.strict_json import parse
+
+    out = {}
+    for top, _, files in os.walk(folder):
+        for name in sorted(f for f in files if f.endswith(".json")):
+            with open(os.path.join(top, name), encoding="utf-8") as f:
+                document = parse(f.read())
+            if isinstance(document, dict) and isinstance(document.get("$id"), str):
+                out[document["$id"]] = document
+    return out
+
+
 def run(a) -> int:
     from tracewell.sources import bundles
 
+    if a.command in ("schema-list", "schema-show"):
+        known = schemas_of(a.schemas)
+        for line in sorted(known) if a.command == "schema-list" else [known[a.id]] if a.id in known else []:
+            print(json.dumps(line))
+        return 2 if a.command == "schema-show" and a.id not in known else 0
+    if a.command == "process-template":
+        from tracewell.operators.records import Vocabulary
+        from tracewell.plans import processing
+
+        print(json.dumps(processing.request(Vocabulary("", a.operations), a.operation, a.inputs, {})))
+        return 0
     if a.command == "pack":
         bundles.pack(a.source, a.target)
         return 0
@@ -51,30 +98,47 @@ def run(a) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from tracewell.operators import lineage, public, records as rec
-    from tracewell.plans import validation
+    from tracewell.operators import checks, lineage, public, records as rec, schema
+    from tracewell.plans import processing, validation
     from tracewell.sources import strict_json
 
     spark = SparkSession.builder.getOrCreate()
     if a.command == "inspect":
-        found = bundles.zip_entries(spark, a.path).where("code IS NOT NULL").drop("bundle")
+        manifest = bundles.zip_manifests(spark, a.path)
+        found = bundles.manifest_findings(bundles.declared_files(manifest), bundles.zip_entries(spark, a.path))
+        found = found.unionByName(bundles.reference_findings(manifest)).drop("bundle")
+    elif a.command == "process-check":
+        found = schema.validate(strict_json.read_records(spark, a.path), schemas_of(a.schemas), a.schema_id)
     else:
         words = rec.Vocabulary(a.relations, a.operations)
         rows = strict_json.read_records(spark, a.path)
+        structure = {"schemas": schemas_of(a.schemas), "schema_id": a.schema_id} if getattr(a, "schemas", None) else {}
         if a.command == "validate":
-            found = validation.diagnose(rows, words)
+            found = validation.diagnose(rows, words, **structure)
         elif a.command == "summary":
             found = rec.summary(rec.facts(rows, words))
         elif a.command == "project":
             found = public.projections(rows, words, set(a.include))
+        elif a.command == "audit-public":
+            found = public.audits(rows, words)
+        elif a.command == "conformance":
+            diagnostics = validation.diagnose(rows, words, **structure)
+            profiles = F.from_json(F.get_json_object("raw", "$.profiles"), "array<string>")
+            found = processing.artifact_status(checks.verdicts(rows, diagnostics, "record_key"), rows.select("record_key", profiles.alias("profiles")), a.kind)
         else:
-            nodes, truncated = lineage.trace(rec.lineage_edges(rec.facts(rows, words), words), a.root, a.direction, a.depth)
-            found = nodes.withColumn("truncated", F.lit(truncated))
+            edges = rec.lineage_edges(rec.facts(rows, words), words)
+            found, cut = None, False
+            for direction in ("ancestors", "descendants") if a.direction == "both" else (a.direction,):
+                nodes, truncated = lineage.trace(edges, a.root, direction, a.depth)
+                cut = cut or truncated
+                nodes = nodes.withColumn("direction", F.lit(direction))
+                found = nodes if found is None else found.unionByName(nodes)
+            found = found.withColumn("truncated", F.lit(cut))
     n = 0
     for line in found.toJSON().toLocalIterator():
         print(line)
-        n += 1
-    return int(n > 0 and a.command in ("validate", "inspect"))
+        n += a.command != "conformance" or json.loads(line)["status"] == "failed"
+    return int(n > 0 and a.command in ("validate", "inspect", "audit-public", "process-check", "conformance"))
 
 
 if __name__ == "__main__":
