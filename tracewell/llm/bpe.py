@@ -31,6 +31,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 UNITS = regex.compile(PATTERN)
+#: Pairs whose ranks are looked up at once.
+PAIRS = 1 << 17
 #: The first code point whose class depends on the version of Unicode.
 NEWER = "\u0558"
 
@@ -75,14 +77,14 @@ class Vocabulary:
         of_byte = byte_alphabet()
         to_byte = {c: b for b, c in of_byte.items()}
         self.size = max([*ids.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
-        self.byte_ids = np.array([ids[of_byte[b]] for b in range(256)], np.int64)
+        self.byte_ids = np.array([ids[of_byte[b]] for b in range(256)], np.int32)
         merges = [m.split(" ", 1) if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        left, right = np.array([ids[a] for a, _ in merges], np.int64), np.array([ids[b] for _, b in merges], np.int64)
-        key = left * self.size + right
+        left, right = (np.array([ids[m[k]] for m in merges], np.int32) for k in (0, 1))
+        key = left.astype(np.int64) * self.size + right
         self.order = np.argsort(key, kind="stable")
         self.keys = key[self.order]
         self.left, self.right = left, right
-        self.merged = np.array([ids[a + b] for a, b in merges], np.int64)
+        self.merged = np.array([ids[a + b] for a, b in merges], np.int32)
         self.bytes_of = [b""] * self.size
         for token, i in ids.items():
             self.bytes_of[i] = bytes(to_byte[c] for c in token)
@@ -94,9 +96,12 @@ class Vocabulary:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair; -1 where it has none."""
-        key = a * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.order[at], -1)
+        out = np.empty(len(a), np.int32)
+        for k in range(0, len(a), PAIRS):
+            key = a[k : k + PAIRS].astype(np.int64) * self.size + b[k : k + PAIRS]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[k : k + PAIRS] = np.where(self.keys[at] == key, self.order[at], -1)
+        return out
 
     def split(self, text: str) -> list:
         """Units of a text: strings, and the ids of special tokens as ints."""
@@ -113,12 +118,16 @@ class Vocabulary:
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         places: dict = {}
-        plans = [[places.setdefault(u, len(places)) for u in self.split(c)] for c in chunks]
+        plans: list = []  # the place of a chunk's unit, or those of its units
+        for c in chunks:
+            p = [places.setdefault(u, len(places)) for u in self.split(c)]
+            plans.append(p[0] if len(p) == 1 else p)
         ids, cuts = self.merge_units(list(places))
+        del places
         raw = ids.astype("<u4").tobytes()
         cut = (cuts * 4).tolist()
         part = [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-        return [part[p[0]] if len(p) == 1 else b"".join([part[i] for i in p]) for p in plans]
+        return [part[p] if isinstance(p, int) else b"".join([part[i] for i in p]) for p in plans]
 
     def encode_whole(self, text: str) -> bytes:
         return self.encode_chunks([text])[0]
@@ -126,16 +135,17 @@ class Vocabulary:
     def merge_units(self, units: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units in a row, and where each unit begins (and the last ends)."""
         if not units:
-            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
         raw = [b"\0" if isinstance(u, int) else u.encode("utf-8", "surrogatepass") for u in units]
         size = np.array([len(r) for r in raw], np.int64)
         start = np.concatenate([[0], np.cumsum(size)])
         sym = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        del raw
         for k, u in enumerate(units):
             if isinstance(u, int):
                 sym[start[k]] = u
         n = len(sym)
-        follow, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # -1: none
+        follow, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)  # -1: none
         follow[start[1:] - 1] = -1
         before[start[:-1]] = -1
         live = np.ones(n, bool)
@@ -149,8 +159,8 @@ class Vocabulary:
             at, rank = at[rank >= 0], rank[rank >= 0]
             if not len(at):
                 return
-            order = np.argsort(rank, kind="stable")
-            at, rank = at[order], rank[order]
+            both = np.sort(rank.astype(np.int64) << 32 | at)  # by rank, then by place
+            at, rank = both.astype(np.int32), both >> 32
             bound = np.flatnonzero(rank[1:] != rank[:-1]) + 1
             for r, group in zip(rank[np.concatenate([[0], bound])].tolist(), np.split(at, bound), strict=True):
                 if r in index:
@@ -159,7 +169,7 @@ class Vocabulary:
                     index[r] = [group]
                     heapq.heappush(active, r)
 
-        add(np.arange(n))
+        add(np.arange(n, dtype=np.int32))
         while active:
             r = heapq.heappop(active)
             lists = index.pop(r)
@@ -236,7 +246,7 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path
 
 
 #: Rows whose texts are encoded together at most.
-ROWS = 2048
+ROWS = 1024
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-#: Chunks that are remembered between groups of texts.
-REMEMBERED = 120_000
+#: Bytes that the chunks remembered between groups of texts may take, by the estimate COST for each and two per character.
+REMEMBERED = 24_000_000
+COST = 250
 #: Characters of text whose new chunks are encoded together.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 
 
 class Places(dict):
@@ -39,6 +40,7 @@ class Chunks:
         self.rest, self.first = Places(), Places()
         self.ids: list[bytes | None] = []  # by place in rest: ids of the chunk after a space; None: no cut before it
         self.heads: list[bytes] = []  # by place in first: ids of a text's first chunk
+        self.held = 0  # bytes, by estimate
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
@@ -51,7 +53,7 @@ class Chunks:
             at = end
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.rest) + len(self.first) > self.remembered:
+        if self.held > self.remembered:
             self.forget()
         rest, first = self.rest, self.first
         placed = []
@@ -59,11 +61,13 @@ class Chunks:
             head, *parts = t.split(" ")
             placed.append((first[head], list(map(rest.__getitem__, parts))))
         new, heads = rest.new, first.new
+        self.held += sum(COST + 2 * len(x) for of in (new, heads) for x in of)
         cuts = [bool(x) and not x[0].isspace() for x in new]
         made = iter(self.encode_new([" " + x for x, ok in zip(new, cuts, strict=True) if ok] + heads))
         self.ids += [next(made) if ok else None for ok in cuts]
         self.heads += made
         rest.new, first.new = [], []
+        del new, heads, cuts, made
         ids = self.ids
         for t, (head, places) in zip(texts, placed, strict=True):
             try:

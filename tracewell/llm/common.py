@@ -24,6 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 2_000_000
 #: Documents that a Python function holds as objects at once.
 SLICE = 512
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,6 +51,15 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def mapped(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema), in batches of at most BATCH_BYTES: the default of 10,000 rows is too wide for texts. The
+    session keeps that setting, as it is read when the plan runs."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) != str(BATCH_BYTES):
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def text_map(df: DataFrame, keys: list[str], text: str, extra: str, fn: Callable[[], Callable[[list], Iterable[tuple]]], rows: int = SLICE) -> DataFrame:
     """Applies a function to lists of at most so many texts in every partition: fn() makes it once per task, it returns
     or yields one tuple of the extra columns (a DDL string) per text. keys are carried. Null texts arrive as None. What it
@@ -59,6 +70,7 @@ def text_map(df: DataFrame, keys: list[str], text: str, extra: str, fn: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = fn()
+        batch = part = some = made = cols = filled = None
         try:
             for batch in batches:
                 for at in range(0, batch.num_rows, rows):
@@ -72,9 +84,10 @@ def text_map(df: DataFrame, keys: list[str], text: str, extra: str, fn: Callable
         finally:
             getattr(apply, "close", lambda: None)()
             del apply
+            batch = part = some = made = cols = filled = None  # what the last batch holds
             give_back()
 
-    return df.select(*[df[k] for k in keys], df[text].cast("string")).mapInArrow(run, schema)
+    return mapped(df.select(*[df[k] for k in keys], df[text].cast("string")), run, schema)
 
 
 def give_back() -> None:

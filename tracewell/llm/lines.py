@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import SEPARATORS, SLICE, give_back, saved, small_side
+from .common import SEPARATORS, SLICE, give_back, mapped, saved, small_side
 
 NEAR_WORDS = 8
 LINES = "line_no int, start int, stop int, n int, d1 long, d2 long, first boolean, keys array<long>"
@@ -115,7 +115,7 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [()] * len(types)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int32())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=schema.names)
 
-    return docs.where(F.col(key).isNotNull()).select(key, F.col(text).cast("string")).mapInArrow(run, schema)
+    return mapped(docs.where(F.col(key).isNotNull()).select(key, F.col(text).cast("string")), run, schema)
 
 
 def _rank(doc: str, line: str) -> Column:
@@ -138,7 +138,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()), strict=True)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def _emit(batches):
@@ -235,7 +235,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str
                 yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
         give_back()
 
-    return joined.mapInArrow(run, docs.schema)
+    return mapped(joined, run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, SLICE, text_map
+from .common import SEPARATORS, SLICE, mapped, text_map
 
 SYMBOLS = "#*$%&|<>"
 #: Rule names; the place in the list is the bit.
@@ -130,7 +130,7 @@ def keep(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
                 part = b.slice(k, SLICE)
                 yield part.filter(pa.array([not failed_bits(measure(t)) & full for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def failed_bits(m: tuple) -> int:

@@ -40,8 +40,8 @@ TABLE = 1 << 22
 RANGES = 4
 #: Characters of text whose new chunks are encoded together.
 GROUP_CHARS = 4_000_000
-#: Chunks that a Python worker remembers between groups, and between tasks.
-REMEMBERED = 1_000_000
+#: Bytes of chunks that a task remembers between groups.
+REMEMBERED = 100_000_000
 _MASK = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 #: Control byte -> bytes of its four tokens.
 _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
@@ -176,6 +176,7 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
                 wide = 4 if ids.max() > 0xFFFF else 2
                 yield wide, ids.astype("<u2").tobytes() if wide == 2 else ids.tobytes()
 
+        apply.close = encoder.forget
         return apply
 
     keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
