@@ -1,10 +1,9 @@
 import random
-from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from tracewell.llm import lines, minhash, substrings
+from tracewell.llm import lines, minhash
 
 from .conftest import ROWS
 
@@ -144,37 +143,3 @@ def test_near_duplicates_of_nothing(spark, none, docs):
     assert minhash.near_duplicates(none).count() == 0 and minhash.dedup(none).count() == 0
     rows = minhash.near_duplicates(docs).collect()
     assert len(rows) == len(ROWS) and {r.kept for r in rows if r.doc_id in (None, 3, 4, 5, 6)} == {True}
-
-
-def slow_runs(rows):
-    held = defaultdict(list)
-    for r in sorted((r for r in rows if r.doc_id is not None), key=lambda r: r.doc_id):
-        for n, (start, stop, w) in enumerate(u for u in substrings.cut(r.text) if len(u[2]) >= substrings.UNIT_WORDS):
-            held[tuple(w)].append((r.doc_id, n, start, stop, len(w)))
-    again = defaultdict(list)
-    for places in held.values():
-        for p in sorted(places)[1:]:
-            again[p[0]].append((*p[1:], min(places)[0]))
-    out = set()
-    for k, units in again.items():
-        run = []
-        for u in [*sorted(units), None]:
-            if run and (u is None or u[0] != run[-1][0] + 1):
-                if sum(x[3] for x in run) >= substrings.RUN_WORDS:
-                    out.add((k, run[0][1], run[-1][2], len(run), sum(x[3] for x in run), min(x[4] for x in run)))
-                run = []
-            run.append(u)
-    return out
-
-
-def test_runs_equal_brute_force(spark, none, docs):
-    d = corpus(spark, 4)
-    got = {(r.doc_id, r.start, r.stop, r.n_units, r.n_words, r.kept_in) for r in substrings.runs(d).collect()}
-    assert got == slow_runs(d.collect()) and got
-    spans = defaultdict(list)
-    for k, a, b, *_ in got:
-        spans[k].append((a, b))
-    texts = {r.doc_id: r.text for r in substrings.dedup(d).collect()}
-    assert texts == {r.doc_id: substrings.removed(r.text, spans[r.doc_id]) if spans.get(r.doc_id) else r.text for r in d.collect()}
-    assert substrings.runs(none).count() == 0 and substrings.dedup(none).count() == 0
-    assert substrings.dedup(docs).columns == docs.columns

@@ -14,14 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = " \t\n\x0b\x0c\r"
 #: A word, as a regular expression that Java, RE2 and Python read alike.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a few numbers that may be broadcast; beyond, the join is shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Bytes, as estimated by bytes_of, that may be broadcast; beyond, the join is shuffled.
+BROADCAST_BYTES = 64 << 20
+#: A key is hot beyond so many rows, and beyond this fraction of all rows: there are at most HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 10_000, 100_000
 #: Documents that a Python function holds as objects at once.
 SLICE = 512
 #: Bytes of an Arrow batch on its way to Python.
@@ -46,9 +48,30 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows (of a few numbers each); else as it is, to be shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, a written table of numbers and arrays of numbers, to be broadcast if it takes at most so many bytes; else as it
+    is, to be shuffled."""
+    return F.broadcast(df) if bytes_of(df) <= most else df
+
+
+def bytes_of(df: DataFrame) -> int:
+    """What a written table of numbers, and arrays of them, takes when it is broadcast, estimated from counts."""
+    lists = [f.name for f in df.schema.fields if isinstance(f.dataType, ArrayType)]
+    rows, *items = df.agg(F.count(F.lit(1)), *[F.sum(F.greatest(F.size(c), F.lit(0))) for c in lists]).first()
+    return rows * (100 + 12 * len(df.columns)) + 16 * sum(x or 0 for x in items)
+
+
+def looked_up(left: DataFrame, right: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has a row per key and in the column count (dropped) the key's rows in left. A small right is
+    broadcast. Else keys with many rows in left are broadcast apart, at most 1 / HOT_SHARE of them, so that no task gets
+    all rows of one; the others are shuffled."""
+    if bytes_of(right) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right.drop(count)), on, how)
+    least = max(HOT_ROWS, (right.agg(F.sum(count)).first()[0] or 0) // HOT_SHARE)
+    hot = F.broadcast(right.where(F.col(count) > least).drop(count))
+    rest = right.where(F.col(count) <= least).drop(count)
+    others = left.join(hot.select(*on), on, "left_anti")
+    return left.join(hot, on).unionByName(others.join(rest, on, how))
 
 
 def mapped(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
