@@ -38,6 +38,58 @@ def test_held_out_accuracy_and_unseen_spellings(spark):
     assert scores == again
 
 
+def test_training_rows_of_repeated_ids(spark, monkeypatch):
+    """Clean ids on 50 rows each crowd out no class; an id gives one text."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    rows = [(k, f"text {k}") for k in range(200)] + [(k, f"text {k} again") for k in range(0, 200, 2) for _ in range(49)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(1, 1), (3, None)], "doc_id long, toxic int")
+    texts, y, pos, neg = toxicity.training_rows(docs, labels)
+    assert len(texts) == 40 and y.sum() == 20 and len({t.split()[1] for t in texts}) == 40
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5]
+    assert (pos, neg) == (sum(k % 2 for k in ids), sum(1 - k % 2 for k in ids))
+    assert toxicity.training_rows(docs.repartition(5), labels)[0] == texts
+
+
+def test_training_equals_plain_loops(monkeypatch):
+    """The sparse steps against dense softmax regression on embeddings, one text and one bucket at a time."""
+    monkeypatch.setattr(toxicity, "BUCKETS", 50)
+    r = random.Random(4)
+    bags = [(np.array(sorted(r.sample(range(50), 5)), np.int32), np.full(5, 0.2, np.float32)) for _ in range(90)]
+    y = np.array([int(b[0][0] < 5) for b in bags])
+    got = toxicity.train(bags, y, 10, 20, 2, 3.0)
+    g = np.random.default_rng(toxicity.SEED)
+    par = [g.standard_normal((50, toxicity.DIMENSIONS)) * 0.01, g.standard_normal((toxicity.DIMENSIONS, 2)) * 0.1, np.zeros(2)]
+    state = [[np.zeros_like(p), np.zeros_like(p)] for p in par]
+    step = 0
+    for _ in range(2):
+        order = g.permutation(90)
+        for k in range(0, 90, toxicity.BATCH):
+            some, grads = order[k : k + toxicity.BATCH], [np.zeros_like(p) for p in par]
+            for t in some:
+                mean = sum(3.0 * s * par[0][b] for b, s in zip(*bags[t], strict=True))
+                z = mean @ par[1] + par[2]
+                d = np.exp(z) / np.exp(z).sum() - np.eye(2)[y[t]]
+                d *= 0.5 / (y == y[t]).mean() / len(some)
+                for b, s in zip(*bags[t], strict=True):
+                    grads[0][b] += 3.0 * s * (par[1] @ d)
+                grads[1] += np.outer(mean, d)
+                grads[2] += d
+            step += 1
+            for p, d, (m, v) in zip(par, grads, state, strict=True):
+                m += 0.1 * (d - m)
+                v += 0.01 * (d * d - v)
+                p -= toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + toxicity.SOFT)
+    assert np.allclose(got.vectors, par[0] * 3.0, atol=1e-3) and np.allclose(got.softmax, par[1], atol=1e-3)
+    assert np.allclose(got.bias, par[2] + [0, np.log(11 / 21)], atol=1e-3)
+    text = "one two two three " * 30
+    lean = got.vectors @ (got.softmax[:, 1] - got.softmax[:, 0])
+    words = [toxicity.grams(w) for w in text.split()]
+    best = max(np.mean([lean[b] for w in words[k : k + toxicity.WINDOW] for b in w]) for k in range(0, len(words) - toxicity.WINDOW // 2, toxicity.WINDOW // 2))
+    want = 1 / (1 + np.exp(-(best + got.bias[1] - got.bias[0])))
+    assert abs(toxicity.Scorer(got)([text])[0][0] - want) < 1e-6
+
+
 def test_toxicity_of_odd_rows_without_labels(spark, docs, none):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(*toxicity.training_rows(docs, empty))

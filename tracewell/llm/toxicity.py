@@ -6,11 +6,14 @@ together by minibatch Adam. A misspelling that training never saw shares most n-
 A few words decide, also in a long text: training runs first on whole texts, then on the window of WINDOW words of each
 text that the first model scores highest; a text's score is that of its highest window, and every window is scored.
 
-Training reads at most SAMPLE labelled rows of each class, the first by a hash of their ids, whole texts, and never a
-held-out row (crc32 of the id mod 5 is 0). The class ratio of all labelled training rows then corrects the bias.
+Training reads at most SAMPLE labelled texts of each class, the first by a hash of their ids and texts, and never a held-out
+row (crc32 of the id mod 5 is 0). The sample takes one text of each id. A text longer than MOST_CHARS characters gives those from
+a seeded place on to the sample, so that what the driver holds is bounded (it is scored whole). The class ratio of all labelled
+training ids then corrects the bias.
 
 Defined results: a null or wordless text scores as the bias alone; repeated rows score alike; with no labelled rows of
-one class, every score is that of an untrained model, the smoothed class ratio. Rows whose label is null are not used.
+one class, every score is that of an untrained model, the smoothed class ratio. Rows whose label is null are not used; an
+id with both labels counts as toxic. Of an id with several texts, the first by hash is sampled.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ from .common import text_map
 
 #: Labelled rows of each class that training reads at most.
 SAMPLE = 3000
-BUCKETS, DIMENSIONS = 1 << 16, 4
+#: Characters of one text that the sample holds at most.
+MOST_CHARS = 200_000
+BUCKETS, DIMENSIONS = 1 << 16, 8
 SHORTEST, LONGEST = 3, 5
-EPOCHS, BATCH, RATE = 3, 64, 0.03
-WINDOW, WINDOW_EPOCHS, ROUNDS = 32, 6, 2
+EPOCHS, BATCH, RATE = 4, 64, 0.03
+WINDOW, WINDOW_EPOCHS, ROUNDS = 32, 10, 2
 #: A text's mean is small beside its rare words; the factor lets small vectors move it.
 SCALE = 20.0
 #: Keeps Adam from moving n-grams of few texts as far as those of many.
@@ -88,31 +93,36 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, positiv
     if start is not None:
         vectors, softmax = (start.vectors / scale).astype(np.float32), start.softmax.copy()
     if 0 < labels.sum() < len(labels):
-        state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
         weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
+        size = np.array([len(i) for i, _ in bags])
+        begin = np.cumsum(size) - size
+        buckets, ids = np.unique(np.concatenate([i for i, _ in bags]), return_inverse=True)  # others have no gradient
+        every = np.concatenate([s for _, s in bags]) * np.float32(scale)
+        used = vectors[buckets]
+        state = [[np.zeros_like(p), np.zeros_like(p)] for p in (used, softmax, bias)]
         step = 0
         for _ in range(epochs):
             order = r.permutation(len(labels))
             for k in range(0, len(order), BATCH):
                 some = order[k : k + BATCH]
-                ids = np.concatenate([bags[i][0] for i in some])
-                share = np.concatenate([bags[i][1] for i in some]) * np.float32(scale)
-                owner = np.repeat(np.arange(len(some)), [len(bags[i][0]) for i in some])
-                rows = vectors[ids] * share[:, None]
+                n = size[some]
+                at = np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                i, share, owner = ids[at], every[at], np.repeat(np.arange(len(some)), n)
+                rows = used[i] * share[:, None]
                 mean = np.stack([np.bincount(owner, rows[:, j], len(some)) for j in range(DIMENSIONS)], 1)
                 z = mean @ softmax + bias
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(len(some)), labels[some]] -= 1
                 p *= (weight[some] / len(some))[:, None]
-                back = p @ softmax.T
-                grown = back[owner] * share[:, None]
-                g = np.stack([np.bincount(ids, grown[:, j], BUCKETS) for j in range(DIMENSIONS)], 1)
+                grown = (p @ softmax.T)[owner] * share[:, None]
+                g = np.stack([np.bincount(i, grown[:, j], len(buckets)) for j in range(DIMENSIONS)], 1)
                 step += 1
-                for par, grad, (m, v) in zip((vectors, softmax, bias), (g, mean.T @ p, p.sum(0)), state, strict=True):
+                for par, grad, (m, v) in zip((used, softmax, bias), (g, mean.T @ p, p.sum(0)), state, strict=True):
                     m += 0.1 * (grad - m)
                     v += 0.01 * (grad * grad - v)
                     par -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + SOFT)).astype(np.float32)
+        vectors[buckets] = used
     vectors = vectors * np.float32(scale)
     bias = bias.astype(np.float64)
     bias[1] += np.log((positives + 1) / (negatives + 1))
@@ -178,13 +188,19 @@ def fit(texts: list, labels: np.ndarray, positives: int, negatives: int) -> Mode
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray, int, int]:
-    """The bounded sample of both classes, and the sizes of both classes among all labelled training rows."""
-    known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    """The bounded sample of both classes, and the sizes of both classes among all labelled training ids."""
+    trained = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT != 0
+    known = labels.where(F.col("toxic").isin(0, 1) & trained).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    some = [known.where(F.col("toxic") == c).dropDuplicates(["doc_id"]).orderBy(*order).limit(SAMPLE) for c in (0, 1)]
+    texts = docs.where(trained).select("doc_id", F.col("text").cast("string").alias("text"))
+    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - MOST_CHARS + 1, F.lit(1)).cast("long"))
+    cut = F.when(F.length("text") > MOST_CHARS, F.substr("text", (place + 1).cast("int"), F.lit(MOST_CHARS))).otherwise(F.col("text"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    there = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    some = [there.where(F.col("toxic") == c).orderBy(*order).limit(SAMPLE) for c in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * SAMPLE ids
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").orderBy("toxic", *order, "text").limit(2 * SAMPLE).collect()
+    sample = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by(cut, F.xxhash64("text")).alias("text"))
+    rows = sample.orderBy("toxic", *order).collect()
     return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64), sizes.get(1, 0), sizes.get(0, 0)
 
 
