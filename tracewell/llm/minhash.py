@@ -9,12 +9,14 @@ and all pairs under that distance meet under a key. At the similarity 0.8 a pair
 1. Equal sets form classes; the least id stands for a class.
 2. Documents that meet under a key and whose 4-bit components do not rule the pair out are joined into clusters. Within
    a key only a spanning forest is kept, never all pairs; keys with more than FEW documents join all of them.
-3. Each cluster's full sets are compared (in blocks of documents where it is large), which confirms every link.
+3. Each cluster's full sets are compared, which confirms every link. A large cluster is cut into blocks, and each block is
+   compared with itself and with some PIVOTS documents. Those that are then linked into the cluster's largest part need no
+   comparison among themselves; only the rest is compared with every block.
 4. Confirmed links give the components.
 
 Defined results: a null text, or one without words, has the empty set and links with nothing. A text with fewer words
-than a shingle is one shingle. A null id links with nothing; rows that repeat an id and a text are alike. An empty table
-gives no rows.
+than a shingle is one shingle. A null id links with nothing. Rows that share an id are one node: it is linked with all that one
+of its texts is linked with, and so its rows are kept or not together. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_side, text_map
+from .common import column_name, looked_up, saved, small_side, text_map
 
 CHUNKS, CHUNK, ERRORS = 9, 5, 1
 K = CHUNKS * CHUNK
@@ -36,8 +38,11 @@ PERCENT = 80
 EQUAL = 24
 #: Documents under a key up to which their pairs are looked at one by one.
 FEW = 200
-#: Documents of a block of a cluster whose sets are compared at once with those of another block.
-BLOCK = 512
+#: Documents, and bytes of their sets, of a block of a cluster.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Documents of a large cluster, on average, with which every block of it is compared first.
+PIVOTS = 16
+#: Words whose hashes a task remembers.
 REMEMBERED = 150_000
 _R = np.random.default_rng(20)
 _A = _R.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,7 +194,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     """Edges (a, b) with a < b whose components hold every pair that may be linked. reps: id, n, sketch, keys."""
     rows = reps.select(F.explode("keys").alias("key"), "id")
     met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("least")).where("docs > 1")
-    met = saved(rows.join(met, "key"), "near-met")
+    met = saved(looked_up(rows, saved(met.withColumn("n", F.col("docs")), "near-keys"), ["key"], "n"), "near-met")
     few = met.where(F.col("docs") <= FEW).join(reps.select("id", "n", *[F.col("sketch")[k].alias(f"s{k}") for k in range(3)]), "id")
     few = few.select("key", "id", "n", "s0", "s1", "s2").repartition("key").sortWithinPartitions("key", "id")
     edges = few.mapInArrow(_forests, "a long, b long")
@@ -222,7 +227,7 @@ def _confirm(batches):
 
     def flush():
         ids = np.array([x for x, _ in held], np.int64)
-        order = np.argsort(ids)
+        order = np.argsort(ids, kind="stable")
         ids = ids[order]
         sets = [np.frombuffer(held[k][1], np.uint64) for k in order.tolist()]
         size = np.array([len(s) for s in sets], np.int64)
@@ -260,49 +265,80 @@ def _confirm(batches):
         yield out
 
 
-def sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """key and shingles: the sorted distinct 64-bit hashes of a text's shingles, as bytes."""
+def sets(docs: DataFrame, keys: list[str], text: str, size: int) -> DataFrame:
+    """keys and shingles: the sorted distinct 64-bit hashes of a text's shingles, as bytes."""
 
     def make():
         shingle = Shingler(size)
         return lambda texts: ((shingle(t).tobytes(),) for t in texts)
 
-    return text_map(docs, [key], text, "shingles binary", make)
-
-
-def confirmed(docs: DataFrame, clusters: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Links (a, b) between documents of a cluster (id, label) whose full sets are at least PERCENT alike."""
-    sized = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
-    placed = clusters.join(sized, "label").withColumn("blocks", F.ceil(F.col("docs") / BLOCK).cast("int"))
-    placed = saved(placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "near-placed")
-    wanted = docs.where(F.col(key).isNotNull()).join(small_side(placed.select(F.col("id").alias(key), "label", "blocks", "block")), key)
-    full = sets(wanted, key, text, size)
-    full = full.join(small_side(placed.select(F.col("id").alias(key), "label", "blocks", "block")), key)
-    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col(key).alias("id"), "shingles")
-    return dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "id").mapInArrow(_confirm, "a long, b long")
+    return text_map(docs, keys, text, "shingles binary", make)
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """Links (a, b) inside each group (label, i, j) of documents (id, shingles)."""
+    rows = rows.select("label", "i", "j", "id", "shingles")
+    return rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "id").mapInArrow(_confirm, "a long, b long")
+
+
+def confirmed(docs: DataFrame, clusters: DataFrame, text: str, size: int) -> DataFrame:
+    """Links (a, b) between documents (id) of a cluster (id, label) whose full sets are at least PERCENT alike; enough of
+    them to give the components of all."""
+    wanted = docs.where(F.col("id").isNotNull()).join(small_side(clusters), "id")
+    full = saved(sets(wanted, ["id", "label"], text, size).dropDuplicates(["id", "shingles"]), "near-sets")
+    sized = full.groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("shingles")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    sized = saved(sized.select("label", "docs", blocks.alias("blocks"), F.col("docs").alias("n")), "near-cluster-sizes")
+    placed = looked_up(full, sized, ["label"], "n").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = placed.select("label", F.lit(0).alias("i"), F.col("block").alias("j"), "id", "shingles")
+    if sized.where("blocks > 1").isEmpty():
+        return compared(own)
+    pivots = placed.where((F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", F.lit("pivot")), F.ceil(F.col("docs") / PIVOTS)) == 0))
+    pivots = pivots.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("j <> block").withColumn("i", F.lit(0))
+    links = saved(compared(own.unionByName(pivots.select(*own.columns))), "near-links")
+    parts = components(links, "near-parts").select("id", F.col("label").alias("part"))
+    large = placed.where("blocks > 1").select("label", "id", "docs").join(parts, "id", "left").select("label", "id", "docs", F.coalesce("part", "id").alias("part"))
+    core = large.groupBy("label", "part").agg(F.count(F.lit(1)).alias("c"), F.max("docs").alias("docs")).groupBy("label").agg(F.max(F.struct("c", "part")).alias("core"), F.max("docs").alias("docs"))
+    core = saved(core.select("label", F.col("core.part").alias("core"), (F.col("docs") - F.col("core.c")).alias("left"), "docs").where("left > 0"), "near-cores")
+    if core.isEmpty():
+        return links
+    marked = looked_up(large.drop("docs"), core, ["label"], "docs")
+    marked = saved(marked.select("id", "label", "left", (F.col("part") == F.col("core")).alias("inside")).distinct(), "near-left")
+    dealt = placed.join(small_side(marked), ["id", "label"]).withColumn("outer", F.ceil(F.col("left") * F.col("blocks") / F.col("docs")).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("blocks")).otherwise(F.col("outer"))).cast("int"))
+    # the blocks of what is left come first; each meets every other block, while those inside meet only these
+    dealt = dealt.withColumn("at", F.when(F.col("inside"), F.col("outer") + F.col("block")).otherwise(F.col("block")))
+    others = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") + F.col("blocks") - 1))
+    dealt = dealt.withColumn("other", F.explode(others)).withColumn("i", F.least("at", "other")).withColumn("j", F.greatest("at", "other"))
+    return links.unionByName(compared(dealt))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
     """key, n_shingles, component_id and kept of every row."""
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     marked = saved(signatures(plain, "id", "text", size).withColumnRenamed("n_shingles", "n"), "near-signatures")
-    least = marked.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    classed = marked.select("id", "n", "d1", "d2").join(least, ["d1", "d2", "n"], "left")
-    classed = saved(classed.select("id", "n", F.coalesce("rep", "id").alias("rep")), "near-classes")
-    alone = classed.where("n > 0 AND id = rep").select("id").distinct()
-    reps = marked.select("id", "n", "sketch", "keys").join(alone, "id", "left_semi").where("n > 0").dropDuplicates(["id"])
-    clusters = components(candidates(reps), "near-clusters")
-    links = confirmed(plain, clusters, "id", "text", size)
-    found = components(links, "near-components").select(F.col("id").alias("rep"), "label")
-    out = classed.join(found, "rep", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    used = marked.where("n > 0 AND id IS NOT NULL")
+    classes = used.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    classed = looked_up(used.select("id", "n", "d1", "d2"), saved(classes, "near-equal"), ["d1", "d2", "n"], "docs", "left")
+    classed = saved(classed.select("id", "n", "d1", "d2", F.coalesce("rep", "id").alias("rep")), "near-classes")
+    alone = saved(classed.where("id = rep").select("id").distinct(), "near-reps")
+    reps = used.select("id", "n", "d1", "d2", "sketch", "keys").join(small_side(alone), "id", "left_semi").dropDuplicates(["id", "d1", "d2", "n"])
+    clusters = components(candidates(reps.drop("d1", "d2")), "near-clusters")
+    links = confirmed(plain, clusters, "text", size)
+    # an id with several texts is one node
+    several = saved(classed.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("id", "a"), "near-several")
+    links = links.unionByName(classed.join(small_side(several), "id").select("a", F.col("rep").alias("b")).distinct())
+    found = saved(components(links, "near-components").where("id <> label").select(F.col("id").alias("rep"), "label"), "near-found")
+    out = classed.join(small_side(found), "rep", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
+    rest = marked.where("n = 0 OR id IS NULL").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
-    """docs with one row of each component: its least id. Rows with a null id stay."""
-    gone = near_duplicates(docs, key, text, size).where("NOT kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(small_side(saved(gone, "near-gone")), docs[key].cast("long") == F.col("_gone"), "left_anti")
+    """docs with the rows of one id of each component: its least. Rows with a null id stay."""
+    name = column_name(docs, "_gone")
+    gone = saved(near_duplicates(docs, key, text, size).where("NOT kept").select(F.col(key).alias(name)).distinct(), "near-gone")
+    return docs.join(small_side(gone), docs[key].cast("long") == F.col(name), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
