@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, small_side
+from .common import WORD, column_name, saved, small_side
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -82,10 +82,12 @@ def takes(sizes: DataFrame) -> DataFrame:
     the stretches [cut_from, cut_to) and [0, wrap_to) of its words."""
     s = sources(sizes)
     s = sainte_lague(s.withColumn("_all", F.lit(0)).withColumn("seats", F.round(F.lit(SHARE) * F.col("total") / BLOCK).cast("long")), ["_all"], "place", "target", "seats", "blocks")
+    s = saved(s, "mix-sources")
     d = sizes.join(s.select(F.col("source").alias("_source"), "place", "source_size", "target", "shards", "blocks"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     d = d.withColumn("shard", _hash(F.lit("shard"), F.col("doc_id")) % F.col("shards"))
     h = d.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
     h = sainte_lague(h, ["place"], "shard", "shard_size", "blocks", "quota")
+    h = saved(h, "mix-quotas")
     h = h.withColumn("take", F.least(F.col("quota") * BLOCK, MOST * F.col("shard_size")))
     h = h.withColumn("laps", F.when(F.col("shard_size") > 0, F.floor(F.col("take") / F.col("shard_size"))).otherwise(F.lit(0)))
     h = h.withColumn("run", F.col("take") - F.col("laps") * F.col("shard_size"))
@@ -114,17 +116,19 @@ def mixed(docs: DataFrame, length: str = "n_chars") -> DataFrame:
     its cut stretches; length, where it is a column, counts anew. Rows of which nothing is taken go. Rows that share id,
     source and size are taken alike."""
     t = takes(measure(docs)).where("taken > 0").dropDuplicates(["doc_id", "source", "size"])
-    t = saved(t.select(*[F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "source", "size", "laps", "cut_from", "cut_to", "wrap_to")]), "mix-takes")
-    same = docs["doc_id"].eqNullSafe(F.col("_mix_doc_id")) & docs["source"].cast("string").eqNullSafe(F.col("_mix_source")) & (words(docs["text"]) == F.col("_mix_size"))
+    mine = {c: column_name(docs, f"_mix_{c}") for c in ("doc_id", "source", "size", "laps", "cut_from", "cut_to", "wrap_to")}
+    t = saved(t.select(*[F.col(c).alias(name) for c, name in mine.items()]), "mix-takes")
+    of = {c: F.col(name) for c, name in mine.items()}
+    same = docs["doc_id"].eqNullSafe(of["doc_id"]) & docs["source"].cast("string").eqNullSafe(of["source"]) & (words(docs["text"]) == of["size"])
     joined = docs.join(small_side(t), same)
     w = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
 
     def stretch(start: Column, stop: Column) -> Column:
         part = F.concat_ws(" ", F.slice(w, (start + 1).cast("int"), (stop - start).cast("int")))
-        return F.when((start == 0) & (stop == F.col("_mix_size")), F.col("text")).when(stop > start, part)
+        return F.when((start == 0) & (stop == of["size"]), F.col("text")).when(stop > start, part)
 
-    laps = F.array_repeat(F.col("text"), F.col("_mix_laps").cast("int"))
-    text = F.concat_ws("\n", laps, stretch(F.col("_mix_cut_from"), F.col("_mix_cut_to")), stretch(F.lit(0), F.col("_mix_wrap_to")))
+    laps = F.array_repeat(F.col("text"), of["laps"].cast("int"))
+    text = F.concat_ws("\n", laps, stretch(of["cut_from"], of["cut_to"]), stretch(F.lit(0), of["wrap_to"]))
     out = joined.withColumn("text", text).select(*docs.columns)
     return out.withColumn(length, F.length("text").cast(docs.schema[length].dataType)) if length in docs.columns else out
 
