@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tracewell.llm import lines, minhash
+from tracewell.llm import common, lines, minhash
 
 from .conftest import ROWS
 
@@ -72,6 +72,36 @@ def test_line_dedup_of_documents(spark, none):
     assert lines.repeats(none).count() == 0 and lines.dedup(none).count() == 0
 
 
+def test_hot_offers_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_SHARE", 10_000)
+    d = corpus(spark, 6)
+    got = {(r.doc_id, r.line_no): (r.kept_id, r.kept_line, r.edits) for r in lines.repeats(d).collect()}
+    assert got == near_lines(d.collect()) and any(v[2] for v in got.values())
+
+
+def test_line_dedup_of_clashing_names_and_shared_ids(spark, docs):
+    a, b = ("w%d " * 9 % tuple(range(k, k + 9)) for k in (0, 20))
+    rows = [(1, a + "\nx"), (1, b), (1, b), (2, b.replace("w25", "w99") + "\n" + a), (-5, b + "\n" + b)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 AS _id", "0 AS _v", "0 AS _gone", "0 AS doc", "0 AS v", "0 AS n_chars")
+    out = lines.dedup(clash)
+    assert out.columns == clash.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(-5, b), (1, a + "\nx")]
+    assert lines.dedup(docs).columns == docs.columns
+
+
+def test_near_duplicates_of_clashing_names_and_shared_ids(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(40))
+    rows = [(3, text("a")), (3, text("b")), (3, text("b")), (4, text("a") + " end"), (5, text("b") + " end"), (6, text("c")), (2, text("d")), (2, text("c"))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 AS _gone", "0 AS id", "0 AS label", "0 AS n", "0 AS rep")
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(d).collect()}
+    assert got == {(3, 3), (4, 3), (5, 3), (6, 2), (2, 2)}
+    out = minhash.dedup(d)
+    assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == [2, 2, 3, 3, 3]
+
+
 def test_edit_distance_over_words():
     def slow(a, b):
         d = np.arange(len(b) + 1)

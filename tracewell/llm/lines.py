@@ -12,9 +12,11 @@ it; so of a set of copies the earliest stays. Only lines of at least NEAR_WORDS
    at one place are one replacement apart. Each line is offered the earliest line of each meeting.
 4. The edit distance of each offer is verified on the words; the earliest that holds is the reason to drop the line.
 
+A line's rank is one number: its text's id, 31 bits of the text's hash, and its place.
+
 Defined results: lines without a word stay and are compared with nothing; null or empty texts have no lines. Rows with a
-null id are not compared. Rows that repeat an id and a text count once each; ids that name different texts are not told
-apart by rank, so that near lines of theirs may stay. An empty table gives no rows.
+null id are not compared. Rows that repeat an id and its text keep or lose a line alike; texts that share an id are ranked by
+their hashes. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import SEPARATORS, SLICE, give_back, mapped, saved, small_side
+from .common import HOT_ROWS, SEPARATORS, SLICE, column_name, give_back, looked_up, mapped, saved, small_side
 
 NEAR_WORDS = 8
-LINES = "line_no int, start int, stop int, n int, d1 long, d2 long, first boolean, keys array<long>"
+LINES = "line_no int, start int, stop int, d1 long, d2 long, keys array<long>"
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
 
@@ -92,90 +94,101 @@ def within_one(a: list[str], b: list[str]) -> int | None:
     return 1 if a[k + (len(a) == len(b)) :] == b[k + 1 :] else None
 
 
-def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row for each line with a word."""
-    schema = StructType([docs.schema[key], *StructType.fromDDL(LINES).fields])
-    types = [pa.int32()] * 4 + [pa.int64()] * 2 + [pa.bool_(), pa.list_(pa.int64())]
+def lines(plain: DataFrame) -> DataFrame:
+    """A row for each line with a word. plain: ranked()."""
+    schema = StructType([*plain.schema.fields[:2], *StructType.fromDDL(LINES).fields])
+    types = [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.list_(pa.int64())]
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
                 owner, rows = [], []
-                for k, t in enumerate(part.column(1).to_pylist()):
-                    seen: set = set()
+                for k, t in enumerate(part.column(2).to_pylist()):
                     for number, (start, stop, line) in enumerate(split_lines(t)):
-                        words = words_of(line)
-                        if not words:
-                            continue
-                        d = digest(words)
-                        rows.append((number, start, stop, len(words), *d, d not in seen, half_keys(words)))
-                        owner.append(k)
-                        seen.add(d)
+                        if words := words_of(line):
+                            rows.append((number, start, stop, *digest(words), half_keys(words)))
+                            owner.append(k)
                 cols = list(zip(*rows, strict=True)) or [()] * len(types)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int32())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=schema.names)
+                at_ = pa.array(owner, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at_), part.column(1).take(at_), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=schema.names)
+        give_back()
+
+    return mapped(plain, run, schema)
+
+
+def version(text: Column) -> Column:
+    """31 bits of a text's hash, which tell texts of one id apart."""
+    return F.xxhash64(text.cast("string")).bitwiseAND(F.lit(2**31 - 1))
+
 
-    return mapped(docs.where(F.col(key).isNotNull()).select(key, F.col(text).cast("string")), run, schema)
+def ranked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, v and text of the rows that are compared."""
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), version(F.col(text)).alias("v"), F.col(text).cast("string").alias("text"))
 
 
-def _rank(doc: str, line: str) -> Column:
-    """Id and place in one number that min() aggregates by hash."""
-    return F.col(doc).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col(line)
+def _rank(doc: str = "doc", v: str = "v", line: str = "line_no") -> Column:
+    """A line's rank, as one number that min() aggregates by hash."""
+    low = F.shiftleft(F.col(v), 31) + F.col(line)
+    return (F.col(doc).cast("decimal(20,0)") * F.lit(2**62).cast("decimal(19,0)") + low.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, line_no and words (joined) of the wanted lines (doc, line_no)."""
-    per = wanted.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("numbers"))
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("t")).join(small_side(saved(per, "line-wanted"), 200_000), "doc")
-    schema = StructType.fromDDL("doc long, line_no int, words string")
+def _place(rank: str) -> tuple[Column, Column, Column]:
+    """doc, v and line_no of a rank."""
+    whole = F.lit(2**62).cast("decimal(19,0)")
+    low = F.pmod(F.col(rank), whole)
+    doc = ((F.col(rank) - low) / whole).cast("long")
+    return doc, F.shiftright(low.cast("long"), 31), (low.cast("long") % 2**31).cast("int")
+
+
+def _texts(plain: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, v, line_no and words (joined) of the wanted lines (doc, v, line_no)."""
+    per = saved(wanted.groupBy("doc", "v").agg(F.array_sort(F.collect_set("line_no")).alias("numbers")), "line-wanted")
+    schema = StructType.fromDDL("doc long, v long, line_no int, words string")
 
     def run(batches):
         for b in batches:
             out = []
-            for d, t, numbers in zip(*[b.column(c).to_pylist() for c in ("doc", "t", "numbers")], strict=True):
+            for d, v, t, numbers in zip(*[b.column(c).to_pylist() for c in range(4)], strict=True):
                 all_lines = split_lines(t)
-                out += [(d, k, " ".join(words_of(all_lines[k][2]))) for k in numbers if k < len(all_lines)]
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()), strict=True)], names=schema.names)
+                out += [(d, v, k, " ".join(words_of(all_lines[k][2]))) for k in numbers]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=schema.names)
 
-    return mapped(rows, run, schema)
+    return mapped(plain.join(small_side(per), ["doc", "v"]).select("doc", "v", "text", "numbers"), run, schema)
 
 
 def _emit(batches):
-    names = ["v", "place", "doc", "line_no"]
+    names = ["h", "place", "doc", "v", "line_no"]
     for b in batches:
-        made, doc, no = [], [], []
-        for d, k, w in zip(*[b.column(c).to_pylist() for c in ("doc", "line_no", "words")], strict=True):
-            made.append(variants(w.split(" ")))
-            doc.append(d)
-            no.append(k)
-        if made:
+        for at in range(0, b.num_rows, SLICE):
+            part = b.slice(at, SLICE)
+            made = [variants(w.split(" ")) for w in part.column(3).to_pylist()]
             size = [len(v) for v, _ in made]
-            cols = [np.concatenate([v for v, _ in made]), np.concatenate([p for _, p in made]), np.repeat(np.array(doc, np.int64), size), np.repeat(np.array(no, np.int32), size)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
-
-
-def near(docs: DataFrame, found: DataFrame, firsts: DataFrame, key: str, text: str) -> DataFrame:
-    """(d1, d2, doc, line_no, near_doc, near_line): distinct lines with the earliest line before them that is near."""
-    keyed = found.where(F.size("keys") > 0)
-    halves = keyed.select(F.explode("keys").alias("half"), "d1", "d2")
-    met = halves.groupBy("half").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("half")
-    some = halves.join(small_side(saved(met, "line-halves")), "half").select("d1", "d2").distinct()
-    some = saved(firsts.join(some, ["d1", "d2"], "left_semi").select("d1", "d2", "doc", "line_no"), "line-candidates")
-    known = saved(_texts(docs, some, key, text), "line-words")
-    v = saved(known.mapInArrow(_emit, "v long, place int, doc long, line_no int"), "line-variants")
-    by_place = v.groupBy("v", "place").agg(F.min(_rank("doc", "line_no")).alias("least"), F.count(F.lit(1)).alias("rows"))
-    by_place = saved(by_place, "line-places")
+            owner = pa.array(np.repeat(np.arange(len(made), dtype=np.int32), size))
+            cols = [pa.array(np.concatenate([v for v, _ in made])), pa.array(np.concatenate([p for _, p in made]))]
+            yield pa.RecordBatch.from_arrays([*cols, *[part.column(c).take(owner) for c in range(3)]], names=names)
+
+
+def near(plain: DataFrame, groups: DataFrame, halves: DataFrame) -> DataFrame:
+    """(d1, d2, near): distinct lines with the rank of the earliest line before them that is near. groups: the distinct lines and
+    their ranks (least); halves: (half, d1, d2)."""
+    met = halves.groupBy("half").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("half", "n")
+    some = saved(looked_up(halves, saved(met, "line-halves"), ["half"], "n").select("d1", "d2").distinct(), "line-near-halves")
+    doc, v, no = _place("least")
+    some = saved(groups.join(small_side(some), ["d1", "d2"], "left_semi").select("d1", "d2", doc.alias("doc"), v.alias("v"), no.alias("line_no"), "least"), "line-candidates")
+    known = saved(_texts(plain, some).dropDuplicates(["doc", "v", "line_no"]), "line-words")
+    made = saved(known.mapInArrow(_emit, "h long, place int, doc long, v long, line_no int"), "line-variants")
+    by_place = saved(made.groupBy("h", "place").agg(F.min(_rank()).alias("least"), F.count(F.lit(1)).alias("rows")), "line-places")
     own, cut = F.min(F.when(F.col("place") < 0, F.col("least"))), F.min(F.when(F.col("place") >= 0, F.col("least")))
-    by_hash = by_place.groupBy("v").agg(own.alias("own"), cut.alias("cut"), F.sum("rows").alias("all")).where((F.col("all") > 1))
-    offers = by_place.join(small_side(saved(by_hash, "line-meetings")), "v")
-    offers = offers.select("v", "place", F.when(F.col("place") < 0, F.col("cut")).otherwise(F.least("own", "least")).alias("offer")).where(F.col("offer").isNotNull())
-    pairs = v.join(small_side(saved(offers, "line-offers")), ["v", "place"]).where(F.col("offer") < _rank("doc", "line_no"))
-    pairs = pairs.select("doc", "line_no", "offer").distinct()
-    side = saved(known.select("doc", "line_no", "words", _rank("doc", "line_no").alias("rank")).dropDuplicates(["rank"]), "line-sides")
-    pairs = pairs.join(side.select("doc", "line_no", "words"), ["doc", "line_no"])
-    other = side.select(F.col("rank").alias("offer"), F.col("doc").alias("near_doc"), F.col("line_no").alias("near_line"), F.col("words").alias("other"))
-    pairs = pairs.join(other, "offer")
+    by_hash = by_place.groupBy("h").agg(own.alias("own"), cut.alias("cut"), F.sum("rows").alias("all"), F.count(F.lit(1)).alias("places")).where("all > 1").drop("all")
+    offers = looked_up(by_place, saved(by_hash, "line-meetings"), ["h"], "places")
+    offers = offers.select("h", "place", "rows", F.when(F.col("place") < 0, F.col("cut")).otherwise(F.least("own", "least")).alias("offer")).where(F.col("offer").isNotNull())
+    pairs = looked_up(made, saved(offers, "line-offers"), ["h", "place"], "rows").where(F.col("offer") < _rank())
+    pairs = pairs.select("doc", "v", "line_no", "offer").distinct().join(known, ["doc", "v", "line_no"])
+    taken = saved(pairs.groupBy("offer").agg(F.count(F.lit(1)).alias("n")), "line-offered")
+    other = saved(known.withColumn("offer", _rank()).join(taken, "offer").select("offer", F.col("words").alias("other"), "n"), "line-others")
+    held = pairs.join(other.drop("n"), "offer") if not other.where(F.col("n") > HOT_ROWS).take(1) else _spread(pairs, other)
 
     @F.pandas_udf("int")
     def edits(a, b):
@@ -183,35 +196,45 @@ def near(docs: DataFrame, found: DataFrame, firsts: DataFrame, key: str, text: s
 
         return pd.Series([within_one(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
-    holds = pairs.withColumn("edits", edits("words", "other")).where(F.col("edits").isNotNull())
-    best = holds.groupBy("doc", "line_no").agg(F.min(F.struct("near_doc", "near_line", "edits")).alias("m"))
-    return some.join(best.select("doc", "line_no", "m.near_doc", "m.near_line"), ["doc", "line_no"])
+    holds = held.where(edits("words", "other").isNotNull())
+    best = holds.groupBy("doc", "v", "line_no").agg(F.min("offer").alias("near"))
+    return some.join(best, ["doc", "v", "line_no"]).select("d1", "d2", "near")
+
+
+def _spread(pairs: DataFrame, other: DataFrame) -> DataFrame:
+    """pairs joined with other on offer, where an offer of n pairs is copied to n / HOT_ROWS shares of them."""
+    shares = F.ceil(F.col("n") / HOT_ROWS).cast("int")
+    copies = other.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("n")
+    dealt = pairs.join(small_side(saved(other.where(F.col("n") > HOT_ROWS).select("offer", shares.alias("shares")), "line-shares")), "offer", "left")
+    dealt = dealt.withColumn("share", F.pmod(F.xxhash64("doc", "v", "line_no"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
+    return dealt.join(copies, ["offer", "share"]).drop("share")
+
+
+def repeats_of(plain: DataFrame) -> DataFrame:
+    """doc, v, line_no, start, stop, and kept: the rank of the earliest line that a removed line repeats; edits."""
+    found = saved(lines(plain), "lines")
+    groups = saved(found.groupBy("d1", "d2").agg(F.min(_rank()).alias("least"), F.count(F.lit(1)).alias("rows")), "line-groups")
+    close = saved(near(plain, groups, found.select(F.explode("keys").alias("half"), "d1", "d2")), "line-near")
+    many = groups.join(small_side(close), ["d1", "d2"], "left").where("rows > 1 OR near IS NOT NULL")
+    out = looked_up(found.drop("keys"), saved(many, "line-many"), ["d1", "d2"], "rows")
+    out = out.where(F.col("near").isNotNull() | (_rank() > F.col("least")))
+    return out.select("doc", "v", "line_no", "start", "stop", F.coalesce("near", "least").alias("kept"), F.when(F.col("near").isNull(), 0).otherwise(1).alias("edits"))
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The lines to remove: key, line_no, start, stop, the earliest line that each repeats (kept_id, kept_line), and edits:
     0 if it equals that line, else 1."""
-    plain = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    found = saved(lines(plain, "doc", "text"), "lines")
-    groups = found.groupBy("d1", "d2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("rows"))
-    groups = saved(groups, "line-groups")
-    firsts = found.where("first").join(groups.withColumnRenamed("least", "doc"), ["d1", "d2", "doc"]).select("d1", "d2", "doc", "line_no").dropDuplicates(["d1", "d2"])
-    close = saved(near(plain, found.select("keys", "d1", "d2"), firsts, "doc", "text"), "line-near")
-    many = groups.where("rows > 1").select("d1", "d2", "least").join(close.select("d1", "d2", "near_doc", "near_line"), ["d1", "d2"], "full")
-    many = saved(many, "line-many")
-    out = found.drop("keys", "n").join(small_side(many), ["d1", "d2"])
-    again = F.col("near_doc").isNotNull() | (F.col("doc") > F.col("least")) | ~F.col("first")
-    out = out.where(again)
-    own = saved(firsts.join(many.where("near_doc IS NULL").select("d1", "d2"), ["d1", "d2"], "left_semi").select("d1", "d2", F.col("line_no").alias("own_line")), "line-own")
-    out = out.join(small_side(own), ["d1", "d2"], "left")
-    return out.select(F.col("doc").alias(key), "line_no", "start", "stop", F.coalesce("near_doc", "least").alias("kept_id"), F.coalesce("near_line", "own_line").alias("kept_line"), F.when(F.col("near_doc").isNull(), 0).otherwise(1).alias("edits"))
+    doc, _, no = _place("kept")
+    return repeats_of(ranked(docs, key, text)).select(F.col("doc").alias(key), "line_no", "start", "stop", doc.alias("kept_id"), no.alias("kept_line"), "edits")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """docs without its repeated lines, with its columns (length, where it is a column, counts anew). A row whose every
     line with a word was a repeat goes; rows that had no such line stay."""
-    gone = repeats(docs, key, text).groupBy(F.col(key).alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(small_side(saved(gone, "line-gone"), 200_000), docs[key].cast("long") == F.col("_key"), "left").drop("_key")
+    id_, v, cut = (column_name(docs, c) for c in ("_id", "_v", "_gone"))
+    gone = repeats_of(ranked(docs, key, text)).groupBy(F.col("doc").alias(id_), F.col("v").alias(v)).agg(F.collect_set("line_no").alias(cut))
+    same = (docs[key].cast("long") == F.col(id_)) & (version(docs[text]) == F.col(v))
+    joined = docs.join(small_side(saved(gone, "line-gone")), same, "left").drop(id_, v)
     names, at = docs.columns, docs.columns.index(text)
     size = names.index(length) if length in names else None
 
@@ -229,7 +252,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str
                             sizes[k] = len(texts[k])
                     keep.append(not d or bool(texts[k].strip(SEPARATORS)))
                 cols = list(b.columns[:-1])
-                cols[at] = pa.array(texts, pa.string())
+                cols[at] = pa.array(texts, b.schema.field(at).type)
                 if sizes is not None:
                     cols[size] = pa.array(sizes, b.column(size).type)
                 yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
