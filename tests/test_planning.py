@@ -20,9 +20,10 @@ def test_registry(spark):
 
 def test_built_in_registry_is_what_compilation_gives(spark):
     rows = []
-    for k, x in enumerate(rec.ACYCLIC):
-        back = {v: n for n, v in rec.INVERSES.items()}
-        rows.append((f"ns:{x[:-1]}", True, next((f"ns:{m[x[:-1]]}" for m in (rec.INVERSES, back) if x[:-1] in m), None), None, k))
+    other = {name: inverse for name, _, inverse in rec.ACYCLIC if inverse}
+    other |= {v: k for k, v in other.items()}
+    for k, (name, _, _) in enumerate(rec.ACYCLIC):
+        rows.append((f"ns:{name}", True, f"ns:{other[name]}" if name in other else None, None, k))
     got = {(r.predicate, r.reverse) for r in registry_checks.orientations(spark.createDataFrame(rows, registry_checks.SCHEMA + ", place int")).collect()}
     assert got == {(r.predicate, r.reverse) for r in rec.registry(spark, WORDS).collect()}
 

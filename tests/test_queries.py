@@ -43,6 +43,22 @@ def test_trace_takes_the_least_depth_and_reports_what_it_cut(spark):
             lineage.trace(e, "a", max_depth=bad)
 
 
+def test_lineage_stays_inside_its_record(spark):
+    e = spark.createDataFrame([("1", "a", "b"), ("2", "b", "c"), ("2", "c", "b"), ("1", "z", "a")], "record_key string, parent string, child string")
+    entities = spark.createDataFrame([(r, x, "works", None, f"/works/{k}", k) for r, xs in (("1", "abz"), ("2", "bc")) for k, x in enumerate(xs)], "record_key string, id string, collection string, type string, path string, place int")
+    roots = spark.createDataFrame([("1", "a"), ("2", "b"), ("2", "a")], "record_key string, id string")
+    nodes, inside, missing = lineage.report(entities, e, roots)
+    assert [(r.record_key, r.root, r.direction, r.id, r.depth, r.path, r.truncated) for r in nodes.collect()] == [
+        ("1", "a", "ancestors", "z", 1, "/works/2", False), ("1", "a", "descendants", "b", 1, "/works/1", False),
+        ("2", "b", "ancestors", "c", 1, "/works/1", False), ("2", "b", "descendants", "c", 1, "/works/1", False),
+    ]
+    assert {(r.record_key, r.parent, r.child) for r in inside.collect()} == {("1", "a", "b"), ("1", "z", "a"), ("2", "b", "c"), ("2", "c", "b")}
+    assert [tuple(r) for r in missing.collect()] == [("2", "a", "LINEAGE_ENTITY_MISSING")]
+    chain = spark.createDataFrame([("1", str(k), str(k + 1)) for k in range(5)], e.schema)
+    nodes, cut = lineage.trace_records(chain, spark.createDataFrame([("1", "0"), ("1", "3")], roots.schema), max_depth=2)
+    assert {(r.root, r.id) for r in nodes.collect()} == {("0", "1"), ("0", "2"), ("3", "4"), ("3", "5")} and [r.root for r in cut.collect()] == ["0"]
+
+
 def test_cyclic_core(spark):
     assert lineage.cyclic_core(edges(spark, "ab", "bc", "ac")).isEmpty()
     assert {tuple(r) for r in lineage.cyclic_core(edges(spark, "ab", "bc", "cb", "cd")).collect()} == {("b", "c"), ("c", "b")}

@@ -131,3 +131,23 @@ def test_schema():
     assert e({"id": "urn:x", "n": 1, "q": 2, "t": "2016-12-31T23:59:60Z", "l": ["a", 3]}) == []
     assert e({"id": "ur", "n": 1.5, "x": 1}) == [("additionalProperties", "/x"), ("minLength", "/id"), ("pattern", "/id"), ("required", "/q"), ("type", "/n")]
     assert e({"n": -1, "q": 3, "t": "x", "l": [1, 1]}) == [("contains", "/l"), ("format", "/t"), ("minimum", "/n"), ("oneOf", "/q"), ("required", "/id"), ("type", "/l/0"), ("uniqueItems", "/l")]
+
+
+def test_summary_counts_items_with_or_without_ids(spark):
+    rows = [("a", json.dumps({"actors": [{"id": "x"}, {"id": "x"}, {}], "xVersion": "2", "revision": 3, "profiles": ["core"]})), ("b", "{}"), ("c", "[")]
+    got = {r.record_key: r for r in rec.summary(rec.facts(spark.createDataFrame(rows, "record_key string, raw string"), WORDS)).collect()}
+    assert set(got) == {"a", "b"} and (got["a"].actors, got["a"].duplicate_ids, got["a"].version, got["a"].revision, got["a"].profiles) == (3, 1, "2", 3, ["core"])
+    assert (got["b"].actors, got["b"].duplicate_ids, got["b"].id) == (0, 0, "")
+
+
+def test_the_first_receipt_of_an_id_counts(spark):
+    d = copy.deepcopy(BASE)
+    d["history"]["events"].insert(0, event(d) | {"inputs": [], "outputs": []})
+    event(d)["sequence"], d["history"]["events"][1]["sequence"] = 0, 1
+    rows = spark.createDataFrame([("a", json.dumps(d))], "record_key string, raw string")
+    assert {r.code for r in rec.semantics(rows, WORDS).collect()} == {"DUPLICATE_ID"}
+    d["history"]["events"].reverse()
+    event(d)["sequence"], d["history"]["events"][1]["sequence"] = 0, 1
+    event(d)["inputs"] = []
+    rows = spark.createDataFrame([("a", json.dumps(d))], "record_key string, raw string")
+    assert "DESCENDANT_RECEIPT" in {r.code for r in rec.semantics(rows, WORDS).collect()}

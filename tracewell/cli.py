@@ -126,14 +126,12 @@ def run(a) -> int:
             profiles = F.from_json(F.get_json_object("raw", "$.profiles"), "array<string>")
             found = processing.artifact_status(checks.verdicts(rows, diagnostics, "record_key"), rows.select("record_key", profiles.alias("profiles")), a.kind)
         else:
-            edges = rec.lineage_edges(rec.facts(rows, words), words)
-            found, cut = None, False
-            for direction in ("ancestors", "descendants") if a.direction == "both" else (a.direction,):
-                nodes, truncated = lineage.trace(edges, a.root, direction, a.depth)
-                cut = cut or truncated
-                nodes = nodes.withColumn("direction", F.lit(direction))
-                found = nodes if found is None else found.unionByName(nodes)
-            found = found.withColumn("truncated", F.lit(cut))
+            f = rec.facts(rows, words)
+            entities = f.where("kind = 'entity'").select("record_key", "id", F.col("a").alias("collection"), F.col("b").alias("type"), "path", "place")
+            roots = rows.select("record_key", F.lit(a.root).alias("id"))
+            found, _, missing = lineage.report(entities, rec.lineage_edges(f, words), roots, a.direction, a.depth)
+            if not missing.count() < rows.count():  # no record has it
+                raise lineage.LineageError("LINEAGE_ENTITY_MISSING", "no record has this entity")
     n = 0
     for line in found.toJSON().toLocalIterator():
         print(line)

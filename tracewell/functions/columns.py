@@ -6,16 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Key names that must not be published, whole and as endings of a local name.
-SECRET_NAMES = "accesskey accesskeyid accesstoken apikey apisecret authorization authkey authtoken awsaccesskeyid awssecretaccesskey bearertoken clientsecret connectionstring cookie credential credentials databaseurl environment idtoken oauthsecret oauthtoken password passphrase privateendpoint privatekey providerconfig providersettings refreshtoken secret secretaccesskey securitytoken serviceaccountkey sessiontoken signingkey token webhooksecret xamzsecuritytoken xapikey xgoogsecuritytoken".split()
-SECRET_ENDINGS = "accesskeyid accesstoken apikey apisecret authkey authtoken awssecretaccesskey bearertoken clientsecret connectionstring databaseurl idtoken oauthsecret oauthtoken password passphrase privatekey refreshtoken secretaccesskey securitytoken serviceaccountkey sessiontoken signingkey webhooksecret".split()
+SECRET_NAMES = [
+    "accesskey", "accesskeyid", "accesstoken", "apikey", "apisecret", "authorization", "authkey", "authtoken", "awsaccesskeyid",
+    "awssecretaccesskey", "bearertoken", "clientsecret", "connectionstring", "cookie", "credential", "credentials", "databaseurl",
+    "environment", "idtoken", "oauthsecret", "oauthtoken", "password", "passphrase", "privateendpoint", "privatekey", "providerconfig",
+    "providersettings", "refreshtoken", "secret", "secretaccesskey", "securitytoken", "serviceaccountkey", "sessiontoken", "signingkey",
+    "token", "webhooksecret", "xamzsecuritytoken", "xapikey", "xgoogsecuritytoken",
+]
+SECRET_ENDINGS = [
+    "accesskeyid", "accesstoken", "apikey", "apisecret", "authkey", "authtoken", "awssecretaccesskey", "bearertoken", "clientsecret",
+    "connectionstring", "databaseurl", "idtoken", "oauthsecret", "oauthtoken", "password", "passphrase", "privatekey", "refreshtoken",
+    "secretaccesskey", "securitytoken", "serviceaccountkey", "sessiontoken", "signingkey", "webhooksecret",
+]
 #: Further URL parameters that carry credentials or signatures.
-CREDENTIAL_PARAMETERS = "credential googleaccessid key keypairid oauthsignature securitytoken signature sig xamzcredential xamzsecuritytoken xamzsignature xgoogcredential xgoogsecuritytoken xgoogsignature".split()
+CREDENTIAL_PARAMETERS = [
+    "credential", "googleaccessid", "key", "keypairid", "oauthsignature", "securitytoken", "signature", "sig", "xamzcredential",
+    "xamzsecuritytoken", "xamzsignature", "xgoogcredential", "xgoogsecuritytoken", "xgoogsignature",
+]
 #: IPv4 blocks that are not public, as (first address, prefix length).
 IPV4_BLOCKS = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/3"]
 #: Addresses inside those blocks that are public.
 IPV4_EXCEPTIONS = ["192.0.0.9", "192.0.0.10"]
 #: Names that never resolve publicly, with all names below them.
-RESERVED_NAMES = "example home.arpa invalid local localhost test".split()
+RESERVED_NAMES = ["example", "home.arpa", "invalid", "local", "localhost", "test"]
 
 
 def folded_key(key: Column) -> Column:

@@ -16,30 +16,71 @@ class LineageError(ValueError):
         self.code = code
 
 
-def trace(edges: DataFrame, root: str, direction: str = "descendants", max_depth: int = DEFAULT_DEPTH) -> tuple[DataFrame, bool]:
-    """(id, depth) of every node within max_depth edges of root, root left out, and whether an edge leads further.
+#: Rows of a frontier that may be broadcast; a larger one is shuffled.
+FRONTIER_ROWS = 200_000
+
+
+def trace_records(edges: DataFrame, roots: DataFrame, direction: str = "descendants", max_depth: int = DEFAULT_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(record_key, root, id, depth) of every node of a record within max_depth edges of a root of it, roots left out; and
+    (record_key, root) where an edge leads further. edges: (record_key, parent, child); roots: (record_key, id).
 
     A semi-naive loop: each level joins only the frontier, and only nodes not seen before go on. It ends with the depth
-    or an empty frontier; each frontier is written out, so that no plan grows with the depth."""
+    or an empty frontier. The edges are written once, in the traced direction; each frontier is written out, so that no plan
+    grows with the depth."""
     if not isinstance(max_depth, int) or isinstance(max_depth, bool) or not 1 <= max_depth <= GREATEST_DEPTH:
         raise LineageError("LINEAGE_LIMIT_INVALID", f"max_depth must be a whole number from 1 to {GREATEST_DEPTH}")
     if direction not in ("ancestors", "descendants"):
         raise LineageError("LINEAGE_DIRECTION_INVALID", "direction is ancestors or descendants")
     near, far = ("child", "parent") if direction == "ancestors" else ("parent", "child")
-    steps = edges.select(F.col(near).alias("id"), F.col(far).alias("next"))
-    spark = edges.sparkSession
-    frontier = spark.createDataFrame([(root, 0)], "id string, depth int")
-    seen = [frontier]
+    steps = materialized(edges.select("record_key", F.col(near).alias("id"), F.col(far).alias("next")), "steps")
+    node = ["record_key", "root", "id"]
+    frontier = materialized(roots.select("record_key", F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct(), "frontier")
+    seen, size = [frontier], frontier.count()
+
+    def onwards() -> DataFrame:
+        edge = F.broadcast(frontier) if size <= FRONTIER_ROWS else frontier
+        known = _union(seen).select(*node)
+        found = steps.join(edge, ["record_key", "id"]).select("record_key", "root", F.col("next").alias("id")).distinct()
+        return found.join(known, node, "left_anti")
+
     for depth in range(1, max_depth + 1):
-        known = seen[0] if len(seen) == 1 else seen[0].unionByName(seen[1]) if len(seen) == 2 else _union(seen)
-        found = frontier.join(steps, "id").select(F.col("next").alias("id")).distinct().join(known, "id", "left_anti")
-        frontier = materialized(found.withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
+        frontier = materialized(onwards().withColumn("depth", F.lit(depth)), "frontier")
+        size = frontier.count()
+        if not size:
             break
         seen.append(frontier)
-    known = _union(seen)
-    more = frontier.join(steps, "id").select(F.col("next").alias("id")).join(known, "id", "left_anti")
-    return known.where("depth > 0"), not more.isEmpty()
+    cut = onwards().select("record_key", "root").distinct() if size else frontier.select("record_key", "root")
+    return _union(seen).where("depth > 0"), cut
+
+
+def trace(edges: DataFrame, root: str, direction: str = "descendants", max_depth: int = DEFAULT_DEPTH) -> tuple[DataFrame, bool]:
+    """trace_records() over one graph of (parent, child) edges: (id, depth), and whether an edge leads further."""
+    spark = edges.sparkSession
+    nodes, cut = trace_records(edges.withColumn("record_key", F.lit("")), spark.createDataFrame([("", root)], "record_key string, id string"), direction, max_depth)
+    return nodes.select("id", "depth"), not cut.isEmpty()
+
+
+def report(entities: DataFrame, edges: DataFrame, roots: DataFrame, direction: str = "both", max_depth: int = DEFAULT_DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lineage of roots (record_key, id) of records: the nodes (record_key, root, id, depth, direction, type, collection,
+    path, truncated) in the order of record, root, direction, depth and id; the edges whose both ends a trace reached or
+    started from; and the roots that their record lacks, with the code LINEAGE_ENTITY_MISSING.
+
+    entities: (record_key, id, collection, type, path, place), the first place of an id counts."""
+    first = entities.groupBy("record_key", "id").agg(F.min(F.struct("place", "collection", "type", "path")).alias("e")).select("record_key", "id", "e.collection", "e.type", "e.path")
+    first = materialized(first, "lineage-entities")
+    roots = materialized(roots.select("record_key", "id").distinct(), "lineage-roots")
+    missing = roots.join(first, ["record_key", "id"], "left_anti").withColumn("code", F.lit("LINEAGE_ENTITY_MISSING"))
+    there = roots.join(first, ["record_key", "id"], "left_semi")
+    out = inside = None
+    for way in ("ancestors", "descendants") if direction == "both" else (direction,):
+        nodes, cut = trace_records(edges, there, way, max_depth)
+        nodes = nodes.join(cut.withColumn("truncated", F.lit(True)), ["record_key", "root"], "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
+        nodes = materialized(nodes.withColumn("direction", F.lit(way)), "lineage-nodes")
+        ends = nodes.select("record_key", "root", "id").unionByName(there.select("record_key", F.col("id").alias("root"), "id"))
+        kept = edges.join(ends.withColumnRenamed("id", "parent"), ["record_key", "parent"]).join(ends.withColumnRenamed("id", "child"), ["record_key", "child", "root"])
+        out, inside = (nodes, kept) if out is None else (out.unionByName(nodes), inside.unionByName(kept))
+    nodes = out.join(first, ["record_key", "id"], "left").select("record_key", "root", "id", "depth", "direction", "type", "collection", "path", "truncated")
+    return nodes.orderBy("record_key", "root", "direction", "depth", "id"), inside.distinct(), missing
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -9,12 +9,15 @@ from tracewell.operators.records import PROCESSING, Vocabulary
 from tracewell.sources.strict_json import JsonError, parse
 
 #: Local names of operations, and of the relations that tie their results to what they came from.
-TRANSFORMING = "segment isolate transform sculpt recompose render compensate".split()
-GENERATING = "generate mutate graft continue inpaint".split()
-TRANSFORMED = "derived-from derivation-of segmented-from isolated-from variation-of rendered-as parent-of child-of".split()
-PROCESSED = "granulated-from derived-from derivation-of segmented-from isolated-from variation-of parent-of child-of".split()
-GENERATION_PARAMETERS = "generationMethod parentRefs conditioningRefs regionRefs prompt negativePrompt model adapter provider providerPolicyState selection rejectedOutputRefs".split()
-OBSERVED_AXES = "epistemicStatus temporalCharacter signalKind".split()
+TRANSFORMING = ["segment", "isolate", "transform", "sculpt", "recompose", "render", "compensate"]
+GENERATING = ["generate", "mutate", "graft", "continue", "inpaint"]
+TRANSFORMED = ["derived-from", "derivation-of", "segmented-from", "isolated-from", "variation-of", "rendered-as", "parent-of", "child-of"]
+PROCESSED = ["granulated-from", "derived-from", "derivation-of", "segmented-from", "isolated-from", "variation-of", "parent-of", "child-of"]
+GENERATION_PARAMETERS = [
+    "generationMethod", "parentRefs", "conditioningRefs", "regionRefs", "prompt", "negativePrompt", "model", "adapter", "provider",
+    "providerPolicyState", "selection", "rejectedOutputRefs",
+]
+OBSERVED_AXES = ["epistemicStatus", "temporalCharacter", "signalKind"]
 
 
 def items(record: dict, name: str) -> list:

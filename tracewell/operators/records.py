@@ -18,11 +18,14 @@ from tracewell.operators.workspace import materialized
 from tracewell.sources.strict_json import JsonError, parse, walk
 
 #: The entity collections in scan order.
-COLLECTIONS = "actors sources representations encounters apertures listeningPasses claims measurements regions observations mappings relations policies contexts agentRuns capabilities".split()
+COLLECTIONS = [
+    "actors", "sources", "representations", "encounters", "apertures", "listeningPasses", "claims", "measurements", "regions", "observations",
+    "mappings", "relations", "policies", "contexts", "agentRuns", "capabilities",
+]
 #: Effects that change what exists.
-CONSEQUENTIAL = "delete derive expire external-action generate map perform publish remember render transform withhold".split()
+CONSEQUENTIAL = ["delete", "derive", "expire", "external-action", "generate", "map", "perform", "publish", "remember", "render", "transform", "withhold"]
 #: Local names of the processing operations.
-PROCESSING = "granulate extract reduce fragment timestretch pitchshift".split()
+PROCESSING = ["granulate", "extract", "reduce", "fragment", "timestretch", "pitchshift"]
 #: Which collection evidence of a role must be in.
 ROLES = {"source": "sources", "representation": "representations", "claim": "claims", "measurement": "measurements", "observation": "observations", "context": "contexts", "operation": "events"}
 AUTHORITIES = "actors policies policyRules"
@@ -74,10 +77,29 @@ REFERENCES = {
 #: The same inside a receipt, and inside a policy evaluation.
 RECEIPT_REFERENCES = {"actors[]": "actors", "inputs[]": "", "outputs[]": "", "claimRefs[]": "claims"}
 EVALUATION_REFERENCES = {"policyRefs[]": "policies", "authorityRefs[]": AUTHORITIES, "evaluator": "actors", "targets[]": ""}
-#: Acyclic relations; those marked < name the descendant first, > last, and = have no direction of descent.
-ACYCLIC = "derived-from< derivation-of> version-of< revision-of< part-of= has-part= captured-from< transduced-from< measured-from= segmented-from< isolated-from< granulated-from< mapped-from< rendered-as> performed-as> parent-of> child-of< variation-of< continuation-of<".split()
-#: Relations that are the inverse of another acyclic one, which is stored forwards.
-INVERSES = {"derivation-of": "derived-from", "has-part": "part-of", "child-of": "parent-of"}
+#: Acyclic relations; the end that is the descendant (None: no direction of descent); and, of those stored
+#: backwards in the cycle graph, the relation they are the inverse of.
+ACYCLIC = [
+    ("derived-from", "subject", None),
+    ("derivation-of", "object", "derived-from"),
+    ("version-of", "subject", None),
+    ("revision-of", "subject", None),
+    ("part-of", None, None),
+    ("has-part", None, "part-of"),
+    ("captured-from", "subject", None),
+    ("transduced-from", "subject", None),
+    ("measured-from", None, None),
+    ("segmented-from", "subject", None),
+    ("isolated-from", "subject", None),
+    ("granulated-from", "subject", None),
+    ("mapped-from", "subject", None),
+    ("rendered-as", "object", None),
+    ("performed-as", "object", None),
+    ("parent-of", "object", None),
+    ("child-of", "subject", "parent-of"),
+    ("variation-of", "subject", None),
+    ("continuation-of", "subject", None),
+]
 
 FACTS = "record_key string, kind string, place int, path string, id string, a string, b string, c string, d string, n double, m double, expected array<string>"
 
@@ -143,8 +165,11 @@ def facts_of(doc: dict, words: Vocabulary) -> list[tuple]:
         if isinstance(value, dict) and _text(value, "id") is not None:
             fact("entity", path, value["id"], collection, _text(value, "type"), _text(value, "disclosure"))
 
+    version = next((v for k, v in doc.items() if k.endswith("Version") and isinstance(v, str)), None)
+    fact("record", "", _text(doc, "id"), version, _text(doc, "disclosure"), n=_number(doc.get("revision")), expected=strings(doc.get("profiles")))
     entity(doc, "record", "")
     for name in COLLECTIONS:
+        fact("size", f"/{name}", a=name, n=float(len(_items(doc, name))))
         for k, v in enumerate(_items(doc, name)):
             entity(v, name, f"/{name}/{k}")
     for k, p in enumerate(_items(doc, "policies")):
@@ -152,6 +177,7 @@ def facts_of(doc: dict, words: Vocabulary) -> list[tuple]:
             entity(r, "policyRules", f"/policies/{k}/rules/{j}")
     history = doc.get("history") if isinstance(doc.get("history"), dict) else {}
     events = _items(history, "events") if history.get("mode") == "embedded" else []
+    fact("size", "/history/events", a="events", n=float(len(events)))
     for k, e in enumerate(events):
         entity(e, "events", f"/history/events/{k}")
     for s in strings(history.get("eventIds")) if history.get("mode") == "external" else ():
@@ -241,8 +267,7 @@ def facts(records: DataFrame, words: Vocabulary) -> DataFrame:
 
 def registry(spark, words: Vocabulary) -> DataFrame:
     """(predicate, descent, reverse): the acyclic relations, which side descends, and whether they are stored backwards."""
-    side = {"<": "subject", ">": "object", "=": None}
-    rows = [(f"{words.relations}:{x[:-1]}", side[x[-1]], x[:-1] in INVERSES) for x in ACYCLIC]
+    rows = [(f"{words.relations}:{name}", descent, inverse is not None) for name, descent, inverse in ACYCLIC]
     return spark.createDataFrame(rows, "predicate string, descent string, reverse boolean")
 
 
@@ -274,8 +299,11 @@ def semantics(records: DataFrame, words: Vocabulary) -> DataFrame:
     inputs = of("inputs").select("record_key", F.col("id").alias("operation"), F.col("a").alias("parent"), F.col("c").alias("event_path"))
     serious = F.col("effect").isin(CONSEQUENTIAL)
     reused = outputs.where(serious).join(inputs.select("record_key", "event_path", F.col("parent").alias("child")).distinct(), ["record_key", "event_path", "child"], "left_semi")
-    tied = edges.join(inputs.select("record_key", "operation", "parent").distinct(), ["record_key", "operation", "parent"], "left_semi").select("record_key", "operation", "child")
-    loose = outputs.where(serious & F.col("operation").isNotNull()).join(works, ["record_key", "child"], "left_semi").join(tied, ["record_key", "operation", "child"], "left_anti")
+    # of receipts that share an id the first counts
+    receipt = event.where("id IS NOT NULL").groupBy("record_key", F.col("id").alias("operation")).agg(F.min_by("path", "place").alias("event_path"))
+    own = ["record_key", "operation", "event_path"]
+    tied = edges.join(inputs.join(receipt, own, "left_semi").select("record_key", "operation", "parent").distinct(), ["record_key", "operation", "parent"], "left_semi").select("record_key", "operation", "child")
+    loose = outputs.where(serious).join(receipt, own, "left_semi").join(works, ["record_key", "child"], "left_semi").join(tied, ["record_key", "operation", "child"], "left_anti")
     descends = edges.join(works, ["record_key", "child"], "left_semi")
     receipted = descends.join(known.withColumnRenamed("id", "operation"), ["record_key", "operation"], "left_anti")
     before = F.max("n").over(Window.partitionBy("record_key").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
@@ -346,6 +374,9 @@ def cycles(relation: DataFrame, words: Vocabulary) -> DataFrame:
 
 
 def summary(f: DataFrame) -> DataFrame:
-    """Entities per record and collection; collections without entities count 0."""
-    e = f.where("kind = 'entity'").groupBy("record_key").pivot("a", [*COLLECTIONS, "events"]).count()
-    return e.fillna(0)
+    """A row per record: id, version, revision, profiles, disclosure, how many items each collection lists, with or without
+    ids, and how many ids repeat an earlier one."""
+    record = f.where("kind = 'record'").select("record_key", F.coalesce("id", F.lit("")).alias("id"), F.coalesce("a", F.lit("")).alias("version"), F.coalesce("n", F.lit(0.0)).alias("revision"), F.col("expected").alias("profiles"), F.coalesce("b", F.lit("")).alias("disclosure"))
+    sizes = f.where("kind = 'size'").groupBy("record_key").pivot("a", [*COLLECTIONS, "events"]).agg(F.sum("n").cast("long"))
+    ids = f.where("kind = 'entity'").groupBy("record_key", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("record_key").agg(F.sum(F.col("n") - 1).alias("duplicate_ids"))
+    return record.join(sizes, "record_key", "left").join(ids, "record_key", "left").fillna(0)

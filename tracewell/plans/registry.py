@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import columns as fx
 from tracewell.operators import checks, lineage
-from tracewell.plans.shapes import SECRET_SHAPES
+from tracewell.plans import corpus
+from tracewell.functions.shapes import SECRET_SHAPES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(corpus.QUERIES)
+ORACLES: dict[str, str] = dict(corpus.ORACLES)
 COLLECTIONS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations"]
 
 
@@ -76,19 +77,53 @@ def lineage_relations(spark, d):
     return lineage.induced(edges, lineage.trace(edges, "nation:3", max_depth=2)[0], "nation:3").select("parent", "child")
 
 
+@query(EDGES + """a(id, depth) AS (SELECT 'customer:1', 0 UNION SELECT e.parent, depth + 1 FROM a JOIN e ON e.child = a.id WHERE depth < 16),
+t(id, depth) AS (SELECT 'customer:1', 0 UNION SELECT e.child, depth + 1 FROM t JOIN e ON e.parent = t.id WHERE depth < 16)
+SELECT 'ancestors' AS direction, id, min(depth)::INT AS depth FROM a WHERE depth > 0 GROUP BY id UNION ALL SELECT 'descendants', id, min(depth)::INT FROM t WHERE depth > 0 GROUP BY id""")
+def lineage_both(spark, d):
+    edges = ownership(spark, d)
+    both = [lineage.trace(edges, "customer:1", way)[0].withColumn("direction", F.lit(way)) for way in ("ancestors", "descendants")]
+    return both[0].unionByName(both[1])
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS record_key, event_id AS parent, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS child FROM events),
+r AS (SELECT user_id AS record_key, min(event_id) AS root FROM events GROUP BY 1),
+t(record_key, root, id, depth) AS (SELECT record_key, root, root, 0 FROM r UNION SELECT t.record_key, root, e.child, depth + 1 FROM t JOIN e ON e.record_key = t.record_key AND e.parent = t.id WHERE child IS NOT NULL AND depth < 8)
+SELECT record_key, root, id, depth::INT AS depth FROM t WHERE depth > 0""")
+def lineage_per_record(spark, d):
+    from pyspark.sql import Window
+
+    e = table(spark, d, "events").select(F.col("user_id").alias("record_key"), F.col("event_id").alias("parent"))
+    edges = e.withColumn("child", F.lead("parent").over(Window.partitionBy("record_key").orderBy("parent"))).where("child IS NOT NULL")
+    return lineage.trace_records(edges, e.groupBy("record_key").agg(F.min("parent").alias("id")), max_depth=8)[0]
+
+
 def transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Which type of event follows which for a user, with a first and a last node that lie on no cycle."""
     from pyspark.sql import Window
 
+    w = Window.partitionBy("user_id").orderBy("event_id")
     e = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("parent"))
-    return e.withColumn("child", F.lead("parent").over(Window.partitionBy("user_id").orderBy("event_id"))).where("child IS NOT NULL").select("parent", "child").distinct()
+    first = e.select(F.lit("start").alias("parent"), F.col("parent").alias("child")).distinct()
+    return e.withColumn("child", F.coalesce(F.lead("parent").over(w), F.lit("end"))).select("parent", "child").unionByName(first).distinct()
+
+
+TRANSITIONS = """
+WITH RECURSIVE e AS (SELECT DISTINCT event_type AS parent, coalesce(lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id), 'end') AS child FROM events
+  UNION SELECT 'start', event_type FROM events),
+r(a, b) AS (SELECT parent, child FROM e UNION SELECT r.a, e.child FROM r JOIN e ON r.b = e.parent),
+"""
 
 
-@query("WITH t AS (SELECT event_type AS parent, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS child FROM events), e AS (SELECT DISTINCT parent, child FROM t WHERE child IS NOT NULL) SELECT parent, child FROM e")
+@query(TRANSITIONS + """c AS (SELECT a FROM r WHERE a = b)
+SELECT parent, child FROM e WHERE parent IN (SELECT r.b FROM r JOIN c ON r.a = c.a) AND child IN (SELECT r.a FROM r JOIN c ON r.b = c.a)""")
 def cycle_core(spark, d):
     return lineage.cyclic_core(transitions(spark, d))
 
 
-@query("SELECT 'ownership' AS graph, false AS cyclic UNION ALL SELECT 'transitions', true")
+@query(TRANSITIONS + EDGES.replace("WITH RECURSIVE e AS", "o AS").rstrip().rstrip(",") + """,
+q(a, b) AS (SELECT parent, child FROM o UNION SELECT q.a, o.child FROM q JOIN o ON q.b = o.parent)
+SELECT 'ownership' AS graph, count(*) > 0 AS cyclic FROM q WHERE a = b UNION ALL SELECT 'transitions', count(*) > 0 FROM r WHERE a = b""")
 def cycle_verdict(spark, d):
     rows = [(name, not lineage.cyclic_core(g).isEmpty()) for name, g in (("ownership", ownership(spark, d)), ("transitions", transitions(spark, d)))]
     return spark.createDataFrame(rows, "graph string, cyclic boolean")
