@@ -74,7 +74,7 @@ def test_line_dedup_of_documents(spark, none):
 
 def test_hot_offers_are_spread(spark, monkeypatch):
     monkeypatch.setattr(lines, "HOT_ROWS", 2)
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "bytes_of", lambda df: 1 << 40)
     monkeypatch.setattr(common, "HOT_ROWS", 2)
     monkeypatch.setattr(common, "HOT_SHARE", 10_000)
     d = corpus(spark, 6)

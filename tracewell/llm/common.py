@@ -61,11 +61,11 @@ def bytes_of(df: DataFrame) -> int:
     return rows * (100 + 12 * len(df.columns)) + 16 * sum(x or 0 for x in items)
 
 
-def looked_up(left: DataFrame, right: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
-    """left joined with right, which has a row per key and in the column count (dropped) the key's rows in left. A small right is
-    broadcast. Else keys with many rows in left are broadcast apart, at most 1 / HOT_SHARE of them, so that no task gets
+def looked_up(left: DataFrame, right: DataFrame, on: list[str], count: str, how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """left joined with right, which has a row per key and in the column count (dropped) the key's rows in left. A right of at
+    most so many bytes is broadcast. Else keys with many rows in left are broadcast apart, at most 1 / HOT_SHARE of them, so that no task gets
     all rows of one; the others are shuffled."""
-    if bytes_of(right) <= BROADCAST_BYTES:
+    if bytes_of(right) <= most:
         return left.join(F.broadcast(right.drop(count)), on, how)
     least = max(HOT_ROWS, (right.agg(F.sum(count)).first()[0] or 0) // HOT_SHARE)
     hot = F.broadcast(right.where(F.col(count) > least).drop(count))

@@ -36,6 +36,8 @@ WINDOW, GRAM = 51, 25
 LINE_WORDS = 20
 #: Bytes of words whose digests a task remembers, by estimate.
 KNOWN_BYTES = 16_000_000
+#: Bytes of a table of digests that is broadcast. Such tables grow with the corpus, so they are shuffled at every other size.
+DIGESTS = 1 << 20
 #: Windows that are hashed before they are sent on.
 SENT = 20_000
 _BLANK = re.compile(r"\n[ \t\x0b\f\r]*\n\s*")
@@ -199,7 +201,7 @@ def _later(rows: DataFrame, kinds: DataFrame, on: list[str]) -> DataFrame:
     """(id, v, start, stop, kept_in) of the rows that are not the first of their kind."""
     firsts = kinds.where("n > 1").select(*on, F.col("first.id").alias("_id"), F.col("first.v").alias("_v"), F.col("first.start").alias("_start"), "n")
     after = F.struct("id", "v", "start") > F.struct(F.col("_id").alias("id"), F.col("_v").alias("v"), F.col("_start").alias("start"))
-    return looked_up(rows, saved(firsts, "unit-firsts"), on, "n").where(after).select("id", "v", "start", "stop", F.col("_id").alias("kept_in"))
+    return looked_up(rows, saved(firsts, "unit-firsts"), on, "n", most=DIGESTS).where(after).select("id", "v", "start", "stop", F.col("_id").alias("kept_in"))
 
 
 def repeats(plain: DataFrame) -> DataFrame:
@@ -208,7 +210,7 @@ def repeats(plain: DataFrame) -> DataFrame:
     blocks_, a = found.where(F.col("kind") != ANCHOR), found.where(F.col("kind") == ANCHOR)
     again = _later(blocks_, _kinds(blocks_, ["kind", "h1", "h2"]), ["kind", "h1", "h2"])
     twice = saved(a.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchor-repeats")
-    met = saved(looked_up(a, twice, ["h1"], "n"), "anchors-met")
+    met = saved(looked_up(a, twice, ["h1"], "n", most=DIGESTS), "anchors-met")
     kinds = saved(_kinds(met, ["h1", "h2"]), "contexts")
     several = saved(kinds.groupBy("h1").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "anchors-several")
     spots = looked_up(kinds.select("h1", "first"), several, ["h1"], "m").select("first.id", "first.v", "first.at")
