@@ -96,8 +96,14 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, positiv
         weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
         size = np.array([len(i) for i, _ in bags])
         begin = np.cumsum(size) - size
-        buckets, ids = np.unique(np.concatenate([i for i, _ in bags]), return_inverse=True)  # others have no gradient
-        every = np.concatenate([s for _, s in bags]) * np.float32(scale)
+        ids = np.concatenate([i for i, _ in bags])
+        place = np.zeros(BUCKETS, np.int32)
+        place[ids] = 1
+        buckets = np.flatnonzero(place)  # others have no gradient
+        place[buckets] = np.arange(len(buckets))
+        ids = place[ids]
+        every = np.concatenate([s for _, s in bags])
+        every *= np.float32(scale)
         used = vectors[buckets]
         state = [[np.zeros_like(p), np.zeros_like(p)] for p in (used, softmax, bias)]
         step = 0
@@ -175,7 +181,10 @@ def windows(sums: np.ndarray, counts: np.ndarray) -> tuple[int, float]:
 def fit(texts: list, labels: np.ndarray, positives: int, negatives: int) -> Model:
     """Two rounds of training: whole texts, then each text's highest window."""
     known: dict = {}
-    model = train([bag(t, known) for t in texts], labels, positives, negatives, EPOCHS, SCALE)
+    whole = [bag(t, known) for t in texts]
+    known.clear()  # the driver holds either the words or the training
+    model = train(whole, labels, positives, negatives, EPOCHS, SCALE)
+    del whole
     for _ in range(ROUNDS):
         scorer = Scorer(model)
         top = []
