@@ -82,3 +82,16 @@ def test_files_hold_every_document_in_order(docs, none, monkeypatch):
         start += len(i)
     assert got == want
     assert token_files.index(token_files.write(none)).count() == 0
+
+
+def test_hot_and_null_keys_are_spread_and_stay_in_order(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 40)
+    rows = [(None, f"none {k}") for k in range(40)] + [(7, f"hot {k}") for k in range(60)] + [(k, f"doc {k}") for k in [*range(-9, 60), 2**62, 2**62 + 1, -(2**63), 2**63 - 1]]
+    files = token_files.write(spark.createDataFrame(rows, "doc_id long, text string"))
+    docs = token_files.read(files).join(token_files.starts(files), ["range", "segment"]).selectExpr("doc_id", "range", "n_tokens", "segment_start + place AS start", "ids").collect()
+    docs.sort(key=lambda r: r.start)
+    assert [r.start for r in docs] == np.cumsum([0] + [r.n_tokens for r in docs])[:-1].tolist()
+    assert [r.doc_id for r in docs] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    assert Counter((r.doc_id, np.frombuffer(r.ids, "<u4").tobytes()) for r in docs) == Counter((k, np.array(ids(t) + [2], "<u4").tobytes()) for k, t in rows)
+    assert all(len({r.range for r in docs if r.doc_id == k}) > 3 for k in (None, 7))
+    assert [r.range for r in docs] == sorted(r.range for r in docs)

@@ -6,11 +6,13 @@ as that needs; two control bits per token, four tokens to a control byte, say ho
 four tokens by their control byte and gathers their bytes, all in numpy. Segments are rows of Parquet files, so that any
 store that Spark writes to can hold them and a lost executor's part is written again.
 
-Order: documents go to ranges of keys by quantiles of the key column, ranges to tasks by hash, and are sorted there. No
-range bound depends on a text, so one document is encoded once.
+Order: documents go to ranges of keys by quantiles of the key column, each range to the task of its number, and are sorted
+there: the files follow each other in the order of the keys. No range bound depends on a text, so one document is encoded
+once. There are so many ranges that one holds about RANGE_BYTES of text; null keys, and a key that fills several ranges, are
+dealt over theirs by a hash of the ids.
 
-Defined results: a null text has only the end id. A null key sorts first. Rows that repeat a key are all stored, by
-their ids in order. An empty table gives no segment.
+Defined results: a null text has only the end id. A null key sorts first. Rows that repeat a key are all stored, by range and
+then by their ids in order; equal rows stay together. An empty table gives no segment.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ END_ID = 2
 SEGMENT_TOKENS = 1_000_000
 #: Ids below this are counted in a table.
 TABLE = 1 << 22
-#: Key ranges per task.
-RANGES = 4
+#: Bytes of text that a range of keys holds on average; there are as many ranges as shuffle partitions at least.
+RANGE_BYTES = 512 << 20
 #: Characters of text whose new chunks are encoded together.
 GROUP_CHARS = 4_000_000
 #: Bytes of chunks that a task remembers between groups.
@@ -162,9 +164,9 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     """Encodes every text and writes the segments to the shared folder. Returns the written table."""
     spark = docs.sparkSession
     path = path or default_vocabulary()
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = RANGES * tasks
-    bounds = np.array(sorted(set(docs.approxQuantile(key, [k / ranges for k in range(1, ranges)], 0.1 / ranges) if ranges > 1 else [])))
+    keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    nulls, bounds = key_ranges(keyed)
+    total = nulls + len(bounds) + 1
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
@@ -179,16 +181,31 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         apply.close = encoder.forget
         return apply
 
-    keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     coded = text_map(keyed, ["key"], "text", "width int, ids binary", make, rows=2048)
 
     @F.pandas_udf("int")
-    def range_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.where(keys.isna(), 0, np.searchsorted(bounds, keys.astype("float64"), side="left")).astype(np.int32))
+    def range_of(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        low, high = (np.searchsorted(bounds, keys.to_numpy(np.int64), side=s) for s in ("left", "right"))
+        return pd.Series((nulls + low + ties.to_numpy(np.int64) % np.maximum(high - low, 1)).astype(np.int32))
 
-    coded = coded.withColumn("range", range_of("key"))
+    tie = F.xxhash64("ids")
+    known = range_of(F.coalesce("key", F.lit(0)), tie)
+    coded = coded.withColumn("range", F.when(F.col("key").isNull(), F.pmod(tie, F.lit(max(nulls, 1))).cast("int")).otherwise(known))
     run, schema = _segments("key")
-    return saved(coded.repartition(tasks, "range").sortWithinPartitions("range", "key", "ids").mapInArrow(run, schema), "token-files")
+    return saved(coded.repartitionById(total, "range").sortWithinPartitions("range", "key", "ids").mapInArrow(run, schema), "token-files")
+
+
+def key_ranges(keyed: DataFrame) -> tuple[int, np.ndarray]:
+    """How many ranges null keys get, and the greatest keys of all other ranges but the last. A key that fills several
+    ranges is the bound of each."""
+    rows, known, size = keyed.agg(F.count(F.lit(1)), F.count("key"), F.sum(F.octet_length("text"))).first()
+    ranges = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // RANGE_BYTES))
+    nulls = -(-ranges * (rows - known) // max(rows, 1))
+    ranges = max(ranges - nulls, 1)
+    if not known or ranges == 1:
+        return nulls, np.zeros(0, np.int64)
+    found = keyed.approxQuantile("key", [k / ranges for k in range(1, ranges)], 0.1 / ranges)
+    return nulls, np.array(sorted(max(min(int(x), 2**63 - 1), -(2**63)) for x in found), np.int64)
 
 
 def read(files: DataFrame, key: str = "doc_id") -> DataFrame:
