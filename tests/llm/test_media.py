@@ -107,6 +107,24 @@ def test_what_is_no_jpeg_is_refused():
             media.decode([bad])
 
 
+def test_damaged_files_give_errors_and_end_no_job(spark):
+    good = media.encode([bytes(range(64)) * 3])[0]
+    r = np.random.default_rng(8)
+    rows = [(0, good), (1, None), (2, b""), (3, good[:2] + good[30:])]
+    for k in range(4, 404):
+        bad = bytearray(good)
+        for at in r.integers(0, len(bad), 1 + k % 4):
+            bad[at] = r.integers(256)
+        rows.append((k, bytes(bad[: r.integers(1, len(bad) + 1)] if k % 3 else bad)))
+    got = {x.id: x for x in media.describe(spark.createDataFrame(rows, "id int, media binary"), "id").collect()}
+    assert len(got) == len(rows) and got[0].error is None and (got[0].width, got[0].height) == (16, 16)
+    assert got[1].error is None and got[1].thumb_hash is None and got[2].error and got[3].error
+    assert all((x.error is None) == (x.thumb_hash is not None) for x in got.values() if x.id != 1)
+    huge = good.replace(b"\x08\x00\x10\x00\x10\x01", b"\x08\xff\xff\xff\xff\x01")
+    with pytest.raises(ValueError):
+        media.decode([huge.replace(b"\xff\xdd\x00\x04\x00\x01", b"\xff\xdd\x00\x04\x00\x00")])
+
+
 def test_query_columns(docs, none):
     rows = media.stored_features(docs).collect()
     by: dict = {}

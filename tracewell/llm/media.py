@@ -9,7 +9,7 @@ The decoder parses the markers of any baseline file (SOF0, any sampling, with or
 scans and makes DC-only luminance thumbnails.
 
 Defined results: a null or empty text has one block of zeros; equal texts give equal files. Files that are no baseline
-JPEG raise ValueError.
+JPEG, or damaged ones, raise ValueError in decode(); in describe() they give nulls and the reason.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import text_map
+from .common import mapped, text_map
 
 CHUNK = 8192  # blocks that numpy works on at once
 #: Code lengths by size category, for letters of text: the rarer, the longer. They leave the code of all ones free.
@@ -283,6 +283,13 @@ def _view(data: np.ndarray) -> np.ndarray:
 
 def decode(files: list[bytes]) -> Iterable[tuple[dict, list[np.ndarray]]]:
     """Per file: its header, and per component its coefficients (blocks down, blocks across, 64), in zigzag order."""
+    try:
+        return _decoded(files)
+    except (IndexError, KeyError, OverflowError, ZeroDivisionError, struct.error) as e:  # what a damaged file leads to
+        raise ValueError(f"a damaged JPEG: {e}") from e
+
+
+def _decoded(files: list[bytes]) -> list[tuple[dict, list[np.ndarray]]]:
     heads = [parse(f) for f in files]
     groups: dict = {}
     for i, h in enumerate(heads):
@@ -315,6 +322,8 @@ def decode(files: list[bytes]) -> Iterable[tuple[dict, list[np.ndarray]]]:
 def _decode_any(data: bytes, h: dict) -> list[np.ndarray]:
     order, across, down = layout(h)
     total = across * down
+    if total * len(order) > 4 * (len(data) - h["scan"]):  # a block takes two bits at least
+        raise ValueError("the scan is too short for its frame")
     step = h["restart"] or total
     flat, starts = _intervals(np.frombuffer(data, np.uint8)[h["scan"] :])
     if len(starts) != -(-total // step):
@@ -340,6 +349,8 @@ def _decode_any(data: bytes, h: dict) -> list[np.ndarray]:
 
 def thumbnail(h: dict, parts: list[np.ndarray]) -> np.ndarray:
     """DC-only luminance: the mean of each block of the first component, 0 to 255."""
+    if not len(h["quant"].get(h["parts"][0][3], ())):
+        raise ValueError("a quantisation table is missing")
     q = h["quant"][h["parts"][0][3]][0]
     wide, high = h["size"]
     p = h["parts"][0]
@@ -412,26 +423,32 @@ def media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def describe(files: DataFrame, key: str, column: str = "media") -> DataFrame:
-    """Size, thumbnail (one byte a block, by rows) and thumbnail hash of any baseline files; null files give nulls."""
+    """Size, thumbnail (one byte a block, by rows) and thumbnail hash of any baseline files, and the error of those that
+    cannot be read, whose other columns are null; null files give nulls."""
     import pyarrow as pa
     from pyspark.sql.types import StructType
 
-    schema = StructType([files.schema[key], *StructType.fromDDL("width int, height int, thumb binary, thumb_hash string").fields])
+    schema = StructType([files.schema[key], *StructType.fromDDL("width int, height int, thumb binary, thumb_hash string, error string").fields])
 
     def run(batches):
         for b in batches:
             rows = []
             for f in b.column(1).to_pylist():
                 if f is None:
-                    rows.append((None,) * 4)
+                    rows.append((None,) * 5)
                     continue
-                h, parts = decode([f])[0]
-                t = thumbnail(h, parts)
-                rows.append((*h["size"], t.tobytes(), thumb_hash(t)))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]], names=schema.names)
-
-    return files.select(key, column).mapInArrow(run, schema)
+                try:
+                    h, parts = decode([f])[0]
+                    t = thumbnail(h, parts)
+                except ValueError as e:
+                    rows.append((None, None, None, None, str(e)))
+                else:
+                    rows.append((*h["size"], t.tobytes(), thumb_hash(t), None))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            types = (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=schema.names)
+
+    return mapped(files.select(key, column), run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
