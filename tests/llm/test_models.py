@@ -115,6 +115,58 @@ def test_hosts_paths_and_rules(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_a_tree_equals_an_exhaustive_search():
+    """Every split of every node, tried one by one over the rows."""
+    r = np.random.default_rng(3)
+    binned = r.integers(0, 6, (120, 3))
+    g, h = r.standard_normal(120), r.uniform(0.1, 0.3, 120)
+    feature, cut, leaf = urls._grow(binned, g, h)
+
+    def leaves(rows, depth, node):
+        if depth == urls.DEPTH:
+            want = -urls.RATE * sum(g[k] for k in rows) / (sum(h[k] for k in rows) + urls.PENALTY)
+            assert abs(leaf[node - (2**urls.DEPTH - 1)] - want) < 1e-9
+            return
+        value = lambda some: sum(g[k] for k in some) ** 2 / (sum(h[k] for k in some) + urls.PENALTY)
+        best, split = 1e-9, (rows, [])
+        for f in range(3):
+            for c in range(6):
+                low, high = [k for k in rows if binned[k, f] <= c], [k for k in rows if binned[k, f] > c]
+                if min(len(low), len(high)) >= urls.SMALLEST and value(low) + value(high) - value(rows) > best + 1e-12:
+                    best, split = value(low) + value(high) - value(rows), (low, high)
+        assert [k for k in rows if binned[k, feature[node]] <= cut[node]] == split[0]
+        for side, some in enumerate(split):
+            leaves(some, depth + 1, 2 * node + 1 + side)
+
+    leaves(list(range(120)), 0, 0)
+
+
+def test_query_equals_a_plain_version(spark):
+    """Hosts, paths and rules by string methods; verdicts where no rule fits by walking each tree."""
+    folder = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    model = urls.train(pages.select("url"))
+
+    def judged(url):
+        _, found, rest = (url or "").partition("://")
+        rest = (rest if found else "").partition("#")[0].partition("?")[0]
+        host, slash, path = rest.partition("/")
+        host, path = "".join(c.lower() if c.isascii() else c for c in host), slash + path
+        fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if fits:
+            return host, path, *max(fits)[1:]
+        x, margin = model.matrix([urls.lexical(url)])[0], model.prior
+        for feature, cut, leaf in model.trees:
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + (sum(e < x[feature[node]] for e in model.edges[feature[node]]) > cut[node])
+            margin += leaf[node - len(feature)]
+        return host, path, None, "block" if margin >= 0 else "allow"
+
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.query(spark, folder).collect()}
+    assert got == {r.page_id: judged(r.url) for r in pages.collect()}
+
+
 def test_trees_learn_and_repeat(spark):
     r = random.Random(2)
     rows = [urls.lexical(f"https://h{r.randrange(99)}.org/{'9' * r.randrange(1, 12)}?{'a=1&' * r.randrange(6)}") for _ in range(800)]
