@@ -9,12 +9,14 @@ import sys
 
 PROCESSES = ("granulate", "extract", "reduce", "fragment", "timestretch", "pitchshift")
 CLASSES = ("reader", "writer", "transformer", "agent-host", "publisher")
+#: Commands whose findings make the exit code 1.
+JUDGES = ("validate", "inspect", "verify", "audit-public", "process-check", "conformance")
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tracewell")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("validate", "summary", "project", "audit-public", "conformance"):
+    for name in ("validate", "verify", "summary", "project", "audit-public", "conformance"):
         s = sub.add_parser(name)
         if name == "conformance":
             s.add_argument("kind", choices=CLASSES)
@@ -22,8 +24,10 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--relations", required=True, help="namespace of the registered relations")
         s.add_argument("--operations", required=True, help="namespace of the operation types")
         s.add_argument("--include", nargs="*", default=[], help="ids of entities that were reviewed for publication")
-        s.add_argument("--schemas", help="folder of JSON Schema documents, for validate and conformance")
+        s.add_argument("--schemas", help="folder of JSON Schema documents, for validate, verify and conformance")
         s.add_argument("--schema-id", help="$id of the schema of records")
+        if name == "verify":
+            s.add_argument("--receipt-schema-id", help="$id of the schema of the lines of event logs")
     s = sub.add_parser("lineage")
     s.add_argument("path")
     s.add_argument("root")
@@ -45,9 +49,12 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--schemas", required=True)
     s.add_argument("--schema-id", required=True, help="$id of the schema of requests")
     sub.add_parser("schema-list").add_argument("schemas")
+    sub.add_parser("capabilities")
     s = sub.add_parser("schema-show")
     s.add_argument("schemas")
     s.add_argument("id")
+    for name in (*JUDGES, "summary", "project", "lineage"):
+        sub.choices[name].add_argument("--out", help="a new folder for the rows, as JSON lines, instead of printing them")
     try:
         a = p.parse_args(argv)
         if getattr(a, "schemas", None) and "schema_id" in a and not a.schema_id:
@@ -75,9 +82,22 @@ def schemas_of(folder: str) -> dict[str, dict]:
     return out
 
 
+def capabilities() -> dict:
+    from dataclasses import asdict
+
+    from tracewell.operators import lineage, records as rec
+    from tracewell.sources import bundles, strict_json
+
+    limits = asdict(bundles.Limits()) | {"record": strict_json.LARGEST_RECORD, "json_depth": strict_json.DEPTH, "lineage_depth": lineage.GREATEST_DEPTH}
+    return {"version": rec.VERSION, "classes": CLASSES, "processes": PROCESSES, "limits": limits}
+
+
 def run(a) -> int:
     from tracewell.sources import bundles
 
+    if a.command == "capabilities":
+        print(json.dumps(capabilities()))
+        return 0
     if a.command in ("schema-list", "schema-show"):
         known = schemas_of(a.schemas)
         for line in sorted(known) if a.command == "schema-list" else [known[a.id]] if a.id in known else []:
@@ -95,24 +115,28 @@ def run(a) -> int:
     if a.command == "unpack":
         bundles.unpack(a.source, a.target)
         return 0
+    from pyspark.errors import AnalysisException
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
     from tracewell.operators import checks, lineage, public, records as rec, schema
-    from tracewell.plans import processing, validation
+    from tracewell.plans import processing, validation, verification
     from tracewell.sources import strict_json
 
     spark = SparkSession.builder.getOrCreate()
+    structure = {"schemas": schemas_of(a.schemas), "schema_id": a.schema_id} if getattr(a, "schemas", None) else {}
+    if a.command in ("inspect", "verify"):  # a folder with a manifest is a bundle; else its ZIP files are
+        b = bundles.folder_bundle(spark, a.path, "") if os.path.isfile(os.path.join(a.path, "manifest.json")) else bundles.zip_bundles(spark, a.path)
     if a.command == "inspect":
-        manifest = bundles.zip_manifests(spark, a.path)
-        found = bundles.manifest_findings(bundles.declared_files(manifest), bundles.zip_entries(spark, a.path))
-        found = found.unionByName(bundles.reference_findings(manifest)).drop("bundle")
+        found = bundles.manifest_findings(bundles.declared_files(b.manifest), b.entries)
+        found = found.unionByName(bundles.reference_findings(b.manifest)).drop("bundle")
+    elif a.command == "verify":
+        found = verification.verify(b, rec.Vocabulary(a.relations, a.operations), **structure, receipt_schema_id=a.receipt_schema_id).drop("bundle")
     elif a.command == "process-check":
         found = schema.validate(strict_json.read_records(spark, a.path), schemas_of(a.schemas), a.schema_id)
     else:
         words = rec.Vocabulary(a.relations, a.operations)
         rows = strict_json.read_records(spark, a.path)
-        structure = {"schemas": schemas_of(a.schemas), "schema_id": a.schema_id} if getattr(a, "schemas", None) else {}
         if a.command == "validate":
             found = validation.diagnose(rows, words, **structure)
         elif a.command == "summary":
@@ -132,11 +156,19 @@ def run(a) -> int:
             found, _, missing = lineage.report(entities, rec.lineage_edges(f, words), roots, a.direction, a.depth)
             if not missing.count() < rows.count():  # no record has it
                 raise lineage.LineageError("LINEAGE_ENTITY_MISSING", "no record has this entity")
+    failed = F.col("status") == "failed" if a.command == "conformance" else F.lit(True)
+    if a.out:
+        try:
+            found.write.mode("errorifexists").json(a.out)
+        except AnalysisException as e:
+            e.code = "OUTPUT_EXISTS" if e.getCondition() == "PATH_ALREADY_EXISTS" else "IO_FAILURE"
+            raise
+        return int(a.command in JUDGES and not spark.read.schema(found.schema).json(a.out).where(failed).isEmpty())
     n = 0
     for line in found.toJSON().toLocalIterator():
         print(line)
         n += a.command != "conformance" or json.loads(line)["status"] == "failed"
-    return int(n > 0 and a.command in ("validate", "inspect", "audit-public", "process-check", "conformance"))
+    return int(n > 0 and a.command in JUDGES)
 
 
 if __name__ == "__main__":

@@ -11,15 +11,20 @@ from tracewell.sources import strict_json
 
 
 def diagnose(records: DataFrame, words: rec.Vocabulary, schemas: dict[str, dict] | None = None, schema_id: str | None = None) -> DataFrame:
-    """(record_key, code, severity, instance_path) of records (record_key, raw)."""
+    """(record_key, code, severity, instance_path) of records (record_key, raw). Records whose structure is invalid and that
+    name another version of the format are told so."""
     if schemas is not None:
         first = schema.validate(records, schemas, schema_id).select("record_key", "code", F.lit("error").alias("severity"), "instance_path")
     else:
         first = strict_json.verdicts(records).select("record_key", "code", F.lit("error").alias("severity"), F.col("pointer").alias("instance_path"))
     first = materialized(first, "structure")
     sound = records.join(first.select("record_key").distinct(), "record_key", "left_anti")
+    members = F.from_json("raw", "map<string,string>")
+    other = F.map_contains_key(members, rec.VERSION_MEMBER) & ~members[rec.VERSION_MEMBER].eqNullSafe(F.lit(rec.VERSION))
+    old = records.join(first.where("code = 'SCHEMA_INVALID'").select("record_key").distinct(), "record_key", "left_semi").where(other)
+    old = rec.diagnostic(old, "UNSUPPORTED_VERSION", F.lit(f"/{rec.VERSION_MEMBER}"))
     shape = profiles.check(sound, words).select("record_key", "code", F.lit("error").alias("severity"), F.lit("/profiles").alias("instance_path"))
-    return first.unionByName(shape).unionByName(rec.semantics(sound, words)).distinct()
+    return first.unionByName(old).unionByName(shape).unionByName(rec.semantics(sound, words)).distinct()
 
 
 def verdicts(records: DataFrame, words: rec.Vocabulary, **structure) -> DataFrame:

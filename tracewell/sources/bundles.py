@@ -12,15 +12,17 @@ import re
 import tempfile
 import zipfile
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.names import fold_path, path_problem
 from tracewell.operators import checks
-from tracewell.sources.strict_json import JsonError, parse
+from tracewell.sources.strict_json import LARGEST_RECORD, JsonError, parse
 
 #: What a bundle may hold.
 @dataclass(frozen=True)
@@ -106,6 +108,15 @@ def list_zip(bundle: str, content: bytes, limits: Limits = Limits()):
         yield bundle, i.filename, i.file_size, None if code else digest.hexdigest(), code
 
 
+def _each(fn: Callable, path: str) -> Column:
+    """fn of every path, over Arrow batches."""
+
+    def over(paths: pd.Series) -> pd.Series:
+        return paths.map(fn)
+
+    return F.pandas_udf(over, "string")(path)
+
+
 def _inner(path: str):
     inner = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
     base = "/" + path.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
@@ -123,10 +134,9 @@ def folder_entries(spark: SparkSession, path: str, bundle: str, limits: Limits =
     over = "BUNDLE_ENTRY_COUNT_LIMIT" if n + above > limits.entries else "BUNDLE_TOTAL_LIMIT" if total > limits.total else None
     if over:
         return spark.createDataFrame([(bundle, "", None, None, over)], ENTRIES)
-    problem = F.udf(path_problem, "string")
     large = sizes.where(F.col("length") > limits.entry).select(F.lit(bundle).alias("bundle"), "path", "length", F.lit(None).cast("string").alias("sha256"), F.lit("BUNDLE_ENTRY_LIMIT").alias("code"))
     read = source.load(path).where(F.col("length") <= limits.entry).select(F.lit(bundle).alias("bundle"), _inner(path).alias("path"), "length", F.sha2("content", 256).alias("sha256"))
-    read = read.withColumn("code", problem("path")).withColumn("sha256", F.when(F.col("code").isNull(), F.col("sha256")))
+    read = read.withColumn("code", _each(path_problem, "path")).withColumn("sha256", F.when(F.col("code").isNull(), F.col("sha256")))
     return read.unionByName(large)
 
 
@@ -206,6 +216,86 @@ def folder_manifest(spark: SparkSession, path: str, bundle: str, limits: Limits
     return spark.createDataFrame(read_manifest(bundle, None if content is None else bytes(content), limits), MANIFEST)
 
 
+CONTENTS = "bundle string, path string, role string, line long, raw string, id string, record_id string, sequence long, code string"
+_CONTENT_TYPES = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+_READ = ("record", "event-log")
+
+
+def member_rows(bundle: str, path: str, role: str, content: bytes, limits: Limits = Limits()):
+    """The rows of CONTENTS of a record (line 0) or of the lines of an event log."""
+    if role == "event-log":
+        for n, text, code in split_log(content, limits.line):
+            yield bundle, path, role, n, text, *receipt_of(text), code
+        return
+    text = name = code = None
+    if len(content) > LARGEST_RECORD:
+        code = "RECORD_LIMIT"
+    else:
+        try:
+            text = content.decode("utf-8")
+            doc = parse(text)
+            name = doc.get("id") if isinstance(doc, dict) else None
+        except (UnicodeDecodeError, JsonError):
+            text, code = None, "BUNDLE_RECORD_INVALID_JSON"
+    yield bundle, path, role, 0, text, name if isinstance(name, str) else None, None, None, code
+
+
+def _zip_members(bundle: str, content: bytes, limits: Limits):
+    """The rows of the records and event logs that the manifest in a ZIP lists; unsound entries have none."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+        infos = {i.filename: i for i in archive.infolist()}
+        if len(archive.infolist()) > limits.entries or "manifest.json" not in infos or entry_problem(infos["manifest.json"], limits):
+            return
+        listed = {path: role for _, kind, _, _, path, role, *_ in read_manifest(bundle, _manifest_in_zip(content, limits), limits) if kind == "file" and role in _READ}
+    except (zipfile.BadZipFile, OSError, EOFError, zlib.error, NotImplementedError):
+        return
+    for path, role in listed.items():
+        if path in infos and not entry_problem(infos[path], limits):
+            try:
+                body = archive.read(infos[path])
+            except (zipfile.BadZipFile, OSError, EOFError, zlib.error, NotImplementedError):
+                continue
+            yield from member_rows(bundle, path, role, body, limits)
+
+
+def _contents(files: DataFrame, rows: Callable) -> DataFrame:
+    """The rows of CONTENTS that rows(file) gives, a file at a time."""
+    names = [x.split()[0] for x in CONTENTS.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            for file in zip(*[b.column(k).to_pylist() for k in range(b.num_columns)], strict=True):
+                cols = list(zip(*rows(*file), strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CONTENT_TYPES, strict=True)], names=names)
+
+    return files.mapInArrow(run, CONTENTS)
+
+
+@dataclass(frozen=True)
+class Bundles:
+    """What is read of bundles: their entries (ENTRIES), manifests (MANIFEST), and listed records and logs (CONTENTS)."""
+
+    entries: DataFrame
+    manifest: DataFrame
+    contents: DataFrame
+
+
+def zip_bundles(spark: SparkSession, path: str, limits: Limits = Limits()) -> Bundles:
+    """The bundles in the ZIP files below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    return Bundles(zip_entries(spark, path, limits), zip_manifests(spark, path, limits), _contents(files, lambda b, c: _zip_members(b, c, limits)))
+
+
+def folder_bundle(spark: SparkSession, path: str, bundle: str, limits: Limits = Limits()) -> Bundles:
+    """The bundle that a folder is."""
+    manifest = folder_manifest(spark, path, bundle, limits)
+    listed = F.broadcast(manifest.where(F.col("role").isin(*_READ)).select("bundle", "path", "role").distinct())  # of a manifest of at most limits.manifest bytes
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= limits.entry).select(_inner(path).alias("path"), "content")
+    files = files.join(listed, "path").select("bundle", "path", "role", "content")
+    return Bundles(folder_entries(spark, path, bundle, limits), manifest, _contents(files, lambda *file: member_rows(*file, limits)))
+
+
 def declared_files(manifest: DataFrame) -> DataFrame:
     """The files of manifests, as manifest_findings takes them."""
     return manifest.where("kind = 'file'").select("bundle", "path", "byte_length", "sha256")
@@ -256,7 +346,7 @@ def manifest_findings(declared: DataFrame, entries: DataFrame) -> DataFrame:
     both = declared.select("bundle", "path", "byte_length", F.col("sha256").alias("declared")).join(found, ["bundle", "path"])
     size = both.where("byte_length <> length").select("bundle", F.lit("BUNDLE_SIZE_MISMATCH").alias("code"), "path")
     digest = both.where(F.lower("declared") != F.lower("sha256")).select("bundle", F.lit("BUNDLE_DIGEST_MISMATCH").alias("code"), "path")
-    twice = checks.repeated(declared.withColumn("_o", F.monotonically_increasing_id()), ["bundle", "path"], [F.col("_o")]).select("bundle", F.lit("BUNDLE_DUPLICATE_PATH").alias("code"), "path")
+    twice = checks.repeated(declared, ["bundle", "path"], [F.col("byte_length"), F.col("sha256")]).select("bundle", F.lit("BUNDLE_DUPLICATE_PATH").alias("code"), "path")
     none = entries.groupBy("bundle").agg(F.bool_or(F.col("path") == "manifest.json").alias("has")).where("NOT has").select("bundle", F.lit("BUNDLE_MANIFEST_MISSING").alias("code"), F.lit("manifest.json").alias("path"))
     out = bad
     for part in (missing, itself, size, digest, twice, none, path_collisions(found)):
@@ -266,8 +356,7 @@ def manifest_findings(declared: DataFrame, entries: DataFrame) -> DataFrame:
 
 def path_collisions(entries: DataFrame) -> DataFrame:
     """Entries that, folded, equal another's path or are an ancestor of it."""
-    fold = F.udf(fold_path, "string")
-    e = entries.select("bundle", "path", fold("path").alias("folded"))
+    e = entries.select("bundle", "path", _each(fold_path, "path").alias("folded"))
     same = checks.repeated(e, ["bundle", "folded"], [F.col("path")]).select("bundle", "path")
     above = e.select("bundle", F.explode(checks.path_prefixes(F.col("folded"))).alias("folded")).distinct()
     files = e.join(above, ["bundle", "folded"], "left_semi").select("bundle", "path")
@@ -296,6 +385,15 @@ def split_log(content: bytes, limit: int = Limits.line):
                 yield n, None, "BUNDLE_EVENT_INVALID_JSON"
 
 
+def receipt_of(text: str | None) -> tuple[str | None, str | None, int | None]:
+    """id, recordId and sequence of a line of a log; null where the line has none of the right type."""
+    v = parse(text) if text is not None else None
+    v = v if isinstance(v, dict) else {}
+    number = v.get("sequence")
+    words = [v[k] if isinstance(v.get(k), str) else None for k in ("id", "recordId")]
+    return *words, number if isinstance(number, int) and not isinstance(number, bool) else None
+
+
 def read_receipts(spark: SparkSession, path: str, pattern: str = "*.ndjson") -> DataFrame:
     """(log, line, id, record_id, sequence, code) of every line of the logs below a folder."""
     names = ["log", "line", "id", "record_id", "sequence", "code"]
@@ -304,11 +402,7 @@ def read_receipts(spark: SparkSession, path: str, pattern: str = "*.ndjson") ->
         for b in batches:
             out = []
             for log, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for n, text, code in split_log(content):
-                    v = parse(text) if text is not None else {}
-                    v = v if isinstance(v, dict) else {}
-                    number = v.get("sequence")
-                    out.append((log, n, v.get("id"), v.get("recordId"), number if isinstance(number, int) and not isinstance(number, bool) else None, code))
+                out += [(log, n, *receipt_of(text), code) for n, text, code in split_log(content)]
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=names)
 
@@ -331,11 +425,11 @@ def event_closure(declared: DataFrame, receipts: DataFrame) -> DataFrame:
     n = valid.groupBy("log", "id").agg(F.count(F.lit(1)).alias("n"), F.max_by("record_id", "line").alias("owner"))
     first = declared.withColumn("_n", F.row_number().over(Window.partitionBy("log", "id").orderBy("record_id")))
     twice = first.where("_n > 1").select("log", F.lit("BUNDLE_EVENT_DECLARATION_DUPLICATE").alias("code"), "id")
-    met = first.where("_n = 1").drop("_n").join(n, ["log", "id"], "left")
+    met = declared.join(n, ["log", "id"], "left")
     loose = met.where(~F.coalesce(F.col("n") == 1, F.lit(False))).select("log", F.lit("BUNDLE_EVENT_CLOSURE").alias("code"), "id")
     other = met.where(F.col("n").isNotNull() & ~F.col("owner").eqNullSafe(F.col("record_id"))).select("log", F.lit("BUNDLE_EVENT_RECORD_MISMATCH").alias("code"), "id")
     extra = valid.select("log", "id").distinct().join(declared.select("log", "id"), ["log", "id"], "left_anti").select("log", F.lit("BUNDLE_EVENT_UNDECLARED").alias("code"), "id")
-    return twice.unionByName(loose).unionByName(other).unionByName(extra)
+    return twice.unionByName(loose).unionByName(other).unionByName(extra).distinct()
 
 
 def pack(folder: str, target: str, level: int = 9) -> None:
