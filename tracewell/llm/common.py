@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -55,10 +55,11 @@ def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def bytes_of(df: DataFrame) -> int:
-    """What a written table of numbers, and arrays of them, takes when it is broadcast, estimated from counts."""
-    lists = [f.name for f in df.schema.fields if isinstance(f.dataType, ArrayType)]
-    rows, *items = df.agg(F.count(F.lit(1)), *[F.sum(F.greatest(F.size(c), F.lit(0))) for c in lists]).first()
-    return rows * (100 + 12 * len(df.columns)) + 16 * sum(x or 0 for x in items)
+    """What a written table of numbers, arrays of them, and short texts takes when it is broadcast, estimated from counts."""
+    lists = [F.greatest(F.size(f.name), F.lit(0)) * 16 for f in df.schema.fields if isinstance(f.dataType, ArrayType)]
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    rows, *items = df.agg(F.count(F.lit(1)), *[F.sum(x) for x in lists + texts]).first()
+    return rows * (100 + 12 * len(df.columns)) + sum(x or 0 for x in items)
 
 
 def looked_up(left: DataFrame, right: DataFrame, on: list[str], count: str, how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, media, minhash, mixing, quality, substrings, token_files, toxicity, urls
+from . import bpe, divergence, interactions, lines, media, minhash, mixing, quality, substrings, token_files, toxicity, urls
 
 QUERIES = {
     "op4_line_dedup": lines.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op6_token_files": token_files.query,
     "op9_quality_rules": quality.query,
     "op10_media_columns": media.query,
+    "op12_filter_audit": interactions.query,
+    "op13_source_divergence": divergence.query,
 }
 ORACLES = {
     "op4_line_dedup": lines.SQL,
@@ -22,4 +24,6 @@ ORACLES = {
     "op2_substring_dedup": substrings.SQL,
     "op8_mixing": mixing.SQL,
     "op9_quality_rules": quality.SQL,
+    "op12_filter_audit": interactions.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
