@@ -17,7 +17,8 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     got, want = queries.QUERIES[name](spark, DATA).toPandas(), con.execute(queries.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda d: sorted(d[sorted(d.columns)].astype(str).agg("|".join, axis=1)) if len(d) else []

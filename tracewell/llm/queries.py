@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, divergence, interactions, lines, media, minhash, mixing, quality, substrings, token_files, toxicity, urls
+from . import bpe, divergence, interactions, lines, media, minhash, mixing, neighbours, quality, substrings, token_files, toxicity, urls
 
 QUERIES = {
     "op4_line_dedup": lines.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_token_files": token_files.query,
     "op9_quality_rules": quality.query,
     "op10_media_columns": media.query,
+    "op11_hash_forest": neighbours.query,
     "op12_filter_audit": interactions.query,
     "op13_source_divergence": divergence.query,
 }
