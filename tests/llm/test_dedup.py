@@ -173,3 +173,42 @@ def test_near_duplicates_of_nothing(spark, none, docs):
     assert minhash.near_duplicates(none).count() == 0 and minhash.dedup(none).count() == 0
     rows = minhash.near_duplicates(docs).collect()
     assert len(rows) == len(ROWS) and {r.kept for r in rows if r.doc_id in (None, 3, 4, 5, 6)} == {True}
+
+
+BLANKS = ["\u00a0", "\u3000", "\u0085", "\u2003", "\x1c", "\x1d", "\x1e", "\x1f"]
+
+
+def test_only_ascii_blanks_separate_words(spark):
+    """Other blanks are parts of words: such lines are neither equal to lines with a space nor without words."""
+    import duckdb
+
+    rows = [(1, "alpha beta gamma"), (2, "alpha\tbeta \x0b gamma\x0c")]
+    for k, b in enumerate(BLANKS):
+        rows += [(10 * k + 10, f"alpha{b}beta gamma"), (10 * k + 11, b), (10 * k + 12, f" {b}\r"), (10 * k + 13, f"a b c d e f g{b}h i j"), (10 * k + 14, "a b c d e f g h i j\nown line")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    names = ["doc_id", "line_no", "start", "stop", "kept_id", "kept_line", "edits"]
+    want = set(con.execute(f"SELECT {', '.join(names)} FROM ({lines.SQL})").fetchall())
+    assert {tuple(r) for r in lines.repeats(d).select(*names).collect()} == want
+    left = {r.doc_id: r.text for r in lines.dedup(d).collect()}
+    assert 2 not in left and all(left[10 * k + 10] == f"alpha{b}beta gamma" and left[10 * k + 11] == b for k, b in enumerate(BLANKS))
+
+
+def test_least_words_of_near_lines_is_a_parameter(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "one two three"), (2, "one two four"), (3, "x"), (4, "one two"), (5, "y z")], "doc_id long, text string")
+    for n in (1, 2, 3, 8):
+        got = {(r.doc_id, r.line_no): (r.kept_id, r.kept_line, r.edits) for r in lines.repeats(d, near_words=n).collect()}
+        monkeypatch.setattr(lines, "NEAR_WORDS", n)
+        assert got == near_lines(d.collect())
+    assert {r.doc_id for r in lines.dedup(d, near_words=3).collect()} == {1, 3, 4, 5}
+    with pytest.raises(ValueError):
+        lines.repeats(d, near_words=0)
+
+
+def test_ids_that_are_no_whole_numbers_are_refused(spark):
+    d = spark.createDataFrame([("a", "one two")], "doc_id string, text string")
+    for run in (lines.repeats, lines.dedup, minhash.near_duplicates, minhash.dedup):
+        with pytest.raises(TypeError, match="whole numbers"):
+            run(d)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegralType, StringType, StructType
 
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -90,6 +90,8 @@ def text_map(df: DataFrame, keys: list[str], text: str, extra: str, fn: Callable
     remembers goes with the task: a function with the attribute close has it called, since Python workers are reused."""
     added = StructType.fromDDL(extra)
     schema = StructType([df.schema[k] for k in keys] + added.fields)
+    if len({n.lower() for n in schema.names}) < len(schema.names):
+        raise ValueError(f"carried columns must differ from each other and from {', '.join(added.names)}")
     arrow = to_arrow_schema(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +125,12 @@ def give_back() -> None:
         trim(0)
 
 
+def whole_numbers(df: DataFrame, key: str) -> None:
+    """Refuses a key column that is not of a whole-number type: ids are compared and ranked as longs."""
+    if not isinstance(df.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must hold whole numbers, not {df.schema[key].dataType.simpleString()}")
+
+
 def column_name(df: DataFrame, wanted: str) -> str:
     """wanted, with underscores until it clashes with no column of df (names compare without case)."""
     taken = {c.lower() for c in df.columns}

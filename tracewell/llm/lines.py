@@ -1,8 +1,10 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line is normalised (lower case, single spaces) and read as words; two lines are near if at most one word is inserted,
+A line is normalised (lower case, single spaces) and read as words, which only [\x20\x09-\x0D] separates: any other blank is
+part of a word. Two lines are near if at most one word is inserted,
 deleted or replaced (edit distance 1 over words). A line goes if an earlier line, by id and place, equals it or is near
-it; so of a set of copies the earliest stays. Only lines of at least NEAR_WORDS words can be near without being equal.
+it; so of a set of copies the earliest stays. Only lines of at least near_words words (NEAR_WORDS, unless the caller says
+otherwise; 1: all lines) can be near without being equal.
 
 1. Lines are hashed; equal ones are grouped globally.
 2. A line can only be near another if it shares its first or its last half with it. Lines whose half-hashes no other
@@ -15,7 +17,7 @@ it; so of a set of copies the earliest stays. Only lines of at least NEAR_WORDS
 A line's rank is one number: its text's id, 31 bits of the text's hash, and its place.
 
 Defined results: lines without a word stay and are compared with nothing; null or empty texts have no lines. Rows with a
-null id are not compared. Rows that repeat an id and its text keep or lose a line alike; texts that share an id are ranked by
+null id are not compared; ids are whole numbers, others are refused. Rows that repeat an id and its text keep or lose a line alike; texts that share an id are ranked by
 their hashes. An empty table gives no rows.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import HOT_ROWS, SEPARATORS, SLICE, column_name, give_back, looked_up, mapped, saved, small_side
+from .common import HOT_ROWS, SEPARATORS, SLICE, column_name, give_back, looked_up, mapped, saved, small_side, whole_numbers
 
 NEAR_WORDS = 8
 LINES = "line_no int, start int, stop int, d1 long, d2 long, keys array<long>"
@@ -36,8 +38,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
 
 
-def words_of(line: str) -> list[str]:
-    return line.lower().split()
+def words_of(line: str) -> list[bytes]:
+    return line.lower().encode("utf-8", "surrogatepass").split()  # bytes split at SEPARATORS only
 
 
 def split_lines(text: str | None) -> list[tuple[int, int, str]]:
@@ -48,29 +50,29 @@ def split_lines(text: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
-def digest(words: list[str]) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
+def digest(words: list[bytes]) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(b" ".join(words))
     return (d >> 64) - 2**63, (d & 2**64 - 1) - 2**63
 
 
-def half_keys(words: list[str]) -> list[int]:
+def half_keys(words: list[bytes], near_words: int = NEAR_WORDS) -> list[int]:
     """Hashes of both halves, as cut for the line's own length and for a partner with one word less."""
     n = len(words)
     out = []
-    for m in {n, max(n - 1, NEAR_WORDS)} if n >= NEAR_WORDS else ():
+    for m in {n, max(n - 1, near_words)} if n >= near_words else ():
         half = m // 2
         for side, part in ((0, words[:half]), (1, words[n - (m - half) :])):
-            out.append(xxhash.xxh3_64_intdigest(" ".join(part).encode("utf-8", "surrogatepass"), seed=2 * m + side) - 2**63)
+            out.append(xxhash.xxh3_64_intdigest(b" ".join(part), seed=2 * m + side) - 2**63)
     return out
 
 
-def variants(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def variants(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the line and of the line without each word; and the place of that word (-1: none)."""
     n = len(words)
     power = np.empty(n + 1, np.uint64)
     power[0] = 1
     power[1:] = np.cumprod(np.full(n, _BASE, np.uint64))
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, n) * power[:-1]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n) * power[:-1]
     before = np.concatenate([[np.uint64(0)], np.cumsum(h)])
     whole = before[n]
     without = before[:-1] + (whole - before[1:]) * np.uint64(_BACK)
@@ -80,7 +82,7 @@ def variants(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return v.view(np.int64), np.arange(-1, n, dtype=np.int32)
 
 
-def within_one(a: list[str], b: list[str]) -> int | None:
+def within_one(a: list, b: list) -> int | None:
     """0 or 1, the edit distance over words; None if it is more."""
     if len(a) > len(b):
         a, b = b, a
@@ -94,7 +96,7 @@ def within_one(a: list[str], b: list[str]) -> int | None:
     return 1 if a[k + (len(a) == len(b)) :] == b[k + 1 :] else None
 
 
-def lines(plain: DataFrame) -> DataFrame:
+def lines(plain: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """A row for each line with a word. plain: ranked()."""
     schema = StructType([*plain.schema.fields[:2], *StructType.fromDDL(LINES).fields])
     types = [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.list_(pa.int64())]
@@ -107,7 +109,7 @@ def lines(plain: DataFrame) -> DataFrame:
                 for k, t in enumerate(part.column(2).to_pylist()):
                     for number, (start, stop, line) in enumerate(split_lines(t)):
                         if words := words_of(line):
-                            rows.append((number, start, stop, *digest(words), half_keys(words)))
+                            rows.append((number, start, stop, *digest(words), half_keys(words, near_words)))
                             owner.append(k)
                 cols = list(zip(*rows, strict=True)) or [()] * len(types)
                 at_ = pa.array(owner, pa.int32())
@@ -124,6 +126,7 @@ def version(text: Column) -> Column:
 
 def ranked(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, v and text of the rows that are compared."""
+    whole_numbers(docs, key)
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), version(F.col(text)).alias("v"), F.col(text).cast("string").alias("text"))
 
 
@@ -151,7 +154,7 @@ def _texts(plain: DataFrame, wanted: DataFrame) -> DataFrame:
             out = []
             for d, v, t, numbers in zip(*[b.column(c).to_pylist() for c in range(4)], strict=True):
                 all_lines = split_lines(t)
-                out += [(d, v, k, " ".join(words_of(all_lines[k][2]))) for k in numbers]
+                out += [(d, v, k, b" ".join(words_of(all_lines[k][2])).decode("utf-8", "surrogatepass")) for k in numbers]
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=schema.names)
 
@@ -163,7 +166,7 @@ def _emit(batches):
     for b in batches:
         for at in range(0, b.num_rows, SLICE):
             part = b.slice(at, SLICE)
-            made = [variants(w.split(" ")) for w in part.column(3).to_pylist()]
+            made = [variants(w.encode("utf-8", "surrogatepass").split(b" ")) for w in part.column(3).to_pylist()]
             size = [len(v) for v, _ in made]
             owner = pa.array(np.repeat(np.arange(len(made), dtype=np.int32), size))
             cols = [pa.array(np.concatenate([v for v, _ in made])), pa.array(np.concatenate([p for _, p in made]))]
@@ -210,9 +213,11 @@ def _spread(pairs: DataFrame, other: DataFrame) -> DataFrame:
     return dealt.join(copies, ["offer", "share"]).drop("share")
 
 
-def repeats_of(plain: DataFrame) -> DataFrame:
+def repeats_of(plain: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc, v, line_no, start, stop, and kept: the rank of the earliest line that a removed line repeats; edits."""
-    found = saved(lines(plain), "lines")
+    if near_words < 1:
+        raise ValueError("near_words is at least 1")
+    found = saved(lines(plain, near_words), "lines")
     groups = saved(found.groupBy("d1", "d2").agg(F.min(_rank()).alias("least"), F.count(F.lit(1)).alias("rows")), "line-groups")
     close = saved(near(plain, groups, found.select(F.explode("keys").alias("half"), "d1", "d2")), "line-near")
     many = groups.join(small_side(close), ["d1", "d2"], "left").where("rows > 1 OR near IS NOT NULL")
@@ -221,18 +226,18 @@ def repeats_of(plain: DataFrame) -> DataFrame:
     return out.select("doc", "v", "line_no", "start", "stop", F.coalesce("near", "least").alias("kept"), F.when(F.col("near").isNull(), 0).otherwise(1).alias("edits"))
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", near_words: int = NEAR_WORDS) -> DataFrame:
     """The lines to remove: key, line_no, start, stop, the earliest line that each repeats (kept_id, kept_line), and edits:
     0 if it equals that line, else 1."""
     doc, _, no = _place("kept")
-    return repeats_of(ranked(docs, key, text)).select(F.col("doc").alias(key), "line_no", "start", "stop", doc.alias("kept_id"), no.alias("kept_line"), "edits")
+    return repeats_of(ranked(docs, key, text), near_words).select(F.col("doc").alias(key), "line_no", "start", "stop", doc.alias("kept_id"), no.alias("kept_line"), "edits")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", near_words: int = NEAR_WORDS) -> DataFrame:
     """docs without its repeated lines, with its columns (length, where it is a column, counts anew). A row whose every
     line with a word was a repeat goes; rows that had no such line stay."""
     id_, v, cut = (column_name(docs, c) for c in ("_id", "_v", "_gone"))
-    gone = repeats_of(ranked(docs, key, text)).groupBy(F.col("doc").alias(id_), F.col("v").alias(v)).agg(F.collect_set("line_no").alias(cut))
+    gone = repeats_of(ranked(docs, key, text), near_words).groupBy(F.col("doc").alias(id_), F.col("v").alias(v)).agg(F.collect_set("line_no").alias(cut))
     same = (docs[key].cast("long") == F.col(id_)) & (version(docs[text]) == F.col(v))
     joined = docs.join(small_side(saved(gone, "line-gone")), same, "left").drop(id_, v)
     names, at = docs.columns, docs.columns.index(text)

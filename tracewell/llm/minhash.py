@@ -15,7 +15,8 @@ and all pairs under that distance meet under a key. At the similarity 0.8 a pair
 4. Confirmed links give the components.
 
 Defined results: a null text, or one without words, has the empty set and links with nothing. A text with fewer words
-than a shingle is one shingle. A null id links with nothing. Rows that share an id are one node: it is linked with all that one
+than a shingle is one shingle. A null id links with nothing; ids are whole numbers, others are
+refused. Rows that share an id are one node: it is linked with all that one
 of its texts is linked with, and so its rows are kept or not together. An empty table gives no rows.
 """
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_name, looked_up, saved, small_side, text_map
+from .common import column_name, looked_up, saved, small_side, text_map, whole_numbers
 
 CHUNKS, CHUNK, ERRORS = 9, 5, 1
 K = CHUNKS * CHUNK
@@ -315,6 +316,7 @@ def confirmed(docs: DataFrame, clusters: DataFrame, text: str, size: int) -> Dat
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
     """key, n_shingles, component_id and kept of every row."""
+    whole_numbers(docs, key)
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     marked = saved(signatures(plain, "id", "text", size).withColumnRenamed("n_shingles", "n"), "near-signatures")
     used = marked.where("n > 0 AND id IS NOT NULL")

@@ -11,7 +11,7 @@ there: the files follow each other in the order of the keys. No range bound depe
 once. There are so many ranges that one holds about RANGE_BYTES of text; null keys, and a key that fills several ranges, are
 dealt over theirs by a hash of the ids.
 
-Defined results: a null text has only the end id. A null key sorts first. Rows that repeat a key are all stored, by range and
+Defined results: a null text has only the end id. A null key sorts first; keys are whole numbers, others are refused. Rows that repeat a key are all stored, by range and
 then by their ids in order; equal rows stay together. An empty table gives no segment.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .bpe import NEWER, UNITS, byte_alphabet, default_vocabulary
 from .chunks import Chunks
-from .common import saved, text_map
+from .common import saved, text_map, whole_numbers
 
 END_ID = 2
 #: Tokens of a segment; one longer document is a segment of its own.
@@ -162,8 +162,8 @@ def _segments(key: str):
 
 def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encodes every text and writes the segments to the shared folder. Returns the written table."""
-    spark = docs.sparkSession
     path = path or default_vocabulary()
+    whole_numbers(docs, key)
     keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     nulls, bounds = key_ranges(keyed)
     total = nulls + len(bounds) + 1
