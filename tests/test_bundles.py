@@ -92,7 +92,7 @@ def entry(path, role, **more):
 
 
 def manifest(records, files):
-    head = {"manifestType": "masa-bundle", "manifestVersion": "0.2.0", "masaVersion": "0.2.0", "id": "urn:m", "createdAt": "2026-01-01T00:00:00Z", "createdBy": "urn:a", "disclosure": "private", "profiles": ["core"]}
+    head = {"manifestType": "some-bundle", "manifestVersion": "0.2.0", "formatVersion": "0.2.0", "id": "urn:m", "createdAt": "2026-01-01T00:00:00Z", "createdBy": "urn:a", "disclosure": "private", "profiles": ["core"]}
     return head | {"records": [{"id": i, "path": p} for i, p in records], "files": files, "externalReferences": [], "omissions": [], "extensions": {}}
 
 

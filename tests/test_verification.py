@@ -77,10 +77,10 @@ def test_folders_are_verified_with_receipt_schemas_and_written_once(spark, tmp_p
 
 def test_other_versions_are_named_only_where_structure_fails(spark):
     schemas = {"urn:s": {"$id": "urn:s", "type": "object", "required": ["id"]}}
-    docs = {"old": {"masaVersion": "0.1.0"}, "null": {"masaVersion": None}, "same": {"masaVersion": rec.VERSION}, "none": {}, "list": [], "sound": BASE | {"masaVersion": "0.1.0"}}
+    docs = {"old": {"formatVersion": "0.1.0"}, "null": {"formatVersion": None}, "same": {"formatVersion": WORDS.version}, "none": {}, "list": [], "sound": BASE | {"formatVersion": "0.1.0"}}
     rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()], "record_key string, raw string")
     got = validation.diagnose(rows, WORDS, schemas, "urn:s").where("code = 'UNSUPPORTED_VERSION'").collect()
-    assert {(r.record_key, r.instance_path) for r in got} == {("old", "/masaVersion"), ("null", "/masaVersion")}
+    assert {(r.record_key, r.instance_path) for r in got} == {("old", "/formatVersion"), ("null", "/formatVersion")}
 
 
 def test_every_declaration_is_held_against_the_log(spark):

@@ -36,6 +36,8 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--direction", choices=["ancestors", "descendants", "both"], default="both")
     s.add_argument("--depth", type=int, default=16)
     sub.add_parser("inspect").add_argument("path")
+    for name in ("validate", "verify", "summary", "project", "audit-public", "conformance", "lineage", "inspect"):
+        sub.choices[name].add_argument("--version-member", default="formatVersion", help="the member that names the version of the record format")
     for name in ("pack", "unpack"):
         s = sub.add_parser(name)
         s.add_argument("source")
@@ -88,8 +90,8 @@ def capabilities() -> dict:
     from tracewell.operators import lineage, records as rec
     from tracewell.sources import bundles, strict_json
 
-    limits = asdict(bundles.Limits()) | {"record": strict_json.LARGEST_RECORD, "json_depth": strict_json.DEPTH, "lineage_depth": lineage.GREATEST_DEPTH}
-    return {"version": rec.VERSION, "classes": CLASSES, "processes": PROCESSES, "limits": limits}
+    limits = {k: v for k, v in asdict(bundles.Limits()).items() if isinstance(v, int)} | {"record": strict_json.LARGEST_RECORD, "json_depth": strict_json.DEPTH, "lineage_depth": lineage.GREATEST_DEPTH}
+    return {"version": rec.Vocabulary.version, "classes": CLASSES, "processes": PROCESSES, "limits": limits}
 
 
 def run(a) -> int:
@@ -126,21 +128,22 @@ def run(a) -> int:
     spark = SparkSession.builder.getOrCreate()
     structure = {"schemas": schemas_of(a.schemas), "schema_id": a.schema_id} if getattr(a, "schemas", None) else {}
     if a.command in ("inspect", "verify"):  # a folder with a manifest is a bundle; else its ZIP files are
-        b = bundles.folder_bundle(spark, a.path, "") if os.path.isfile(os.path.join(a.path, "manifest.json")) else bundles.zip_bundles(spark, a.path)
+        limits = bundles.Limits(version_member=a.version_member)
+        b = bundles.folder_bundle(spark, a.path, "", limits) if os.path.isfile(os.path.join(a.path, "manifest.json")) else bundles.zip_bundles(spark, a.path, limits)
     if a.command == "inspect":
         found = bundles.manifest_findings(bundles.declared_files(b.manifest), b.entries)
         found = found.unionByName(bundles.reference_findings(b.manifest)).drop("bundle")
     elif a.command == "verify":
-        found = verification.verify(b, rec.Vocabulary(a.relations, a.operations), **structure, receipt_schema_id=a.receipt_schema_id).drop("bundle")
+        found = verification.verify(b, rec.Vocabulary(a.relations, a.operations, a.version_member), **structure, receipt_schema_id=a.receipt_schema_id).drop("bundle")
     elif a.command == "process-check":
         found = schema.validate(strict_json.read_records(spark, a.path), schemas_of(a.schemas), a.schema_id)
     else:
-        words = rec.Vocabulary(a.relations, a.operations)
+        words = rec.Vocabulary(a.relations, a.operations, a.version_member)
         rows = strict_json.read_records(spark, a.path)
         if a.command == "validate":
             found = validation.diagnose(rows, words, **structure)
         elif a.command == "summary":
-            found = rec.summary(rec.facts(rows, words))
+            found = rec.summary(rec.facts(rows, words, ["record", "size"]))
         elif a.command == "project":
             found = public.projections(rows, words, set(a.include))
         elif a.command == "audit-public":
@@ -150,7 +153,7 @@ def run(a) -> int:
             profiles = F.from_json(F.get_json_object("raw", "$.profiles"), "array<string>")
             found = processing.artifact_status(checks.verdicts(rows, diagnostics, "record_key"), rows.select("record_key", profiles.alias("profiles")), a.kind)
         else:
-            f = rec.facts(rows, words)
+            f = rec.facts(rows, words, ["entity", "relation"])
             entities = f.where("kind = 'entity'").select("record_key", "id", F.col("a").alias("collection"), F.col("b").alias("type"), "path", "place")
             roots = rows.select("record_key", F.lit(a.root).alias("id"))
             found, _, missing = lineage.report(entities, rec.lineage_edges(f, words), roots, a.direction, a.depth)

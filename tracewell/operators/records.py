@@ -1,19 +1,20 @@
 """Records to long tables, and the semantic rules over them.
 
-One pass parses each record and emits its facts: entities, references, receipts, their inputs and outputs, relations,
-intervals and times. Rules are joins, windows and filters over those rows, keyed by record_key (never by the record's
+One pass reads each record and emits its facts: entities, references, receipts, their inputs and outputs, relations,
+intervals and times; by columns over VARIANT where that is sure to be right, else by the strict parser. Rules are joins, windows and filters over those rows, keyed by record_key (never by the record's
 own id, which may be missing, repeated or malicious). Diagnostics name the rule and the place, never a value.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators import checks
+from tracewell.operators import checks, fact_columns
 from tracewell.operators.workspace import materialized
 from tracewell.sources.strict_json import JsonError, parse, walk
 
@@ -22,63 +23,64 @@ COLLECTIONS = [
     "actors", "sources", "representations", "encounters", "apertures", "listeningPasses", "claims", "measurements", "regions", "observations",
     "mappings", "relations", "policies", "contexts", "agentRuns", "capabilities",
 ]
-#: The member that names the version of the record format, and the version that is read here.
-VERSION_MEMBER, VERSION = "masaVersion", "0.2.0"
 #: Effects that change what exists.
 CONSEQUENTIAL = ["delete", "derive", "expire", "external-action", "generate", "map", "perform", "publish", "remember", "render", "transform", "withhold"]
 #: Local names of the processing operations.
 PROCESSING = ["granulate", "extract", "reduce", "fragment", "timestretch", "pitchshift"]
 #: Which collection evidence of a role must be in.
 ROLES = {"source": "sources", "representation": "representations", "claim": "claims", "measurement": "measurements", "observation": "observations", "context": "contexts", "operation": "events"}
-AUTHORITIES = "actors policies policyRules"
-#: Where references stand ([] is every item), and the collections they must be in ("" is any).
+AUTHORITIES = ["actors", "policies", "policyRules"]
+#: Where references stand ([] is every item), and the collections they must be in (none: any).
 REFERENCES = {
-    "createdBy": "actors",
+    "createdBy": ["actors"],
     "actors[].authorityRefs[]": AUTHORITIES,
-    "sources[].policyRefs[]": "policies",
-    "sources[].causalClaimRefs[]": "claims",
-    "representations[].policyRefs[]": "policies",
-    "encounters[].actors[]": "actors",
-    "encounters[].contextRefs[]": "contexts",
-    "listeningPasses[].actors[]": "actors",
-    "listeningPasses[].representations[]": "representations",
-    "listeningPasses[].claimRefs[]": "claims",
-    "listeningPasses[].encounterRef": "encounters",
-    "listeningPasses[].apertureRef": "apertures",
-    "claims[].about[]": "",
-    "claims[].actor": "actors",
-    "claims[].listeningPassRef": "listeningPasses",
-    "claims[].alternativeClaimRefs[]": "claims",
-    "claims[].method.apparatusRefs[]": "",
-    "measurements[].about": "",
-    "measurements[].actor": "actors",
-    "measurements[].claimRef": "claims",
-    "measurements[].method.apparatusRefs[]": "",
-    "regions[].representationRef": "representations",
-    "regions[].createdBy": "actors",
-    "regions[].method.apparatusRefs[]": "",
-    "observations[].sourceRef": "sources",
-    "observations[].claimRef": "claims",
-    "observations[].method.apparatusRefs[]": "",
-    "mappings[].sourceObservationRefs[]": "observations",
-    "mappings[].actors[]": "actors",
-    "relations[].subject": "",
-    "relations[].object": "",
-    "relations[].assertedBy": "actors",
-    "relations[].operationRef": "events",
-    "policies[].issuer": "actors",
-    "policies[].rules[].targets[]": "",
-    "policies[].rules[].subjects[]": "actors",
-    "agentRuns[].actorRef": "actors",
-    "agentRuns[].capabilityRefs[]": "capabilities",
-    "agentRuns[].memoryRefs[]": "",
-    "agentRuns[].authorityRefs[]": "",
-    "agentRuns[].operationRefs[]": "events",
-    "publication.approvedBy": "actors",
+    "sources[].policyRefs[]": ["policies"],
+    "sources[].causalClaimRefs[]": ["claims"],
+    "representations[].policyRefs[]": ["policies"],
+    "encounters[].actors[]": ["actors"],
+    "encounters[].contextRefs[]": ["contexts"],
+    "listeningPasses[].actors[]": ["actors"],
+    "listeningPasses[].representations[]": ["representations"],
+    "listeningPasses[].claimRefs[]": ["claims"],
+    "listeningPasses[].encounterRef": ["encounters"],
+    "listeningPasses[].apertureRef": ["apertures"],
+    "claims[].about[]": [],
+    "claims[].actor": ["actors"],
+    "claims[].listeningPassRef": ["listeningPasses"],
+    "claims[].alternativeClaimRefs[]": ["claims"],
+    "claims[].method.apparatusRefs[]": [],
+    "measurements[].about": [],
+    "measurements[].actor": ["actors"],
+    "measurements[].claimRef": ["claims"],
+    "measurements[].method.apparatusRefs[]": [],
+    "regions[].representationRef": ["representations"],
+    "regions[].createdBy": ["actors"],
+    "regions[].method.apparatusRefs[]": [],
+    "observations[].sourceRef": ["sources"],
+    "observations[].claimRef": ["claims"],
+    "observations[].method.apparatusRefs[]": [],
+    "mappings[].sourceObservationRefs[]": ["observations"],
+    "mappings[].actors[]": ["actors"],
+    "relations[].subject": [],
+    "relations[].object": [],
+    "relations[].assertedBy": ["actors"],
+    "relations[].operationRef": ["events"],
+    "policies[].issuer": ["actors"],
+    "policies[].rules[].targets[]": [],
+    "policies[].rules[].subjects[]": ["actors"],
+    "agentRuns[].actorRef": ["actors"],
+    "agentRuns[].capabilityRefs[]": ["capabilities"],
+    "agentRuns[].memoryRefs[]": [],
+    "agentRuns[].authorityRefs[]": [],
+    "agentRuns[].operationRefs[]": ["events"],
+    "publication.approvedBy": ["actors"],
 }
 #: The same inside a receipt, and inside a policy evaluation.
-RECEIPT_REFERENCES = {"actors[]": "actors", "inputs[]": "", "outputs[]": "", "claimRefs[]": "claims"}
-EVALUATION_REFERENCES = {"policyRefs[]": "policies", "authorityRefs[]": AUTHORITIES, "evaluator": "actors", "targets[]": ""}
+RECEIPT_REFERENCES = {"actors[]": ["actors"], "inputs[]": [], "outputs[]": [], "claimRefs[]": ["claims"]}
+EVALUATION_REFERENCES = {"policyRefs[]": ["policies"], "authorityRefs[]": AUTHORITIES, "evaluator": ["actors"], "targets[]": []}
+#: The same inside the parameters of a receipt that generates, and of one that processes.
+GENERATED_REFERENCES = {"parentRefs[]": [], "conditioningRefs[]": [], "regionRefs[]": [], "rejectedOutputRefs[]": []}
+PROCESSED_REFERENCES = {"regionRefs[]": ["regions"], "selection.regionRefs[]": ["regions"]}
 #: Acyclic relations; the end that is the descendant (None: no direction of descent); and, of those stored
 #: backwards in the cycle graph, the relation they are the inverse of.
 ACYCLIC = [
@@ -108,10 +110,13 @@ FACTS = "record_key string, kind string, place int, path string, id string, a st
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """The namespaces of a corpus: that of its registered relations, and that of its operation types."""
+    """What a corpus calls things: the namespaces of its registered relations and of its operation types, the member that
+    names the version of the record format, and the version that is read."""
 
     relations: str
     operations: str
+    version_member: str = "formatVersion"
+    version: str = "0.2.0"
 
 
 def strings(value) -> list[str]:
@@ -158,17 +163,18 @@ def facts_of(doc: dict, words: Vocabulary) -> list[tuple]:
     def fact(kind, path, id=None, a=None, b=None, c=None, d=None, n=None, m=None, expected=None):
         out.append((kind, len(out), path, id, a, b, c, d, n, m, expected))
 
-    def refs(value, table: dict[str, str], path: str):
+    def refs(value, table: dict[str, list[str]], path: str):
         for pattern, kinds in table.items():
             for p, s in expand(value, pattern, path):
-                fact("ref", p, s, expected=kinds.split() or None)
+                fact("ref", p, s, expected=kinds or None)
 
     def entity(value, collection, path):
         if isinstance(value, dict) and _text(value, "id") is not None:
+            ids.append(value["id"])
             fact("entity", path, value["id"], collection, _text(value, "type"), _text(value, "disclosure"))
 
-    version = next((v for k, v in doc.items() if k.endswith("Version") and isinstance(v, str)), None)
-    fact("record", "", _text(doc, "id"), version, _text(doc, "disclosure"), n=_number(doc.get("revision")), expected=strings(doc.get("profiles")))
+    ids: list[str] = []
+    fact("record", "", _text(doc, "id"), _text(doc, words.version_member), _text(doc, "disclosure"), n=_number(doc.get("revision")), expected=strings(doc.get("profiles")))
     entity(doc, "record", "")
     for name in COLLECTIONS:
         fact("size", f"/{name}", a=name, n=float(len(_items(doc, name))))
@@ -212,9 +218,9 @@ def facts_of(doc: dict, words: Vocabulary) -> list[tuple]:
         refs(evaluation, EVALUATION_REFERENCES, f"{path}/policyEvaluation")
         parameters = e.get("parameters")
         if e.get("effectClass") == "generate":
-            refs(parameters, {f"{x}[]": "" for x in ("parentRefs", "conditioningRefs", "regionRefs", "rejectedOutputRefs")}, f"{path}/parameters")
+            refs(parameters, GENERATED_REFERENCES, f"{path}/parameters")
         if _text(e, "operationType") in {f"{words.operations}.{x}" for x in PROCESSING}:
-            refs(parameters, {"regionRefs[]": "regions", "selection.regionRefs[]": "regions"}, f"{path}/parameters")
+            refs(parameters, PROCESSED_REFERENCES, f"{path}/parameters")
     for k, r in enumerate(_items(doc, "relations")):
         predicate, subject, target = (_text(r, x) for x in ("predicate", "subject", "object"))
         if predicate and subject is not None and target is not None:
@@ -245,13 +251,36 @@ def facts_of(doc: dict, words: Vocabulary) -> list[tuple]:
             fact("diagnostic", path, a="STATE_REASON_MISSING", b="warning")
         if unexplained and path.endswith("/freshness") and v.get("status") == "unknown":
             fact("diagnostic", path, a="STATE_REASON_MISSING", b="warning")
+    known = {f"{words.relations}:{name}": inverse is not None for name, _, inverse in ACYCLIC}
+    edges: list[str] = []
+    for k, r in enumerate(_items(doc, "relations")):
+        predicate, subject, target = (_text(r, x) for x in ("predicate", "subject", "object"))
+        if predicate in known and subject is not None and target is not None:
+            edges += [target, subject, f"/relations/{k}"] if known[predicate] else [subject, target, f"/relations/{k}"]
+    if edges:
+        fact("graph", "", expected=edges)
+    out[0] = (*out[0][:9], float(len(ids) - len(set(ids))), out[0][10])
     return out
 
 
-def facts(records: DataFrame, words: Vocabulary) -> DataFrame:
-    """The facts of records (record_key, raw) that parse, saved and dealt by record_key once."""
+#: What the columns of fact_columns need to know of the record format.
+TABLES = {
+    "collections": COLLECTIONS,
+    "references": REFERENCES,
+    "receipt": RECEIPT_REFERENCES,
+    "evaluation": EVALUATION_REFERENCES,
+    "generated": GENERATED_REFERENCES,
+    "processed": PROCESSED_REFERENCES,
+    "processing": PROCESSING,
+    "roles": ROLES,
+    "acyclic": [(name, inverse is not None) for name, _, inverse in ACYCLIC],
+}
+_NAMES = [x.split()[0] for x in FACTS.split(", ")]
+
+
+def parsed_facts(records: DataFrame, words: Vocabulary) -> DataFrame:
+    """The facts of records (record_key, raw) that parse, by the strict parser."""
     types = [pa.string(), pa.string(), pa.int32(), *[pa.string()] * 6, pa.float64(), pa.float64(), pa.list_(pa.string())]
-    names = [x.split()[0] for x in FACTS.split(", ")]
 
     def run(batches):
         for b in batches:
@@ -262,9 +291,36 @@ def facts(records: DataFrame, words: Vocabulary) -> DataFrame:
                 except JsonError:
                     continue
             cols = list(zip(*out, strict=True)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-
-    return materialized(records.select("record_key", "raw").mapInArrow(run, FACTS), "facts")
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=_NAMES)
+
+    return records.select("record_key", "raw").mapInArrow(run, FACTS)
+
+
+def column_facts(records: DataFrame, words: Vocabulary, wanted: frozenset[str] = fact_columns.KINDS) -> DataFrame:
+    """The facts of the records that are plain, by columns; of any other one fact of the kind 'unread', which holds its text."""
+    v, top = F.col("value"), fact_columns.Top([*COLLECTIONS, "profiles"], ["id", "type", "disclosure", "revision", "createdBy", "history", "publication", words.version_member])
+    rows = fact_columns.read(records).select("record_key", fact_columns.plain(F.col("raw"), v).alias("plain"), fact_columns.is_object(v).alias("object"), "raw", *top.columns(v))
+    history = fact_columns.member(top, "history")
+    embedded = F.when(fact_columns.text(fact_columns.member(history, "mode")) == "embedded", fact_columns.items(history, "events"))
+    rows = rows.withColumn("events", F.coalesce(embedded, F.array().cast("array<variant>")))
+    told = F.when(F.col("object"), fact_columns.facts(top, F.col("events"), words, TABLES, wanted)).otherwise(F.array().cast(f"array<struct<{fact_columns.FIELDS}>>"))
+    told = F.when(F.col("plain"), told).otherwise(F.array(fact_columns.fact("unread", F.lit(""), a=F.col("raw"))))
+    rows = rows.select("record_key", F.posexplode(told).alias("place", "fact")).select("record_key", "place", "fact.*")
+    return rows.select(*_NAMES)
+
+
+def facts(records: DataFrame, words: Vocabulary, kinds: Iterable[str] = fact_columns.KINDS) -> DataFrame:
+    """The facts of records (record_key, raw) that parse, of the kinds that are asked for, written once, in a folder per kind:
+    what reads one kind reads no other. Records that columns cannot tell for sure, few in most corpora, are read by the
+    strict parser. place orders the facts of a record."""
+    kinds = frozenset(kinds)
+    told = materialized(column_facts(records, words, kinds), "facts", by=["kind"]).select(*_NAMES)
+    unread = told.where("kind = 'unread'").select("record_key", F.col("a").alias("raw"))
+    told = told.where("kind <> 'unread'")
+    if unread.isEmpty():
+        return told
+    parsed = parsed_facts(unread, words).where(F.col("kind").isin(*kinds))
+    return told.unionByName(materialized(parsed, "facts-parsed", by=["kind"]).select(*_NAMES))
 
 
 def registry(spark, words: Vocabulary) -> DataFrame:
@@ -286,48 +342,80 @@ def diagnostic(rows: DataFrame, code: str | Column, path: Column, severity: str
     return rows.select("record_key", lit(code).alias("code"), lit(severity).alias("severity"), path.alias("instance_path"))
 
 
-def semantics(records: DataFrame, words: Vocabulary) -> DataFrame:
-    """(record_key, code, severity, instance_path) of all semantic findings of records that parse."""
-    f = facts(records, words)
+#: The kinds of facts that each rule reads.
+RULES = {
+    "DUPLICATE_ID": ["entity"],
+    "UNRESOLVED_REF": ["ref", "entity", "external", "event"],
+    "REF_TYPE": ["ref", "entity"],
+    "EVENT_SEQUENCE": ["event", "times"],
+    "POLICY_DENIED": ["event"],
+    "DESCENDANT_REUSES_INPUT": ["outputs", "inputs", "relation", "entity"],
+    "DESCENDANT_RECEIPT": ["relation", "entity", "external", "outputs", "inputs", "event"],
+    "TEMPORAL_ORDER": ["times"],
+    "WINDOW_ORDER": ["window"],
+    "PUBLIC_DISCLOSURE": ["diagnostic"],
+    "STATE_REASON_MISSING": ["diagnostic"],
+    "DERIVATION_CYCLE": ["graph"],
+}
+
+
+def semantics(records: DataFrame, words: Vocabulary, codes: Iterable[str] = tuple(RULES)) -> DataFrame:
+    """(record_key, code, severity, instance_path) of the semantic findings of records that parse, of the codes that are asked
+    for: only the facts that their rules read are made."""
+    codes = list(codes)
+    f = facts(records, words, {kind for c in codes for kind in RULES[c]})
     of = lambda kind: f.where(F.col("kind") == kind)
     path = F.col("path")
+    parts = []
+
+    def rule(rows: DataFrame, code: str, at: Column = path) -> None:
+        parts.append(diagnostic(rows, code, at))
+
     entity = of("entity").select("record_key", "id", F.col("a").alias("collection"), "path", "place")
-    first = entity.groupBy("record_key", "id").agg(F.min_by("collection", "place").alias("kind"))
     known = entity.select("record_key", "id").unionByName(of("external").select("record_key", "id")).distinct()
     refs = of("ref").select("record_key", "path", "id", "expected")
-    event, relation, edges = of("event"), of("relation"), lineage_edges(f, words)
+    event, edges = of("event"), lineage_edges(f, words)
     works = of("entity").where("a = 'representations'").select("record_key", F.col("id").alias("child")).distinct()
     outputs = of("outputs").select("record_key", "path", F.col("id").alias("operation"), F.col("a").alias("child"), F.col("b").alias("effect"), F.col("c").alias("event_path"))
     inputs = of("inputs").select("record_key", F.col("id").alias("operation"), F.col("a").alias("parent"), F.col("c").alias("event_path"))
     serious = F.col("effect").isin(CONSEQUENTIAL)
-    reused = outputs.where(serious).join(inputs.select("record_key", "event_path", F.col("parent").alias("child")).distinct(), ["record_key", "event_path", "child"], "left_semi")
-    # of receipts that share an id the first counts
-    receipt = event.where("id IS NOT NULL").groupBy("record_key", F.col("id").alias("operation")).agg(F.min_by("path", "place").alias("event_path"))
-    own = ["record_key", "operation", "event_path"]
-    tied = edges.join(inputs.join(receipt, own, "left_semi").select("record_key", "operation", "parent").distinct(), ["record_key", "operation", "parent"], "left_semi").select("record_key", "operation", "child")
-    loose = outputs.where(serious).join(receipt, own, "left_semi").join(works, ["record_key", "child"], "left_semi").join(tied, ["record_key", "operation", "child"], "left_anti")
     descends = edges.join(works, ["record_key", "child"], "left_semi")
-    receipted = descends.join(known.withColumnRenamed("id", "operation"), ["record_key", "operation"], "left_anti")
-    before = F.max("n").over(Window.partitionBy("record_key").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    rising = event.withColumn("before", F.coalesce(before, F.lit(-1.0))).where(F.col("n").isNull() | (F.col("n") != F.floor("n")) | (F.col("n") <= F.col("before")))
-    unauthorised = event.where((F.col("b") == "completed") & F.col("a").isin(CONSEQUENTIAL) & ~F.coalesce(F.col("c").isin("permitted", "required"), F.lit(False)))
-    late = of("times").where(F.try_to_timestamp("b") < F.try_to_timestamp("a"))
-    parts = [
-        diagnostic(checks.repeated(entity, ["record_key", "id"], [F.col("place")]), "DUPLICATE_ID", path),
-        diagnostic(checks.unresolved(refs, known, ["record_key", "id"]), "UNRESOLVED_REF", path),
-        diagnostic(checks.wrong_type(refs.where("expected IS NOT NULL"), first, ["record_key", "id"]), "REF_TYPE", path),
-        diagnostic(event.where("d IS NOT NULL"), "UNRESOLVED_REF", F.concat(path, F.lit("/recordId"))),
-        diagnostic(rising, "EVENT_SEQUENCE", F.concat(path, F.lit("/sequence"))),
-        diagnostic(unauthorised, "POLICY_DENIED", F.concat(path, F.lit("/policyEvaluation/result"))),
-        diagnostic(reused, "DESCENDANT_REUSES_INPUT", path),
-        diagnostic(descends.where("parent = child"), "DESCENDANT_REUSES_INPUT", F.concat(path, F.lit("/subject"))),
-        diagnostic(receipted, "DESCENDANT_RECEIPT", F.concat(path, F.lit("/operationRef"))),
-        diagnostic(loose, "DESCENDANT_RECEIPT", F.concat("event_path", F.lit("/outputs"))),
-        diagnostic(late, F.col("c"), path),
-        diagnostic(of("window").where("m < n"), "WINDOW_ORDER", path),
-        diagnostic(of("diagnostic"), F.col("a"), path, F.col("b")),
-        cycles(relation, words),
-    ]
+    if "DUPLICATE_ID" in codes:
+        rule(checks.repeated(entity, ["record_key", "id"], [F.col("place")]), "DUPLICATE_ID")
+    if "UNRESOLVED_REF" in codes:
+        rule(checks.unresolved(refs, known, ["record_key", "id"]), "UNRESOLVED_REF")
+        rule(event.where("d IS NOT NULL"), "UNRESOLVED_REF", F.concat(path, F.lit("/recordId")))
+    if "REF_TYPE" in codes:
+        first = entity.groupBy("record_key", "id").agg(F.min_by("collection", "place").alias("kind"))
+        rule(checks.wrong_type(refs.where("expected IS NOT NULL"), first, ["record_key", "id"]), "REF_TYPE")
+    if "EVENT_SEQUENCE" in codes:
+        before = F.max("n").over(Window.partitionBy("record_key").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+        rising = event.withColumn("before", F.coalesce(before, F.lit(-1.0))).where(F.col("n").isNull() | (F.col("n") != F.floor("n")) | (F.col("n") <= F.col("before")))
+        rule(rising, "EVENT_SEQUENCE", F.concat(path, F.lit("/sequence")))
+    for code in ("EVENT_SEQUENCE", "TEMPORAL_ORDER"):
+        if code in codes:
+            rule(of("times").where(F.col("c") == code).where(F.try_to_timestamp("b") < F.try_to_timestamp("a")), code)
+    if "POLICY_DENIED" in codes:
+        unauthorised = event.where((F.col("b") == "completed") & F.col("a").isin(CONSEQUENTIAL) & ~F.coalesce(F.col("c").isin("permitted", "required"), F.lit(False)))
+        rule(unauthorised, "POLICY_DENIED", F.concat(path, F.lit("/policyEvaluation/result")))
+    if "DESCENDANT_REUSES_INPUT" in codes:
+        reused = outputs.where(serious).join(inputs.select("record_key", "event_path", F.col("parent").alias("child")).distinct(), ["record_key", "event_path", "child"], "left_semi")
+        rule(reused, "DESCENDANT_REUSES_INPUT")
+        rule(descends.where("parent = child"), "DESCENDANT_REUSES_INPUT", F.concat(path, F.lit("/subject")))
+    if "DESCENDANT_RECEIPT" in codes:
+        # of receipts that share an id the first counts
+        receipt = event.where("id IS NOT NULL").groupBy("record_key", F.col("id").alias("operation")).agg(F.min_by("path", "place").alias("event_path"))
+        own = ["record_key", "operation", "event_path"]
+        tied = edges.join(inputs.join(receipt, own, "left_semi").select("record_key", "operation", "parent").distinct(), ["record_key", "operation", "parent"], "left_semi").select("record_key", "operation", "child")
+        loose = outputs.where(serious).join(receipt, own, "left_semi").join(works, ["record_key", "child"], "left_semi").join(tied, ["record_key", "operation", "child"], "left_anti")
+        rule(descends.join(known.withColumnRenamed("id", "operation"), ["record_key", "operation"], "left_anti"), "DESCENDANT_RECEIPT", F.concat(path, F.lit("/operationRef")))
+        rule(loose, "DESCENDANT_RECEIPT", F.concat("event_path", F.lit("/outputs")))
+    if "WINDOW_ORDER" in codes:
+        rule(of("window").where("m < n"), "WINDOW_ORDER")
+    if told := [c for c in codes if RULES[c] == ["diagnostic"]]:
+        parts.append(diagnostic(of("diagnostic").where(F.col("a").isin(told)), F.col("a"), path, F.col("b")))
+    if "DERIVATION_CYCLE" in codes:
+        rule(cycles(of("graph")), "DERIVATION_CYCLE")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -359,26 +447,30 @@ def back_edges(edges: list[tuple[str, str, str]]) -> list[str]:
     return found
 
 
-def cycles(relation: DataFrame, words: Vocabulary) -> DataFrame:
-    """A diagnostic per relation that closes a cycle of its record (at most 16 MiB each, so one group is one task's work)."""
-    known = F.broadcast(registry(relation.sparkSession, words))  # a fixed table
-    r = relation.join(known, F.col("a") == F.col("predicate"))
-    edge = r.select("record_key", "place", "path", F.when(F.col("reverse"), F.col("c")).otherwise(F.col("b")).alias("origin"), F.when(F.col("reverse"), F.col("b")).otherwise(F.col("c")).alias("target"))
+def cycles(graph: DataFrame) -> DataFrame:
+    """(record_key, path) of each relation that closes a cycle of its record. A record's edges stand in one fact, since a
+    record is at most 16 MiB; nothing is shuffled."""
 
-    def search(key, group):
-        import pandas as pd
-
-        g = group.sort_values("place")
-        paths = back_edges(list(zip(g["origin"], g["target"], g["path"], strict=True)))
-        return pd.DataFrame({"record_key": [key[0]] * len(paths), "code": ["DERIVATION_CYCLE"] * len(paths), "severity": ["error"] * len(paths), "instance_path": paths}, dtype=object)
+    def run(batches):
+        for b in batches:
+            keys, paths = [], []
+            for key, flat in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = back_edges(list(zip(flat[::3], flat[1::3], flat[2::3], strict=True)))
+                keys += [key] * len(found)
+                paths += found
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(paths, pa.string())], names=["record_key", "path"])
 
-    return edge.groupBy("record_key").applyInPandas(search, "record_key string, code string, severity string, instance_path string")
+    return graph.select("record_key", "expected").mapInArrow(run, "record_key string, path string")
 
 
 def summary(f: DataFrame) -> DataFrame:
     """A row per record: id, version, revision, profiles, disclosure, how many items each collection lists, with or without
-    ids, and how many ids repeat an earlier one."""
-    record = f.where("kind = 'record'").select("record_key", F.coalesce("id", F.lit("")).alias("id"), F.coalesce("a", F.lit("")).alias("version"), F.coalesce("n", F.lit(0.0)).alias("revision"), F.col("expected").alias("profiles"), F.coalesce("b", F.lit("")).alias("disclosure"))
-    sizes = f.where("kind = 'size'").groupBy("record_key").pivot("a", [*COLLECTIONS, "events"]).agg(F.sum("n").cast("long"))
-    ids = f.where("kind = 'entity'").groupBy("record_key", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("record_key").agg(F.sum(F.col("n") - 1).alias("duplicate_ids"))
-    return record.join(sizes, "record_key", "left").join(ids, "record_key", "left").fillna(0)
+    ids, and how many ids repeat an earlier one. One grouping by record."""
+    record, size = F.col("kind") == "record", F.col("kind") == "size"
+    of = lambda c: F.max(F.when(record, F.col(c)))
+    names = [*COLLECTIONS, "events"]
+    sizes = [F.coalesce(F.max(F.when(size & (F.col("a") == x), F.col("n"))), F.lit(0.0)).cast("long").alias(x) for x in names]
+    return f.where("kind IN ('record', 'size')").groupBy("record_key").agg(
+        F.coalesce(of("id"), F.lit("")).alias("id"), F.coalesce(of("a"), F.lit("")).alias("version"), F.coalesce(of("n"), F.lit(0.0)).alias("revision"),
+        of("expected").alias("profiles"), F.coalesce(of("b"), F.lit("")).alias("disclosure"), *sizes, of("m").cast("long").alias("duplicate_ids"),
+    )

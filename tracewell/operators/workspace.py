@@ -19,8 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "tracewell-shared")
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again."""
+def materialized(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """df, written to the shared folder and read again; by: columns whose values have folders of their own."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*(by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

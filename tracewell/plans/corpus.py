@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import lineage, public, records as rec, schema
 
-WORDS = rec.Vocabulary("ns", "op")
+WORDS = rec.Vocabulary("ns", "op", "recordVersion", "1")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -68,16 +68,17 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     ))
     claims = each(lambda x, i: F.struct(urn("claim", key, i).alias("id"), F.struct(x["l_quantity"].alias("start"), F.lit(25.0).alias("end")).alias("window")))
     raw = F.to_json(F.struct(
-        urn("order", key).alias("id"), F.lit("1").alias("recordVersion"), (F.col("o_orderkey") % 5).alias("revision"), F.array(F.lit("core")).alias("profiles"), F.when(F.col("o_orderstatus") == "F", "public").when(F.col("o_orderstatus") == "O", "restricted").alias("disclosure"),
+        urn("order", key).alias("id"), F.lit("9").alias("schemaVersion"), F.lit("1").alias("recordVersion"), (F.col("o_orderkey") % 5).alias("revision"), F.array(F.lit("core")).alias("profiles"), F.when(F.col("o_orderstatus") == "F", "public").when(F.col("o_orderstatus") == "O", "restricted").alias("disclosure"),
         F.when(mode == 1, part(F.get("lines", F.lit(0)))).otherwise(customer).alias("createdBy"), actors.alias("actors"), representations.alias("representations"), relations.alias("relations"), claims.alias("claims"),
         F.struct(F.lit("embedded").alias("mode"), events.alias("events")).alias("history"),
         F.struct(urn("public", key).alias("publicRecordId"), stamp(F.col("o_orderdate")).alias("approvedAt"), customer.alias("approvedBy")).alias("publication"),
     ))
-    return o.select(key.alias("record_key"), raw.alias("raw"))
+    # the texts are few bytes but much work, so they are dealt to all cores
+    return o.select(key.alias("record_key"), raw.alias("raw")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "record_key")
 
 
 def found(spark, d: str, code: str) -> DataFrame:
-    return rec.semantics(records(spark, d), WORDS).where(F.col("code") == code).select("record_key", "instance_path")
+    return rec.semantics(records(spark, d), WORDS, [code]).select("record_key", "instance_path")
 
 
 @query("SELECT record_key, '/representations/' || i AS instance_path FROM l QUALIFY row_number() OVER (PARTITION BY k, part ORDER BY i) > 1")
@@ -137,7 +138,7 @@ def rec_cyclic(spark, d):
 
 @query("SELECT record_key, '/relations/' || (i - 1) AS path, CASE WHEN q % 4 < 3 THEN 'urn:event:' || k || ':' || i END AS operation, before AS parent, part AS child FROM l WHERE i > 0")
 def rec_lineage_edges(spark, d):
-    return rec.lineage_edges(rec.facts(records(spark, d), WORDS), WORDS)
+    return rec.lineage_edges(rec.facts(records(spark, d), WORDS, ["relation"]), WORDS)
 
 
 @query(""", f AS (SELECT k, part AS root FROM l WHERE i = 0), t(k, root, id, depth) AS (SELECT k, root, root, 0 FROM f UNION SELECT t.k, root, l.part, depth + 1 FROM t JOIN l ON l.k = t.k AND l.before = t.id WHERE depth < 16),
@@ -145,7 +146,7 @@ m AS (SELECT k, root, id, min(depth)::INT AS depth FROM t GROUP BY ALL)
 SELECT m.k::VARCHAR AS record_key, root, id, depth, '/representations/' || min(i) AS path FROM m JOIN l ON l.k = m.k AND l.part = m.id WHERE depth > 0 GROUP BY ALL""")
 def rec_lineage(spark, d):
     """Descendants of every record's first representation, with the places of their entities."""
-    f = rec.facts(records(spark, d), WORDS)
+    f = rec.facts(records(spark, d), WORDS, ["entity", "relation"])
     entities = f.where("kind = 'entity'").select("record_key", "id", F.col("a").alias("collection"), F.col("b").alias("type"), "path", "place")
     roots = entities.where("path = '/representations/0'").select("record_key", "id")
     return lineage.report(entities, rec.lineage_edges(f, WORDS), roots, "descendants")[0].select("record_key", "root", "id", "depth", "path")
@@ -154,7 +155,7 @@ def rec_lineage(spark, d):
 @query("""SELECT record_key, 'urn:order:' || k AS id, '1' AS version, (k % 5)::DOUBLE AS revision, CASE any_value(state) WHEN 'F' THEN 'public' WHEN 'O' THEN 'restricted' ELSE '' END AS disclosure,
 (any_value(cust) % 50 <> 0)::BIGINT AS actors, count(*) AS representations, count(*) - 1 AS relations, count(*) AS claims, 0::BIGINT AS policies, count(*) AS events, count(*) - count(DISTINCT part) AS duplicate_ids FROM l GROUP BY record_key, k""")
 def rec_summary(spark, d):
-    s = rec.summary(rec.facts(records(spark, d), WORDS))
+    s = rec.summary(rec.facts(records(spark, d), WORDS, ["record", "size"]))
     return s.select("record_key", "id", "version", "revision", "disclosure", "actors", "representations", "relations", "claims", "policies", "events", "duplicate_ids")
 
 

@@ -20,9 +20,9 @@ def diagnose(records: DataFrame, words: rec.Vocabulary, schemas: dict[str, dict]
     first = materialized(first, "structure")
     sound = records.join(first.select("record_key").distinct(), "record_key", "left_anti")
     members = F.from_json("raw", "map<string,string>")
-    other = F.map_contains_key(members, rec.VERSION_MEMBER) & ~members[rec.VERSION_MEMBER].eqNullSafe(F.lit(rec.VERSION))
+    other = F.map_contains_key(members, words.version_member) & ~members[words.version_member].eqNullSafe(F.lit(words.version))
     old = records.join(first.where("code = 'SCHEMA_INVALID'").select("record_key").distinct(), "record_key", "left_semi").where(other)
-    old = rec.diagnostic(old, "UNSUPPORTED_VERSION", F.lit(f"/{rec.VERSION_MEMBER}"))
+    old = rec.diagnostic(old, "UNSUPPORTED_VERSION", F.lit(f"/{words.version_member}"))
     shape = profiles.check(sound, words).select("record_key", "code", F.lit("error").alias("severity"), F.lit("/profiles").alias("instance_path"))
     return first.unionByName(old).unionByName(shape).unionByName(rec.semantics(sound, words)).distinct()
 

@@ -33,6 +33,9 @@ class Limits:
     manifest: int = 1024**2
     line: int = 2 * 1024**2
     ratio: int = 100
+    #: What a manifest is to call itself (None: anything), and its member that names the version of the record format.
+    manifest_type: str | None = None
+    version_member: str = "formatVersion"
 
 
 class BundleError(ValueError):
@@ -142,7 +145,7 @@ def folder_entries(spark: SparkSession, path: str, bundle: str, limits: Limits =
 
 MANIFEST = "bundle string, kind string, n int, id string, path string, role string, byte_length long, sha256 string, code string"
 _ROLES = {"record", "event-log", "policy", "original", "derivative", "preview", "report", "other"}
-_REQUIRED = ("manifestType", "manifestVersion", "masaVersion", "id", "createdAt", "createdBy", "disclosure", "profiles", "records", "files", "externalReferences", "omissions", "extensions")
+_REQUIRED = ("manifestType", "manifestVersion", "id", "createdAt", "createdBy", "disclosure", "profiles", "records", "files", "externalReferences", "omissions", "extensions")
 
 
 def _whole(v) -> bool:
@@ -168,7 +171,7 @@ def read_manifest(bundle: str, content: bytes | None, limits: Limits = Limits())
         m = parse(content.decode("utf-8"))
     except (UnicodeDecodeError, JsonError):
         return bad("BUNDLE_MANIFEST_INVALID_JSON")
-    if not isinstance(m, dict) or m.keys() != set(_REQUIRED) or m["manifestType"] != "masa-bundle" or not all(isinstance(m[k], list) for k in ("profiles", "records", "files", "externalReferences", "omissions")) or "core" not in m["profiles"]:
+    if not isinstance(m, dict) or m.keys() != {*_REQUIRED, limits.version_member} or m["manifestType"] != (limits.manifest_type or m["manifestType"]) or not all(isinstance(m[k], list) for k in ("profiles", "records", "files", "externalReferences", "omissions")) or "core" not in m["profiles"]:
         return bad("SCHEMA_INVALID")
     if not m["records"] or not all(isinstance(r, dict) and r.keys() == {"id", "path"} and all(isinstance(v, str) and v for v in r.values()) for r in m["records"]) or not all(map(_file_fits, m["files"])):
         return bad("SCHEMA_INVALID")
