@@ -88,3 +88,33 @@ def test_diagnostics_are_distinct_and_sorted_for_readers(spark):
     rows = [("C", "error", p, None, "m") for p in ("/b", "/a/1", "/a-1", "/A", "/a/1")]
     df = spark.createDataFrame(rows, "code string, severity string, instance_path string, schema_path string, message string")
     assert [r.instance_path for r in checks.distinct_diagnostics(df).collect()] == ["/A", "/a-1", "/a/1", "/b"]
+
+
+def test_strong_components_equal_reachability(spark):
+    """Random graphs with tails, chains, loops and closed chains."""
+    r = random.Random(8)
+    for size in (8, 14, 22):
+        pairs = {(r.randrange(12), r.randrange(12)) for _ in range(size)} | {(20, 21), (21, 22), (22, 0), (0, 23), (23, 24), (30, 31), (31, 32), (32, 33), (33, 30), (40, 40), (50, 51), (51, 52), (52, 50), (52, 53)}
+        reach = set(pairs)
+        while more := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
+            reach |= more
+        nodes = {x for p in pairs for x in p}
+        want = {(str(a), min(str(b) for b in nodes if (a, b) in reach and (b, a) in reach)) for a in nodes if (a, a) in reach}
+        e = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "parent string, child string")
+        assert {tuple(x) for x in lineage.strong_components(e).collect()} == want
+    assert lineage.strong_components(edges(spark, "ab", "bc", "ac")).isEmpty()
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """3,000 nodes in a row, with and without an edge that closes them: rounds grow as the logarithm."""
+    writes = []
+    keep = lineage.materialized
+    monkeypatch.setattr(lineage, "materialized", lambda df, name, **k: writes.append(name) or keep(df, name, **k))
+    row = spark.range(3000).selectExpr("cast(id AS string) AS parent", "cast(id + 1 AS string) AS child")
+    assert lineage.cyclic_core(row).isEmpty() and lineage.strong_components(row).isEmpty()
+    for back in ("0", "1000"):
+        whole = row.unionByName(spark.createDataFrame([("3000", back)], row.schema))
+        n = 3001 - int(back)
+        assert lineage.cyclic_core(whole).count() == n
+        assert lineage.strong_components(whole).groupBy("component").count().collect()[0]["count"] == n
+    assert len(writes) < 250

@@ -96,11 +96,46 @@ def induced(edges: DataFrame, nodes: DataFrame, root: str) -> DataFrame:
     return edges.join(inside.withColumnRenamed("id", "parent"), "parent", "left_semi").join(inside.withColumnRenamed("id", "child"), "child", "left_semi")
 
 
+def chains(edges: DataFrame) -> DataFrame:
+    """(id, rep, closed) of the nodes of distinct edges (parent, child) that follow another with no other way in, where that
+    has no other way out: rep is the first node of such a chain, or the least of one that runs back into itself (closed). Each
+    round doubles how far back a node sees, so a chain of a million nodes takes twenty."""
+    out = edges.groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.min("child").alias("child")).where("n = 1").drop("n")
+    into = edges.groupBy("child").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent")).where("n = 1").drop("n")
+    p = out.join(into, ["parent", "child"]).select(F.col("child").alias("id"), F.col("parent").alias("far"), F.lit(True).alias("open"), F.least("child", "parent").alias("low"))
+    p = materialized(p, "chains")
+    left, moved = -1, 0
+    while True:
+        further = p.select(F.col("id").alias("far"), F.col("far").alias("next"), F.col("open").alias("more"), F.col("low").alias("below"), F.lit(True).alias("known"))
+        q = p.join(further, "far", "left")
+        low = F.least("low", "below")  # nulls do not count
+        q = q.select("id", F.coalesce("next", "far").alias("far"), (F.col("open") & F.coalesce("known", F.lit(False)) & F.coalesce("more", F.lit(True))).alias("open"), low.alias("low"), (low != F.col("low")).alias("moved"))
+        q = materialized(q, "chains")
+        before, (left, moved) = left, q.agg(F.count_if("open"), F.count_if("moved")).first()
+        p = q.drop("moved")
+        if not left or left == before and not moved:
+            return p.select("id", F.when(F.col("open"), F.col("low")).otherwise(F.col("far")).alias("rep"), F.col("open").alias("closed"))
+
+
+def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges (parent, child) between chains instead of nodes, and chains(edges). An edge from a chain's end to its start is
+    left as an edge from the chain to itself; chains that are closed leave no edge."""
+    found = materialized(chains(edges), "chains")
+    links = edges.join(found.select(F.col("id").alias("child"), "rep"), "child", "left")
+    degree = edges.groupBy("parent").agg(F.count(F.lit(1)).alias("ways"))
+    # the only way out of its parent, into a node that follows it in a chain, is the chain's own link
+    rest = links.join(degree, "parent").where(F.col("rep").isNull() | (F.col("ways") > 1)).select("parent", F.coalesce("rep", "child").alias("child"))
+    up = found.select(F.col("id").alias("parent"), F.col("rep").alias("first"))
+    rest = rest.join(up, "parent", "left").select(F.coalesce("first", "parent").alias("parent"), "child").distinct()
+    return materialized(rest, "contracted"), found
+
+
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """The (parent, child) edges left when nodes without incoming or outgoing edges are peeled off until none remains:
     empty if and only if the graph has no cycle. For graphs across records; one record's exact back edges come from
-    tracewell.operators.records.back_edges."""
-    left = materialized(edges.select("parent", "child").distinct(), "core")
+    tracewell.operators.records.back_edges. Chains are peeled as one node, so a long one takes one round."""
+    whole = materialized(edges.select("parent", "child").distinct(), "core")
+    left, chain = contracted(whole)
     n = left.count()
     while n:
         heads, tails = left.select(F.col("child").alias("parent")).distinct(), left.select(F.col("parent").alias("child")).distinct()
@@ -108,4 +143,51 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
         before, n = n, left.count()
         if n == before:
             break
-    return left
+    kept = left.select(F.col("parent").alias("rep")).unionByName(chain.where("closed").select("rep")).distinct()
+    at = lambda c: chain.select(F.col("id").alias(c), F.col("rep").alias(f"{c}_rep"))
+    placed = whole.join(at("parent"), "parent", "left").join(at("child"), "child", "left")
+    placed = placed.select("parent", "child", F.coalesce("parent_rep", "parent").alias("a"), F.coalesce("child_rep", "child").alias("b"))
+    between = placed.join(left.select(F.col("parent").alias("a"), F.col("child").alias("b")), ["a", "b"], "left_semi")
+    inside = placed.where("a = b").join(kept.withColumnRenamed("rep", "a"), "a", "left_semi")
+    return between.unionByName(inside).select("parent", "child").distinct()
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component): the least node of each node's strongly connected component, for nodes on a cycle; others are left out.
+
+    Chains are contracted first. Then, until no edge is left: nodes without a way in or out go; every node takes the greatest
+    label that reaches it, which only nodes of one component can share a cycle under; and from the node that owns a label its component is what
+    reaches back to it within the label. Edges between labels, and of what has been found, go. Labels are hashes, so that the
+    order of names does not make the search long; rounds follow the contracted graph's longest path at worst."""
+    whole = materialized(edges.select("parent", "child").distinct(), "strong")
+    left, chain = contracted(whole)
+    loops = left.where("parent = child").select(F.col("parent").alias("id"))
+    left = materialized(left.where("parent <> child"), "strong")
+    found = [loops.withColumn("owner", F.col("id")), chain.where("closed").select(F.col("rep").alias("id"), F.col("rep").alias("owner")).distinct()]
+    while not left.isEmpty():
+        heads, tails = left.select(F.col("child").alias("parent")).distinct(), left.select(F.col("parent").alias("child")).distinct()
+        left = materialized(left.join(heads, "parent", "left_semi").join(tails, "child", "left_semi"), "strong")
+        own = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
+        labels = materialized(left.select(F.explode(F.array("parent", "child")).alias("id")).distinct().withColumn("label", own), "strong-labels")
+        changed = labels
+        while not changed.isEmpty():
+            told = left.join(changed.select(F.col("id").alias("parent"), "label"), "parent").groupBy(F.col("child").alias("id")).agg(F.max("label").alias("heard"))
+            changed = materialized(told.join(labels, "id").where("heard > label").select("id", F.col("heard").alias("label")), "strong-changed")
+            labels = materialized(labels.join(changed.withColumnRenamed("label", "newer"), "id", "left").select("id", F.coalesce("newer", "label").alias("label")), "strong-labels")
+        of = lambda c: labels.select(F.col("id").alias(c), F.col("label.id").alias(f"{c}_label"))
+        left = left.join(of("parent"), "parent").join(of("child"), "child").where("parent_label = child_label")
+        left = materialized(left.select("parent", "child", F.col("child_label").alias("owner")), "strong")
+        reached = frontier = materialized(labels.where("label.id = id").select("id", F.col("id").alias("owner")), "strong-reached")
+        while not frontier.isEmpty():
+            back = left.join(frontier.select(F.col("id").alias("child"), "owner"), ["child", "owner"]).select(F.col("parent").alias("id"), "owner").distinct()
+            frontier = materialized(back.join(reached, ["id", "owner"], "left_anti"), "strong-frontier")
+            reached = materialized(reached.unionByName(frontier), "strong-reached")
+        found.append(reached.join(reached.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("owner"), "owner", "left_semi").select("id", "owner"))
+        gone = reached.select("id")
+        left = left.select("parent", "child").join(gone.withColumnRenamed("id", "parent"), "parent", "left_anti").join(gone.withColumnRenamed("id", "child"), "child", "left_anti")
+        left = materialized(left, "strong")
+    owners = materialized(_union([x.select("id", "owner") for x in found]).groupBy("id").agg(F.max(F.struct((F.col("owner") != F.col("id")).alias("other"), "owner")).alias("o")).select("id", "o.owner"), "strong-owners")
+    # a node with an edge to itself may own a larger component as well; its members name it
+    nodes = owners.unionByName(chain.join(owners.withColumnRenamed("id", "rep"), "rep").select("id", "owner")).distinct()
+    least = nodes.groupBy("owner").agg(F.min("id").alias("component"))
+    return nodes.join(least, "owner").select("id", "component")

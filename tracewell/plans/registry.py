@@ -115,6 +115,23 @@ r(a, b) AS (SELECT parent, child FROM e UNION SELECT r.a, e.child FROM r JOIN e
 """
 
 
+STEPS = """
+WITH RECURSIVE s AS (SELECT user_id || ':' || event_type AS parent, user_id || ':' || lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS child FROM events),
+e AS (SELECT DISTINCT parent, child FROM s WHERE child IS NOT NULL), r(a, b) AS (SELECT parent, child FROM e UNION SELECT r.a, e.child FROM r JOIN e ON r.b = e.parent)
+"""
+
+
+@query(STEPS + "SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1")
+def event_components(spark, d):
+    """Which types of event a user returns between: strongly connected components of all users' steps."""
+    from pyspark.sql import Window
+
+    node = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
+    steps = table(spark, d, "events").select("user_id", "event_id", node.alias("parent"))
+    steps = steps.withColumn("child", F.lead("parent").over(Window.partitionBy("user_id").orderBy("event_id"))).where("child IS NOT NULL")
+    return lineage.strong_components(steps)
+
+
 @query(TRANSITIONS + """c AS (SELECT a FROM r WHERE a = b)
 SELECT parent, child FROM e WHERE parent IN (SELECT r.b FROM r JOIN c ON r.a = c.a) AND child IN (SELECT r.a FROM r JOIN c ON r.b = c.a)""")
 def cycle_core(spark, d):
