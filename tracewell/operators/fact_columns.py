@@ -20,7 +20,8 @@ FIELDS = "kind string, path string, id string, a string, b string, c string, d s
 _TYPES = {"string": StringType(), "double": DoubleType(), "array<string>": ArrayType(StringType())}
 _FACT = StructType([StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in FIELDS.split(", "))])
 
-_WORDS = ["withheld", "deleted", "health", "freshness", "__proto__", "\\u"]
+#: Texts that hold these are for the strict parser; texts that hold these have values whose rules look everywhere.
+_ODD, _WORDS = ["__proto__", "\\u"], ["withheld", "deleted", "health", "freshness"]
 
 
 def read(records: DataFrame) -> DataFrame:
@@ -35,10 +36,10 @@ def read(records: DataFrame) -> DataFrame:
     return rows.select("record_key", "raw", F.when(whole, F.col("listed")[0]).alias("value"))
 
 
-def plain(raw: Column, value: Column) -> Column:
-    """Whether the facts of a text with this value can be told by columns."""
+def plain(raw: Column, value: Column, words: bool = True) -> Column:
+    """Whether columns read a text with this value as the strict parser does, and, if words, can tell its facts."""
     odd = F.lit(False)
-    for w in _WORDS:
+    for w in _ODD + (_WORDS if words else []):
         odd = odd | F.contains(raw, F.lit(w))
     odd = odd | raw.rlike("[eE][+]?[0-9]{3}|[0-9]{300}")
     braces = lambda s, chars: sum((F.octet_length(s) - F.octet_length(F.replace(s, F.lit(c))) for c in chars), F.lit(0))

@@ -14,7 +14,9 @@ from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tracewell.operators.workspace import materialized
 from tracewell.sources.strict_json import JsonError, parse, segment
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -60,7 +62,7 @@ class Catalog:
         self.schemas = schemas
 
     def resolve(self, base: str, ref: str) -> tuple[str, dict]:
-        target = urljoin(base, ref)
+        target = base.partition("#")[0] + ref if ref.startswith("#") else urljoin(base, ref)
         document, _, fragment = target.partition("#")
         node = self.schemas.get(document) or next((s for i, s in self.schemas.items() if urlsplit(i).path.rpartition("/")[2] == document.rpartition("/")[2]), None)
         if node is None:
@@ -157,8 +159,11 @@ class Catalog:
             yield "contains", path
 
 
-def validate(records: DataFrame, schemas: dict[str, dict], schema_id: str) -> DataFrame:
-    """(record_key, code, keyword, instance_path) of records (record_key, raw) against a schema; also parse errors."""
+_FOUND = "record_key string, code string, keyword string, instance_path string"
+
+
+def evaluated(records: DataFrame, schemas: dict[str, dict], schema_id: str) -> DataFrame:
+    """validate(), by the evaluator alone."""
 
     def run(batches):
         catalog = Catalog(schemas)
@@ -172,6 +177,25 @@ def validate(records: DataFrame, schemas: dict[str, dict], schema_id: str) -> Da
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["record_key", "code", "keyword", "instance_path"])
 
+    return records.select("record_key", "raw").mapInArrow(run, _FOUND)
+
+
+def validate(records: DataFrame, schemas: dict[str, dict], schema_id: str) -> DataFrame:
+    """(record_key, code, keyword, instance_path) of records (record_key, raw) against a schema; also parse errors. The schema is
+    compiled to columns if it can be, and then only texts that columns cannot read for sure go to the evaluator."""
+    from tracewell.operators import fact_columns, schema_columns
+
     if schema_id not in schemas:
         raise KeyError("SCHEMA_UNKNOWN")
-    return records.select("record_key", "raw").mapInArrow(run, "record_key string, code string, keyword string, instance_path string")
+    try:
+        found = schema_columns.Compiler(schemas).errors(schema_id, F.col("value"))
+    except schema_columns.Unsupported:
+        return evaluated(records, schemas, schema_id)
+    rows = fact_columns.read(records)
+    plain = fact_columns.plain(F.col("raw"), F.col("value"), words=False)
+    unread = F.array(F.struct(F.lit("").alias("keyword"), F.col("raw").alias("instance_path")))
+    rows = rows.select("record_key", plain.alias("plain"), F.explode(F.when(plain, found).otherwise(unread)).alias("e"))
+    rows = materialized(rows.select("record_key", "plain", "e.*"), "structure-found", by=["plain"])
+    told = rows.where("plain").select("record_key", F.lit("SCHEMA_INVALID").alias("code"), "keyword", "instance_path")
+    left = rows.where("NOT plain").select("record_key", F.col("instance_path").alias("raw"))
+    return told if left.isEmpty() else told.unionByName(evaluated(left, schemas, schema_id))

@@ -159,6 +159,44 @@ def rec_summary(spark, d):
     return s.select("record_key", "id", "version", "revision", "disclosure", "actors", "representations", "relations", "claims", "policies", "events", "duplicate_ids")
 
 
+RULED = {
+    "urn:ruled": {
+        "$id": "urn:ruled",
+        "$defs": {
+            "part": {"type": "string", "pattern": "^urn:part:[0-9]+$", "maxLength": 11},
+            "event": {
+                "type": "object",
+                "properties": {"inputs": {"maxItems": 1, "items": {"$ref": "#/$defs/part"}}, "outputs": {"items": {"$ref": "#/$defs/part"}}},
+                "if": {"properties": {"effectClass": {"const": "observe"}}},
+                "then": {"properties": {"policyEvaluation": {"properties": {"result": {"const": "permitted"}}}}},
+                "else": {"properties": {"finalStatus": {"enum": ["completed"]}}},
+            },
+        },
+        "type": "object",
+        "oneOf": [{"properties": {"disclosure": {"const": "public"}}, "required": ["disclosure"]}, {"properties": {"revision": {"minimum": 3}}}],
+        "anyOf": [{"properties": {"representations": {"minItems": 3}}}, {"properties": {"revision": {"maximum": 1}}}],
+        "not": {"properties": {"actors": {"maxItems": 0}}},
+        "properties": {
+            "representations": {"contains": {"properties": {"availability": {"const": "available"}}}, "uniqueItems": True},
+            "history": {"properties": {"events": {"items": {"$ref": "#/$defs/event"}}}},
+        },
+        "propertyNames": {"not": {"enum": ["schemaVersion"]}},
+    }
+}
+
+
+@query(""", s AS (SELECT record_key, k, any_value(state) AS state, count(*) AS n, any_value(cust) AS cust, count(*) FILTER (WHERE status = 'O') AS open, count(DISTINCT (part, flag = 'N', status)) AS kinds FROM l GROUP BY ALL),
+e AS (SELECT *, flag NOT IN ('A', 'R') AS observed FROM l)
+SELECT record_key, 'oneOf' AS keyword, '' AS instance_path FROM s WHERE (state = 'F') = (k % 5 >= 3) UNION ALL SELECT record_key, 'anyOf', '' FROM s WHERE n < 3 AND k % 5 > 1
+UNION ALL SELECT record_key, 'not', '' FROM s WHERE cust % 50 = 0 UNION ALL SELECT record_key, 'contains', '/representations' FROM s WHERE open = 0
+UNION ALL SELECT record_key, 'uniqueItems', '/representations' FROM s WHERE kinds < n UNION ALL SELECT record_key, 'propertyNames', '/schemaVersion' FROM s
+UNION ALL SELECT record_key, 'const', '/history/events/' || i || '/policyEvaluation/result' FROM e WHERE observed AND disc >= 0.05
+UNION ALL SELECT record_key, 'enum', '/history/events/' || i || '/finalStatus' FROM e WHERE NOT observed AND status <> 'F'""")
+def rec_structure_rules(spark, d):
+    """A schema with definitions, conditions and combinations, compiled to columns."""
+    return schema.validate(records(spark, d), RULED, "urn:ruled").select("record_key", "keyword", "instance_path")
+
+
 @query(""", s AS (SELECT record_key, k, any_value(state) AS state, count(*) AS n FROM l GROUP BY ALL)
 SELECT record_key, 'required' AS keyword, '/disclosure' AS instance_path FROM s WHERE state NOT IN ('F', 'O') UNION ALL SELECT record_key, 'maximum', '/revision' FROM s WHERE k % 5 > 3
 UNION ALL SELECT record_key, 'minItems', '/representations' FROM s WHERE n < 2 UNION ALL SELECT record_key, 'maxItems', '/representations' FROM s WHERE n > 5
