@@ -20,7 +20,7 @@ SCHEMAS = {
     },
     "http://s/b.json": {"$id": "http://s/b.json", "$defs": {"Id": {"type": "string", "minLength": 5, "pattern": "^urn:"}}},
 }
-LEAVES = [["a", 3, "s", 3], "urn:x", "urn", "x", "ab", "2016-12-31T23:59:60Z", "2023-02-29T00:00:00Z", "2024-02-29", "2023-02-29", "2024-01-01t00:00:00.5+23:59", "http://a b", "a:b", "-x.y", "x.y-z", "日本", 0, 1, 2.5, 3, -1, 9, 8.5, True, False, None, [], {}, ["a", 3, 3], ["a", 3, {"k": 1}, 3.0, 5], [3], {"x": 1}, {"ab": 1, "abc": "s", "Z": 2}, {"a/b~c": 1}, 1e300, 12345678901234567890, "line\nbreak"]
+LEAVES = [["a", 3, "s", 3], "urn:x", "urn", "x", "ab", "2016-12-31T23:59:60Z", "2023-02-29T00:00:00Z", "2024-02-29", "2023-02-29", "2024-01-01t00:00:00.5+23:59", "http://a b", "a:b", "-x.y", "x.y-z", "日本", 0, 1, 2.5, 3, -1, 9, 8.5, True, False, None, [], {}, ["a", 3, 3], ["a", 3, {"k": 1}, 3.0, 5], [3], {"x": 1}, {"ab": 1, "abc": "s", "Z": 2}, {"a/b~c": 1}, 1e30, 12345678901234567890, "line\nbreak"]
 
 
 def documents():
@@ -28,7 +28,7 @@ def documents():
     keys = ["id", "a/b", "n", "q", "t", "d", "u", "h", "e", "l", "no", "o", "p1", "other", "~x/y"]
     out = LEAVES + [{k: r.choice(LEAVES) for k in r.sample(keys, r.randrange(8))} for _ in range(250)]
     out += [{k: r.choice(LEAVES) for k in keys} for _ in range(60)]
-    return [json.dumps(d) for d in out] + ['{"a":1,"a":2}', "{", '{"id":"urn:x"} 1', '{"id":"\\u0041"}']
+    return [json.dumps(d, ensure_ascii=False) for d in out] + ['{"a":1,"a":2}', "{", '{"id":"urn:x"} 1', '{"id":"\\u0041"}']
 
 
 def test_compiled_equals_evaluator(spark):
