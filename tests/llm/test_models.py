@@ -36,6 +36,8 @@ def test_held_out_accuracy_and_unseen_spellings(spark):
     assert scores[10_000] >= 0.5 and scores[10_001] == scores[10_002] < 0.5
     again = {r.doc_id: r.score for r in toxicity.score(docs.repartition(3), toxicity.fit(texts, y, pos, neg)).collect()}
     assert scores == again
+    apart = toxicity.fit_rows(*toxicity.sampled(docs.repartition(5), labels))  # texts stay in the executors
+    assert {r.doc_id: r.score for r in toxicity.score(docs, apart).collect()} == scores
 
 
 def test_training_rows_of_repeated_ids(spark, monkeypatch):
@@ -177,3 +179,11 @@ def test_trees_learn_and_repeat(spark):
     assert urls.fit(rows, np.zeros(800, bool)).margin(rows).max() < 0
     with pytest.raises(ValueError):
         urls.lexical("x")[0].remove(None)
+
+
+def test_a_bag_is_that_of_all_words():
+    words = ["one", "two", "one", "three"] * 50
+    ids, share = toxicity.bag(words, {})
+    n = np.bincount([b for w in words for b in toxicity.grams(w)])
+    assert ids.tolist() == np.flatnonzero(n).tolist() and np.array_equal(share, (n[ids] / n.sum()).astype(np.float32))
+    assert [len(x) for x in toxicity.bag([], {})] == [0, 0]

@@ -7,9 +7,9 @@ A few words decide, also in a long text: training runs first on whole texts, the
 text that the first model scores highest; a text's score is that of its highest window, and every window is scored.
 
 Training reads at most SAMPLE labelled texts of each class, the first by a hash of their ids and texts, and never a held-out
-row (crc32 of the id mod 5 is 0). The sample takes one text of each id. A text longer than MOST_CHARS characters gives those from
-a seeded place on to the sample, so that what the driver holds is bounded (it is scored whole). The class ratio of all labelled
-training ids then corrects the bias.
+row (crc32 of the id mod 5 is 0). The sample takes one text of each id, whole. Its texts stay in the executors, which hash them to
+bags and pick their highest windows; the driver gets a bag of BUCKETS shares at most for each. The class ratio of all
+labelled training ids then corrects the bias.
 
 Defined results: a null or wordless text scores as the bias alone; repeated rows score alike; with no labelled rows of
 one class, every score is that of an untrained model, the smoothed class ratio. Rows whose label is null are not used; an
@@ -19,18 +19,18 @@ id with both labels counts as toxic. Of an id with several texts, the first by h
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_map
+from .common import saved, text_map
 
 #: Labelled rows of each class that training reads at most.
 SAMPLE = 3000
-#: Characters of one text that the sample holds at most.
-MOST_CHARS = 200_000
 BUCKETS, DIMENSIONS = 1 << 16, 8
 SHORTEST, LONGEST = 3, 5
 EPOCHS, BATCH, RATE = 4, 64, 0.03
@@ -54,10 +54,10 @@ def grams(word: str) -> list[int]:
     return out
 
 
-def bag(text: str | None, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their shares of all its n-grams."""
-    parts = []
-    for w in (text or "").lower().split():
+def bag(words: list[str], known: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of some words and their shares of all the words' n-grams. Memory grows with the distinct words."""
+    parts, times = [], Counter(words)
+    for w in times:
         if w not in known:
             if len(known) > REMEMBERED:
                 known.clear()
@@ -65,8 +65,28 @@ def bag(text: str | None, known: dict) -> tuple[np.ndarray, np.ndarray]:
         parts.append(known[w])
     if not parts:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    ids, n = np.unique(np.concatenate(parts), return_counts=True)
-    return ids.astype(np.int32), (n / n.sum()).astype(np.float32)
+    n = np.bincount(np.concatenate(parts), np.repeat(list(times.values()), [len(p) for p in parts]))
+    ids = np.flatnonzero(n)
+    return ids.astype(np.int32), (n[ids] / n.sum()).astype(np.float32)
+
+
+class Bags:
+    """Bags in two arrays, six bytes an entry: places of buckets among those that occur, and shares."""
+
+    def __init__(self, bags: Iterable[tuple[np.ndarray, np.ndarray]]):
+        ids, shares, size = bytearray(), bytearray(), []
+        for i, share in bags:
+            ids += i.astype(np.uint16).tobytes()
+            shares += share.astype(np.float32).tobytes()
+            size.append(len(i))
+        self.ids, self.shares = np.frombuffer(ids, np.uint16), np.frombuffer(shares, np.float32)
+        self.size = np.array(size, np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def ordered(self, order: np.ndarray) -> "Bags":
+        """The bags in another order; the arrays stay as they are."""
+        self.size, self.begin = self.size[order], self.begin[order]
+        return self
 
 
 @dataclass
@@ -84,7 +104,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(mean_lean + float(self.bias[1] - self.bias[0]), -500, 500))))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, positives: int, negatives: int, epochs: int, scale: float, start: Model | None = None) -> Model:
+def train(bags: Bags | list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, positives: int, negatives: int, epochs: int, scale: float, start: Model | None = None) -> Model:
     """bags and labels of the sample; positives and negatives: the classes' sizes among all labelled training rows."""
     r = np.random.default_rng(SEED)
     vectors = (r.standard_normal((BUCKETS, DIMENSIONS)) * 0.01).astype(np.float32)
@@ -94,16 +114,12 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, positiv
         vectors, softmax = (start.vectors / scale).astype(np.float32), start.softmax.copy()
     if 0 < labels.sum() < len(labels):
         weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
-        size = np.array([len(i) for i, _ in bags])
-        begin = np.cumsum(size) - size
-        ids = np.concatenate([i for i, _ in bags])
+        bags = bags if isinstance(bags, Bags) else Bags(bags)
+        size, begin = bags.size, bags.begin
         place = np.zeros(BUCKETS, np.int32)
-        place[ids] = 1
+        place[bags.ids] = 1
         buckets = np.flatnonzero(place)  # others have no gradient
         place[buckets] = np.arange(len(buckets))
-        ids = place[ids]
-        every = np.concatenate([s for _, s in bags])
-        every *= np.float32(scale)
         used = vectors[buckets]
         state = [[np.zeros_like(p), np.zeros_like(p)] for p in (used, softmax, bias)]
         step = 0
@@ -113,7 +129,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, positiv
                 some = order[k : k + BATCH]
                 n = size[some]
                 at = np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                i, share, owner = ids[at], every[at], np.repeat(np.arange(len(some)), n)
+                i, share, owner = place[bags.ids[at]], bags.shares[at] * np.float32(scale), np.repeat(np.arange(len(some)), n)
                 rows = used[i] * share[:, None]
                 mean = np.stack([np.bincount(owner, rows[:, j], len(some)) for j in range(DIMENSIONS)], 1)
                 z = mean @ softmax + bias
@@ -147,7 +163,7 @@ class Scorer:
         """The lean sums and the n-gram counts of each text's words."""
         if len(self.place) > REMEMBERED:
             self.place, self.sums, self.counts = {}, np.zeros(0), np.zeros(0)
-        split = [(t or "").lower().split() for t in texts]
+        split = [words_of(t) for t in texts]
         new: dict[str, None] = {}
         for ws in split:
             new.update(dict.fromkeys(ws))
@@ -178,39 +194,92 @@ def windows(sums: np.ndarray, counts: np.ndarray) -> tuple[int, float]:
     return int(at[best]), float(mean[best])
 
 
-def fit(texts: list, labels: np.ndarray, positives: int, negatives: int) -> Model:
-    """Two rounds of training: whole texts, then each text's highest window."""
-    known: dict = {}
-    whole = [bag(t, known) for t in texts]
-    known.clear()  # the driver holds either the words or the training
-    model = train(whole, labels, positives, negatives, EPOCHS, SCALE)
-    del whole
+def words_of(text: str | None) -> list[str]:
+    return (text or "").lower().split()
+
+
+def highest(texts: list, scorer: Scorer, known: dict) -> Iterable[tuple[np.ndarray, np.ndarray]]:
+    """The bag of each text's highest window."""
+    for k in range(0, len(texts), 64):
+        for t, x in zip(texts[k : k + 64], scorer.words(texts[k : k + 64]), strict=True):
+            at = windows(*x)[0]
+            yield bag(words_of(t)[at : at + WINDOW], known)
+
+
+def rounds(whole: Callable[[], Bags], top: Callable[[Model], Bags], labels: np.ndarray, positives: int, negatives: int) -> Model:
+    """Training on whole texts, then on each text's highest window."""
+    model = train(whole(), labels, positives, negatives, EPOCHS, SCALE)
     for _ in range(ROUNDS):
-        scorer = Scorer(model)
-        top = []
-        for k in range(0, len(texts), 256):
-            for t, x in zip(texts[k : k + 256], scorer.words(texts[k : k + 256]), strict=True):
-                at = windows(*x)[0]
-                top.append(bag(" ".join((t or "").split()[at : at + WINDOW]), known))
-        model = train(top, labels, positives, negatives, WINDOW_EPOCHS, SCALE, model)
+        model = train(top(model), labels, positives, negatives, WINDOW_EPOCHS, SCALE, model)
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray, int, int]:
-    """The bounded sample of both classes, and the sizes of both classes among all labelled training ids."""
+def fit(texts: list, labels: np.ndarray, positives: int, negatives: int) -> Model:
+    """rounds() over texts that are at hand."""
+    known: dict = {}
+    return rounds(lambda: Bags(bag(words_of(t), known) for t in texts), lambda m: Bags(highest(texts, Scorer(m), known)), labels, positives, negatives)
+
+
+def gathered(rows: DataFrame, bags: Callable[[], Callable[[list], Iterable[tuple]]]) -> Bags:
+    """The bags of the sample's texts, made by the executors; one partition after another comes to the driver."""
+
+    def make():
+        some = bags()
+        return lambda texts: ((i.astype(np.uint16).tobytes(), share.tobytes()) for i, share in some(texts))
+
+    made = saved(text_map(rows, ["doc_id", "toxic"], "text", "buckets binary, shares binary", make, rows=64), "toxicity-bags")
+    keys = []
+
+    def each():
+        for r in made.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"), "buckets", "shares").toLocalIterator():  # 2 * SAMPLE rows at most
+            keys.append((r["toxic"], r["h"], r["doc_id"]))
+            yield np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["shares"], np.float32)
+
+    out = Bags(each())
+    return out.ordered(np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64))
+
+
+def fit_rows(rows: DataFrame, positives: int, negatives: int) -> Model:
+    """rounds() over the sample (doc_id, toxic, text), whose texts stay in the executors."""
+    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    labels = np.repeat([0, 1], [counts.get(0, 0), counts.get(1, 0)])
+
+    def whole():
+        known: dict = {}
+        return lambda texts: (bag(words_of(t), known) for t in texts)
+
+    def top(model: Model):
+        shared = rows.sparkSession.sparkContext.broadcast((model.lean, model.bias))
+
+        def make():
+            lean, bias = shared.value
+            scorer, known = Scorer(Model(lean[:, None], np.array([[0.0, 1.0]]), bias)), {}
+            return lambda texts: highest(texts, scorer, known)
+
+        return gathered(rows, make)
+
+    return rounds(lambda: gathered(rows, whole), top, labels, positives, negatives)
+
+
+def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
+    """The bounded sample of both classes (doc_id, toxic, text), and the sizes of both classes among all labelled training ids."""
     trained = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT != 0
     known = labels.where(F.col("toxic").isin(0, 1) & trained).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     texts = docs.where(trained).select("doc_id", F.col("text").cast("string").alias("text"))
-    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - MOST_CHARS + 1, F.lit(1)).cast("long"))
-    cut = F.when(F.length("text") > MOST_CHARS, F.substr("text", (place + 1).cast("int"), F.lit(MOST_CHARS))).otherwise(F.col("text"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     there = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     some = [there.where(F.col("toxic") == c).orderBy(*order).limit(SAMPLE) for c in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * SAMPLE ids
-    sample = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by(cut, F.xxhash64("text")).alias("text"))
-    rows = sample.orderBy("toxic", *order).collect()
-    return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64), sizes.get(1, 0), sizes.get(0, 0)
+    rows = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return saved(rows, "toxicity-sample"), sizes.get(1, 0), sizes.get(0, 0)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarray, int, int]:
+    """sampled(), with the texts and their classes in order, for fit()."""
+    rows, positives, negatives = sampled(docs, labels)
+    found = rows.orderBy("toxic", F.xxhash64("doc_id"), "doc_id").collect()
+    return [r["text"] for r in found], np.array([r["toxic"] for r in found], np.int64), positives, negatives
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,6 +295,6 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(*training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = fit_rows(*sampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
