@@ -94,3 +94,12 @@ def test_odd_rows_and_clashing_names(spark, docs, none):
     assert out.columns == clash.columns and out.count() == len(ROWS)
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[3] is None and texts[4] == "" and all(texts[k] == t for k, t, *_ in ROWS if k in (1, 2, 5, 7, 8, None))
+
+
+def test_least_words_of_a_line_is_a_parameter(spark, monkeypatch):
+    """With 1, every repeated line goes, however short and wherever it stands."""
+    rows = [(1, "short line\nown words of one\nlast"), (2, "other words\nShort  line\nmore"), (3, "short line"), (4, "last\n\nx")]
+    got = {(r.id, r.start, r.stop) for r in substrings.spans(spark.createDataFrame(rows, SCHEMA), line_words=1).collect()}
+    monkeypatch.setattr(substrings, "LINE_WORDS", 1)
+    assert got == {(k, a, b) for (k, _), cuts in slow(rows).items() for a, b in cuts} == {(2, 12, 23), (3, 0, 10), (4, 0, 4)}
+    assert {r.doc_id: r.text for r in substrings.dedup(spark.createDataFrame(rows, SCHEMA), line_words=1).collect()}[2] == "other words\n\nmore"

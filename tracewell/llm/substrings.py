@@ -5,8 +5,9 @@ case, single spaces) and hashed to 128 bits. Digests are grouped globally; the o
 by place, is kept, and every other is removed: its own span and nothing else, in characters of the original text. Spans that
 touch or overlap are one.
 
-Every paragraph counts, whatever its length, and so does every line of LINE_WORDS words or more: shorter lines are shared
-by texts that have nothing else in common, and line dedup is the operator for them. Lines and paragraphs alone would miss a
+Every paragraph counts, whatever its length, and so does every line of line_words words or more (LINE_WORDS, unless the
+caller says otherwise; 1: all lines): shorter lines are shared by texts that have nothing else in common, and line dedup is the
+operator for them. Lines and paragraphs alone would miss a
 passage that starts or ends inside a line; windows find each that has WINDOW words, wherever it starts.
 
 Not every window is hashed. By winnowing each window names its least GRAM-gram as its anchor; equal windows name equal
@@ -87,12 +88,12 @@ def blocks(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def units(text: str, digests: bytes, start: np.ndarray, stop: np.ndarray) -> list[tuple]:
-    """FOUND of each paragraph with a word and each line of LINE_WORDS words."""
+def units(text: str, digests: bytes, start: np.ndarray, stop: np.ndarray, line_words: int = LINE_WORDS) -> list[tuple]:
+    """FOUND of each paragraph with a word and each line of line_words words."""
     out = []
     for kind, a, b in blocks(text):
         i, j = np.searchsorted(start, [a, b]).tolist()
-        if j - i >= (LINE_WORDS if kind == LINE else 1):
+        if j - i >= (line_words if kind == LINE else 1):
             d = xxhash.xxh3_128_intdigest(digests[16 * i : 16 * j], seed=kind)
             out.append((kind, i, (d >> 64) - 2**63, (d & 2**64 - 1) - 2**63, int(start[i]), int(stop[j - 1])))
     return out
@@ -135,7 +136,7 @@ def texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(key).isNotNull() & t.isNotNull()).select(F.col(key).alias("id"), F.xxhash64(t).alias("v"), t.alias("text"))
 
 
-def _reading(plain: DataFrame) -> DataFrame:
+def _reading(plain: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
     """id, v and FOUND of each unit and each anchor."""
     schema = StructType([*plain.schema.fields[:2], *StructType.fromDDL(FOUND).fields])
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -152,7 +153,7 @@ def _reading(plain: DataFrame) -> DataFrame:
                         if not digests:
                             continue
                         start, stop = places(t)
-                        cols.append([*map(np.array, zip(*units(t, digests, start, stop), strict=True))])
+                        cols.append([*map(np.array, zip(*units(t, digests, start, stop, line_words), strict=True))])
                         cols.append(contexts(digests, start, stop) if len(start) >= WINDOW else [()] * 6)
                         owner.append(np.full(len(cols[-2][0]) + len(cols[-1][0]), k, np.int32))
                     if owner:
@@ -204,9 +205,11 @@ def _later(rows: DataFrame, kinds: DataFrame, on: list[str]) -> DataFrame:
     return looked_up(rows, saved(firsts, "unit-firsts"), on, "n", most=DIGESTS).where(after).select("id", "v", "start", "stop", F.col("_id").alias("kept_in"))
 
 
-def repeats(plain: DataFrame) -> DataFrame:
+def repeats(plain: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
     """(id, v, start, stop, kept_in) of every unit that is not the first of its kind. plain: texts()."""
-    found = saved(_reading(plain), "units")
+    if line_words < 1:
+        raise ValueError("line_words is at least 1")
+    found = saved(_reading(plain, line_words), "units")
     blocks_, a = found.where(F.col("kind") != ANCHOR), found.where(F.col("kind") == ANCHOR)
     again = _later(blocks_, _kinds(blocks_, ["kind", "h1", "h2"]), ["kind", "h1", "h2"])
     twice = saved(a.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchor-repeats")
@@ -219,12 +222,12 @@ def repeats(plain: DataFrame) -> DataFrame:
     return again.unionByName(_later(met, kinds, ["h1", "h2"])).unionByName(_later(w, _kinds(w, ["h1", "h2"]), ["h1", "h2"]))
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", line_words: int = LINE_WORDS) -> DataFrame:
     """The spans to remove: id, v (xxhash64 of the text), start, stop, and kept_in, the least id that was met with some of it
     before. They do not touch."""
     in_order = Window.partitionBy("id", "v").orderBy("start", "stop")
     before = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    found = repeats(texts(docs, key, text)).distinct().withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1))
+    found = repeats(texts(docs, key, text), line_words).distinct().withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1))
     numbered = found.withColumn("span", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     grouped = numbered.groupBy("id", "v", "span")
     return grouped.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_in").alias("kept_in")).drop("span")
@@ -239,10 +242,10 @@ def removed(text: str, cuts: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", line_words: int = LINE_WORDS) -> DataFrame:
     """docs without its repeated units; all rows and columns stay."""
     id_, v, cuts = (column_name(docs, c) for c in ("_id", "_v", "_cuts"))
-    per = spans(docs, key, text).groupBy(F.col("id").alias(id_), F.col("v").alias(v)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s"))
+    per = spans(docs, key, text, line_words).groupBy(F.col("id").alias(id_), F.col("v").alias(v)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s"))
     per = saved(per.select(id_, v, F.flatten(F.transform("s", lambda x: F.array(x["start"], x["stop"]))).alias(cuts)), "unit-spans")
     joined = docs.join(small_side(per), (docs[key] == F.col(id_)) & (F.xxhash64(docs[text].cast("string")) == F.col(v)), "left").drop(id_, v)
     names, at = docs.columns, docs.columns.index(text)
