@@ -24,6 +24,8 @@ RULES = ["few_words", "repeated_windows", "many_words", "short_words", "long_wor
 POLICIES = {
     "base": ["few_words", "repeated_windows"],
     "v1": ["few_words", "repeated_windows", "many_words", "short_words", "long_words", "symbols", "repeated_lines"],
+    #: v1 for corpora whose long documents are to stay, whatever their length.
+    "v2": ["few_words", "repeated_windows", "short_words", "long_words", "symbols", "repeated_lines"],
 }
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 MAX_WORDS = 10_000_000
