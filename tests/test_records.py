@@ -185,10 +185,44 @@ FULL = BASE | {
 }
 
 
+PARAMETERS = {
+    "granulate": {"grain": {"durationMs": {"min": 1, "max": 2}, "envelope": "custom", "panScatter": 0.5}, "emission": {"mode": "custom", "grainsPerSecond": 3}, "selection": {"order": "linear", "regionRefs": ["urn:p"]}, "output": {"kind": "texture"}, "more": 1},
+    "extract": {"domain": "partials", "partials": {"count": 2, "criterion": "loudest"}, "residual": True}, "reduce": {"kind": "mixdown", "factor": 2}, "fragment": {"strategy": "grains", "count": 2},
+    "timestretch": {"factor": 0.5, "transientMode": "smear"}, "pitchshift": {"cents": -100},
+    "generate": dict.fromkeys(["generationMethod", "parentRefs", "conditioningRefs", "regionRefs", "prompt", "negativePrompt", "model", "adapter", "provider", "providerPolicyState", "selection", "rejectedOutputRefs"], ["urn:p"]),
+    "segment": {"preservationIntent": "x"},
+}
+
+
+def profiled(kind):
+    effect = "generate" if kind == "generate" else "transform"
+    done = event(BASE) | {"operationType": f"op.{kind}", "effectClass": effect, "parameters": PARAMETERS[kind]}
+    shown = event(BASE) | {"operationType": "op.publish", "effectClass": "publish", "reversibility": "irreversible", "sequence": 1}
+    return FULL | {
+        "profiles": ["core", "audio", "listening", "analysis", "transformation", "generation", "processing", "observation", "mapping", "agent", "publication", "odd", "processing"],
+        "representations": [{"id": "urn:p", "mediaType": "audio/wav", "audio": {}}, {"id": "urn:q"}], "actors": [{"id": "urn:a", "actorKind": "agent"}], "capabilities": [{"id": "urn:b"}], "listeningPasses": [{"id": "urn:k"}],
+        "observations": [FULL["observations"][0] | dict.fromkeys(["epistemicStatus", "temporalCharacter", "signalKind"], "x")], "history": {"mode": "embedded", "events": [done, shown]},
+        "publication": FULL["publication"] | {"policyEvaluation": {"result": "permitted"}},
+    }
+
+
+def test_profiles_of_whole_records():
+    for kind in PARAMETERS:
+        mine = {"segment": "transformation", "generate": "generation"}.get(kind, "processing")
+        failed = {p for p, _ in mismatches(profiled(kind), WORDS)}
+        assert failed == {"odd", "transformation", "generation", "processing"} - {mine}
+        for change in ({"kind": 1}, {"factor": 0}, {"grain": 1}, {"domain": "x"}, {"strategy": None}, {"cents": 14401}, {"domain": "temporal-region", "regionRefs": []}):
+            d = copy.deepcopy(profiled(kind))
+            d["history"]["events"][0]["parameters"] |= change
+            bad = {"granulate": "grain", "extract": "domain", "reduce": "kind", "fragment": "strategy", "timestretch": "factor", "pitchshift": "cents"}.get(kind)
+            hit = bad in change or kind == "reduce" and "factor" in change or kind == "fragment" and change.get("regionRefs") == ["x"]
+            assert ("processing", 0) in mismatches(d, WORDS) if hit or mine != "processing" else ("processing", 0) not in mismatches(d, WORDS), (kind, change)
+
+
 def test_column_facts_equal_the_parsers(spark):
     """Sound, broken and scrambled records: columns tell what the strict parser tells, or leave the text to it."""
     r = random.Random(9)
-    docs = [FULL, FULL | {"history": FULL["history"] | {"mode": "external"}}, BASE, {}, *[scrambled(r, FULL) for _ in range(150)]]
+    docs = [FULL, FULL | {"history": FULL["history"] | {"mode": "external"}}, BASE, {}, *[scrambled(r, FULL) for _ in range(100)], *map(profiled, PARAMETERS), *[scrambled(r, profiled(k)) for k in PARAMETERS for _ in range(12)]]
     texts = TEXTS + [json.dumps(d) for d in docs]
     rows = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)] + [("none", None)], "record_key string, raw string")
     told = rec.column_facts(rows, WORDS)

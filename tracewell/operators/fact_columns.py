@@ -183,7 +183,7 @@ def graph(v: Top, words, acyclic: list[tuple[str, bool]]) -> Column:
 
 
 #: All kinds of facts.
-KINDS = frozenset(["record", "entity", "size", "external", "ref", "diagnostic", "event", "times", "inputs", "outputs", "relation", "window", "graph"])
+KINDS = frozenset(["record", "entity", "size", "external", "ref", "diagnostic", "event", "times", "inputs", "outputs", "relation", "window", "graph", "profile"])
 
 
 def facts(v: Top, events: Column, words, tables, wanted: frozenset[str] = KINDS) -> Column:
@@ -246,4 +246,8 @@ def facts(v: Top, events: Column, words, tables, wanted: frozenset[str] = KINDS)
     for name in ("claims", "measurements"):
         add("window", lambda name=name: each(items(v, name), F.lit(f"/{name}"), lambda x, p: window(member(x, "window"), under(p, "window"))))
     add("graph", lambda: graph(v, words, tables["acyclic"]))
+    if "profile" in wanted:
+        from tracewell.operators import profile_columns  # it builds on this module
+
+        parts.append(profile_columns.facts(v, events, words))
     return joined(parts)

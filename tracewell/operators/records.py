@@ -280,6 +280,8 @@ _NAMES = [x.split()[0] for x in FACTS.split(", ")]
 
 def parsed_facts(records: DataFrame, words: Vocabulary) -> DataFrame:
     """The facts of records (record_key, raw) that parse, by the strict parser."""
+    from tracewell.operators import profiles  # it builds on this module
+
     types = [pa.string(), pa.string(), pa.int32(), *[pa.string()] * 6, pa.float64(), pa.float64(), pa.list_(pa.string())]
 
     def run(batches):
@@ -287,9 +289,13 @@ def parsed_facts(records: DataFrame, words: Vocabulary) -> DataFrame:
             out = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    out += [(key, *f) for f in facts_of(parse(text or ""), words)]
+                    doc = parse(text or "")
                 except JsonError:
                     continue
+                told = facts_of(doc, words)
+                failed = profiles.mismatches(doc, words) if isinstance(doc, dict) else []
+                told += [("profile", len(told) + k, "/profiles", None, p, None, None, None, float(n), None, None) for k, (p, n) in enumerate(failed)]
+                out += [(key, *f) for f in told]
             cols = list(zip(*out, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=_NAMES)
 
@@ -298,7 +304,7 @@ def parsed_facts(records: DataFrame, words: Vocabulary) -> DataFrame:
 
 def column_facts(records: DataFrame, words: Vocabulary, wanted: frozenset[str] = fact_columns.KINDS) -> DataFrame:
     """The facts of the records that are plain, by columns; of any other one fact of the kind 'unread', which holds its text."""
-    v, top = F.col("value"), fact_columns.Top([*COLLECTIONS, "profiles"], ["id", "type", "disclosure", "revision", "createdBy", "history", "publication", words.version_member])
+    v, top = F.col("value"), fact_columns.Top([*COLLECTIONS, "profiles"], ["id", "type", "disclosure", "revision", "createdBy", "history", "publication", "measurements", "regions", words.version_member])
     rows = fact_columns.read(records).select("record_key", fact_columns.plain(F.col("raw"), v).alias("plain"), fact_columns.is_object(v).alias("object"), "raw", *top.columns(v))
     history = fact_columns.member(top, "history")
     embedded = F.when(fact_columns.text(fact_columns.member(history, "mode")) == "embedded", fact_columns.items(history, "events"))
@@ -363,7 +369,12 @@ def semantics(records: DataFrame, words: Vocabulary, codes: Iterable[str] = tupl
     """(record_key, code, severity, instance_path) of the semantic findings of records that parse, of the codes that are asked
     for: only the facts that their rules read are made."""
     codes = list(codes)
-    f = facts(records, words, {kind for c in codes for kind in RULES[c]})
+    return findings(facts(records, words, {kind for c in codes for kind in RULES[c]}), words, codes)
+
+
+def findings(f: DataFrame, words: Vocabulary, codes: Iterable[str] = tuple(RULES)) -> DataFrame:
+    """semantics(), from facts."""
+    codes = list(codes)
     of = lambda kind: f.where(F.col("kind") == kind)
     path = F.col("path")
     parts = []

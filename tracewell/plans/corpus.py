@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators import lineage, public, records as rec, schema
+from tracewell.operators import lineage, profiles as prof, public, records as rec, schema
 
 WORDS = rec.Vocabulary("ns", "op", "recordVersion", "1")
 QUERIES: dict = {}
@@ -65,10 +65,13 @@ def records(spark: SparkSession, d: str) -> DataFrame:
         F.when(x["l_returnflag"] == "R", "transform").when(x["l_returnflag"] == "A", "render").otherwise("observe").alias("effectClass"), F.when(x["l_linestatus"] == "F", "completed").otherwise("failed").alias("finalStatus"),
         stamp(F.col("o_orderdate")).alias("startedAt"), stamp(x["l_shipdate"]).alias("endedAt"), F.when(i > 0, F.array(before(i))).otherwise(F.array().cast("array<string>")).alias("inputs"), F.array(part(x)).alias("outputs"),
         F.struct(F.when(x["l_discount"] < 0.05, "permitted").otherwise("denied").alias("result")).alias("policyEvaluation"),
+        F.when(x["l_returnflag"] == "R", "op.reduce").alias("operationType"), F.when(x["l_returnflag"] == "R", F.struct(F.lit("mixdown").alias("kind"), (x["l_quantity"] - 10).alias("factor"))).alias("parameters"),
     ))
     claims = each(lambda x, i: F.struct(urn("claim", key, i).alias("id"), F.struct(x["l_quantity"].alias("start"), F.lit(25.0).alias("end")).alias("window")))
+    declared = {"core": F.col("o_orderkey") % 7 != 0, "processing": F.col("o_orderkey") % 2 == 0, "agent": F.col("o_orderkey") % 11 == 0, "odd": F.col("o_orderkey") % 13 == 0}
+    profiles = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in declared.items()]), lambda p: p.isNotNull())
     raw = F.to_json(F.struct(
-        urn("order", key).alias("id"), F.lit("9").alias("schemaVersion"), F.lit("1").alias("recordVersion"), (F.col("o_orderkey") % 5).alias("revision"), F.array(F.lit("core")).alias("profiles"), F.when(F.col("o_orderstatus") == "F", "public").when(F.col("o_orderstatus") == "O", "restricted").alias("disclosure"),
+        urn("order", key).alias("id"), F.lit("9").alias("schemaVersion"), F.lit("1").alias("recordVersion"), (F.col("o_orderkey") % 5).alias("revision"), profiles.alias("profiles"), F.when(F.col("o_orderstatus") == "F", "public").when(F.col("o_orderstatus") == "O", "restricted").alias("disclosure"),
         F.when(mode == 1, part(F.get("lines", F.lit(0)))).otherwise(customer).alias("createdBy"), actors.alias("actors"), representations.alias("representations"), relations.alias("relations"), claims.alias("claims"),
         F.struct(F.lit("embedded").alias("mode"), events.alias("events")).alias("history"),
         F.struct(urn("public", key).alias("publicRecordId"), stamp(F.col("o_orderdate")).alias("approvedAt"), customer.alias("approvedBy")).alias("publication"),
@@ -216,6 +219,14 @@ def rec_projection(spark, d):
     return v.select("record_key", "v.id", F.size("v.representations").cast("long").alias("representations"), F.size("v.relations").cast("long").alias("relations"), F.size("v.publication.omissions").cast("long").alias("omissions"))
 
 
+@query(""", g AS (SELECT record_key, k, count(*) AS n, bool_or(flag = 'R' AND q > 10) AS found, bool_or(flag = 'R' AND q > 10 AND status = 'F') AS done, bool_or(i > 0 AND q % 4 < 3) AS named FROM l GROUP BY ALL)
+SELECT record_key, 'core' AS profile, -1::BIGINT AS rules FROM g WHERE k % 7 = 0 UNION ALL SELECT record_key, 'odd', -1 FROM g WHERE k % 13 = 0 UNION ALL SELECT record_key, 'agent', 7 FROM g WHERE k % 11 = 0
+UNION ALL SELECT record_key, 'processing', (CASE WHEN found THEN 0 ELSE 1 END) + (CASE WHEN done AND NOT (n > 1 AND named) THEN 2 ELSE 0 END) AS rules FROM g WHERE k % 2 = 0 AND (NOT found OR done AND NOT (n > 1 AND named))""")
+def rec_profiles(spark, d):
+    """The failed rules of each declared profile, as bits."""
+    return prof.failed_rules(rec.facts(records(spark, d), WORDS, ["profile"]))
+
+
 @query(""", n AS (SELECT record_key, k, any_value(state) AS state, count(*) AS lines, any_value(cust) AS cust FROM l GROUP BY ALL)
 SELECT kind, count(*) AS facts FROM (
   SELECT unnest(['entity', 'event', 'outputs', 'window', 'times']) AS kind, k FROM l

@@ -23,8 +23,9 @@ def diagnose(records: DataFrame, words: rec.Vocabulary, schemas: dict[str, dict]
     other = F.map_contains_key(members, words.version_member) & ~members[words.version_member].eqNullSafe(F.lit(words.version))
     old = records.join(first.where("code = 'SCHEMA_INVALID'").select("record_key").distinct(), "record_key", "left_semi").where(other)
     old = rec.diagnostic(old, "UNSUPPORTED_VERSION", F.lit(f"/{words.version_member}"))
-    shape = profiles.check(sound, words).select("record_key", "code", F.lit("error").alias("severity"), F.lit("/profiles").alias("instance_path"))
-    return first.unionByName(old).unionByName(shape).unionByName(rec.semantics(sound, words)).distinct()
+    f = rec.facts(sound, words)  # profiles and rules read the same facts
+    shape = profiles.check(f).select("record_key", "code", F.lit("error").alias("severity"), F.lit("/profiles").alias("instance_path"))
+    return first.unionByName(old).unionByName(shape).unionByName(rec.findings(f, words)).distinct()
 
 
 def verdicts(records: DataFrame, words: rec.Vocabulary, **structure) -> DataFrame:
