@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators import lineage, profiles as prof, public, records as rec, schema
+from tracewell.operators import intervals, lineage, profiles as prof, public, records as rec, schema
 
 WORDS = rec.Vocabulary("ns", "op", "recordVersion", "1")
 QUERIES: dict = {}
@@ -236,3 +236,26 @@ def rec_facts(spark, d):
     """How many facts of each kind the records hold, of the kinds that the tables tell."""
     f = rec.facts(records(spark, d), WORDS)
     return f.where(F.col("kind").isin("entity", "event", "outputs", "inputs", "window", "times", "relation", "record")).groupBy("kind").agg(F.count(F.lit(1)).alias("facts"))
+
+
+@query(""", e AS (SELECT k, i, k % 100 AS issuer, cust % 3 AS action, q::INT % 7 AS aim, epoch(shipped)::BIGINT // 86400 AS day FROM b),
+p AS (SELECT o_custkey % 100 AS issuer, o_orderkey % 3 AS action, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 7 END AS target, o_orderstatus = 'P' OR o_orderkey % 4 = 0 AS no,
+  epoch(o_orderdate)::BIGINT // 86400 AS f, CASE WHEN o_orderkey % 50 > 0 THEN epoch(o_orderdate)::BIGINT // 86400 + o_orderkey % 90 END AS u FROM orders),
+m AS (SELECT k, i, count(*) FILTER (WHERE NOT no) AS permissions, count(*) FILTER (WHERE no) AS prohibitions FROM e JOIN p USING (issuer, action) WHERE day >= f AND (u IS NULL OR day <= u) AND (target IS NULL OR target = aim) GROUP BY ALL)
+SELECT k::VARCHAR AS record_key, '/history/events/' || i AS path, coalesce(permissions, 0) AS permissions, coalesce(prohibitions, 0) AS prohibitions,
+  CASE WHEN prohibitions > 0 THEN 'prohibited' WHEN permissions > 0 THEN 'permitted' ELSE 'unauthorised' END AS verdict FROM e LEFT JOIN m USING (k, i)""")
+def rec_authorization(spark, d):
+    """Every event of the records against the policies that other orders' customers issued for a time."""
+    from pyspark.sql import Window
+
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE)) - 1
+    lines = t("lineitem").withColumn("path", F.concat(F.lit("/history/events/"), place)).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    asked = lines.select(F.col("l_orderkey").cast("string").alias("record_key"), "path", (F.col("l_orderkey") % 100).alias("issuer"), (F.col("o_custkey") % 3).alias("action"), (F.col("l_quantity").cast("int") % 7).cast("long").alias("target"), day("l_shipdate").alias("at"))
+    k, no = F.col("o_orderkey"), (F.col("o_orderstatus") == "P") | (F.col("o_orderkey") % 4 == 0)
+    rules = t("orders").select(
+        (F.col("o_custkey") % 100).alias("issuer"), (k % 3).alias("action"), F.when(k % 5 > 0, k % 7).alias("target"), F.when(no, "prohibition").otherwise("permission").alias("effect"),
+        day("o_orderdate").alias("valid_from"), F.when(k % 50 > 0, day("o_orderdate") + k % 90).alias("valid_until"),
+    )
+    return intervals.authorizations(asked, rules, ["issuer"], ["record_key", "path"])
