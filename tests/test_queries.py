@@ -118,3 +118,19 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
         assert lineage.cyclic_core(whole).count() == n
         assert lineage.strong_components(whole).groupBy("component").count().collect()[0]["count"] == n
     assert len(writes) < 250
+
+
+def test_local_and_looped_traces_agree(spark):
+    """Random graphs of several records, with loops, repeated edges and missing ends, both ways and at several depths."""
+    r = random.Random(11)
+    e = [(str(r.randrange(6)), str(r.randrange(9)), str(r.randrange(9))) for _ in range(90)] + [("1", None, "2"), (None, "1", "2"), ("2", "3", None)]
+    e = spark.createDataFrame(e + e[:9], "record_key string, parent string, child string")
+    roots = spark.createDataFrame([(str(r.randrange(7)), str(r.randrange(10))) for _ in range(25)], "record_key string, id string")
+    for way in ("ancestors", "descendants"):
+        for depth in (1, 2, 64):
+            (a, cut_a), (b, cut_b) = lineage.trace_local(e, roots, way, depth), lineage.trace_records(e.dropna(), roots, way, depth)
+            key = lambda d: sorted(map(tuple, d.collect()))
+            assert key(a.select("record_key", "root", "id", "depth")) == key(b.select("record_key", "root", "id", "depth"))
+            assert key(cut_a) == key(cut_b)
+    with pytest.raises(lineage.LineageError):
+        lineage.trace_local(e, roots, "sideways")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +28,7 @@ def trace_records(edges: DataFrame, roots: DataFrame, direction: str = "descenda
     A semi-naive loop: each level joins only the frontier, and only nodes not seen before go on. It ends with the depth
     or an empty frontier. The edges are written once, in the traced direction; each frontier is written out, so that no plan
     grows with the depth."""
-    if not isinstance(max_depth, int) or isinstance(max_depth, bool) or not 1 <= max_depth <= GREATEST_DEPTH:
-        raise LineageError("LINEAGE_LIMIT_INVALID", f"max_depth must be a whole number from 1 to {GREATEST_DEPTH}")
-    if direction not in ("ancestors", "descendants"):
-        raise LineageError("LINEAGE_DIRECTION_INVALID", "direction is ancestors or descendants")
-    near, far = ("child", "parent") if direction == "ancestors" else ("parent", "child")
+    near, far = _checked(direction, max_depth)
     steps = materialized(edges.select("record_key", F.col(near).alias("id"), F.col(far).alias("next")), "steps")
     node = ["record_key", "root", "id"]
     frontier = materialized(roots.select("record_key", F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct(), "frontier")
@@ -53,6 +50,60 @@ def trace_records(edges: DataFrame, roots: DataFrame, direction: str = "descenda
     return _union(seen).where("depth > 0"), cut
 
 
+def _checked(direction: str, max_depth: int) -> tuple[str, str]:
+    """The near and the far end of an edge."""
+    if not isinstance(max_depth, int) or isinstance(max_depth, bool) or not 1 <= max_depth <= GREATEST_DEPTH:
+        raise LineageError("LINEAGE_LIMIT_INVALID", f"max_depth must be a whole number from 1 to {GREATEST_DEPTH}")
+    if direction not in ("ancestors", "descendants"):
+        raise LineageError("LINEAGE_DIRECTION_INVALID", "direction is ancestors or descendants")
+    return ("child", "parent") if direction == "ancestors" else ("parent", "child")
+
+
+def breadth_first(after: dict, root, max_depth: int) -> tuple[dict, bool]:
+    """Least depth of each node within reach of root, root included, and whether an edge leads to a further node."""
+    depth, frontier = {root: 0}, [root]
+    for level in range(1, max_depth + 1):
+        found = []
+        for node in frontier:
+            for other in after.get(node, ()):
+                if other not in depth:
+                    depth[other] = level
+                    found.append(other)
+        frontier = found
+    return depth, any(other not in depth for node in frontier for other in after.get(node, ()))
+
+
+def trace_local(edges: DataFrame, roots: DataFrame, direction: str = "descendants", max_depth: int = DEFAULT_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """trace_records() for graphs that lie inside one record each (at most 16 MiB of text): edges and roots are dealt by record
+    once, and each record is searched where it lands, one after another in sorted batches."""
+    near, far = _checked(direction, max_depth)
+    rows = edges.select("record_key", F.col(near).alias("a"), F.col(far).alias("b"))
+    # a root is a row without a far end, and comes after the edges of its record
+    rows = rows.where("a IS NOT NULL AND b IS NOT NULL").unionByName(roots.where("id IS NOT NULL").select("record_key", F.col("id").alias("a"), F.lit(None).cast("string").alias("b")).distinct())
+    names = ["record_key", "root", "id", "depth"]
+
+    def run(batches):
+        record, after = None, {}
+        for batch in batches:
+            out = []
+            for key, a, b in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                if key != record:
+                    record, after = key, {}
+                if b is not None:
+                    after.setdefault(a, []).append(b)
+                    continue
+                found, cut = breadth_first(after, a, max_depth)
+                out += [(key, a, node, depth) for node, depth in found.items() if depth]
+                if cut:
+                    out.append((key, a, None, -1))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 3 + [pa.int32()], strict=True)], names=names)
+
+    dealt = rows.where("record_key IS NOT NULL").repartition("record_key").sortWithinPartitions("record_key", F.col("b").isNull())
+    found = materialized(dealt.mapInArrow(run, "record_key string, root string, id string, depth int"), "lineage-local")
+    return found.where("id IS NOT NULL"), found.where("id IS NULL").select("record_key", "root")
+
+
 def trace(edges: DataFrame, root: str, direction: str = "descendants", max_depth: int = DEFAULT_DEPTH) -> tuple[DataFrame, bool]:
     """trace_records() over one graph of (parent, child) edges: (id, depth), and whether an edge leads further."""
     spark = edges.sparkSession
@@ -60,9 +111,9 @@ def trace(edges: DataFrame, root: str, direction: str = "descendants", max_depth
     return nodes.select("id", "depth"), not cut.isEmpty()
 
 
-def report(entities: DataFrame, edges: DataFrame, roots: DataFrame, direction: str = "both", max_depth: int = DEFAULT_DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+def report(entities: DataFrame, edges: DataFrame, roots: DataFrame, direction: str = "both", max_depth: int = DEFAULT_DEPTH, sort: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Lineage of roots (record_key, id) of records: the nodes (record_key, root, id, depth, direction, type, collection,
-    path, truncated) in the order of record, root, direction, depth and id; the edges whose both ends a trace reached or
+    path, truncated) in the order of record, root, direction, depth and id, if sort; the edges whose both ends a trace reached or
     started from; and the roots that their record lacks, with the code LINEAGE_ENTITY_MISSING.
 
     entities: (record_key, id, collection, type, path, place), the first place of an id counts."""
@@ -73,14 +124,14 @@ def report(entities: DataFrame, edges: DataFrame, roots: DataFrame, direction: s
     there = roots.join(first, ["record_key", "id"], "left_semi")
     out = inside = None
     for way in ("ancestors", "descendants") if direction == "both" else (direction,):
-        nodes, cut = trace_records(edges, there, way, max_depth)
+        nodes, cut = trace_local(edges, there, way, max_depth)
         nodes = nodes.join(cut.withColumn("truncated", F.lit(True)), ["record_key", "root"], "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
         nodes = materialized(nodes.withColumn("direction", F.lit(way)), "lineage-nodes")
         ends = nodes.select("record_key", "root", "id").unionByName(there.select("record_key", F.col("id").alias("root"), "id"))
         kept = edges.join(ends.withColumnRenamed("id", "parent"), ["record_key", "parent"]).join(ends.withColumnRenamed("id", "child"), ["record_key", "child", "root"])
         out, inside = (nodes, kept) if out is None else (out.unionByName(nodes), inside.unionByName(kept))
     nodes = out.join(first, ["record_key", "id"], "left").select("record_key", "root", "id", "depth", "direction", "type", "collection", "path", "truncated")
-    return nodes.orderBy("record_key", "root", "direction", "depth", "id"), inside.distinct(), missing
+    return nodes.orderBy("record_key", "root", "direction", "depth", "id") if sort else nodes, inside.distinct(), missing
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

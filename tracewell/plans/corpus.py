@@ -152,7 +152,7 @@ def rec_lineage(spark, d):
     f = rec.facts(records(spark, d), WORDS, ["entity", "relation"])
     entities = f.where("kind = 'entity'").select("record_key", "id", F.col("a").alias("collection"), F.col("b").alias("type"), "path", "place")
     roots = entities.where("path = '/representations/0'").select("record_key", "id")
-    return lineage.report(entities, rec.lineage_edges(f, WORDS), roots, "descendants")[0].select("record_key", "root", "id", "depth", "path")
+    return lineage.report(entities, rec.lineage_edges(f, WORDS), roots, "descendants", sort=False)[0].select("record_key", "root", "id", "depth", "path")
 
 
 @query("""SELECT record_key, 'urn:order:' || k AS id, '1' AS version, (k % 5)::DOUBLE AS revision, CASE any_value(state) WHEN 'F' THEN 'public' WHEN 'O' THEN 'restricted' ELSE '' END AS disclosure,
