@@ -87,6 +87,26 @@ def test_stream_finds_what_the_batch_finds(spark, tmp_path):
     assert sorted((r.line, r.code) for r in spark.table("found").collect()) == [(2, "BUNDLE_EVENT_SEQUENCE"), (3, "BUNDLE_EVENT_DUPLICATE_ID")]
 
 
+def test_stream_with_nulls_and_a_restart_equals_the_batch(spark, tmp_path):
+    """Random logs in three runs over one checkpoint, with null ids and sequences, against the batch form over all."""
+    import random
+
+    from tracewell.streaming import receipts
+
+    r = random.Random(6)
+    schema = "log string, line long, id string, sequence long"
+    rows = [(f"l{k % 3}", k, r.choice([None, f"e{r.randrange(25)}"]), r.choice([None, k, r.randrange(60)])) for k in range(60)]
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in/*"))
+    for k, part in enumerate((rows[:25], rows[25:30], rows[30:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.json(str(tmp_path / f"in/{k}"))
+        q = receipts.findings(stream()).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = {(x.log, x.code, x.line) for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = spark.createDataFrame([(*x, None) for x in rows], schema + ", code string")
+    want = {(x.log, x.code, x.line) for x in bundles.receipt_findings(batch).collect()}
+    assert got == want and {c for _, c, _ in got} == {"BUNDLE_EVENT_SEQUENCE", "BUNDLE_EVENT_DUPLICATE_ID"}
+
+
 def entry(path, role, **more):
     return {"path": path, "role": role, "mediaType": "a/b", "byteLength": 1, "sha256": "0" * 64, "disclosure": "private"} | more
 
