@@ -134,3 +134,34 @@ def test_local_and_looped_traces_agree(spark):
             assert key(cut_a) == key(cut_b)
     with pytest.raises(lineage.LineageError):
         lineage.trace_local(e, roots, "sideways")
+
+
+@pytest.mark.parametrize("parts", [1, 3, 17])
+def test_walks_break_at_the_same_entry_however_rows_are_dealt(spark, parts):
+    from pyspark.sql import functions as F
+
+    from tracewell.sources import bundles
+
+    r = random.Random(5)
+    files = sorted({"/".join(r.choice(["a", "b", "a-b", "B", "é"]) for _ in range(r.randrange(1, 5))) + f"/f{k}" for k in range(60)})
+    sizes = {f: r.randrange(1, 50) for f in files}
+
+    def walk(limits):
+        n = total = 0
+        folders = {f.rsplit("/", k)[0] for f in files for k in range(1, f.count("/") + 1)}
+        for p in sorted(files + list(folders), key=lambda p: [x.encode() for x in p.split("/")]):
+            n, total = n + 1, total + sizes.get(p, 0)
+            for code, bad in (("BUNDLE_ENTRY_COUNT_LIMIT", n > limits.entries), ("BUNDLE_ENTRY_LIMIT", sizes.get(p, 0) > limits.entry), ("BUNDLE_TOTAL_LIMIT", total > limits.total)):
+                if bad:
+                    return p, code
+        return None
+
+    rows = spark.createDataFrame(list(sizes.items()), "path string, length long").repartition(parts, F.rand(parts))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for limits in (bundles.Limits(entries=20), bundles.Limits(total=300), bundles.Limits(entry=48), bundles.Limits(entries=40, total=900, entry=49), bundles.Limits()):
+            got = bundles.walk_fault(rows, limits).first()
+            assert (tuple(got) if got else None) == walk(limits)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import columns as fx
-from tracewell.operators import checks, lineage
+from tracewell.operators import budgets, checks, lineage
 from tracewell.plans import corpus
 from tracewell.functions.shapes import SECRET_SHAPES
 
@@ -115,6 +115,14 @@ r(a, b) AS (SELECT parent, child FROM e UNION SELECT r.a, e.child FROM r JOIN e
 """
 
 
+@query("""WITH t AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents FROM orders), r AS (SELECT *, sum(cents) OVER (ORDER BY o_orderkey)::BIGINT AS total FROM t)
+SELECT o_orderkey, total FROM r WHERE total // 1000000000 > (total - cents) // 1000000000""")
+def budget_breaks(spark, d):
+    """The orders at which the running total of all prices passes each ten million."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return budgets.passed(orders, ["o_orderkey"], F.col("cents"), 1_000_000_000).select("o_orderkey", "total")
+
+
 STEPS = """
 WITH RECURSIVE s AS (SELECT user_id || ':' || event_type AS parent, user_id || ':' || lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS child FROM events),
 e AS (SELECT DISTINCT parent, child FROM s WHERE child IS NOT NULL), r(a, b) AS (SELECT parent, child FROM e UNION SELECT r.a, e.child FROM r JOIN e ON r.b = e.parent)

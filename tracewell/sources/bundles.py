@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.names import fold_path, path_problem
-from tracewell.operators import checks
+from tracewell.operators import budgets, checks
 from tracewell.sources.strict_json import LARGEST_RECORD, JsonError, parse
 
 #: What a bundle may hold.
@@ -126,23 +126,42 @@ def _inner(path: str):
     return F.substring(inner, len(base) + 1, 1 << 20)
 
 
+def walk_fault(files: DataFrame, limits: Limits) -> DataFrame:
+    """(path, code): the entry at which a walk of a folder's files (path, length) breaks a limit, one at most. Folders come
+    before what lies in them, and siblings by name; both count as entries."""
+    folders = files.select(F.explode(checks.path_prefixes(F.col("path"))).alias("path")).distinct().withColumn("length", F.lit(0).cast("long"))
+    every = files.select("path", "length").unionByName(folders).withColumn("parts", F.split("path", "/"))
+    faults = [
+        ("BUNDLE_ENTRY_COUNT_LIMIT", F.col("n") > limits.entries),
+        ("BUNDLE_ENTRY_LIMIT", F.col("length") > limits.entry),
+        ("BUNDLE_TOTAL_LIMIT", F.col("total") > limits.total),
+    ]
+    return budgets.first_fault(every, ["parts"], {"n": F.lit(1), "total": F.col("length")}, faults).select("path", "code")
+
+
 def folder_entries(spark: SparkSession, path: str, bundle: str, limits: Limits = Limits()) -> DataFrame:
     """The same for one folder; hashing stays in the JVM. Sizes are checked before any content is read: too large a file
-    has a code and is not read, and a folder over the count or total has only a row that says so. Folders count
-    as entries where files lie in them. Spark's reader shows neither empty folders nor links, which it may follow."""
+    has a code and is not read, and a folder over the count or total has only a row that says which a walk meets first
+    (folder_fault() names the entry). Folders count as entries where files lie in them. Spark's reader shows neither empty folders nor links, which it may follow."""
     source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     sizes = source.load(path).select(_inner(path).alias("path"), "length")
     above = sizes.select(F.explode(checks.path_prefixes(F.col("path"))).alias("path")).distinct().count()
     n, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    over = "BUNDLE_ENTRY_COUNT_LIMIT" if n + above > limits.entries else "BUNDLE_TOTAL_LIMIT" if total > limits.total else None
-    if over:
-        return spark.createDataFrame([(bundle, "", None, None, over)], ENTRIES)
+    if n + above > limits.entries or total > limits.total:
+        fault = walk_fault(sizes, Limits(entries=limits.entries, total=limits.total, entry=1 << 62)).first()
+        return spark.createDataFrame([(bundle, "", None, None, fault["code"])], ENTRIES)
     large = sizes.where(F.col("length") > limits.entry).select(F.lit(bundle).alias("bundle"), "path", "length", F.lit(None).cast("string").alias("sha256"), F.lit("BUNDLE_ENTRY_LIMIT").alias("code"))
     read = source.load(path).where(F.col("length") <= limits.entry).select(F.lit(bundle).alias("bundle"), _inner(path).alias("path"), "length", F.sha2("content", 256).alias("sha256"))
     read = read.withColumn("code", _each(path_problem, "path")).withColumn("sha256", F.when(F.col("code").isNull(), F.col("sha256")))
     return read.unionByName(large)
 
 
+def folder_fault(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
+    """walk_fault() of a folder on disk, without reading any content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return walk_fault(files.select(_inner(path).alias("path"), "length"), limits)
+
+
 MANIFEST = "bundle string, kind string, n int, id string, path string, role string, byte_length long, sha256 string, code string"
 _ROLES = {"record", "event-log", "policy", "original", "derivative", "preview", "report", "other"}
 _REQUIRED = ("manifestType", "manifestVersion", "id", "createdAt", "createdBy", "disclosure", "profiles", "records", "files", "externalReferences", "omissions", "extensions")
