@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions import columns as fx
+from tracewell.functions import addresses, columns as fx
 from tracewell.operators import budgets, checks, lineage
 from tracewell.plans import corpus
 from tracewell.functions.shapes import SECRET_SHAPES
@@ -298,6 +298,23 @@ def ipv4_class(spark, d):
     return rows.withColumn("non_public", fx.is_non_public_ipv4(F.col("n")))
 
 
+#: Blocks of the query address_blocks, as (first address, leading bits).
+_NETS = [("2001:db8::", 32), ("2001:db8:0:1::", 64), ("2001:db8:40::", 42), ("::ffff:0:0", 96), ("::ffff:10.0.0.0", 104), ("::ffff:10.16.0.0", 108), ("10.0.0.0", 8), ("10.128.0.0", 9), ("10.3.0.0", 16)]
+
+
+@query("""WITH a AS (SELECT event_id, event_id % 3 AS kind, user_id % 256 AS u, event_id % 256 AS e FROM events)
+SELECT event_id, CASE WHEN kind = 0 AND u = 0 AND e = 1 THEN '2001:db8:0:1::/64' WHEN kind = 0 AND u >= 64 AND u < 128 THEN '2001:db8:40::/42' WHEN kind = 0 THEN '2001:db8::/32'
+  WHEN kind = 1 AND u >= 16 AND u < 32 THEN '::ffff:10.16.0.0/108' WHEN kind = 1 THEN '::ffff:10.0.0.0/104' WHEN u = 3 THEN '10.3.0.0/16' WHEN u >= 128 THEN '10.128.0.0/9' ELSE '10.0.0.0/8' END AS block FROM a""")
+def address_blocks(spark, d):
+    """Which block, the narrowest of those that overlap, holds the address that each event's numbers spell."""
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 256).alias("u"), (F.col("event_id") % 256).alias("e"))
+    six = F.concat(F.lit("2001:DB8:"), F.lower(F.hex("u")), F.lit(":"), F.hex("e"), F.lit("::7"))
+    mapped, four = (F.concat(F.lit(x), F.concat_ws(".", F.lit("10"), "u", "e", F.lit("9"))) for x in ("0:0:0::ffff:", ""))
+    text = F.when(F.col("event_id") % 3 == 0, six).when(F.col("event_id") % 3 == 1, mapped).otherwise(four)
+    blocks = spark.createDataFrame([(f"{first}/{n}", first, n) for first, n in _NETS], "block string, first string, length int")
+    return addresses.longest_block(e.withColumn("bits", addresses.address_bits(text)), blocks, "bits").select("event_id", "block")
+
+
 @query("WITH k AS (SELECT event_id, unnest(json_keys(props)) AS key, props FROM events) SELECT event_id, '/' || replace(replace(key, '~', '~0'), '/', '~1') AS pointer, json_extract_string(props, '$.' || key) AS value FROM k")
 def json_walk(spark, d):
     v = table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
