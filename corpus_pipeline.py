@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result to the shared folder and reads
 it again as the next stage's docs. All stages but the last return the columns of documents.
+
+Defined results: null, empty and wordless texts are rejected for their few words; a null source is a source of its own; rows
+without an id are in no line dedup or near-dedup, and stay. Rows that repeat an id and its text are treated alike. Ties go to
+the smaller id. Other columns are carried, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
