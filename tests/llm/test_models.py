@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -172,7 +173,7 @@ def test_query_equals_a_plain_version(spark):
 def test_trees_learn_and_repeat(spark):
     r = random.Random(2)
     rows = [urls.lexical(f"https://h{r.randrange(99)}.org/{'9' * r.randrange(1, 12)}?{'a=1&' * r.randrange(6)}") for _ in range(800)]
-    y = np.array([v[4] > 0.25 and v[6] > 2 for v, _, _ in rows])
+    y = np.array([v[4] > 0.25 and v[6] > 2 for v, *_ in rows])
     model = urls.fit(rows[:600], y[:600])
     assert ((model.margin(rows[600:]) > 0) == y[600:]).mean() > 0.95
     assert (model.margin(rows) == urls.fit(rows[:600], y[:600]).margin(rows)).all()
@@ -187,3 +188,28 @@ def test_a_bag_is_that_of_all_words():
     n = np.bincount([b for w in words for b in toxicity.grams(w)])
     assert ids.tolist() == np.flatnonzero(n).tolist() and np.array_equal(share, (n[ids] / n.sum()).astype(np.float32))
     assert [len(x) for x in toxicity.bag([], {})] == [0, 0]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's tables are not here")
+def test_url_trees_learn_what_rules_say(spark):
+    """On labelled URLs of folds that training never saw, the trees beat the more frequent verdict."""
+    rows = urls.labelled(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url"))
+    y, x = np.array([r[0] == "block" for r in rows]), [(list(v), *suffixes) for _, v, suffixes in rows]
+    fold = np.random.default_rng(0).integers(0, 5, len(x))
+    right = 0
+    for k in range(5):
+        model = urls.fit([r for r, f in zip(x, fold, strict=True) if f != k], y[fold != k])
+        right += ((model.margin([r for r, f in zip(x, fold, strict=True) if f == k]) > 0) == y[fold == k]).sum()
+    constant = max(y.mean(), 1 - y.mean())
+    print(right / len(y), constant)
+    assert right / len(y) > constant + 0.1
+
+
+def test_suffix_statistics_leave_the_own_fold_out():
+    names, blocked, fold = ["a", "a", "a", "b", "b"], np.array([1, 0, 1, 1, 0]), np.array([0, 1, 0, 2, 3])
+    got = urls.statistics(names, blocked, 0.5, fold)
+    for k, name in enumerate(names):
+        others = [b for n, b, f in zip(names, blocked, fold, strict=True) if n == name and f != fold[k]]
+        assert np.allclose(got[k], [(sum(others) + 5) / (len(others) + 10), np.log1p(len(others))])
+    assert urls.lexical("https://A.b.Com/x/en/1.html?q=1")[1:] == ("com", "b.com", "a.b.com", "html", "en")
+    assert urls.lexical(None)[1:] == ("", "", "", "", "")
