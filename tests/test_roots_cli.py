@@ -69,3 +69,28 @@ def test_schemas_audits_and_requests(spark, tmp_path, capsys):
     (tmp_path / "q").mkdir()
     (tmp_path / "q/q.json").write_text(capsys.readouterr().out)
     assert cli.main(["process-check", str(tmp_path / "q"), *schemas]) == 0
+
+
+def test_commands_keep_to_their_roots(spark, tmp_path, capsys):
+    words = ["--relations", "ns", "--operations", "op"]
+    for name in ("in", "out"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "r.json").write_text(json.dumps(BASE))
+    os.symlink(tmp_path / "out", tmp_path / "in/link")
+    root = ["--root", str(tmp_path / "in")]
+    assert cli.main(["validate", str(tmp_path / "in"), *words, *root]) == 0
+    for bad in (["validate", str(tmp_path / "out"), *words], ["summary", str(tmp_path / "in/link"), *words], ["summary", str(tmp_path / "in"), *words, "--out", str(tmp_path / "out/new")], ["schema-list", str(tmp_path / "in/../out")]):
+        assert cli.main([*bad, *root]) == 3
+        assert json.loads(capsys.readouterr().err.splitlines()[-1]) == {"code": "PATH_ESCAPE"}
+    assert cli.main(["schema-list", str(tmp_path / "out"), *root, "--root", str(tmp_path / "out")]) == 0
+
+
+def test_audits_check_structure_first(spark, tmp_path, capsys):
+    words = ["--relations", "ns", "--operations", "op"]
+    for name, text in (("r/a.json", BASE), ("r/b.json", BASE | {"extra": 1}), ("s/s.json", {"$id": "urn:s", "properties": {"extra": False}})):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(text))
+    assert cli.main(["audit-public", str(tmp_path / "r"), *words, "--schemas", str(tmp_path / "s"), "--schema-id", "urn:s"]) == 1
+    found = [json.loads(line) for line in capsys.readouterr().out.splitlines() if line.startswith("{")]
+    assert {(x["record_key"][-6:], x["code"]) for x in found if x["record_key"].endswith("b.json")} == {("b.json", "SCHEMA_INVALID")}
+    assert {x["code"] for x in found if x["record_key"].endswith("a.json")} >= {"PUBLIC_DISCLOSURE"}

@@ -55,6 +55,8 @@ def main(argv: list[str] | None = None) -> int:
     s = sub.add_parser("schema-show")
     s.add_argument("schemas")
     s.add_argument("id")
+    for name in sub.choices:
+        sub.choices[name].add_argument("--root", dest="roots", action="append", help="a folder that every path must lie in, links followed; several may be given")
     for name in (*JUDGES, "summary", "project", "lineage"):
         sub.choices[name].add_argument("--out", help="a new folder for the rows, as JSON lines, instead of printing them")
     try:
@@ -64,12 +66,22 @@ def main(argv: list[str] | None = None) -> int:
     except SystemExit as e:
         return 2 if e.code else 0
     try:
+        confine(a)
         return run(a)
     except Exception as e:  # never shows a path or a value
         print(json.dumps({"code": getattr(e, "code", "IO_FAILURE")}), file=sys.stderr)
         return 3
 
 
+def confine(a) -> None:
+    """Where roots are given, every path of a command becomes its real path, and must lie below one of them."""
+    from tracewell.sources.roots import confined
+
+    for name in ("path", "source", "target", "schemas", "out") if a.roots else ():
+        if getattr(a, name, None) is not None:
+            setattr(a, name, confined(getattr(a, name), a.roots))
+
+
 def schemas_of(folder: str) -> dict[str, dict]:
     """The schema documents below a folder, by $id."""
     from tracewell.sources.strict_json import parse
@@ -147,7 +159,7 @@ def run(a) -> int:
         elif a.command == "project":
             found = public.projections(rows, words, set(a.include))
         elif a.command == "audit-public":
-            found = public.audits(rows, words)
+            found = validation.audit(rows, words, **structure)
         elif a.command == "conformance":
             diagnostics = validation.diagnose(rows, words, **structure)
             profiles = F.from_json(F.get_json_object("raw", "$.profiles"), "array<string>")

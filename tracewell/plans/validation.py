@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators import checks, profiles, records as rec, schema
+from tracewell.operators import checks, profiles, public, records as rec, schema
 from tracewell.operators.workspace import materialized
 from tracewell.sources import strict_json
 
@@ -28,5 +28,15 @@ def diagnose(records: DataFrame, words: rec.Vocabulary, schemas: dict[str, dict]
     return first.unionByName(old).unionByName(shape).unionByName(rec.findings(f, words)).distinct()
 
 
+def audit(records: DataFrame, words: rec.Vocabulary, schemas: dict[str, dict] | None = None, schema_id: str | None = None) -> DataFrame:
+    """(record_key, code, instance_path) of what forbids publishing records (record_key, raw) as they are. With schemas, their
+    structure comes first, and a record that fails it is told only that."""
+    if schemas is None:
+        return public.audits(records, words)
+    first = materialized(schema.validate(records, schemas, schema_id).select("record_key", "code", "instance_path"), "audit-structure")
+    sound = records.join(first.select("record_key").distinct(), "record_key", "left_anti")
+    return first.unionByName(public.audits(sound, words))
+
+
 def verdicts(records: DataFrame, words: rec.Vocabulary, **structure) -> DataFrame:
     return checks.verdicts(records, diagnose(records, words, **structure), "record_key")
