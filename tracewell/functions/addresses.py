@@ -21,21 +21,37 @@ def ipv4_bits(text: Column) -> Column:
     return F.lpad(F.bin(ipv4_number(text)), 32, "0")
 
 
+def _let(value: Column, make) -> Column:
+    """make(value), with value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def ipv6_bits(text: Column) -> Column:
     """The 128 bits of an IPv6 address, in full, shortened by one ::, or with a dotted quad at its end; null for anything else."""
-    t = F.lower(text)
-    quad = ipv4_number(F.regexp_extract(t, r"([0-9.]+)$", 1))
-    pair = F.concat(F.hex(F.shiftright(quad, 16)), F.lit(":"), F.hex(quad % 65536))
-    t = F.when(F.contains(t, F.lit(".")), F.concat(F.regexp_extract(t, r"^(.*:)[0-9.]+$", 1), F.lower(pair))).otherwise(t)
-    ends = F.split(t, "::")
-    groups = lambda part: F.when(part == "", F.array().cast("array<string>")).when(part.rlike(_GROUPS), F.split(part, ":"))
-    head = groups(ends[0])
-    tail = F.when(F.size(ends) == 2, groups(F.get(ends, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    n = F.size(head) + F.size(tail)
-    whole = F.when(F.size(ends) == 1, n == 8).otherwise((F.size(ends) == 2) & (n <= 7))
-    padded = lambda a: F.array_join(F.transform(a, lambda g: F.lpad(g, 4, "0")), "")
-    digits = F.concat(padded(head), F.repeat(F.lit("0000"), 8 - n), padded(tail))
-    return F.when(whole & head.isNotNull() & tail.isNotNull(), F.concat(_bits(F.substring(digits, 1, 16), 16), _bits(F.substring(digits, 17, 16), 16)))
+
+    def without_quad(t: Column) -> Column:
+        quad = ipv4_number(F.regexp_extract(t, r"([0-9.]+)$", 1))
+        pair = _let(quad, lambda q: F.concat(F.hex(F.shiftright(q, 16)), F.lit(":"), F.hex(q % 65536)))
+        return F.when(F.contains(t, F.lit(".")), F.concat(F.regexp_extract(t, r"^(.*:)[0-9.]+$", 1), F.lower(pair))).otherwise(t)
+
+    def groups(part: Column) -> Column:
+        return F.when(part == "", F.array().cast("array<string>")).when(part.rlike(_GROUPS), F.split(part, ":"))
+
+    def padded(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda g: F.lpad(g, 4, "0")), "")
+
+    def joined(ends: Column) -> Column:
+        tail = F.when(F.size(ends) == 2, groups(F.get(ends, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        return _let(F.struct(F.size(ends).alias("ends"), groups(ends[0]).alias("head"), tail.alias("tail")), digits)
+
+    def digits(x: Column) -> Column:
+        n = F.size(x["head"]) + F.size(x["tail"])
+        whole = F.when(x["ends"] == 1, n == 8).otherwise((x["ends"] == 2) & (n <= 7))
+        there = whole & x["head"].isNotNull() & x["tail"].isNotNull()
+        return F.when(there, F.concat(padded(x["head"]), F.repeat(F.lit("0000"), 8 - n), padded(x["tail"])))
+
+    made = _let(_let(F.lower(text), without_quad), lambda t: joined(F.split(t, "::")))
+    return _let(made, lambda d: F.concat(_bits(F.substring(d, 1, 16), 16), _bits(F.substring(d, 17, 16), 16)))
 
 
 def address_bits(text: Column) -> Column:
