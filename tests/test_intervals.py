@@ -23,3 +23,18 @@ def test_prohibitions_win_and_evaluations_without_rules_stay(spark):
     rules = spark.createDataFrame([("i", "permission", "publish", None, 0, 10), ("i", "prohibition", "publish", "y", 5, 5), ("i", "permission", "publish", "x", None, 4)], "issuer string, effect string, action string, target string, valid_from long, valid_until long")
     got = {r.id: (r.permissions, r.prohibitions, r.verdict) for r in intervals.authorizations(asked, rules, ["issuer"], ["id"]).collect()}
     assert got == {"e1": (1, 0, "permitted"), "e2": (1, 1, "prohibited"), "e3": (0, 0, "unauthorised"), "e4": (0, 0, "unauthorised"), "e5": (1, 0, "permitted")}
+
+
+def test_authorizations_make_no_pairs(spark):
+    """Open ends, rules without a target, nulls and empty spans against plain loops; the plan has no join by bins, whose rows are pairs."""
+    r = random.Random(11)
+    rules = [(r.randrange(2), r.choice(["permission", "prohibition", None]), r.randrange(2), r.choice([None, 0, 1]), r.choice([None, r.randrange(-200_000, 200_000)]), r.choice([None, r.randrange(-200_000, 200_000)])) for _ in range(300)]
+    asked = [(k, r.choice([0, 1, None]), r.randrange(2), r.choice([None, 0, 1, 2]), r.choice([None, r.randrange(-200_000, 200_000)])) for k in range(200)]
+    holds = lambda x, e: x[0] == e[1] and x[2] == e[2] and x[3] in (None, e[3]) and e[4] is not None and (x[4] is None or x[4] <= e[4]) and (x[5] is None or e[4] <= x[5])
+    want = sorted((e[0], *(sum(holds(x, e) and x[1] == effect for x in rules) for effect in ("permission", "prohibition"))) for e in asked)
+    made = intervals.authorizations(
+        spark.createDataFrame(asked, "k int, issuer int, action int, target int, at int"),
+        spark.createDataFrame(rules, "issuer int, effect string, action int, target int, valid_from int, valid_until int"), ["issuer"], ["k"],
+    )
+    assert sorted(tuple(x)[:3] for x in made.collect()) == want
+    assert "_level" not in made._jdf.queryExecution().optimizedPlan().toString()
