@@ -48,3 +48,28 @@ def test_what_columns_cannot_say_is_left_to_the_evaluator(spark, odd):
         schema_columns.Compiler(made).errors("urn:s", F.col("value"))
     rows = spark.createDataFrame([("1", '{"a":{"a":1}}')], "record_key string, raw string")
     assert sorted(map(tuple, schema.validate(rows, made, "urn:s").collect())) == sorted(map(tuple, schema.evaluated(rows, made, "urn:s").collect()))
+
+
+def test_a_value_is_taken_once(spark):
+    """However deep a schema goes, no level takes its value again for each keyword."""
+    leaf = {"minItems": 1, "maxItems": 3, "items": {"properties": {"x": {"minimum": 1}, "y": {"minimum": 1}}, "required": ["z"]}}
+    node = leaf
+    for _ in range(5):
+        node = {"properties": {"a": node}, "required": ["b"]}
+    found = schema_columns.Compiler({"urn:s": {"$id": "urn:s", **node}}).errors("urn:s", F.col("value"))
+    rows = spark.createDataFrame([("1", '{"b":1,"a":{}}')], "record_key string, raw string")
+    plan = fact_columns.read(rows).select(found.alias("e"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("try_variant_get") < 40
+    assert [tuple(e) for e in fact_columns.read(rows).select(found.alias("e")).first()[0]] == [("required", "/a/b")]
+
+
+def test_plain_asks_for_the_parser_only_where_it_must(spark):
+    """Digits after an e, or a ruled key's name, in a string are plain; numbers that may overflow, hidden depth and ruled keys are not."""
+    deep = "[" * 600 + "1" + "]" * 600
+    texts = {
+        '{"id":"urn:e123"}': True, '{"a":"health"}': True, '{"a":"withheld"}': True, '{"a":1e999}': False, '{"a":["s",1e999]}': False, '{"a":%s}' % ("9" * 310): False,
+        '{"health":{}}': False, '{"a":["s",{"freshness":{}}]}': False, '{"a":{"state":"withheld"}}': False, '{"a":["s",{"state":"deleted"}]}': False, '{"__proto__":1}': False, '{"a":"\\u0041"}': False, '{"a":["s",%s]}' % deep: False,
+    }
+    rows = fact_columns.read(spark.createDataFrame([(str(k), x) for k, x in enumerate(texts)], "record_key string, raw string"))
+    got = {r.raw: r.p for r in rows.select("raw", fact_columns.plain(F.col("raw"), F.col("value")).alias("p")).collect()}
+    assert got == texts

@@ -20,8 +20,10 @@ FIELDS = "kind string, path string, id string, a string, b string, c string, d s
 _TYPES = {"string": StringType(), "double": DoubleType(), "array<string>": ArrayType(StringType())}
 _FACT = StructType([StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in FIELDS.split(", "))])
 
-#: Texts that hold these are for the strict parser; texts that hold these have values whose rules look everywhere.
-_ODD, _WORDS = ["__proto__", "\\u"], ["withheld", "deleted", "health", "freshness"]
+#: Texts with this escape, or with these keys, are for the strict parser; values with these keys, or with a state of these, have
+#: rules that look everywhere.
+_ESCAPE, _KEYS = "\\u", ["__proto__"]
+_RULED_KEYS, _STATES = ["health", "freshness"], ["withheld", "deleted"]
 
 
 def read(records: DataFrame) -> DataFrame:
@@ -37,15 +39,34 @@ def read(records: DataFrame) -> DataFrame:
 
 
 def plain(raw: Column, value: Column, words: bool = True) -> Column:
-    """Whether columns read a text with this value as the strict parser does, and, if words, can tell its facts."""
-    odd = F.lit(False)
-    for w in _ODD + (_WORDS if words else []):
-        odd = odd | F.contains(raw, F.lit(w))
-    odd = odd | raw.rlike("[eE][+]?[0-9]{3}|[0-9]{300}")
+    """Whether columns read a text with this value as the strict parser does, and, if words, can tell its facts.
+
+    The value's schema tells most of it: it names every key, shows numbers that may overflow as DOUBLE, and is as deep as the
+    value. It is short, as it merges the items of a list; what it merges to VARIANT it hides, and then the text is searched."""
+    holds = lambda s, w: F.contains(s, F.lit(w))
     braces = lambda s, chars: sum((F.octet_length(s) - F.octet_length(F.replace(s, F.lit(c))) for c in chars), F.lit(0))
-    # a schema merges the items of a list, so it is as deep as its value but has few brackets
-    deep = (braces(raw, "{[") >= DEPTH) & (braces(F.schema_of_variant(value), "<") >= DEPTH)
-    return F.coalesce(value.isNotNull() & ~odd & ~deep, F.lit(False))
+
+    def odd(shape: Column) -> Column:
+        hidden = holds(shape, "VARIANT")
+        named = lambda key: holds(shape, key) | (hidden & holds(raw, key))
+        out = holds(raw, _ESCAPE)
+        for key in _KEYS + (_RULED_KEYS if words else []):
+            out = out | named(key)
+        if words:
+            states = F.lit(False)
+            for w in _STATES:
+                states = states | holds(raw, w)
+            out = out | (named("state") & states)
+        out = out | ((hidden | holds(shape, "DOUBLE")) & raw.rlike("[eE][+]?[0-9]{3}|[0-9]{300}"))
+        nested = hidden | ((F.octet_length(shape) >= DEPTH) & (braces(shape, "<") >= DEPTH))
+        return out | (nested & (braces(raw, "{[") >= DEPTH))
+
+    return F.coalesce(value.isNotNull() & ~once(F.schema_of_variant(value), odd), F.lit(False))
+
+
+def once(x: Column, make) -> Column:
+    """make(x), where x is worked out once however often make names it."""
+    return F.get(F.transform(F.array(x), make), F.lit(0))
 
 
 class Top:

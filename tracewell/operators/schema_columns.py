@@ -14,7 +14,7 @@ from urllib.parse import urljoin
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracewell.operators.fact_columns import number, text
+from tracewell.operators.fact_columns import number, once, text
 from tracewell.operators.schema import FORMATS, Catalog
 from tracewell.sources.strict_json import segment
 
@@ -45,6 +45,18 @@ def fields(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
+def has_members(v: Column) -> Column:
+    """Whether a value is an object."""
+    return F.try_variant_get(v, "$", "struct<_:boolean>").isNotNull()
+
+
+def member(v: Column, key: str) -> Column:
+    """An object's member; null where there is none, and for anything but an object."""
+    if not key or "'" in key:
+        return F.get(F.transform(F.array(fields(v)), lambda m: m[key]), F.lit(0))
+    return F.try_variant_get(v, f"$['{key}']", "variant")
+
+
 def listed(v: Column) -> Column:
     """An array's items; null for anything else."""
     return F.try_variant_get(v, "$", "array<variant>")
@@ -71,7 +83,7 @@ def child(path: Column, key: Column | str) -> Column:
 def is_type(v: Column, name: str) -> Column:
     kind = F.schema_of_variant(v)
     tests = {
-        "object": lambda: fields(v).isNotNull(),
+        "object": lambda: has_members(v),
         "array": lambda: listed(v).isNotNull(),
         "string": lambda: text(v).isNotNull(),
         "number": lambda: number(v).isNotNull(),
@@ -186,15 +198,19 @@ class Compiler:
         return [errors_if(F.coalesce(bad(float(s[k])), F.lit(False)), k, path) for k, bad in tests.items() if k in s]
 
     def _object(self, s: dict, v: Column, path: Column, base: str) -> list[Column]:
-        m, out = fields(v), []
-        has = lambda k: F.map_contains_key(m, k)
-        out += [errors_if(F.coalesce(~has(k), F.lit(False)), "required", child(path, k)) for k in s.get("required", ())]
+        out = [errors_if(has_members(v) & member(v, k).isNull(), "required", child(path, k)) for k in s.get("required", ())]
+        for k, sub in s.get("properties", {}).items():
+            if sub is not True and sub != {}:
+                out.append(once(member(v, k), lambda x: F.when(x.isNotNull(), self._check(sub, x, child(path, k), base)).otherwise(none())))  # noqa: B023  called at once
+        if s.keys() & {"minProperties", "patternProperties", "additionalProperties", "propertyNames"}:
+            out.append(once(fields(v), lambda m: F.concat(none(), *self._members(s, m, path, base))))
+        return out
+
+    def _members(self, s: dict, m: Column, path: Column, base: str) -> list[Column]:
+        """What a schema says of all members of an object, m its map or null."""
+        out, known, patterns = [], s.get("properties", {}), s.get("patternProperties", {})
         if "minProperties" in s:
             out.append(errors_if(m.isNotNull() & (F.size(m) < s["minProperties"]), "minProperties", path))
-        known, patterns = s.get("properties", {}), s.get("patternProperties", {})
-        for k, sub in known.items():
-            if sub is not True and sub != {}:
-                out.append(F.when(has(k), self._check(sub, m[k], child(path, k), base)).otherwise(none()))
         entries = F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:variant>>"))
 
         def each(make) -> Column:
@@ -220,11 +236,18 @@ class Compiler:
             out.append(each(other))
         if "propertyNames" in s:
             name = lambda e: F.try_parse_json(F.to_json(F.array(e["key"])))  # noqa: E731  the key as a VARIANT
-            out.append(each(lambda e: errors_if(~self._ok(s["propertyNames"], F.try_variant_get(name(e), "$[0]", "variant"), base), "propertyNames", child(path, e["key"]))))
+            fits = lambda e: once(F.try_variant_get(name(e), "$[0]", "variant"), lambda k: self._ok(s["propertyNames"], k, base))
+            out.append(each(lambda e: errors_if(~fits(e), "propertyNames", child(path, e["key"]))))
         return out
 
     def _array(self, s: dict, v: Column, path: Column, base: str) -> list[Column]:
-        a, out = listed(v), []
+        if not s.keys() & {"minItems", "maxItems", "uniqueItems", "prefixItems", "items", "contains"}:
+            return []
+        return [once(listed(v), lambda a: F.when(a.isNotNull(), F.concat(none(), *self._items(s, a, path, base))).otherwise(none()))]
+
+    def _items(self, s: dict, a: Column, path: Column, base: str) -> list[Column]:
+        """What a schema says of the items of an array."""
+        out = []
         for keyword, bad in (("minItems", lambda n: F.size(a) < n), ("maxItems", lambda n: F.size(a) > n)):
             if keyword in s:
                 out.append(errors_if(a.isNotNull() & bad(s[keyword]), keyword, path))
