@@ -376,3 +376,17 @@ def test_lines_of_records_are_made_before_they_are_gathered(spark):
         assert [(x["object"], x["subject"]) for x in doc["relations"]] == list(zip(parts, parts[1:]))
         assert [x["outputs"] for x in events] == [[p] for p in parts] and [x["inputs"] for x in events] == [[], *[[p] for p in parts[:-1]]]
         assert [x["id"] for x in events] == [f"urn:event:{r.record_key}:{k}" for k in range(len(parts))]
+
+
+def test_a_summary_needs_one_fact_of_a_record(spark):
+    """Counts stand in the record's own fact, whichever reader made it; of facts of a kind for each collection none is read."""
+    docs = [FULL, FULL | {"history": {"mode": "external", "eventIds": ["x"]}}, {"actors": [1, None, {}], "relations": {}, "id": 3}, FULL | {"id": "\u0007"}]
+    df = spark.createDataFrame([(str(k), json.dumps(d)) for k, d in enumerate(docs)], "record_key string, raw string")
+    f = rec.facts(df, WORDS, ["record"])
+    assert f.count() == len(docs) and {x.kind for x in f.collect()} == {"record"}
+    got = {r.record_key: r for r in rec.summary(f).collect()}
+    for k, d in enumerate(docs):
+        for name in rec.COLLECTIONS:
+            v = d.get(name)
+            assert got[str(k)][name] == (len(v) if isinstance(v, list) else 0), (k, name)
+        assert got[str(k)].events == (len(d["history"]["events"]) if d.get("history", {}).get("mode") == "embedded" else 0)

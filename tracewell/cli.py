@@ -155,7 +155,7 @@ def run(a) -> int:
         if a.command == "validate":
             found = validation.diagnose(rows, words, **structure)
         elif a.command == "summary":
-            found = rec.summary(rec.facts(rows, words, ["record", "size"]))
+            found = rec.summary(rec.facts(rows, words, ["record"]))
         elif a.command == "project":
             found = public.projections(rows, words, set(a.include))
         elif a.command == "audit-public":

@@ -234,8 +234,12 @@ def entity(v: Column, collection: str, path: Column) -> Column:
     return some(fact("entity", path, id=s, a=F.lit(collection), b=text(member(v, "type")), c=text(member(v, "disclosure"))), s.isNotNull())
 
 
+def many(values: Column | Cell) -> Column:
+    return F.size(values.col if isinstance(values, Cell) else values)
+
+
 def size(values: Column, name: str, path: str) -> Column:
-    return some(fact("size", F.lit(path), a=F.lit(name), n=F.size(values.col if isinstance(values, Cell) else values)))
+    return some(fact("size", F.lit(path), a=F.lit(name), n=many(values)))
 
 
 def ids_of(v: Top, events: Column, collections: list[str]) -> Column:
@@ -341,7 +345,8 @@ def facts(v: Top | Cell, events: Column | Cell, words, tables, wanted: frozenset
 
     def record():
         ids = ids_of(v, events, tables["collections"])
-        return some(fact("record", top, id=own, a=text(member(v, words.version_member)), b=text(member(v, "disclosure")), n=number(member(v, "revision")), m=F.size(ids) - F.size(F.array_distinct(ids)), expected=strings(v, "profiles")))
+        sizes = F.concat_ws(",", *[many(items(v, name)).cast("string") for name in tables["collections"]], many(events).cast("string"))
+        return some(fact("record", top, id=own, a=text(member(v, words.version_member)), b=text(member(v, "disclosure")), c=sizes, n=number(member(v, "revision")), m=F.size(ids) - F.size(F.array_distinct(ids)), expected=strings(v, "profiles")))
 
     add("record", record)
     add("entity", lambda: entity(v, "record", top))

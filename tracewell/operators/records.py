@@ -175,7 +175,10 @@ def facts_of(doc: dict, words: Vocabulary) -> list[tuple]:
             fact("entity", path, value["id"], collection, _text(value, "type"), _text(value, "disclosure"))
 
     ids: list[tuple[str, str]] = []
-    fact("record", "", _text(doc, "id"), _text(doc, words.version_member), _text(doc, "disclosure"), n=_number(doc.get("revision")), expected=strings(doc.get("profiles")))
+    history = doc.get("history") if isinstance(doc.get("history"), dict) else {}
+    events = _items(history, "events") if history.get("mode") == "embedded" else []
+    sizes = ",".join(str(len(x)) for x in [*(_items(doc, name) for name in COLLECTIONS), events])
+    fact("record", "", _text(doc, "id"), _text(doc, words.version_member), _text(doc, "disclosure"), sizes, n=_number(doc.get("revision")), expected=strings(doc.get("profiles")))
     entity(doc, "record", "")
     for name in COLLECTIONS:
         fact("size", f"/{name}", a=name, n=float(len(_items(doc, name))))
@@ -184,8 +187,6 @@ def facts_of(doc: dict, words: Vocabulary) -> list[tuple]:
     for k, p in enumerate(_items(doc, "policies")):
         for j, r in enumerate(_items(p, "rules")):
             entity(r, "policyRules", f"/policies/{k}/rules/{j}")
-    history = doc.get("history") if isinstance(doc.get("history"), dict) else {}
-    events = _items(history, "events") if history.get("mode") == "embedded" else []
     fact("size", "/history/events", a="events", n=float(len(events)))
     for k, e in enumerate(events):
         entity(e, "events", f"/history/events/{k}")
@@ -488,12 +489,11 @@ def cycles(graph: DataFrame) -> DataFrame:
 
 def summary(f: DataFrame) -> DataFrame:
     """A row per record: id, version, revision, profiles, disclosure, how many items each collection lists, with or without
-    ids, and how many ids repeat an earlier one. One grouping by record."""
-    record, size = F.col("kind") == "record", F.col("kind") == "size"
-    of = lambda c: F.max(F.when(record, F.col(c)))
+    ids, and how many ids repeat an earlier one. A record's one fact of the kind 'record' holds all of it; one grouping by record."""
     names = [*COLLECTIONS, "events"]
-    sizes = [F.coalesce(F.max(F.when(size & (F.col("a") == x), F.col("n"))), F.lit(0.0)).cast("long").alias(x) for x in names]
-    return f.where("kind IN ('record', 'size')").groupBy("record_key").agg(
-        F.coalesce(of("id"), F.lit("")).alias("id"), F.coalesce(of("a"), F.lit("")).alias("version"), F.coalesce(of("n"), F.lit(0.0)).alias("revision"),
-        of("expected").alias("profiles"), F.coalesce(of("b"), F.lit("")).alias("disclosure"), *sizes, of("m").cast("long").alias("duplicate_ids"),
+    listed = f.where("kind = 'record'").select("record_key", "id", "a", "b", "n", "m", "expected", F.split("c", ",").alias("sizes"))
+    rows = listed.select("record_key", "id", "a", "b", "n", "m", "expected", *[F.get("sizes", F.lit(k)).cast("long").alias(x) for k, x in enumerate(names)])
+    return rows.groupBy("record_key").agg(
+        F.coalesce(F.max("id"), F.lit("")).alias("id"), F.coalesce(F.max("a"), F.lit("")).alias("version"), F.coalesce(F.max("n"), F.lit(0.0)).alias("revision"),
+        F.max("expected").alias("profiles"), F.coalesce(F.max("b"), F.lit("")).alias("disclosure"), *[F.max(x).alias(x) for x in names], F.max("m").cast("long").alias("duplicate_ids"),
     )
