@@ -29,7 +29,7 @@ _FACT = StructType([StructField(name, _TYPES[kind]) for name, kind in (x.split()
 _ESCAPE, _KEYS = "\\u", ["__proto__"]
 _RULED_KEYS, _STATES = ["health", "freshness"], ["withheld", "deleted"]
 #: The words of _RULED_KEYS and _STATES that matter to facts of a kind.
-_RULED = {"diagnostic": _RULED_KEYS, "times": ["freshness"], "ref": _STATES}
+_RULED = {"diagnostic": _RULED_KEYS, "times": ["freshness"], "ref": _STATES, "dangling": _STATES}
 #: What numbers, objects and lists look like as text; numbers of at most _DIGITS digits that may overflow, and what all of these hold.
 _OTHER = r"^(?:-?[0-9][0-9.eE+-]*|[{\[][\s\S]*)$"
 _DIGITS, _LARGE, _EXPONENT = 100, r"[:,\[\s]-?[0-9][0-9.]*[eE][+]?[0-9]{3}", "[eE][+]?[0-9]{3}"
@@ -261,6 +261,12 @@ def twins(v: Top | Cell, events: Column | Cell, collections: list[str]) -> Colum
     return F.transform(once(F.sort_array(every), again), lambda x: fact("twin", x["path"], id=x["id"]))
 
 
+def same_record(e: Column | Cell, record: Top | Cell) -> Column:
+    """Whether a receipt names its record."""
+    shown = lambda x: text(x) if isinstance(x, Cell) else F.coalesce(F.to_json(x), F.lit("null"))  # noqa: E731  a null and nothing are the same here
+    return shown(member(e, "recordId")).eqNullSafe(shown(member(record, "id")))
+
+
 def event_facts(e: Column, path: Column, record: Top, words, tables, wanted) -> list[Column]:
     """The facts of an event that are wanted, in order."""
     evaluation, parameters = member(e, "policyEvaluation"), member(e, "parameters")
@@ -268,9 +274,7 @@ def event_facts(e: Column, path: Column, record: Top, words, tables, wanted) ->
     none = F.array().cast(ArrayType(_FACT))
     parts = []
     if "event" in wanted:
-        shown = lambda x: text(x) if isinstance(x, Cell) else F.coalesce(F.to_json(x), F.lit("null"))  # noqa: E731  a null and nothing are the same here
-        same = shown(member(e, "recordId")).eqNullSafe(shown(member(record, "id")))
-        parts.append(some(fact("event", path, id=own, a=effect, b=text(member(e, "finalStatus")), c=text(member(evaluation, "result")), d=F.when(~same, F.lit("other record")), n=number(member(e, "sequence")))))
+        parts.append(some(fact("event", path, id=own, a=effect, b=text(member(e, "finalStatus")), c=text(member(evaluation, "result")), d=F.when(~same_record(e, record), F.lit("other record")), n=number(member(e, "sequence")))))
     if "times" in wanted:
         parts.append(some(fact("times", under(path, "endedAt"), a=text(member(e, "startedAt")), b=text(member(e, "endedAt")), c=F.lit("EVENT_SEQUENCE"))))
     for key in ("inputs", "outputs"):
@@ -394,8 +398,9 @@ def facts(v: Top | Cell, events: Column | Cell, words, tables, wanted: frozenset
         add("window", lambda name=name: each(items(v, name), F.lit(f"/{name}"), lambda x, p: window(member(x, "window"), under(p, "window"))))
     add("graph", lambda: graph(v, words, tables["acyclic"]))
     add("twin", lambda: twins(v, events, tables["collections"]))
-    if "profile" in wanted:
-        from tracewell.operators import profile_columns  # it builds on this module
+    from tracewell.operators import profile_columns, rule_columns  # they build on this module
 
+    parts += rule_columns.failing(v, events, words, tables, wanted)
+    if "profile" in wanted:
         parts.append(profile_columns.facts(v, events, words))
     return joined(parts)

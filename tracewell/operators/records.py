@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators import checks, fact_columns
+from tracewell.operators import checks, fact_columns, rule_columns
 from tracewell.operators.workspace import materialized
 from tracewell.sources.strict_json import JsonError, parse, walk
 
@@ -280,12 +281,39 @@ TABLES = {
     "processing": PROCESSING,
     "roles": ROLES,
     "acyclic": [(name, inverse is not None) for name, _, inverse in ACYCLIC],
+    "descent": [(name, descent) for name, descent, _ in ACYCLIC if descent],
+    "consequential": CONSEQUENTIAL,
 }
 _NAMES = [x.split()[0] for x in FACTS.split(", ")]
 
 
-def parsed_facts(records: DataFrame, words: Vocabulary) -> DataFrame:
-    """The facts of records (record_key, raw) that parse, by the strict parser."""
+def failing_facts(told: list[tuple], words: Vocabulary) -> list[tuple]:
+    """What rule_columns tells of a record, from its facts: kind, path and id of each place that fails."""
+    of = lambda kind: [x for x in told if x[0] == kind]
+    known = {x[3] for x in [*of("entity"), *of("external")]}
+    works = {x[3] for x in of("entity") if x[4] == "representations"}
+    out = [("dangling", x[2], x[3]) for x in of("ref") if x[3] not in known]
+    out += [("foreign", f"{x[2]}/recordId", None) for x in of("event") if x[7]]
+    used: dict[str, set] = {}
+    for x in of("inputs"):
+        used.setdefault(x[6], set()).add(x[4])
+    serious = [x for x in of("outputs") if x[5] in CONSEQUENTIAL]
+    out += [("reused", x[2], None) for x in serious if x[4] in used.get(x[6], ())]
+    ends = {f"{words.relations}:{name}": descent for name, descent, _ in ACYCLIC if descent}
+    edges = [(x[2], x[3], *((x[6], x[5]) if ends[x[4]] == "subject" else (x[5], x[6]))) for x in of("relation") if x[4] in ends]
+    out += [("reused", f"{path}/subject", None) for path, _, parent, child in edges if parent == child and child in works]
+    out += [("unreceipted", f"{path}/operationRef", None) for path, operation, _, child in edges if child in works and operation not in known]
+    receipts: dict[str, str] = {}
+    for x in of("event"):
+        receipts.setdefault(x[3], x[2])
+    tied = {(operation, child) for _, operation, parent, child in edges if parent in used.get(receipts.get(operation), ())}
+    loose = {x[6] for x in serious if x[3] is not None and receipts[x[3]] == x[6] and x[4] in works and (x[3], x[4]) not in tied}
+    return out + [("unreceipted", f"{path}/outputs", None) for path in sorted(loose)]
+
+
+def parsed_facts(records: DataFrame, words: Vocabulary, kinds: Iterable[str] = fact_columns.KINDS) -> DataFrame:
+    """The facts of records (record_key, raw) that parse, by the strict parser; those of what fails inside a record if kinds has them."""
+    failing = frozenset(kinds) & rule_columns.KINDS
     from tracewell.operators import profiles  # it builds on this module
 
     types = [pa.string(), pa.string(), pa.int32(), *[pa.string()] * 6, pa.float64(), pa.float64(), pa.list_(pa.string())]
@@ -300,6 +328,8 @@ def parsed_facts(records: DataFrame, words: Vocabulary) -> DataFrame:
                     continue
                 told = facts_of(doc, words)
                 failed = profiles.mismatches(doc, words) if isinstance(doc, dict) else []
+                if failing:
+                    told += [(kind, len(told) + k, path, own, *[None] * 7) for k, (kind, path, own) in enumerate(failing_facts(told, words))]
                 told += [("profile", len(told) + k, "/profiles", None, p, None, None, None, float(n), None, None) for k, (p, n) in enumerate(failed)]
                 out += [(key, *f) for f in told]
             cols = list(zip(*out, strict=True)) or [()] * len(types)
@@ -334,11 +364,13 @@ def facts(records: DataFrame, words: Vocabulary, kinds: Iterable[str] = fact_col
     strict parser. place orders the facts of a record."""
     kinds = frozenset(kinds)
     told = materialized(column_facts(records, words, kinds), "facts", by=["kind"]).select(*_NAMES)
-    unread = told.where("kind = 'unread'").select("record_key", F.col("a").alias("raw"))
+    unread = told.where("kind = 'unread'").select("record_key", F.col("a").alias("raw"), F.col("b").alias("only"))
     told = told.where("kind <> 'unread'")
     if unread.isEmpty():
         return told
-    parsed = parsed_facts(unread, words).where(F.col("kind").isin(*kinds))
+    parsed = parsed_facts(unread.where("only IS NULL"), words, kinds).where(F.col("kind").isin(*kinds))
+    for kind in sorted(kinds & rule_columns.KINDS):  # of records that are plain but have many of these
+        parsed = parsed.unionByName(parsed_facts(unread.where(F.col("only") == kind).distinct(), words, [kind]).where(F.col("kind") == kind))
     return told.unionByName(materialized(parsed, "facts-parsed", by=["kind"]).select(*_NAMES))
 
 
@@ -378,11 +410,23 @@ RULES = {
 }
 
 
+#: The kinds of facts of what fails, of rules that look at one record alone.
+INSIDE = {
+    "UNRESOLVED_REF": ["dangling", "foreign"],
+}
+
+
 def semantics(records: DataFrame, words: Vocabulary, codes: Iterable[str] = tuple(RULES)) -> DataFrame:
     """(record_key, code, severity, instance_path) of the semantic findings of records that parse, of the codes that are asked
-    for: only the facts that their rules read are made."""
+    for: only the facts that their rules read are made. If not all are asked for, rules that look at one record alone are judged
+    where it stands; all of them together join the facts that are made anyway."""
     codes = list(codes)
-    return findings(facts(records, words, {kind for c in codes for kind in RULES[c]}), words, codes)
+    inside = [c for c in codes if c in INSIDE] if set(codes) < set(RULES) else []
+    f = facts(records, words, {kind for c in codes for kind in (INSIDE if c in inside else RULES)[c]})
+    parts = [diagnostic(f.where(F.col("kind").isin(INSIDE[c])), c, F.col("path")) for c in inside]
+    if others := [c for c in codes if c not in inside]:
+        parts.append(findings(f, words, others))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def findings(f: DataFrame, words: Vocabulary, codes: Iterable[str] = tuple(RULES)) -> DataFrame:
