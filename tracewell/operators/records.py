@@ -413,6 +413,7 @@ RULES = {
 #: The kinds of facts of what fails, of rules that look at one record alone.
 INSIDE = {
     "UNRESOLVED_REF": ["dangling", "foreign"],
+    "DESCENDANT_RECEIPT": ["unreceipted"],
 }
 
 
