@@ -414,6 +414,7 @@ RULES = {
 INSIDE = {
     "UNRESOLVED_REF": ["dangling", "foreign"],
     "DESCENDANT_RECEIPT": ["unreceipted"],
+    "DESCENDANT_REUSES_INPUT": ["reused"],
 }
 
 
