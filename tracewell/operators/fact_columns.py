@@ -250,13 +250,18 @@ def ids_of(v: Top, events: Column, collections: list[str]) -> Column:
     return F.filter(every, lambda x: x.isNotNull())
 
 
-def twins(v: Top | Cell, events: Column | Cell, collections: list[str]) -> Column:
-    """A fact for each entity whose id an earlier one of its record has, by id: sorted where they stand, so nothing is shuffled."""
+def placed_ids(v: Top | Cell, events: Column | Cell, collections: list[str]) -> Column:
+    """Id and path of all entities of a record, in their order."""
     own = lambda x, path: F.struct(text(member(x, "id")).alias("id"), path.alias("path"))
     placed = lambda values, *path: mapped(values, lambda x, k: own(x, F.concat(*path, F.lit("/"), k.cast("string"))))
     rules = F.flatten(mapped(items(v, "policies"), lambda p, k: placed(items(p, "rules"), F.lit("/policies/"), k.cast("string"), F.lit("/rules"))))
     every = F.concat(F.array(own(v, F.lit(""))), *[placed(items(v, name), F.lit(f"/{name}")) for name in collections], rules, placed(events, F.lit("/history/events")))
-    every = F.transform(F.filter(every, lambda x: x["id"].isNotNull()), lambda x, k: F.struct(x["id"].alias("id"), k.alias("place"), x["path"].alias("path")))
+    return F.filter(every, lambda x: x["id"].isNotNull())
+
+
+def twins(v: Top | Cell, events: Column | Cell, collections: list[str]) -> Column:
+    """A fact for each entity whose id an earlier one of its record has, by id: sorted where they stand, so nothing is shuffled."""
+    every = F.transform(placed_ids(v, events, collections), lambda x, k: F.struct(x["id"].alias("id"), k.alias("place"), x["path"].alias("path")))
     again = lambda s: F.filter(s, lambda x, k: (k > 0) & (F.get(s, k - 1)["id"] == x["id"]))
     return F.transform(once(F.sort_array(every), again), lambda x: fact("twin", x["path"], id=x["id"]))
 

@@ -287,6 +287,19 @@ TABLES = {
 _NAMES = [x.split()[0] for x in FACTS.split(", ")]
 
 
+def descents(told: list[tuple], words: Vocabulary) -> list[tuple[str, str, str, str]]:
+    """Path, operation, parent and child of a record's relations with a direction of descent, from its facts."""
+    ends = {f"{words.relations}:{name}": descent for name, descent, _ in ACYCLIC if descent}
+    return [(x[2], x[3], *((x[6], x[5]) if ends[x[4]] == "subject" else (x[5], x[6]))) for x in told if x[0] == "relation" and x[4] in ends]
+
+
+def descent_facts(told: list[tuple], words: Vocabulary) -> list[tuple]:
+    """rule_columns.descent(), from a record's facts."""
+    edges = descents(told, words)
+    flat = [s for _, _, parent, child in edges for s in (parent, child)] + [s for x in told if x[0] == "entity" for s in (x[3], x[2])]
+    return [("descent", len(told), "", *[None] * 5, float(len(edges)), None, flat)] if edges else []
+
+
 def failing_facts(told: list[tuple], words: Vocabulary) -> list[tuple]:
     """What rule_columns tells of a record, from its facts: kind, path and id of each place that fails."""
     of = lambda kind: [x for x in told if x[0] == kind]
@@ -299,8 +312,7 @@ def failing_facts(told: list[tuple], words: Vocabulary) -> list[tuple]:
         used.setdefault(x[6], set()).add(x[4])
     serious = [x for x in of("outputs") if x[5] in CONSEQUENTIAL]
     out += [("reused", x[2], None) for x in serious if x[4] in used.get(x[6], ())]
-    ends = {f"{words.relations}:{name}": descent for name, descent, _ in ACYCLIC if descent}
-    edges = [(x[2], x[3], *((x[6], x[5]) if ends[x[4]] == "subject" else (x[5], x[6]))) for x in of("relation") if x[4] in ends]
+    edges = descents(told, words)
     out += [("reused", f"{path}/subject", None) for path, _, parent, child in edges if parent == child and child in works]
     out += [("unreceipted", f"{path}/operationRef", None) for path, operation, _, child in edges if child in works and operation not in known]
     receipts: dict[str, str] = {}
@@ -313,7 +325,7 @@ def failing_facts(told: list[tuple], words: Vocabulary) -> list[tuple]:
 
 def parsed_facts(records: DataFrame, words: Vocabulary, kinds: Iterable[str] = fact_columns.KINDS) -> DataFrame:
     """The facts of records (record_key, raw) that parse, by the strict parser; those of what fails inside a record if kinds has them."""
-    failing = frozenset(kinds) & rule_columns.KINDS
+    failing, descent = frozenset(kinds) & rule_columns.FAILS, "descent" in kinds
     from tracewell.operators import profiles  # it builds on this module
 
     types = [pa.string(), pa.string(), pa.int32(), *[pa.string()] * 6, pa.float64(), pa.float64(), pa.list_(pa.string())]
@@ -328,6 +340,7 @@ def parsed_facts(records: DataFrame, words: Vocabulary, kinds: Iterable[str] = f
                     continue
                 told = facts_of(doc, words)
                 failed = profiles.mismatches(doc, words) if isinstance(doc, dict) else []
+                told += descent_facts(told, words) if descent else []
                 if failing:
                     told += [(kind, len(told) + k, path, own, *[None] * 7) for k, (kind, path, own) in enumerate(failing_facts(told, words))]
                 told += [("profile", len(told) + k, "/profiles", None, p, None, None, None, float(n), None, None) for k, (p, n) in enumerate(failed)]
@@ -369,7 +382,7 @@ def facts(records: DataFrame, words: Vocabulary, kinds: Iterable[str] = fact_col
     if unread.isEmpty():
         return told
     parsed = parsed_facts(unread.where("only IS NULL"), words, kinds).where(F.col("kind").isin(*kinds))
-    for kind in sorted(kinds & rule_columns.KINDS):  # of records that are plain but have many of these
+    for kind in sorted(kinds & rule_columns.FAILS):  # of records that are plain but have many of these
         parsed = parsed.unionByName(parsed_facts(unread.where(F.col("only") == kind).distinct(), words, [kind]).where(F.col("kind") == kind))
     return told.unionByName(materialized(parsed, "facts-parsed", by=["kind"]).select(*_NAMES))
 

@@ -11,10 +11,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from tracewell.operators.fact_columns import _FACT, Cell, Top, each, fact, facts, ids_of, is_object, items, joined, many, mapped, member, once, same_record, some, strings, text, under
+from tracewell.operators.fact_columns import _FACT, Cell, Top, each, fact, facts, ids_of, is_object, items, joined, many, mapped, member, once, placed_ids, same_record, some, strings, text, under
 
 #: Kinds of the facts of what fails.
-KINDS = frozenset(["dangling", "foreign", "reused", "unreceipted"])
+FAILS = frozenset(["dangling", "foreign", "reused", "unreceipted"])
+#: The same, and the graph of a record's descents.
+KINDS = FAILS | {"descent"}
 #: Ids that may fail in a record, and pairs of receipts and of what they are compared with, before it is left to the parser.
 MOST, PAIRS = 100, 20_000
 
@@ -168,11 +170,23 @@ def unreceipted(v: Top | Cell, events: Column | Cell, words, tables) -> Column:
     return once(descents(v, words, tables), lambda edges: once(works(v), lambda own: once(names, lambda ids: told(edges, own, ids))))
 
 
+def descent(v: Top | Cell, events: Column | Cell, words, tables) -> Column:
+    """One fact of all descents of a record: n of them, each a parent and a child, and then id and path of every entity."""
+
+    def told(edges):
+        ends = F.flatten(F.transform(edges, lambda x: F.array(x["parent"], x["child"])))
+        places = F.flatten(F.transform(placed_ids(v, events, tables["collections"]), lambda x: F.array(x["id"], x["path"])))
+        return F.when(F.size(edges) > 0, F.array(fact("descent", F.lit(""), n=F.size(edges), expected=F.concat(ends, places)))).otherwise(none())
+
+    return once(descents(v, words, tables), told)
+
+
 def failing(v: Top | Cell, events: Column | Cell, words, tables, wanted: frozenset[str]) -> list[Column]:
     made = {
         "foreign": lambda: foreign(v, events),
         "dangling": lambda: dangling(v, events, words, tables),
         "reused": lambda: reused(v, events, words, tables),
         "unreceipted": lambda: unreceipted(v, events, words, tables),
+        "descent": lambda: descent(v, events, words, tables),
     }
     return [make() for kind, make in made.items() if kind in wanted]
