@@ -36,7 +36,7 @@ _DIGITS, _LARGE, _EXPONENT = 100, r"[:,\[\s]-?[0-9][0-9.]*[eE][+]?[0-9]{3}", "[e
 
 
 class Need:
-    """What is asked of a value: its members, its items, or itself as a string or a number."""
+    """What is asked of a value: its members, its items, itself as a string or a number, or only whether it is there ('any')."""
 
     def __init__(self):
         self.members, self.item, self.leaf = {}, None, None
@@ -44,11 +44,20 @@ class Need:
     def ddl(self) -> str:
         if self.members:
             return f"struct<{','.join(f'`{k}`: {n.ddl()}' for k, n in self.members.items())}>"
-        return f"array<{self.item.ddl()}>" if self.item else self.leaf or "struct<`_`: string>"  # an item that only counts
+        leaf = "string" if self.leaf == "any" else self.leaf
+        return f"array<{self.item.ddl()}>" if self.item else leaf or "struct<`_`: string>"  # an item that only counts
+
+    def sure(self) -> bool:
+        """Whether no text can make it doubtful."""
+        if self.members:
+            return all(n.sure() for n in self.members.values())
+        return self.item.sure() if self.item else self.leaf in (None, "any")
 
     def doubtful(self, x: Column, path: str | None = None) -> Column:
         """Whether a string in x may have been another value, or a number no number. path: where x stands in the VARIANT 'listed',
         which is asked for those that look like another value; without it they are doubtful."""
+        if self.sure():
+            return F.lit(False)
         if self.members:
             out = F.lit(False)
             for k, n in self.members.items():
@@ -58,8 +67,6 @@ class Need:
             return F.coalesce(F.exists(x, lambda y: self.item.doubtful(y)), F.lit(False))
         if self.leaf == "double":
             return F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False))
-        if not self.leaf:
-            return F.lit(False)
         other = x.isin("true", "false") | (F.substring(x, 1, 1).isin(*"-0123456789{[") & x.rlike(_OTHER))
         if path:
             other = other & ~text(F.try_variant_get("listed", path, "variant")).eqNullSafe(x)
@@ -329,16 +336,24 @@ def listed(raw: Column, word: str) -> Column:
 def lean(raw: Column, words, tables, wanted: frozenset[str]) -> tuple[dict[str, Column], Column, Column]:
     """For records in a column raw: the columns 'listed' and 'lean', what from_json() takes from them; whether that is sure to be
     right, and the facts, both given these columns."""
-    spoilt, word, v = f"_{uuid.uuid4().hex}", uuid.uuid4().hex, Cell(F.col("lean"), Need())
+    v = Cell(F.col("lean"), Need())
     text(v.member("id"))
     told = facts(v, embedded(v), words, tables, wanted)
+    columns, fit = taken(raw, v, sorted({w for kind in wanted for w in _RULED.get(kind, [])}), "$[0]")
+    return columns, fit, told
+
+
+def taken(raw: Column, v: Cell, without: list[str], path: str | None = None) -> tuple[dict[str, Column], Column]:
+    """For records in a column raw: the columns 'listed' and 'lean' for what v, a cell of lean, was asked; and whether that is sure
+    to be right, given these columns. without: words that no such text holds. path: of the record in listed, see Need.doubtful()."""
+    spoilt, word = f"_{uuid.uuid4().hex}", uuid.uuid4().hex
     fields = v.need.ddl().removeprefix("struct<").removesuffix(">")
-    taken = F.from_json(raw, f"struct<{fields},{spoilt}: string>", {"columnNameOfCorruptRecord": spoilt, "maxNestingDepth": str(DEPTH), "maxNumLen": str(_DIGITS)})
+    lean = F.from_json(raw, f"struct<{fields},{spoilt}: string>", {"columnNameOfCorruptRecord": spoilt, "maxNestingDepth": str(DEPTH), "maxNumLen": str(_DIGITS)})
     fit = (F.try_variant_get("listed", "$[1]", "string") == word) & F.startswith(raw, F.lit("{")) & F.col("lean").isNotNull() & v.col[spoilt].isNull()
-    for s in [_ESCAPE, *_KEYS, *sorted({w for kind in wanted for w in _RULED.get(kind, [])})]:
+    for s in [_ESCAPE, *_KEYS, *without]:
         fit = fit & ~F.contains(raw, F.lit(s))
-    fit = fit & ~(raw.rlike(_EXPONENT) & raw.rlike(_LARGE)) & ~v.need.doubtful(v.col, "$[0]")
-    return {"listed": listed(raw, word), "lean": taken}, F.coalesce(fit, F.lit(False)), told
+    fit = fit & ~(raw.rlike(_EXPONENT) & raw.rlike(_LARGE)) & ~v.need.doubtful(v.col, path)
+    return {"listed": listed(raw, word), "lean": lean}, F.coalesce(fit, F.lit(False))
 
 
 def facts(v: Top | Cell, events: Column | Cell, words, tables, wanted: frozenset[str] = KINDS) -> Column:

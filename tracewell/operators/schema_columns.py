@@ -1,9 +1,12 @@
 """JSON Schema compiled to column expressions over VARIANT: what schema.Catalog finds, without a Python worker.
 
-A schema becomes one expression, an array of (keyword, instance_path). What columns cannot say as the evaluator does raises
+A schema becomes one expression, an array of errors: the keyword, a line break and the instance_path. What columns cannot say as the evaluator does raises
 Unsupported while compiling (a schema that refers to itself, a constant that is no scalar, a pattern whose classes differ
 between regular expression engines), and the whole schema is left to the evaluator. $ref is resolved while compiling, and a
 definition that is used at several places is compiled for each.
+
+Where a schema asks for one type at each place, it is compiled for values that from_json() takes from the text as well (Typed):
+a record that holds another type there, or a null, is read by VARIANT.
 """
 
 from __future__ import annotations
@@ -14,11 +17,11 @@ from urllib.parse import urljoin
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracewell.operators.fact_columns import number, once, text
+from tracewell.operators.fact_columns import Cell, Need, mapped, number, once, text
 from tracewell.operators.schema import FORMATS, Catalog
 from tracewell.sources.strict_json import segment
 
-ERRORS = "array<struct<keyword:string,instance_path:string>>"
+ERRORS = "array<string>"
 KNOWN = {
     "$id", "$ref", "$defs", "$schema", "$comment", "title", "description", "default", "examples", "deprecated", "type", "const", "enum", "minLength", "maxLength",
     "pattern", "format", "required", "minProperties", "properties", "patternProperties", "additionalProperties", "propertyNames", "minItems", "maxItems", "uniqueItems",
@@ -37,7 +40,40 @@ _TIME = r"\A([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt]([0-9]{2}:[0-9]{2}):([0-5][0-9]|60)(
 
 
 class Unsupported(ValueError):
-    """A schema that only the evaluator can read."""
+    """A schema that only the evaluator can read; or, of types, one that only VARIANT can."""
+
+
+class Typed(Cell):
+    """A value that from_json() takes as the one type that a schema asks for. path: where it stands in the VARIANT 'listed'."""
+
+    def __init__(self, col: Column, need: Need, path: str | None = None):
+        super().__init__(col, need)
+        self.path = path
+
+    def ask(self, kind: str) -> None:
+        if getattr(self.need, "kind", kind) != kind:
+            raise Unsupported("a place of two types")
+        self.need.kind, self.need.leaf = kind, {"string": "string", "number": "double"}.get(kind)
+
+    def member(self, key: str) -> Typed:
+        self.ask("object")
+        if not key or re.search("[`'\\\\\x00-\x1f]", key) or key == "_" or any(k != key and k.lower() == key.lower() for k in self.need.members):
+            raise Unsupported("a name that no column can have")
+        return Typed(self.col[key], self.need.members.setdefault(key, Need()), self.path and f"{self.path}['{key}']")
+
+    def there(self) -> Column:
+        if not hasattr(self.need, "kind"):
+            self.need.leaf = "any"
+        return self.col.isNotNull()
+
+    def listed(self) -> Column:
+        self.ask("array")
+        self.need.item = self.need.item or Need()
+        return self.col
+
+    def leaf(self, kind: str) -> Column:
+        self.ask({"double": "number"}.get(kind, kind))
+        return self.col
 
 
 def fields(v: Column) -> Column:
@@ -47,11 +83,16 @@ def fields(v: Column) -> Column:
 
 def has_members(v: Column) -> Column:
     """Whether a value is an object."""
+    if isinstance(v, Typed):
+        v.ask("object")
+        return v.col.isNotNull()
     return F.try_variant_get(v, "$", "struct<_:boolean>").isNotNull()
 
 
 def member(v: Column, key: str) -> Column:
     """An object's member; null where there is none, and for anything but an object."""
+    if isinstance(v, Typed):
+        return v.member(key)
     if not key or "'" in key:
         return F.get(F.transform(F.array(fields(v)), lambda m: m[key]), F.lit(0))
     return F.try_variant_get(v, f"$['{key}']", "variant")
@@ -59,15 +100,31 @@ def member(v: Column, key: str) -> Column:
 
 def listed(v: Column) -> Column:
     """An array's items; null for anything else."""
+    if isinstance(v, Typed):
+        return v.listed()
     return F.try_variant_get(v, "$", "array<variant>")
 
 
+def there(v: Column) -> Column:
+    return v.there() if isinstance(v, Typed) else v.isNotNull()
+
+
+def every(a: Column, v: Column, make) -> Column:
+    """make(value, place) of the items a of a list v."""
+    return mapped(Typed(a, v.need), lambda x, k: make(Typed(x.col, x.need), k)) if isinstance(v, Typed) else F.transform(a, make)
+
+
 def none() -> Column:
     return F.array().cast(ERRORS)
 
 
 def error(keyword: str, path: Column) -> Column:
-    return F.array(F.struct(F.lit(keyword).alias("keyword"), path.alias("instance_path")))
+    return F.array(F.concat(F.lit(f"{keyword}\n"), path))
+
+
+def parts(e: Column) -> list[Column]:
+    """Keyword and instance_path of an error."""
+    return [F.substring_index(e, "\n", 1).alias("keyword"), F.substring(e, F.locate("\n", e) + 1, F.length(e)).alias("instance_path")]
 
 
 def errors_if(bad: Column, keyword: str, path: Column) -> Column:
@@ -81,7 +138,9 @@ def child(path: Column, key: Column | str) -> Column:
 
 
 def is_type(v: Column, name: str) -> Column:
-    kind = F.schema_of_variant(v)
+    if isinstance(v, Typed) and name in ("boolean", "null"):
+        raise Unsupported("a type that is not taken")
+    kind = None if isinstance(v, Typed) else F.schema_of_variant(v)
     tests = {
         "object": lambda: has_members(v),
         "array": lambda: listed(v).isNotNull(),
@@ -99,6 +158,8 @@ def equals(v: Column, value) -> Column:
         raise Unsupported("a constant that is no scalar")
     if isinstance(value, str):
         same = text(v) == value
+    elif isinstance(v, Typed) and (isinstance(value, bool) or value is None):
+        raise Unsupported("a type that is not taken")
     elif isinstance(value, bool) or value is None:
         same = F.to_json(v) == {True: "true", False: "false", None: "null"}[value]
     else:
@@ -127,7 +188,12 @@ class Compiler:
         self.open: list[int] = []  # the definitions that are being compiled
 
     def errors(self, schema_id: str, v: Column) -> Column:
-        return F.array_sort(F.array_distinct(self._check(self.catalog.schemas[schema_id], v, F.lit(""), schema_id)))
+        """The errors as structs, sorted."""
+        return F.array_sort(F.transform(self.found(schema_id, v), lambda e: F.struct(*parts(e))))
+
+    def found(self, schema_id: str, v: Column) -> Column:
+        """The errors, each once."""
+        return F.array_distinct(self._check(self.catalog.schemas[schema_id], v, F.lit(""), schema_id))
 
     def _ok(self, s, v: Column, base: str) -> Column:
         return F.size(self._check(s, v, F.lit(""), base)) == 0
@@ -184,6 +250,8 @@ class Compiler:
         return F.concat(*first, told) if first else told
 
     def _string(self, s: dict, v: Column, path: Column, base: str) -> list[Column]:
+        if not s.keys() & {"minLength", "maxLength", "pattern"} and s.get("format") not in FORMATS:
+            return []
         t, out = text(v), []
         for keyword, bad in (("minLength", lambda n: F.length(t) < n), ("maxLength", lambda n: F.length(t) > n), ("pattern", lambda p: ~t.rlike(pattern_of(p)))):
             if keyword in s:
@@ -193,17 +261,29 @@ class Compiler:
         return out
 
     def _number(self, s: dict, v: Column, path: Column, base: str) -> list[Column]:
+        if not s.keys() & {"minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"}:
+            return []
         n = number(v)
         tests = {"minimum": lambda x: n < x, "maximum": lambda x: n > x, "exclusiveMinimum": lambda x: n <= x, "exclusiveMaximum": lambda x: n >= x}
         return [errors_if(F.coalesce(bad(float(s[k])), F.lit(False)), k, path) for k, bad in tests.items() if k in s]
 
     def _object(self, s: dict, v: Column, path: Column, base: str) -> list[Column]:
-        out = [errors_if(has_members(v) & member(v, k).isNull(), "required", child(path, k)) for k in s.get("required", ())]
+        out = [errors_if(has_members(v) & ~there(member(v, k)), "required", child(path, k)) for k in s.get("required", ())]
         for k, sub in s.get("properties", {}).items():
-            if sub is not True and sub != {}:
+            if sub is not True and sub != {} and isinstance(v, Typed):
+                x = member(v, k)
+                out.append(F.when(x.col.isNotNull(), self._check(sub, x, child(path, k), base)).otherwise(none()))
+                x.there()
+            elif sub is not True and sub != {}:
                 out.append(once(member(v, k), lambda x: F.when(x.isNotNull(), self._check(sub, x, child(path, k), base)).otherwise(none())))  # noqa: B023  called at once
         if s.keys() & {"minProperties", "patternProperties", "additionalProperties", "propertyNames"}:
-            out.append(once(fields(v), lambda m: F.concat(none(), *self._members(s, m, path, base))))
+            whole = v
+            if isinstance(v, Typed):
+                if not v.path:
+                    raise Unsupported("members of unknown names in a list")
+                v.ask("object")
+                whole = F.try_variant_get("listed", v.path, "variant")
+            out.append(once(fields(whole), lambda m: F.concat(none(), *self._members(s, m, path, base))))
         return out
 
     def _members(self, s: dict, m: Column, path: Column, base: str) -> list[Column]:
@@ -235,32 +315,43 @@ class Compiler:
 
             out.append(each(other))
         if "propertyNames" in s:
-            name = lambda e: F.try_parse_json(F.to_json(F.array(e["key"])))  # noqa: E731  the key as a VARIANT
-            fits = lambda e: once(F.try_variant_get(name(e), "$[0]", "variant"), lambda k: self._ok(s["propertyNames"], k, base))
-            out.append(each(lambda e: errors_if(~fits(e), "propertyNames", child(path, e["key"]))))
+            out.append(each(lambda e: errors_if(~self._named(s["propertyNames"], e["key"], base), "propertyNames", child(path, e["key"]))))
         return out
 
+    def _named(self, s, key: Column, base: str) -> Column:
+        """Whether a schema holds for a name: for a string, or, if it asks for other types as well, for a VARIANT."""
+        try:
+            return self._ok(s, Typed(key, Need()), base)
+        except Unsupported:
+            name = F.try_parse_json(F.to_json(F.array(key)))
+            return once(F.try_variant_get(name, "$[0]", "variant"), lambda k: self._ok(s, k, base))
+
     def _array(self, s: dict, v: Column, path: Column, base: str) -> list[Column]:
         if not s.keys() & {"minItems", "maxItems", "uniqueItems", "prefixItems", "items", "contains"}:
             return []
-        return [once(listed(v), lambda a: F.when(a.isNotNull(), F.concat(none(), *self._items(s, a, path, base))).otherwise(none()))]
+        made = lambda a: F.when(a.isNotNull(), F.concat(none(), *self._items(s, a, v, path, base))).otherwise(none())
+        return [made(listed(v)) if isinstance(v, Typed) else once(listed(v), made)]
 
-    def _items(self, s: dict, a: Column, path: Column, base: str) -> list[Column]:
-        """What a schema says of the items of an array."""
+    def _items(self, s: dict, a: Column, v: Column, path: Column, base: str) -> list[Column]:
+        """What a schema says of the items a of an array v."""
         out = []
         for keyword, bad in (("minItems", lambda n: F.size(a) < n), ("maxItems", lambda n: F.size(a) > n)):
             if keyword in s:
                 out.append(errors_if(a.isNotNull() & bad(s[keyword]), keyword, path))
         if s.get("uniqueItems"):
-            shown = F.transform(a, lambda x: F.coalesce(F.concat(F.lit("#"), number(x).cast("string")), F.to_json(x)))
+            if isinstance(v, Typed) and not v.path:
+                raise Unsupported("whole items of a list in a list")
+            whole = F.try_variant_get("listed", v.path, "array<variant>") if isinstance(v, Typed) else a
+            shown = F.transform(whole, lambda x: F.coalesce(F.concat(F.lit("#"), number(x).cast("string")), F.to_json(x)))
             out.append(errors_if(F.coalesce(F.size(F.array_distinct(shown)) < F.size(a), F.lit(False)), "uniqueItems", path))
         first, rest = s.get("prefixItems", []), s.get("items", True)
         for k, sub in enumerate(first):
-            out.append(F.when(a.isNotNull() & (F.size(a) > k), self._check(sub, F.get(a, F.lit(k)), child(path, str(k)), base)).otherwise(none()))
+            item = Typed(F.get(a, F.lit(k)), v.need.item) if isinstance(v, Typed) else F.get(a, F.lit(k))
+            out.append(F.when(a.isNotNull() & (F.size(a) > k), self._check(sub, item, child(path, str(k)), base)).otherwise(none()))
         if rest is not True and rest != {}:
-            every = F.transform(a, lambda x, k: F.when(k >= len(first), self._check(rest, x, F.concat(path, F.lit("/"), k.cast("string")), base)).otherwise(none()))
-            out.append(F.coalesce(F.flatten(every), none()))
+            told = every(a, v, lambda x, k: F.when(k >= len(first), self._check(rest, x, F.concat(path, F.lit("/"), k.cast("string")), base)).otherwise(none()))
+            out.append(F.coalesce(F.flatten(told), none()))
         if "contains" in s:
-            hits = F.size(F.filter(a, lambda x: self._ok(s["contains"], x, base)))
+            hits = F.size(F.filter(every(a, v, lambda x, k: self._ok(s["contains"], x, base)), lambda x: x))
             out.append(errors_if(a.isNotNull() & (hits < s.get("minContains", 1)), "contains", path))
         return out
