@@ -315,7 +315,8 @@ class Compiler:
 
             out.append(each(other))
         if "propertyNames" in s:
-            out.append(each(lambda e: errors_if(~self._named(s["propertyNames"], e["key"], base), "propertyNames", child(path, e["key"]))))
+            bad = F.filter(F.map_keys(m), lambda k: ~self._named(s["propertyNames"], k, base))
+            out.append(F.coalesce(F.transform(bad, lambda k: F.concat(F.lit("propertyNames\n"), child(path, k))), none()))
         return out
 
     def _named(self, s, key: Column, base: str) -> Column:
@@ -342,7 +343,8 @@ class Compiler:
             if isinstance(v, Typed) and not v.path:
                 raise Unsupported("whole items of a list in a list")
             whole = F.try_variant_get("listed", v.path, "array<variant>") if isinstance(v, Typed) else a
-            shown = F.transform(whole, lambda x: F.coalesce(F.concat(F.lit("#"), number(x).cast("string")), F.to_json(x)))
+            alike = lambda x: lambda t: F.when(F.substring(t, 1, 1).isin(*"-0123456789"), F.concat(F.lit("#"), number(x).cast("string"))).otherwise(t)
+            shown = F.transform(whole, lambda x: once(F.to_json(x), alike(x)))
             out.append(errors_if(F.coalesce(F.size(F.array_distinct(shown)) < F.size(a), F.lit(False)), "uniqueItems", path))
         first, rest = s.get("prefixItems", []), s.get("items", True)
         for k, sub in enumerate(first):
