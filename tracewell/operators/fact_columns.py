@@ -51,7 +51,7 @@ class Need:
         """Whether no text can make it doubtful."""
         if self.members:
             return all(n.sure() for n in self.members.values())
-        return self.item.sure() if self.item else self.leaf in (None, "any")
+        return self.item.sure() if self.item else self.leaf in (None, "any", "variant")
 
     def doubtful(self, x: Column, path: str | None = None) -> Column:
         """Whether a string in x may have been another value, or a number no number. path: where x stands in the VARIANT 'listed',

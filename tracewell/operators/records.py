@@ -357,10 +357,12 @@ def column_facts(records: DataFrame, words: Vocabulary, wanted: frozenset[str] =
     told = F.when(F.col("object"), fact_columns.facts(top, F.col("events"), words, TABLES, wanted)).otherwise(F.array().cast(f"array<struct<{fact_columns.FIELDS}>>"))
     told = F.when(F.col("plain"), told).otherwise(F.array(fact_columns.fact("unread", F.lit(""), a=F.col("raw"))))
     raw, v = F.col("raw"), F.col("value")
-    if "profile" in wanted:  # its rules ask for values of any type
+    if "profile" in wanted and len(wanted) > 1:  # its rules ask for other types than the rest
         rows = fact_columns.read(records).withColumn("fit", F.lit(False))
     else:
-        taken, fit, short = fact_columns.lean(raw, words, TABLES, wanted)
+        from tracewell.operators import profile_columns  # its tables build on this module
+
+        taken, fit, short = profile_columns.lean(raw, words) if wanted == {"profile"} else fact_columns.lean(raw, words, TABLES, wanted)
         rows = records.select("record_key", "raw", *[c.alias(name) for name, c in taken.items()]).withColumn("fit", fit)
         rows = rows.withColumn("value", fact_columns.value(F.when(~F.col("fit"), raw)))
         told = F.when(F.col("fit"), short).otherwise(told)

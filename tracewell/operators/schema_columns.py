@@ -53,7 +53,7 @@ class Typed(Cell):
     def ask(self, kind: str) -> None:
         if getattr(self.need, "kind", kind) != kind:
             raise Unsupported("a place of two types")
-        self.need.kind, self.need.leaf = kind, {"string": "string", "number": "double"}.get(kind)
+        self.need.kind, self.need.leaf = kind, {"string": "string", "number": "double", "variant": "variant"}.get(kind)
 
     def member(self, key: str) -> Typed:
         self.ask("object")
@@ -71,6 +71,10 @@ class Typed(Cell):
         self.need.item = self.need.item or Need()
         return self.col
 
+    def items(self, key: str) -> Typed:
+        v = self.member(key)
+        return Typed(F.coalesce(v.listed(), F.array()), v.need)
+
     def leaf(self, kind: str) -> Column:
         self.ask({"double": "number"}.get(kind, kind))
         return self.col
